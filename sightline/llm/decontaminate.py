@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 WIDTH = 5
 SIMILARITY = 0.8
 #: Fingerprints within so many bits are candidates; (RADIUS + 1) must divide 64.
@@ -50,13 +52,13 @@ def weights(of: Column) -> Column:
     return F.when(last >= 0, every).otherwise(F.array().cast("array<int>"))
 
 
-def fingerprint(hashes: Column) -> Column:
-    """64-bit SimHash: the bit-wise majority of the hashes, ties set."""
-    bit = lambda b: F.aggregate(hashes, F.lit(0), lambda acc, h: acc + F.getbit(h, F.lit(b)).cast("int") * 2 - 1)
+def fingerprints(masses: DataFrame, keys: list[str]) -> DataFrame:
+    """64-bit SimHash of each group of (h, mass) rows: the sign of the weighted votes on every bit, ties set."""
+    votes = [F.sum(F.when(F.getbit("h", F.lit(b)) == 1, F.col("mass")).otherwise(-F.col("mass"))).alias(f"b{b}") for b in range(64)]
     value = F.lit(0).cast("long")
     for b in range(64):
-        value = value.bitwiseOR(F.shiftleft((bit(b) >= 0).cast("long"), b))
-    return value
+        value = value.bitwiseOR(F.shiftleft((F.col(f"b{b}") >= 0).cast("long"), b))
+    return masses.groupBy(*keys).agg(*votes).select(*keys, value.alias("print"))
 
 
 def _blocks(print_: Column) -> Column:
@@ -65,6 +67,12 @@ def _blocks(print_: Column) -> Column:
     return F.explode(F.array(*(F.struct(F.lit(k).alias("block"), (F.shiftrightunsigned(print_, k * bits).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))).alias("value")) for k in range(RADIUS + 1)))).alias("b")
 
 
+def _masses(rows: DataFrame, keys: list[str], words_col: str) -> DataFrame:
+    """(keys, h, mass): each distinct shingle of a row's words and its characters over all occurrences."""
+    zipped = F.arrays_zip(shingles(F.col(words_col)).alias("h"), weights(F.col(words_col)).alias("w"))
+    return rows.select(*keys, F.explode(zipped).alias("z")).groupBy(*keys, F.col("z.h").alias("h")).agg(F.sum("z.w").alias("mass"))
+
+
 def item_table(benchmark: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(item_id, item_words): the items that are long enough, without empty words at their ends."""
     part = benchmark.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
@@ -78,31 +86,31 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     placed = items.select("item_id", F.size("item_words").alias("n_words"), F.posexplode(shingles(F.col("item_words"))).alias("at", "h"))
     if placed.count() <= BROADCAST_ROWS:
         placed = F.broadcast(placed)
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), words(F.col(text_col)).alias("doc_words")).where("doc_id is not null and doc_words is not null")
-    hits = own.select("doc_id", F.posexplode(shingles(F.col("doc_words"))).alias("pos", "h")).join(placed, "h")
+    # An outer generator: for an inner one Spark infers a filter that would split every text twice. The
+    # word array stays a local variable of the generated loop; no copy of it leaves the loop.
+    own = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), words(F.col(text_col)).alias("doc_words"))
+    placed_words = own.select("doc_id", "doc_words", F.posexplode_outer("doc_words").alias("pos", "first"))
+    hashed = placed_words.where(F.col("pos") <= F.size("doc_words") - WIDTH).select("doc_id", "pos", F.xxhash64("first", *(F.get("doc_words", F.col("pos") + k) for k in range(1, WIDTH))).alias("h"))
+    hits = hashed.join(placed, "h")
     windows = hits.select("doc_id", "item_id", "n_words", (F.col("pos") - F.col("at")).alias("start_word")).distinct()
 
     cut = F.slice("doc_words", F.greatest(F.col("start_word"), F.lit(0)) + 1, F.col("n_words") + F.least(F.col("start_word"), F.lit(0)))
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text"))
+    keys = ["doc_id", "item_id", "start_word", "n_words", "key"]
     found = windows.join(texts, "doc_id").withColumn("doc_words", words(F.col("_text"))).select("doc_id", "item_id", "start_word", "n_words", cut.alias("window"))
-    found = found.select("*", shingles(F.col("window")).alias("hashes"), weights(F.col("window")).alias("sizes"))
-    found = found.withColumn("print", fingerprint(F.col("hashes"))).withColumn("key", F.xxhash64("doc_id", "start_word", "window"))
+    found = found.withColumn("key", F.xxhash64("doc_id", "start_word", "window"))
+    of_window = stored(_masses(found, keys, "window"), "windows")
+    of_item = stored(_masses(items, ["item_id"], "item_words"), "items")
 
-    known = items.select("item_id", "item_words", shingles(F.col("item_words")).alias("item_hashes"))
-    known = known.withColumn("item_print", fingerprint(F.col("item_hashes")))
     met = (
-        found.select("item_id", "key", "print", _blocks(F.col("print"))).select("*", "b.*")
-        .join(known.select("item_id", "item_print", _blocks(F.col("item_print"))).select("*", "b.*").drop("b"), ["item_id", "block", "value"])
+        fingerprints(of_window, keys).select("*", _blocks(F.col("print"))).select(*keys, "print", "b.*")
+        .join(fingerprints(of_item, ["item_id"]).select("item_id", F.col("print").alias("item_print"), _blocks(F.col("print"))).select("item_id", "item_print", "b.*"), ["item_id", "block", "value"])
         .withColumn("distance", F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))))
-        .where(F.col("distance") <= RADIUS).select("item_id", "key", "distance").distinct()
-    )
-    mass = lambda df, keys, hashes, sizes, name: (
-        df.select(*keys, F.explode(F.arrays_zip(F.col(hashes).alias("h"), F.col(sizes).alias("w"))).alias("z")).groupBy(*keys, F.col("z.h").alias("h")).agg(F.sum("z.w").alias(name))
+        .where(F.col("distance") <= RADIUS).select(*keys, "distance").distinct()
     )
-    of_item = mass(known.withColumn("item_sizes", weights(F.col("item_words"))), ["item_id"], "item_hashes", "item_sizes", "item_mass")
-    candidates = found.join(met, ["item_id", "key"])
-    keys = ["doc_id", "item_id", "start_word", "n_words", "key", "distance"]
-    of_window = mass(candidates, keys, "hashes", "sizes", "mass")
+    of_item = of_item.withColumnRenamed("mass", "item_mass")
+    of_window = of_window.join(met, keys)
+    keys.append("distance")
     total = of_item.groupBy("item_id").agg(F.sum("item_mass").alias("item_total"))
     both = of_window.join(of_item, ["item_id", "h"], "left").groupBy(*keys).agg(F.sum("mass").alias("total"), F.sum(F.least("mass", F.coalesce("item_mass", F.lit(0)))).alias("shared"))
     similarity = F.col("shared") / (F.col("total") + F.col("item_total") - F.col("shared"))

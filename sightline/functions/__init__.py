@@ -1 +1,106 @@
+r"""Scalar derivations as Column builders; all stay inside Spark's generated code."""
 
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: Read depths in rising order, by code.
+DEPTHS = ("unseen", "name", "overview", "signature", "full", "stale")
+UNSEEN, NAME_ONLY, OVERVIEW, SIGNATURE, FULL_BODY, STALE = range(6)
+
+_WHITE = r"\p{IsWhite_Space}"
+_WORD = r"[\p{IsAlphabetic}\p{N}_]"
+
+
+def normalize_source(text: Column) -> Column:
+    """Outer white space off, each inner run of white space made one space."""
+    return F.trim(F.regexp_replace(text, _WHITE + "+", " "))
+
+
+def content_hash(text: Column) -> Column:
+    """Hash by which two sources that differ in white space alone are equal."""
+    return F.sha2(normalize_source(text), 256)
+
+
+def estimate_tokens(text: Column) -> Column:
+    """A quarter token per word character, rounded up word by word, and one per other visible character."""
+    words = F.regexp_extract_all(text, F.lit(f"({_WORD}+)"), F.lit(1))
+    of_words = F.aggregate(words, F.lit(0).cast("long"), lambda acc, w: acc + F.ceil(F.length(w) / 4).cast("long"))
+    return of_words + F.length(F.regexp_replace(text, f"{_WORD}|{_WHITE}", ""))
+
+
+def strip_keywords(path: Column) -> Column:
+    """Each ``/`` segment without the lower-case words that lead it (``pub fn name`` -> ``name``)."""
+    return F.array_join(F.transform(F.split(path, "/"), lambda s: F.regexp_replace(s, "^([a-z]+ )+", "")), "/")
+
+
+def short_path(path: Column) -> Column:
+    """The last two components, trailing slashes ignored."""
+    return F.substring_index(F.rtrim(path, F.lit("/")), "/", -2)
+
+
+def under_root(path: Column, root: Column) -> Column:
+    """A path below ``root`` made relative to it; any other path unchanged."""
+    return F.when(F.startswith(path, F.concat(root, F.lit("/"))), F.substring(path, F.length(root) + 2, F.length(path))).otherwise(path)
+
+
+def remap(path: Column, old_root: Column, new_root: Column) -> Column:
+    """A path of a worktree moved to the main root, component-wise."""
+    moved = F.concat(new_root, F.substring(path, F.length(old_root) + 1, F.length(path)))
+    return F.when((path == old_root) | F.startswith(path, F.concat(old_root, F.lit("/"))), moved).otherwise(path)
+
+
+def truncate_command(text: Column, limit: int = 200) -> Column:
+    """Long commands end in an ellipsis after the characters that start within ``limit`` bytes."""
+    ascii_cut = F.concat(F.left(text, F.lit(limit)), F.lit("…"))
+    n = F.aggregate(F.sequence(F.lit(1), F.lit(limit)), F.struct(F.lit(0).alias("b"), F.lit(0).alias("k")), lambda a, i: F.when(a["b"] < limit, F.struct((a["b"] + F.octet_length(F.substring(text, i, F.lit(1)))).alias("b"), i.alias("k"))).otherwise(a))["k"]
+    cut = F.when(F.octet_length(text) == F.length(text), ascii_cut).otherwise(F.concat(F.left(text, n), F.lit("…")))
+    return F.when(F.octet_length(text) > limit, cut).otherwise(text)
+
+
+def percent(part: Column, whole: Column) -> Column:
+    """100 * part / whole as a double, 0 where there is nothing."""
+    return F.when(whole == 0, F.lit(0.0)).otherwise(part / F.when(whole == 0, 1).otherwise(whole) * F.lit(100.0))
+
+
+def depth_label(depth: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, DEPTHS)), depth + 1)
+
+
+def path_parts(path: Column) -> Column:
+    """Components, by which paths are ordered (``a/b`` before ``a-b``)."""
+    return F.split(path, "/")
+
+
+def literal_filter(path: Column, prefix: str) -> Column:
+    """Component-wise prefix test; an empty prefix holds for all."""
+    want = [x for x in prefix.split("/") if x]
+    if not want:
+        return F.lit(True)
+    return F.slice(path_parts(path), 1, len(want)) == F.array(*map(F.lit, want))
+
+
+def regex_filter(path: Column, pattern: str) -> Column:
+    """Unanchored regular expression on the ``/``-separated path; look-around and back references are refused."""
+    import re
+
+    if re.search(r"\(\?<?[=!]|\\[1-9]|\(\?P=", pattern):
+        raise ValueError(f"look-around and back references are not supported: {pattern}")
+    re.compile(pattern)
+    return F.rlike(F.replace(path, F.lit("\\"), F.lit("/")), F.lit(pattern))
+
+
+def compact_number(n: Column) -> Column:
+    """1234 -> 1.2k, 1234567 -> 1.2M."""
+    return F.when(n >= 1_000_000, F.format_string("%.1fM", n / 1e6)).when(n >= 1000, F.format_string("%.1fk", n / 1e3)).otherwise(n.cast("string"))
+
+
+def percent_band(pct: Column) -> Column:
+    """The band that a percentage is shown in."""
+    return F.when(pct <= 20, "0-20").when(pct <= 50, "21-50").when(pct <= 80, "51-80").otherwise("81-100")
+
+
+def file_status(total: Column, seen: Column, full: Column) -> Column:
+    """Rank by which files are listed: 0 partially, 1 all seen, 2 fully read, 3 not covered."""
+    return F.when((total == 0) | (seen == 0), 3).when(full == total, 2).when(seen == total, 1).otherwise(0)

@@ -1 +1,184 @@
+"""Relational operators of the coverage engine, from marks to reports. All are DataFrame to DataFrame."""
 
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions import FULL_BODY, UNSEEN, file_status, path_parts, percent, strip_keywords
+
+# --- matching ---------------------------------------------------------------------------------------
+
+
+def overlaps(a_start: Column, a_end: Column, b_start: Column, b_end: Column) -> Column:
+    """Half-open ranges share a line; strict on both sides, so an empty range meets only what spans it."""
+    return (a_start < b_end) & (b_start < a_end)
+
+
+def name_matches(name_path: Column, name: Column, target: Column) -> Column:
+    """A target names a symbol: by its whole name path, a ``/`` suffix of it, or its name, keywords aside."""
+    one = lambda path, t: (path == t) | F.endswith(path, F.concat(F.lit("/"), t))
+    bare = strip_keywords(target)
+    return one(name_path, target) | (name == target) | one(strip_keywords(name_path), bare) | (strip_keywords(name) == bare)
+
+
+def marks(events: DataFrame, symbols: DataFrame) -> DataFrame:
+    """One row per (tool call, symbol) that the call touches.
+
+    ``events``: session_id, ord, epoch, agent_id, file_path, read_depth, target_symbol, target_start, target_end.
+    ``symbols``: file_path, ord, subtree_end, id, name, name_path, line_start, line_end, content_hash,
+    estimated_tokens. Without a target the whole file is marked; with a symbol target every matching
+    symbol and what it contains; with a line target every overlapping symbol. The file path is an
+    equality key everywhere, so no plan degenerates into a nested loop.
+    """
+    e = events.where("file_path is not null").select("session_id", F.col("ord").alias("event_ord"), "epoch", "agent_id", "file_path", "read_depth", "target_symbol", "target_start", "target_end")
+    joined = e.join(symbols, "file_path")
+    plain = F.col("target_symbol").isNull() & F.col("target_start").isNull()
+    by_lines = F.col("target_start").isNotNull() & overlaps(F.col("line_start"), F.col("line_end"), F.col("target_start"), F.col("target_end"))
+    direct = joined.where(plain | by_lines)
+    named = joined.where(F.col("target_symbol").isNotNull() & name_matches(F.col("name_path"), F.col("name"), F.col("target_symbol")))
+    tree = symbols.select("file_path", *(F.col(c).alias(f"d_{c}") for c in ("ord", "id", "content_hash", "estimated_tokens")))
+    inside = named.join(tree, "file_path").where((F.col("ord") <= F.col("d_ord")) & (F.col("d_ord") <= F.col("subtree_end")))
+    keys = ["session_id", "event_ord", "epoch", "agent_id", "read_depth", "file_path"]
+    a = direct.select(*keys, F.col("ord").alias("sym_ord"), "id", "content_hash", "estimated_tokens")
+    b = inside.select(*keys, F.col("d_ord").alias("sym_ord"), F.col("d_id").alias("id"), F.col("d_content_hash").alias("content_hash"), F.col("d_estimated_tokens").alias("estimated_tokens"))
+    return a.unionByName(b).distinct()
+
+
+# --- epochs and ledger --------------------------------------------------------------------------------
+
+
+def with_epochs(events: DataFrame, is_reset: Column, partition: list[str], order: list[str]) -> DataFrame:
+    """``epoch``: how many resets came strictly before each event of its session."""
+    before = W.partitionBy(*partition).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    return events.withColumn("epoch", F.coalesce(F.sum(is_reset.cast("long")).over(before), F.lit(0)))
+
+
+def last_epoch(events: DataFrame, is_reset: Column, partition: list[str]) -> DataFrame:
+    """Events after the last reset of their session."""
+    total = events.groupBy(*partition).agg(F.sum(is_reset.cast("long")).alias("_resets"))
+    return events.join(total, partition).where((F.col("epoch") == F.col("_resets")) & ~is_reset).drop("_resets")
+
+
+def ledger(marked: DataFrame, keys: list[str], order: list[str], attributes: list[str], depth: str = "read_depth") -> DataFrame:
+    """Deepest reading of each key, with the attributes of the first event that reached it."""
+    first = F.min_by(F.struct(*attributes), F.struct((-F.col(depth)).alias("_d"), *order)).alias("_first")
+    return marked.groupBy(*keys).agg(F.max(depth).alias("depth"), first).select(*keys, "depth", "_first.*")
+
+
+def agent_ledger(marked: DataFrame, keys: list[str], agent: str = "agent_id", depth: str = "read_depth") -> DataFrame:
+    """Deepest reading of each key by each agent."""
+    return marked.groupBy(*keys, agent).agg(F.max(depth).alias("depth"))
+
+
+def depth_histogram(ledger_rows: DataFrame, by: list[str] | None = None) -> DataFrame:
+    return ledger_rows.groupBy(*(by or []), "depth").agg(F.count("*").alias("n"))
+
+
+def stale(old: DataFrame, new: DataFrame, keys: list[str], hash_col: str = "content_hash") -> DataFrame:
+    """Keys whose content changed."""
+    a = old.select(*keys, F.col(hash_col).alias("old_hash"))
+    return a.join(new.select(*keys, F.col(hash_col).alias("new_hash")), keys).where(F.col("old_hash") != F.col("new_hash"))
+
+
+# --- reports ------------------------------------------------------------------------------------------
+
+
+def coverage_counts(symbols: DataFrame, depths: DataFrame, key: str = "id", by: str = "file_path") -> DataFrame:
+    """(file, total_symbols, seen_count, full_count): rows are counted, so symbols of one id count each."""
+    d = depths.select(F.col(key), F.col("depth").alias("_depth"))
+    depth = F.coalesce("_depth", F.lit(UNSEEN))
+    return symbols.join(d, key, "left").groupBy(by).agg(F.count("*").alias("total_symbols"), F.count_if(depth > UNSEEN).alias("seen_count"), F.count_if(depth == FULL_BODY).alias("full_count"))
+
+
+def coverage_report(files: DataFrame, symbols: DataFrame, depths: DataFrame, key: str = "id", by: str = "file_path") -> DataFrame:
+    """Every file with its counts, percentages and status; files without symbols have zeros."""
+    counts = files.select(by).join(coverage_counts(symbols, depths, key, by), by, "left").na.fill(0, ["total_symbols", "seen_count", "full_count"])
+    total, seen, full = F.col("total_symbols"), F.col("seen_count"), F.col("full_count")
+    return counts.withColumn("seen_percent", percent(seen, total)).withColumn("full_percent", percent(full, total)).withColumn("status", file_status(total, seen, full))
+
+
+def report_order(report: DataFrame, by: str = "file_path") -> DataFrame:
+    """Least read files first, then in path order."""
+    return report.orderBy("full_percent", path_parts(F.col(by)))
+
+
+def report_totals(report: DataFrame) -> DataFrame:
+    sums = report.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total_symbols", "seen_count", "full_count")))
+    return sums.withColumn("seen_percent", percent(F.col("seen_count"), F.col("total_symbols"))).withColumn("full_percent", percent(F.col("full_count"), F.col("total_symbols")))
+
+
+def snapshots(events: DataFrame, is_reset: Column, partition: list[str], order: list[str], file_col: str, depth_col: str) -> DataFrame:
+    """State before each reset: calls, files touched, distinct keys seen since the reset before it."""
+    calls = events.where(~is_reset).groupBy(*partition, "epoch").agg(
+        F.count("*").alias("tool_calls_before"), F.array_sort(F.collect_set(file_col)).alias("files_before"),
+        F.count_distinct(F.when(F.col(depth_col) > UNSEEN, F.col(file_col))).alias("seen_before"),
+    )
+    ends = events.where(is_reset).select(*partition, "epoch", *order)
+    out = ends.join(calls, [*partition, "epoch"], "left")
+    return out.withColumn("tool_calls_before", F.coalesce("tool_calls_before", F.lit(0))).withColumn("files_before", F.coalesce("files_before", F.array().cast("array<string>"))).withColumn("seen_before", F.coalesce("seen_before", F.lit(0)))
+
+
+def pair_metadata(rows: DataFrame, is_boundary: Column, is_summary: Column, value: Column, partition: list[str], order: list[str]) -> DataFrame:
+    """Summaries with the metadata of the last boundary since the summary before; each is used once."""
+    w = W.partitionBy(*partition).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    segment = F.coalesce(F.sum(is_summary.cast("long")).over(w), F.lit(0))
+    seg = W.partitionBy(*partition, "_segment").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    return rows.withColumn("_segment", segment).withColumn("metadata", F.last(F.when(is_boundary, value), ignorenulls=True).over(seg)).where(is_summary).drop("_segment")
+
+
+# --- views --------------------------------------------------------------------------------------------
+
+
+def ring_buffer(rows: DataFrame, partition: list[str], order: list[Column], limit: int = 200, drop: int = 100) -> DataFrame:
+    """What an append-only buffer still holds that drops its first ``drop`` rows when it exceeds ``limit``."""
+    n = F.col("_n")
+    kept = F.when(n <= limit, n).otherwise((limit - drop + 1) + (n - limit - 1) % drop)
+    at = F.row_number().over(W.partitionBy(*partition).orderBy(*order))
+    counted = rows.withColumn("_n", F.count("*").over(W.partitionBy(*partition))).withColumn("_at", at)
+    return counted.where(F.col("_at") > n - kept).drop("_n", "_at")
+
+
+def first_seen(events: DataFrame, agent: str, order: Column) -> DataFrame:
+    """Agents with the order of their first event."""
+    return events.groupBy(agent).agg(F.min(order).alias("first_ord"))
+
+
+def resolve_agent(agents: DataFrame, prefix: str, agent: str = "agent_id", order: str = "first_ord") -> DataFrame:
+    """The first-seen agent whose id starts with ``prefix``, and how many do."""
+    found = agents.where(F.startswith(F.col(agent), F.lit(prefix)))
+    return found.agg(F.min_by(agent, order).alias("resolved"), F.count("*").alias("candidates"))
+
+
+def agent_tree(agents: DataFrame, agent: str = "agent_id", order: str = "first_ord") -> DataFrame:
+    """(agent, parent, depth): ids with ``agent-`` hang below the first parentless agent seen before them."""
+    child = F.startswith(F.col(agent), F.lit("agent-"))
+    # Agents of one session only: the list is as short as the session has agents.
+    root = F.first(F.when(~child, F.col(agent)), ignorenulls=True).over(W.partitionBy("session_id").orderBy(order).rowsBetween(W.unboundedPreceding, -1))
+    return agents.withColumn("parent_id", F.when(child, root)).withColumn("depth", F.when(F.col("parent_id").isNull(), 0).otherwise(1))
+
+
+def merged_feed(calls: DataFrame, compactions: DataFrame, agent: str | None = None) -> DataFrame:
+    """Tool calls (of one agent if given) and all compactions, stable by time stamp text."""
+    a = calls.where(F.col("agent_id") == agent) if agent else calls
+    both = a.withColumn("src", F.lit(0)).unionByName(compactions.withColumn("src", F.lit(1)), allowMissingColumns=True)
+    return both.orderBy("ts", "src", "ord")
+
+
+def files_after(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys of ``after`` that ``before`` lacks."""
+    return after.select(*keys).distinct().join(before.select(*keys).distinct(), keys, "left_anti")
+
+
+def search(rows: DataFrame, name: str, pos: str, query: str, cursor: int) -> DataFrame:
+    """The next row after ``cursor`` whose name holds ``query``, whatever the case, wrapping around."""
+    hit = rows.where(F.contains(F.lower(F.col(name)), F.lit(query.lower())))
+    return hit.orderBy(F.col(pos) <= cursor, pos).limit(1)
+
+
+def visible_rows(symbols: DataFrame, collapsed: DataFrame) -> DataFrame:
+    """Symbols none of whose ancestors is collapsed, in file and tree order."""
+    c = collapsed.select(F.col("file_path").alias("c_file"), F.col("ord").alias("c_ord"), F.col("subtree_end").alias("c_end"))
+    hidden = (F.col("file_path") == F.col("c_file")) & (F.col("ord") > F.col("c_ord")) & (F.col("ord") <= F.col("c_end"))
+    return symbols.join(c, hidden, "left_anti").orderBy(path_parts(F.col("file_path")), "ord")

@@ -224,7 +224,7 @@ def test_label_model_weakens_repeated_voters():
 def test_scores_of_empty_texts(spark):
     from sightline.llm import quality_crf, toxicity
 
-    tox = toxicity.fit([("you idiot", 1), ("a fine day", 0)] * 200)
+    tox = toxicity.fit([("you idiot", 1), ("a fine day", 0)] * 200, prior=0.15)
     good = quality_crf.fit([("A line of text here.", 1), ("BUY!! NOW!! BUY!! NOW!!", 0)] * 20)
     docs = odd(spark, EDGES)
     for rows in (toxicity.score_documents(docs, tox).collect(), quality_crf.score_documents(docs, good).collect()):

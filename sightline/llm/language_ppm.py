@@ -18,7 +18,7 @@ give their own row; other columns of the input are not read.
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -164,52 +164,45 @@ class PPMModel:
         return out
 
 
-def context_counts(texts: list[bytes], order: int) -> list[dict[bytes, dict[int, int]]]:
-    """By context length: context -> byte -> count."""
-    trees: list[dict[bytes, dict[int, int]]] = []
-    for k in range(order + 1):
-        strings: Counter[bytes] = Counter()
-        for raw in texts:
-            strings.update(raw[i : i + k + 1] for i in range(len(raw) - k))
-        tree: dict[bytes, dict[int, int]] = defaultdict(dict)
-        for string, n in strings.items():
-            tree[string[:-1]][string[-1]] = n
-        trees.append(tree)
-    return trees
+def _strings(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct strings of k+1 bytes within the texts, as numbers, and their counts."""
+    parts = []
+    for raw in texts:
+        data = np.frombuffer(raw, np.uint8).astype(np.uint64)
+        if len(data) > k:
+            code = np.zeros(len(data) - k, np.uint64)
+            for i in range(k + 1):
+                code = (code << np.uint64(8)) | data[i : len(data) - k + i]
+            parts.append(code)
+    return np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
 
 def build_model(samples: dict[str, list[bytes]], order: int = ORDER) -> PPMModel:
-    """Count the trees of every language and tabulate code lengths and escapes."""
+    """Count the trees of every language and tabulate code lengths and escapes, context length by length."""
     languages = sorted(samples)
-    trees = [context_counts(samples[x], order) for x in languages]
-    n_lang = len(languages)
-    strings, escapes = [], []
-    lower: dict[bytes, np.ndarray] = {}
+    tables, escapes = [], []
+    below, below_rows = None, None
     for k in range(order + 1):
-        esc: dict[bytes, np.ndarray] = {}
-        found: dict[bytes, np.ndarray] = {}
-        for j, tree in enumerate(trees):
-            for ctx, seen in tree[k].items():
-                q, n = len(seen), sum(seen.values())
-                esc.setdefault(ctx, np.zeros(n_lang, np.float32))[j] = np.log2((n + q) / q)
-        for j, tree in enumerate(trees):
-            for ctx, seen in tree[k].items():
-                for s in seen:
-                    found.setdefault(ctx + bytes([s]), None)
-        zero = np.zeros(n_lang, np.float32)
-        for string in found:
-            ctx = string[:-1]
-            row = esc[ctx] + (lower[string[1:]] if k else np.float32(8))
-            for j, tree in enumerate(trees):
-                seen = tree[k].get(ctx)
-                if seen and (c := seen.get(string[-1])):
-                    row[j] = np.log2((sum(seen.values()) + len(seen)) / c)
-            found[string] = row
-        pack = lambda d: (np.array([int.from_bytes(x, "big") for x in d], np.uint64), np.array(list(d.values()), np.float32).reshape(len(d), n_lang))
-        strings.append(_Table(*pack(found)))
-        escapes.append(_Table(*pack(esc or {b"": zero})))
-        lower = found
-    return PPMModel(languages, order, strings, escapes)
+        counted = [_strings(samples[x], k) for x in languages]
+        every = np.unique(np.concatenate([np.zeros(0, np.uint64), *(s for s, _ in counted)]))
+        contexts = np.unique(every >> np.uint64(8)) if k else np.zeros(1, np.uint64)
+        of = np.searchsorted(contexts, every >> np.uint64(8)) if k else np.zeros(len(every), np.int64)
+        # A string's suffix was counted wherever the string was, so it is among the shorter strings.
+        suffix = every & np.uint64((1 << 8 * k) - 1)
+        lower = below_rows[np.searchsorted(below, suffix)] if k else np.full((len(every), len(languages)), 8, np.float32)
+        rows, esc = np.empty((len(every), len(languages)), np.float32), np.zeros((len(contexts), len(languages)), np.float32)
+        for j, (strings, n) in enumerate(counted):
+            at = np.searchsorted(every, strings)
+            total = np.bincount(of[at], weights=n, minlength=len(contexts))
+            kinds = np.bincount(of[at], minlength=len(contexts))
+            seen = kinds > 0
+            esc[seen, j] = np.log2((total[seen] + kinds[seen]) / kinds[seen])
+            rows[:, j] = lower[:, j] + esc[of, j]
+            rows[at, j] = np.log2((total + kinds)[of[at]] / n)
+        tables.append(_Table(every, rows))
+        escapes.append(_Table(contexts, esc))
+        below, below_rows = every, rows
+    return PPMModel(languages, order, tables, escapes)
 
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",

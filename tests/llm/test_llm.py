@@ -161,7 +161,16 @@ def test_warc_records_link_and_round_trip(spark):
 
 
 def test_ppm_tables_equal_walking_the_trees():
-    from sightline.llm.language_ppm import build_model, context_counts, identify
+    from sightline.llm.language_ppm import build_model, identify
+
+    def context_counts(texts, order):
+        trees = [{} for _ in range(order + 1)]
+        for raw in texts:
+            for k in range(order + 1):
+                for i in range(k, len(raw)):
+                    seen = trees[k].setdefault(raw[i - k : i], {})
+                    seen[raw[i]] = seen.get(raw[i], 0) + 1
+        return trees
 
     samples = {"a": [b"the cat sat on the mat and the hat"], "b": [b"der hund und die katze und der hut", b"das"]}
     model = build_model(samples, 3)

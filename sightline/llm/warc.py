@@ -28,6 +28,9 @@ ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'
 HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<noscript\b.*?</noscript\s*>"
 BLOCK = r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|option|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>"
 TAG = r"</?[a-zA-Z!][^>]*>"
+#: White space that is not already one space; single spaces are most of it and need no work.
+SPACE_RUN = r"[\t\n\f\r ]{2,}|[\t\n\f\r]"
+BLANK_RUN = "[ \t]{2,}|\t"
 DATE = "2024-01-01T00:00:00Z"
 HTTP_HEADERS = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 
@@ -53,25 +56,30 @@ def responses_from_pages(pages: DataFrame, id_col: str = "page_id", url_col: str
     )
 
 
-def plain_text(html: Column) -> Column:
-    """The text of the conversion record."""
+def bare_text(html: Column) -> Column:
+    """A page without markup, named character references decoded."""
     t = F.regexp_replace(F.coalesce(html, F.lit("")), HIDDEN, "")
-    t = F.regexp_replace(F.regexp_replace(t, r"\s+", " "), BLOCK, "\n")
+    t = F.regexp_replace(F.regexp_replace(t, SPACE_RUN, " "), BLOCK, "\n")
     t = F.regexp_replace(t, TAG, "")
     for name, char in ENTITIES.items():
         t = F.replace(t, F.lit(name), F.lit(char))
+    return t
+
+
+def plain_text(t: Column) -> Column:
+    """The conversion's text from ``bare_text``, which must be a column of its own: it is read twice here."""
     numbers = F.array_distinct(F.regexp_extract_all(t, F.lit("&#([0-9]{2,5});"), F.lit(1)))
     point = lambda n: F.decode(F.unhex(F.lpad(F.hex(n.cast("int")), 8, "0")), "UTF-32")
     t = F.aggregate(numbers, t, lambda acc, n: F.replace(acc, F.concat(F.lit("&#"), n, F.lit(";")), point(n)))
     t = F.replace(t, F.lit("&amp;"), F.lit("&"))
-    t = F.regexp_replace(F.regexp_replace(t, "[ \t]+", " "), " ?\n[ \n]*", "\n")
-    return F.regexp_replace(t, "^[ \n]+|[ \n]+$", "")
+    t = F.regexp_replace(F.regexp_replace(t, BLANK_RUN, " "), " ?\n[ \n]*", "\n")
+    return F.trim(t, F.lit(" \n"))
 
 
 def derivatives(responses: DataFrame) -> DataFrame:
     """Metadata and conversion records of ``responses``, two rows each, with their blocks."""
     r = responses.select("record_id", "target_uri", "warc_date", "http_headers", "content_type", F.coalesce("payload", F.lit("")).alias("payload"), "payload_digest")
-    r = r.withColumn("text", plain_text(F.col("payload")))
+    r = r.withColumn("bare", bare_text(F.col("payload"))).withColumn("text", plain_text(F.col("bare")))
     title = F.regexp_replace(F.regexp_extract("payload", r"(?is)<title[^>]*>([^<]*)</title", 1), r"\s+", " ")
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     fields = F.concat(
@@ -155,11 +163,11 @@ def _sql() -> str:
     return rf"""
 WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, {_sql_urn("'response:' || coalesce(page_id::VARCHAR, '') || '|' || coalesce(url, '')")} AS rid,
                   'sha256:' || sha256(coalesce(html, '')) AS pd FROM pages),
-a AS (SELECT *, regexp_replace(regexp_replace(html, {_q(HIDDEN)}, '', 'g'), '\s+', ' ', 'g') AS t1, regexp_replace(regexp_extract(html, '(?is)<title[^>]*>([^<]*)</title', 1), '\s+', ' ', 'g') AS title FROM p),
+a AS (SELECT *, regexp_replace(regexp_replace(html, {_q(HIDDEN)}, '', 'g'), {_q(SPACE_RUN)}, ' ', 'g') AS t1, regexp_replace(regexp_extract(html, '(?is)<title[^>]*>([^<]*)</title', 1), '\s+', ' ', 'g') AS title FROM p),
 b AS (SELECT *, regexp_replace(regexp_replace(t1, {_q(BLOCK)}, chr(10), 'g'), {_q(TAG)}, '', 'g') AS t3 FROM a),
 c AS (SELECT *, {decoded} AS t4 FROM b),
 e AS (SELECT *, replace(list_reduce(list_distinct(regexp_extract_all(t4, '&#([0-9]{{2,5}});', 1)), lambda acc, n: replace(acc, '&#' || n || ';', chr(n::INT)), t4), '&amp;', '&') AS t5 FROM c),
-f AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(t5, '[ \t]+', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), '^[ \n]+|[ \n]+$', '', 'g') AS txt FROM e),
+f AS (SELECT *, trim(regexp_replace(regexp_replace(t5, '[ \t]{{2,}}|\t', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), ' ' || chr(10)) AS txt FROM e),
 m AS (SELECT *, 'metadata' AS warc_type, 'application/warc-fields' AS content_type, {meta} AS block FROM f
       UNION ALL SELECT *, 'conversion', 'text/plain; charset=utf-8', txt FROM f)
 SELECT warc_type, {_sql_urn("warc_type || ':' || rid")} AS record_id, rid AS refers_to, url AS target_uri, '{DATE}' AS warc_date, content_type,

@@ -1,0 +1,47 @@
+"""Session logs and tool mapping."""
+
+import json
+
+import pytest
+
+from sightline import sources as S
+from sightline.plans import toolmap as M
+
+
+def call(name, **inputs):
+    return {"type": "assistant", "sessionId": "s1", "timestamp": "t", "message": {"content": [{"type": "text"}, {"type": "tool_use", "name": name, "input": inputs}]}}
+
+
+def test_events_of_a_session(spark, tmp_path):
+    sid = "01234567-89ab-cdef-0123-456789abcdef"
+    records = [
+        call("Read", file_path="/p/src/a.rs", offset=10, limit=15), call("Bash", command="cat x"), call("Read", file_path=5), call("Odd"),
+        call("mcp__serena__find_symbol", relative_path="b.rs", name_path_pattern="Foo/x", include_body=True), call("mcp__serena__find_symbol", relative_path="b.rs", name_path_pattern="F", include_body="true"),
+        {"type": "system", "subtype": "compact_boundary", "compactMetadata": {"trigger": "manual", "preTokens": 9}},
+        {"type": "user", "isCompactSummary": True, "timestamp": "t2", "message": {"content": "Sum " + S.CLEAR}},
+        {"type": "user", "message": {"content": S.CLEAR}}, {"type": "user", "message": {"content": "hello"}},
+    ]
+    (tmp_path / f"{sid}.jsonl").write_text("\n".join(map(json.dumps, records)) + '\n{"broken":\n')
+    (tmp_path / "agent-1.jsonl").write_text(json.dumps({**call("Grep", pattern="q", path="src"), "sessionId": sid, "agentId": "agent-1"}) + "\n")
+    (tmp_path / "agent-acompact-1.jsonl").write_text("{}")
+    assert S.latest_session(str(tmp_path)) == sid
+    files = S.session_files(str(tmp_path), sid)
+    assert [f.rsplit("/", 1)[1] for f in files] == ["agent-1.jsonl", f"{sid}.jsonl"]
+    rows = S.events(spark, files, "/p", sid).orderBy("file_rank", "line_no", "block_pos").collect()
+    got = [(r.kind, r.file_path, r.read_depth, r.description) for r in rows]
+    assert got == [
+        ("tool_call", "src", 2, 'Search "q"'), ("tool_call", "src/a.rs", 4, "Read src/a.rs"), ("tool_call", None, 4, "Bash cat x"), ("tool_call", None, 0, "Read (untracked)"), ("tool_call", None, 0, "Odd (untracked)"),
+        ("tool_call", "b.rs", 4, "Symbol Foo/x"), ("tool_call", "b.rs", 3, "Symbol F"), ("boundary", None, None, None), ("compacted", None, None, None), ("cleared", None, None, None),
+    ]
+    assert (rows[1].target_start, rows[1].target_end, rows[1].agent_id, rows[0].agent_id) == (10, 25, "s1", "agent-1")
+    assert rows[7].meta.pre_tokens == 9 and rows[7].meta.post_tokens == 0 and rows[5].target_symbol == "Foo/x"
+
+
+def test_mapping_merge():
+    user = M.load('version = 1\n[[tool]]\nnames = ["Read", "Mine"]\nextends = "Read"\ndescription = "R"\n[[tool]]\nnames = ["Mine"]\npath_keys = ["p"]\ndescription = "M"\n')
+    merged, warnings = M.merge(M.DEFAULTS, user)
+    first = next(s for s in merged if "Read" in s.names)
+    assert first.path_keys == ("file_path", "relative_path") and first.line_keys == ("offset", "limit") and first.description == "R"
+    assert warnings == ["duplicate tool name Mine"] and not any("mcp__acp__Read" in s.names for s in merged)
+    with pytest.raises(ValueError):
+        M.load("version = 2")

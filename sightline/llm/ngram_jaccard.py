@@ -199,7 +199,7 @@ def document_components(found: JaccardJoin) -> DataFrame:
     return linked.unionByName(empty)
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, p: int = 9, q: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, p: int = 4, q: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the documents whose component has a smaller id: one of each group stays.
 
     Rows of a null id, and rows without words, stay.

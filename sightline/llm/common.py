@@ -30,14 +30,33 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{made}"
 
 
+#: Removes a query's shuffle files when the query ends, not when the driver collects its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it again.
 
-    This cuts the lineage: a lost executor costs a re-read, not a recomputation.
+    This cuts the lineage: a lost executor costs a re-read, not a recomputation. The shuffle files of
+    the query are no longer needed then, and go.
     """
-    path = f"{shared_dir(df.sparkSession)}/sightline-tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/sightline-tables/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before else spark.conf.unset(_CLEANUP)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def release(table: DataFrame) -> None:
+    """Delete a table that ``stored`` has written and that no later query reads."""
+    jvm = table.sparkSession._jvm
+    for path in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def crc_mod(doc_id: Column, modulus: int) -> Column:

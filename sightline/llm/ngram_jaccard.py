@@ -5,11 +5,12 @@ block (see ``parity_sketch``) are candidates; a candidate pair is a link if its
 similarity reaches p/q. The operators return classes, their links' components, and pairs of classes.
 
 No pair of rows of one bucket is written out. A bucket first tests its least class against each other
-member (a star). Components of those links make most members of a group of near copies one. In buckets
-that still hold several components the rest is compared tile against tile: members and their bit
-sketches meet in tasks of bounded size, and only pairs of different components whose sketch distance
-the bound allows leave the task, to be verified. So every pair that can be a link and that could
-still change a component is verified, whatever the size of its bucket.
+member (a star): pairs that sizes and bit sketches rule out are never verified, the rest in two rounds,
+of which the second takes only pairs still apart. Components of those links make most members of a group
+of near copies one. In buckets that still hold several components the rest is compared tile against
+tile: members and their bit sketches meet in tasks of bounded size, and only pairs of different
+components whose sketch distance the bound allows leave the task, to be verified. So every pair that
+can be a link and that could still change a component is verified, whatever the size of its bucket.
 
 Set ids, shingles and keys are 64-bit hashes: two different sets share an id with probability 2^-64.
 
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored, words_of
+from .common import release, slices, stored, words_of
 from .components import components
 from .parity_sketch import bands, mix, set_id, shingle_set
 
@@ -50,21 +51,24 @@ class JaccardJoin:
 
 
 def signatures(docs: DataFrame, width: int, p: int, q: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n, node, keys, sketch): size, set id (null if empty), band keys and bit sketch of each document."""
+    """(doc_id, n, node, keys, sketch): size, set id (null if empty), band keys and bit sketch of each document.
+
+    A task gives keys and sketch for the first document of a class alone.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        how = bands(p, q)
+        how, known, none = bands(p, q), set(), np.zeros(0, np.int64)
         for part in slices(batches):
-            n, node, keys, sketch, memo = [], [], [], [], {}
+            n, node, keys, sketch = [], [], [], []
             for text in part.column(1).to_pylist():
                 s = shingle_set(words_of(text), width)
                 n.append(len(s))
                 i = set_id(s) if len(s) else None
-                if i not in memo:
-                    memo[i] = (how.keys(s).view(np.int64), _sketch(s))
                 node.append(i)
-                keys.append(memo[i][0])
-                sketch.append(memo[i][1])
+                new = i is not None and i not in known
+                keys.append(how.keys(s).view(np.int64) if new else none)
+                sketch.append(_sketch(s) if new else None)
+                known.add(i)
             offsets = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             flat = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), flat, pa.array(sketch, pa.binary())], names=["doc_id", "n", "node", "keys", "sketch"])
@@ -161,31 +165,68 @@ def _tile_pairs(members: DataFrame, p: int, q: int) -> DataFrame:
     return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").distinct()
 
 
+def _within_bound(pairs: DataFrame, facts: DataFrame, p: int, q: int) -> DataFrame:
+    """Pairs (a, b) whose sizes and bit sketches do not rule out a similarity of p/q."""
+    left, right = (facts.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")) for x in ("a", "b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            x, y = part.column(2).to_numpy(), part.column(4).to_numpy()
+            sx, sy = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint64).reshape(part.num_rows, -1) for c in (3, 5))
+            near = np.bitwise_count(sx ^ sy).sum(1, dtype=np.int64) <= (x + y) * (q - p) // (q + p)
+            near &= np.minimum(x, y) * q >= np.maximum(x, y) * p
+            yield part.select([0, 1]).filter(pa.array(near))
+
+    met = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "sketch_a", "n_b", "sketch_b")
+    return met.mapInArrow(run, "a long, b long")
+
+
+def _extended(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """Component labels once more links are known."""
+    return stored(components(labels.select(F.col("label").alias("a"), F.col("node").alias("b")).unionByName(links)), "labels")
+
+
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components."""
+    for x in ("a", "b"):
+        pairs = pairs.join(labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}")), x, "left")
+    return pairs.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
+
+
 def join(docs: DataFrame, width: int = 3, p: int = 9, q: int = 10, id_col: str = "doc_id", text_col: str = "text") -> JaccardJoin:
     """All links that matter to the components of ``docs`` at Jaccard similarity of at least p/q."""
-    every = stored(signatures(docs, width, p, q, id_col, text_col), "signatures")
-    live = every.where("node is not null")
-    first_ids = live.where("doc_id is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"))
-    # Copies have equal keys and node: they are combined before the shuffle, here and in the next line.
+    signed = stored(signatures(docs, width, p, q, id_col, text_col), "signatures")
+    every = stored(signed.select("doc_id", "n", "node"), "documents")
+    live = signed.where("node is not null")
+    facts = stored(live.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("sketch", True).alias("sketch")), "classes")
+    first_ids = facts.select("node", "first_id").where("first_id is not null")
+    # Copies have equal keys and node: a task emits the keys of a class once, and the rest is combined
+    # before the shuffle. Keys of one class alone, most of them, end in the first of two queries.
     keyed = live.select(F.explode("keys").alias("key"), "node")
-    shared = keyed.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("tail")).where("head < tail").select("key", "head")
+    shared = stored(keyed.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("tail")).where("head < tail").select("key", "head"), "shared")
     members = stored(keyed.join(shared, "key").distinct(), "members")
-    star = stored(members.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "star")
-    links = stored(verified(star, docs, first_ids, width, p, q, id_col, text_col), "star-links")
+    release(signed)
+    star = stored(_within_bound(members.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), facts, p, q), "star")
+
+    # First one head for each class, then the heads that are still in other components.
+    first = star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = stored(verified(first, docs, first_ids, width, p, q, id_col, text_col), "star-links")
     labels = stored(components(links), "labels")
+    second = stored(_apart(star.join(first, ["a", "b"], "left_anti"), labels), "star-rest")
+    if second.limit(1).count():
+        found = stored(verified(second, docs, first_ids, width, p, q, id_col, text_col), "star-rest-links")
+        links, labels = links.unionByName(found), _extended(labels, found)
 
     # What the stars leave: buckets of several components, the pairs of which are not all tested.
     label = labels.select("node", "label")
     marked = members.join(label, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     open_keys = marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo < hi and size > 2").select("key", "size")
-    facts = live.groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     rest = marked.join(open_keys, "key").join(facts, "node").select("key", "node", "label", "n", "sketch", "size")
     more = stored(_tile_pairs(rest, p, q).join(star, ["a", "b"], "left_anti"), "rest")
     if more.limit(1).count():
         found = stored(verified(more, docs, first_ids, width, p, q, id_col, text_col), "rest-links")
-        links = links.unionByName(found)
-        labels = stored(components(labels.select(F.col("label").alias("a"), F.col("node").alias("b")).unionByName(found)), "labels")
-    return JaccardJoin(every.select("doc_id", "n", "node"), links, labels)
+        links, labels = links.unionByName(found), _extended(labels, found)
+    return JaccardJoin(every, links, labels)
 
 
 def document_components(found: JaccardJoin) -> DataFrame:

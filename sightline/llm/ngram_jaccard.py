@@ -35,7 +35,7 @@ from .common import release, slices, stored, words_of
 from .components import components
 from .parity_sketch import bands, mix, set_id, shingle_set
 
-#: Words of the sketch that the tiles compare, 64 bits each.
+#: Words of a sketch, 64 bits each. Tiles compare sketches folded to half of them, pairs the whole.
 SKETCH_WORDS = 16
 #: Members of a tile.
 TILE = 512
@@ -51,15 +51,15 @@ class JaccardJoin:
 
 
 def signatures(docs: DataFrame, width: int, p: int, q: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n, node, keys, sketch): size, set id (null if empty), band keys and bit sketch of each document.
+    """(doc_id, n, node, keys, sketch, fold): size, set id (null if empty), band keys and bit sketches of each document.
 
-    A task gives keys and sketch for the first document of a class alone.
+    A task gives keys and sketches for the first document of a class alone.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         how, known, none = bands(p, q), set(), np.zeros(0, np.int64)
         for part in slices(batches):
-            n, node, keys, sketch = [], [], [], []
+            n, node, keys, sketch, fold = [], [], [], [], []
             for text in part.column(1).to_pylist():
                 s = shingle_set(words_of(text), width)
                 n.append(len(s))
@@ -68,12 +68,13 @@ def signatures(docs: DataFrame, width: int, p: int, q: int, id_col: str = "doc_i
                 new = i is not None and i not in known
                 keys.append(how.keys(s).view(np.int64) if new else none)
                 sketch.append(_sketch(s) if new else None)
+                fold.append(_folded(sketch[-1]) if new else None)
                 known.add(i)
             offsets = np.cumsum([0, *map(len, keys)]).astype(np.int32)
             flat = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), flat, pa.array(sketch, pa.binary())], names=["doc_id", "n", "node", "keys", "sketch"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), flat, pa.array(sketch, pa.binary()), pa.array(fold, pa.binary())], names=["doc_id", "n", "node", "keys", "sketch", "fold"])
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "doc_id long, n long, node long, keys array<long>, sketch binary")
+    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "doc_id long, n long, node long, keys array<long>, sketch binary, fold binary")
 
 
 def _sketch(hashes: np.ndarray) -> bytes | None:
@@ -84,6 +85,12 @@ def _sketch(hashes: np.ndarray) -> bytes | None:
     return np.packbits((np.bincount(at.astype(np.int64), minlength=SKETCH_WORDS * 64) & 1).astype(np.uint8)).tobytes()
 
 
+def _folded(sketch: bytes) -> bytes:
+    """The parity sketch of half as many bits: exclusive or of both halves, so distances never grow."""
+    half = len(sketch) // 2
+    return (np.frombuffer(sketch, np.uint8, half) ^ np.frombuffer(sketch, np.uint8, half, half)).tobytes()
+
+
 def verified(pairs: DataFrame, docs: DataFrame, first_ids: DataFrame, width: int, p: int, q: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Those of ``pairs`` (a, b) whose exact similarity reaches p/q.
 
@@ -198,7 +205,7 @@ def join(docs: DataFrame, width: int = 3, p: int = 9, q: int = 10, id_col: str =
     signed = stored(signatures(docs, width, p, q, id_col, text_col), "signatures")
     every = stored(signed.select("doc_id", "n", "node"), "documents")
     live = signed.where("node is not null")
-    facts = stored(live.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("sketch", True).alias("sketch")), "classes")
+    facts = stored(live.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("sketch", True).alias("sketch"), F.first("fold", True).alias("fold")), "classes")
     first_ids = facts.select("node", "first_id").where("first_id is not null")
     # Copies have equal keys and node: a task emits the keys of a class once, and the rest is combined
     # before the shuffle. Keys of one class alone, most of them, end in the first of two queries.
@@ -221,8 +228,8 @@ def join(docs: DataFrame, width: int = 3, p: int = 9, q: int = 10, id_col: str =
     label = labels.select("node", "label")
     marked = members.join(label, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     open_keys = marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo < hi and size > 2").select("key", "size")
-    rest = marked.join(open_keys, "key").join(facts, "node").select("key", "node", "label", "n", "sketch", "size")
-    more = stored(_tile_pairs(rest, p, q).join(star, ["a", "b"], "left_anti"), "rest")
+    rest = marked.join(open_keys, "key").join(facts, "node").select("key", "node", "label", "n", F.col("fold").alias("sketch"), "size")
+    more = stored(_within_bound(_tile_pairs(rest, p, q).join(star, ["a", "b"], "left_anti"), facts, p, q), "rest")
     if more.limit(1).count():
         found = stored(verified(more, docs, first_ids, width, p, q, id_col, text_col), "rest-links")
         links, labels = links.unionByName(found), _extended(labels, found)

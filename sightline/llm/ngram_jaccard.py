@@ -39,6 +39,8 @@ from .parity_sketch import bands, mix, set_id, shingle_set
 SKETCH_WORDS = 16
 #: Members of a tile.
 TILE = 512
+#: Pairs of key and class that a task packs at a time.
+PACK_KEYS = 1 << 20
 
 
 @dataclass
@@ -51,30 +53,101 @@ class JaccardJoin:
 
 
 def signatures(docs: DataFrame, width: int, p: int, q: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n, node, keys, sketch, fold): size, set id (null if empty), band keys and bit sketches of each document.
+    """(doc_id, n, node, sketch, fold): size, set id (null if empty) and bit sketches of each document.
 
-    A task gives keys and sketches for the first document of a class alone.
+    A task gives sketches for the first document of a class alone.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        how, known, none = bands(p, q), set(), np.zeros(0, np.int64)
+        known = set()
         for part in slices(batches):
-            n, node, keys, sketch, fold = [], [], [], [], []
+            n, node, sketch, fold = [], [], [], []
             for text in part.column(1).to_pylist():
                 s = shingle_set(words_of(text), width)
                 n.append(len(s))
                 i = set_id(s) if len(s) else None
                 node.append(i)
                 new = i is not None and i not in known
-                keys.append(how.keys(s).view(np.int64) if new else none)
                 sketch.append(_sketch(s) if new else None)
                 fold.append(_folded(sketch[-1]) if new else None)
                 known.add(i)
-            offsets = np.cumsum([0, *map(len, keys)]).astype(np.int32)
-            flat = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), flat, pa.array(sketch, pa.binary()), pa.array(fold, pa.binary())], names=["doc_id", "n", "node", "keys", "sketch", "fold"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sketch, pa.binary()), pa.array(fold, pa.binary())], names=["doc_id", "n", "node", "sketch", "fold"])
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "doc_id long, n long, node long, keys array<long>, sketch binary, fold binary")
+    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "doc_id long, n long, node long, sketch binary, fold binary")
+
+
+def _packed_keys(docs: DataFrame, width: int, p: int, q: int, buckets: int, text_col: str = "text") -> DataFrame:
+    """(bucket, keys, nodes): band keys with the set ids they stand for, packed by key range.
+
+    A task packs up to PACK_KEYS pairs at a time, and gives the keys of a class once. Packed, a pair
+    is 16 bytes in the shuffle; as a row of its own it would be about 24.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        how, known, keys, nodes, held = bands(p, q), set(), [], [], 0
+
+        def pack() -> pa.RecordBatch:
+            k, v = np.concatenate(keys), np.repeat(np.array([x for x, _ in nodes], np.int64), [c for _, c in nodes])
+            at = (((k.view(np.uint64) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int32)
+            order = np.argsort(at, kind="stable")
+            at, k, v = at[order], k[order], v[order]
+            first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+            cuts = pa.array(np.append(first, len(at)).astype(np.int32))
+            return pa.RecordBatch.from_arrays([pa.array(at[first]), pa.ListArray.from_arrays(cuts, pa.array(k)), pa.ListArray.from_arrays(cuts, pa.array(v))], names=["bucket", "keys", "nodes"])
+
+        for part in slices(batches):
+            for text in part.column(0).to_pylist():
+                s = shingle_set(words_of(text), width)
+                i = set_id(s) if len(s) else None
+                if i is None or i in known:
+                    continue
+                known.add(i)
+                mine = how.keys(s).view(np.int64)
+                if len(mine):
+                    keys.append(mine)
+                    nodes.append((i, len(mine)))
+                    held += len(mine)
+                if held >= PACK_KEYS:
+                    yield pack()
+                    keys, nodes, held = [], [], 0
+        if held:
+            yield pack()
+
+    return docs.select(text_col).mapInArrow(run, "bucket int, keys array<long>, nodes array<long>")
+
+
+def _members(packed: DataFrame) -> DataFrame:
+    """(key, node, head): the classes of each key that several classes share, and the least of them.
+
+    One shuffle by key range; a task then sorts its pairs (spilling if need be) and streams them, so
+    it holds one batch whatever the size of a key's group.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = None  # the open run: key, head, last node, its members so far
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            k, v = (batch.column(c).to_numpy() for c in (0, 1))
+            if before:
+                k, v = np.append(before[0], k), np.append(before[2], v)
+            new = np.concatenate([[True], (k[1:] != k[:-1]) | (v[1:] != v[:-1])])
+            k, v = k[new], v[new]
+            first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+            length = np.diff(np.append(first, len(k)))
+            size, head = length.copy(), v[first]
+            if before:
+                size[0] += before[3] - 1
+                head[0] = before[1]
+            give = np.repeat(size > 1, length)
+            if before and before[3] > 1:
+                give[0] = False  # given with the batch before
+            heads = np.repeat(head, length)
+            before = (k[-1], heads[-1], v[-1], int(size[-1]))
+            yield pa.RecordBatch.from_arrays([pa.array(k[give]), pa.array(v[give]), pa.array(heads[give])], names=["key", "node", "head"])
+
+    pairs = packed.repartition("bucket").select(F.inline(F.arrays_zip("keys", "nodes")).alias("key", "node"))
+    return pairs.sortWithinPartitions("key", "node").mapInArrow(run, "key long, node long, head long")
 
 
 def _sketch(hashes: np.ndarray) -> bytes | None:
@@ -204,15 +277,12 @@ def join(docs: DataFrame, width: int = 3, p: int = 9, q: int = 10, id_col: str =
     """All links that matter to the components of ``docs`` at Jaccard similarity of at least p/q."""
     signed = stored(signatures(docs, width, p, q, id_col, text_col), "signatures")
     every = stored(signed.select("doc_id", "n", "node"), "documents")
-    live = signed.where("node is not null")
-    facts = stored(live.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("sketch", True).alias("sketch"), F.first("fold", True).alias("fold")), "classes")
+    facts = stored(signed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("sketch", True).alias("sketch"), F.first("fold", True).alias("fold")), "classes")
     first_ids = facts.select("node", "first_id").where("first_id is not null")
-    # Copies have equal keys and node: a task emits the keys of a class once, and the rest is combined
-    # before the shuffle. Keys of one class alone, most of them, end in the first of two queries.
-    keyed = live.select(F.explode("keys").alias("key"), "node")
-    shared = stored(keyed.groupBy("key").agg(F.min("node").alias("head"), F.max("node").alias("tail")).where("head < tail").select("key", "head"), "shared")
-    members = stored(keyed.join(shared, "key").distinct(), "members")
     release(signed)
+    # Most keys stand for one class alone: they meet in one shuffle, and none is stored.
+    spread = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    members = stored(_members(_packed_keys(docs, width, p, q, spread, text_col)), "members")
     star = stored(_within_bound(members.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), facts, p, q), "star")
 
     # First one head for each class, then the heads that are still in other components.

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from itertools import combinations
@@ -84,6 +85,27 @@ def test_sketch_keys_lose_no_similar_pair():
                 assert set(how.keys(x).tolist()) & set(how.keys(y).tolist())
 
 
+def test_members_of_shared_keys(spark):
+    """Keys of one class give nothing; others give each class once, with the least, over any batches."""
+    from sightline.llm import ngram_jaccard
+
+    rng = random.Random(5)
+    pairs = [(rng.randrange(60), rng.randrange(9) - 4) for _ in range(300)] + [(99, n) for n in range(50)] + [(77, 3)] * 9
+    packed = [(k % 3, [k], [n]) for k, n in pairs]
+    groups: dict[int, set[int]] = {}
+    for k, n in pairs:
+        groups.setdefault(k, set()).add(n)
+    want = sorted((k, n, min(g)) for k, g in groups.items() if len(g) > 1 for n in g)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for rows in (1, 2, 7, 10000):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+            got = ngram_jaccard._members(spark.createDataFrame(packed, "bucket int, keys array<long>, nodes array<long>")).collect()
+            assert sorted(map(tuple, got)) == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_jaccard_edges(spark):
     from sightline.llm.ngram_jaccard import document_components, join, near_duplicates
 

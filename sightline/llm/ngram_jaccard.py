@@ -35,8 +35,10 @@ from .common import release, slices, stored, words_of
 from .components import components
 from .parity_sketch import bands, mix, set_id, shingle_set
 
-#: Words of a sketch, 64 bits each. Tiles compare sketches folded to half of them, pairs the whole.
-SKETCH_WORDS = 16
+#: Bits of a sketch, a power of two: as many as the set has shingles, within these bounds. A sketch of
+#: fewer bits than shingles rules little out. Tiles compare sketches folded to TILE_BITS.
+LEAST_BITS, MOST_BITS = 1 << 10, 1 << 16
+TILE_BITS = 1 << 9
 #: Members of a tile.
 TILE = 512
 #: Pairs of key and class that a task packs at a time.
@@ -151,17 +153,34 @@ def _members(packed: DataFrame) -> DataFrame:
 
 
 def _sketch(hashes: np.ndarray) -> bytes | None:
-    """Parity bits of a set, SKETCH_WORDS * 64 of them; only sets that can have partners need one."""
+    """Parity bits of a set; only sets that can have partners need one."""
     if not len(hashes):
         return None
-    at = mix(hashes) >> np.uint64(64 - (SKETCH_WORDS * 64 - 1).bit_length())
-    return np.packbits((np.bincount(at.astype(np.int64), minlength=SKETCH_WORDS * 64) & 1).astype(np.uint8)).tobytes()
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (len(hashes) - 1).bit_length()))
+    at = mix(hashes) & np.uint64(bits - 1)
+    return np.packbits((np.bincount(at.astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
 
 
-def _folded(sketch: bytes) -> bytes:
-    """The parity sketch of half as many bits: exclusive or of both halves, so distances never grow."""
-    half = len(sketch) // 2
-    return (np.frombuffer(sketch, np.uint8, half) ^ np.frombuffer(sketch, np.uint8, half, half)).tobytes()
+def _folded(sketch: bytes, bits: int = TILE_BITS) -> bytes:
+    """The parity sketch of ``bits`` bits: exclusive or of halves, so distances never grow."""
+    x = np.frombuffer(sketch, np.uint8)
+    while len(x) * 8 > bits:
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return x.tobytes()
+
+
+def _distances(left: list[bytes], right: list[bytes]) -> np.ndarray:
+    """Hamming distance of each pair of sketches, the longer one folded to the shorter."""
+    out = np.zeros(len(left), np.int64)
+    groups: dict[int, list[int]] = {}
+    for i, (x, y) in enumerate(zip(left, right, strict=True)):
+        groups.setdefault(min(len(x), len(y)), []).append(i)
+    for size, rows in groups.items():
+        for at in range(0, len(rows), 1024):
+            some = rows[at : at + 1024]
+            x, y = (np.frombuffer(b"".join(v[i] if len(v[i]) == size else _folded(v[i], 8 * size) for i in some), np.uint64).reshape(len(some), -1) for v in (left, right))
+            out[some] = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+    return out
 
 
 def verified(pairs: DataFrame, docs: DataFrame, first_ids: DataFrame, width: int, p: int, q: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -252,8 +271,7 @@ def _within_bound(pairs: DataFrame, facts: DataFrame, p: int, q: int) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
             x, y = part.column(2).to_numpy(), part.column(4).to_numpy()
-            sx, sy = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint64).reshape(part.num_rows, -1) for c in (3, 5))
-            near = np.bitwise_count(sx ^ sy).sum(1, dtype=np.int64) <= (x + y) * (q - p) // (q + p)
+            near = _distances(*(part.column(c).to_pylist() for c in (3, 5))) <= (x + y) * (q - p) // (q + p)
             near &= np.minimum(x, y) * q >= np.maximum(x, y) * p
             yield part.select([0, 1]).filter(pa.array(near))
 

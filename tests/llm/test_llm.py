@@ -85,6 +85,25 @@ def test_sketch_keys_lose_no_similar_pair():
                 assert set(how.keys(x).tolist()) & set(how.keys(y).tolist())
 
 
+def test_sketch_distances_never_exceed_the_difference():
+    """Sketches of any widths bound the symmetric difference from below, and tell unlike long sets apart."""
+    import numpy as np
+
+    from sightline.llm.ngram_jaccard import _distances, _folded, _sketch
+
+    rng = np.random.default_rng(3)
+    for n in (1, 5, 900, 1030, 5000, 70_000):
+        a = np.unique(rng.integers(0, 1 << 63, n, np.int64).view(np.uint64))
+        b = np.unique(np.concatenate([a[n // 8 :], rng.integers(0, 1 << 63, n // 5 + 1, np.int64).view(np.uint64)]))
+        other = np.unique(rng.integers(0, 1 << 63, n, np.int64).view(np.uint64))
+        x, y, z = map(_sketch, (a, b, other))
+        differ = len(np.setxor1d(a, b))
+        assert _distances([x, y], [y, x]).max() <= differ and _distances([x], [x])[0] == 0
+        assert _distances([_folded(x)], [_folded(y)])[0] <= differ
+        if 900 <= n:
+            assert _distances([x], [z])[0] > 2 * n // 9
+
+
 def test_members_of_shared_keys(spark):
     """Keys of one class give nothing; others give each class once, with the least, over any batches."""
     from sightline.llm import ngram_jaccard

@@ -1,8 +1,10 @@
 r"""Host-level quality rules with an empirical beta prior.
 
-Every document gets rule counts; failures of the base rules are summed by host; each host's failure
-rate is shrunk towards the corpus by a beta prior whose two parameters are fitted to the host rates
-by moments; hosts whose shrunk rate exceeds a limit are condemned, and that verdict is joined back.
+Every document gets rule counts; documents that fail any rule (base, symbols, word length, repeated
+lines) are summed by host; each host's failure rate is shrunk towards the corpus by a beta prior whose
+two parameters are fitted to the host rates by moments; hosts whose shrunk rate exceeds a limit, set
+relative to the prior's mean, are condemned, and that verdict is joined back. By itself a document
+is dropped for the base rule alone.
 
 Words are ``[^\x20\x09-\x0D]+``. Defined results: a null text has no words and fails the base rule; a
 null host is a host of its own; repeated rows count and come out once each; without any document
@@ -23,22 +25,32 @@ from .common import slices, stored
 #: The characters counted as symbols, and the words of white space.
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
-#: A host goes if its shrunk failure rate is above this.
-HOST_LIMIT = 0.9
+#: A host goes if the odds of its shrunk failure rate are above so many times those of the prior's mean.
+HOST_ODDS = 4.0
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
+#: Rules that count for the host alone: symbols of the visible characters, repeated of the non-blank
+#: lines, visible characters per word.
+MAX_SYMBOL_PERCENT = 1
+MAX_DUP_LINE_PERCENT = 30
+WORD_LENGTHS = (3, 10)
 
 
 def text_counts(text: str | None) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of one whole text."""
+    return _counts(text)[:5]
+
+
+def _counts(text: str | None) -> tuple[int, int, int, int, int, int]:
+    """``text_counts`` and n_lines, the lines that are not blank."""
     if not text:
-        return 0, 0, 0, 0, 0
+        return 0, 0, 0, 0, 0, 0
     raw = text.encode("utf-8", "surrogatepass")
     words = raw.split()
     chars = len(text) - sum(map(text.count, SPACES))
     symbols = sum(map(text.count, SYMBOLS))
     lines = [x for x in raw.split(b"\n") if x.strip()]
-    return len(words), chars, symbols, len(lines) - len(set(lines)), repeated_words(words)
+    return len(words), chars, symbols, len(lines) - len(set(lines)), repeated_words(words), len(lines)
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -66,18 +78,22 @@ def repeated_words(words: list[bytes]) -> int:
 
 
 def document_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """(id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed)."""
+    """(id, host, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, base_failed, host_failed)."""
     id_type, host_type = (docs.schema[c].dataType.simpleString() for c in (id_col, host_col))
-    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
     schema = f"`{id_col}` {id_type}, host {host_type}, " + ", ".join(f"{n} long" for n in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            counts = list(zip(*map(text_counts, part.column(2).to_pylist()), strict=True)) or [()] * 5
+            counts = list(zip(*map(_counts, part.column(2).to_pylist()), strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *(pa.array(c, pa.int64()) for c in counts)], names=[id_col, "host", *names])
 
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return docs.select(id_col, host_col, text_col).mapInArrow(run, schema).withColumn("base_failed", failed)
+    symbols = 100 * F.col("n_symbols") > MAX_SYMBOL_PERCENT * F.col("word_chars")
+    lines = 100 * F.col("n_dup_lines") > MAX_DUP_LINE_PERCENT * F.col("n_lines")
+    lengths = (F.col("word_chars") < WORD_LENGTHS[0] * F.col("n_words")) | (F.col("word_chars") > WORD_LENGTHS[1] * F.col("n_words"))
+    counts = docs.select(id_col, host_col, text_col).mapInArrow(run, schema).withColumn("base_failed", failed)
+    return counts.withColumn("host_failed", F.col("base_failed") | symbols | lines | lengths)
 
 
 def beta_prior(hosts: DataFrame) -> tuple[float, float]:
@@ -101,16 +117,19 @@ def beta_prior(hosts: DataFrame) -> tuple[float, float]:
     return max(mean * strength, 1e-3), max((1 - mean) * strength, 1e-3)
 
 
-def host_verdicts(counts: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
+def host_verdicts(counts: DataFrame, limit: float | None = None) -> DataFrame:
     """(host, n, failed, shrunk_rate, host_ok): sums are combined before the shuffle, so that a host
-    with any share of the rows costs one row per task."""
-    hosts = counts.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("base_failed").cast("long")).alias("failed"))
+    with any share of the rows costs one row per task. ``limit``: by default the rate whose odds are
+    HOST_ODDS times those of the fitted prior's mean."""
+    hosts = counts.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("host_failed").cast("long")).alias("failed"))
     alpha, beta = beta_prior(hosts)
+    if limit is None:
+        limit = HOST_ODDS * alpha / (HOST_ODDS * alpha + beta)
     rate = (F.col("failed") + F.lit(alpha)) / (F.col("n") + F.lit(alpha + beta))
     return hosts.withColumn("shrunk_rate", rate).withColumn("host_ok", F.col("shrunk_rate") <= F.lit(limit))
 
 
-def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
+def apply_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", limit: float | None = None) -> DataFrame:
     """Counts, base verdict, the host's shrunk rate and ``kept`` for every row of ``docs``.
 
     The counts (without texts) are stored in the shared folder, so texts are read once. The join with

@@ -308,6 +308,18 @@ def test_rules_edges(spark):
     assert apply_rules(odd(spark, [])).count() == 0
 
 
+def test_bad_hosts_lose_documents_that_pass_the_base_rule(spark):
+    from sightline.llm.quality_rules import apply_rules
+
+    good = " ".join(f"word{i}" for i in range(60))
+    bad = {"symbols": "# $ % & " + good, "lines": good + "\nsame" * 5, "lengths": " ".join(f"overlongword{i}" for i in range(60))}
+    rows = [(f"h{h}", good) for h in range(17) for _ in range(40)] + [(h, t) for h, t in bad.items() for _ in range(40)]
+    docs = spark.createDataFrame([(i, t, "en", h, len(t), None, None, None) for i, (h, t) in enumerate(rows)], DOC_SCHEMA)
+    got = apply_rules(docs).collect()
+    assert len(got) == len(rows) and not any(r.base_failed for r in got)
+    assert {r.host for r in got if not r.kept} == set(bad) and {r.host for r in got if r.kept} == {f"h{h}" for h in range(17)}
+
+
 def test_leaks_equal_brute_force(spark, documents):
     from sightline.llm.decontaminate import clean, leaks
 

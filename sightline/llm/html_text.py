@@ -6,9 +6,10 @@ that are never the article (menus, headers, footers, sidebars, notices, adverts,
 The countable lengths of WINDOW successive lines are summed; a surge point is where the sum rises over
 the level, a dive point where it falls to nothing. The text between a surge and its dive is kept.
 
-If the page marks an article (``article``, ``main`` or the matching role), the level there is a single
-character, because what is not the article has been masked; else the level is set from the page's
-own distribution, and only spans with a fair part of the page's countable text are kept.
+If the page marks an article (``article``, ``main`` or the matching role), the distribution does not choose:
+the marked elements' unmasked lines are the text, all of them, as a plain parse gives (and up to
+WINDOW - 1 lines between two marked elements). Else every span that surges over LEVEL is kept, whatever its share of the page; on a page where
+none does, every span of countable text.
 
 The tokenizer is one regular expression with linear behaviour over the whole page: comments, raw-text
 elements (script, style, ...), tags, text. Character references are decoded after the markup is gone,
@@ -32,10 +33,8 @@ from .common import slices
 
 #: Lines whose lengths are summed.
 WINDOW = 3
-#: Countable characters that a window must exceed for a surge where no article is marked, and the
-#: share of the largest span that another span must reach.
+#: Countable characters that a window must reach for a surge where no article is marked.
 LEVEL = 60
-SPAN_SHARE = 0.2
 
 #: Element classes of the HTML standard.
 RAW = "script style noscript template textarea title svg math iframe object canvas noframes noembed xmp"
@@ -200,9 +199,7 @@ def main_text(page: str | None) -> str:
         kept = spans(weights, 1)
     else:
         weights = [c for _, c, _ in lines]
-        kept = spans(weights, LEVEL) or spans(weights, 1)[:1]
-        mass = [sum(weights[a:b]) for a, b in kept]
-        kept = [s for s, m in zip(kept, mass, strict=True) if m >= SPAN_SHARE * max(mass)]
+        kept = spans(weights, LEVEL) or spans(weights, 1)
     return "\n".join(lines[i][0] for a, b in kept for i in range(a, b) if lines[i][0])
 
 

@@ -372,6 +372,15 @@ def test_html_main_text(spark):
     assert [(r.text, r.n_chars) for r in rows] == [("", 0), ("plain", 5)]
 
 
+def test_html_keeps_every_span_that_surges():
+    from sightline.llm.html_text import main_text
+
+    links = "".join(f"<p><a href={i}>A link to page number {i}</a></p>" for i in range(4))
+    long, short = "A first section with a lot of text. " * 20, "A last section, far shorter, that is none the less text of the page."
+    assert main_text(f"<div><p>{long}</p>{links}<p>{short}</p></div>") == f"{long.strip()}\n{short}"
+    assert main_text(f"<p>One line.</p>{links}<p>Another line.</p>") == "One line.\nAnother line."
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as C
 

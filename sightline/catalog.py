@@ -89,6 +89,12 @@ def command_truncation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", X.truncate_command(F.col("text")).alias("cut"))
 
 
+@query()
+def command_truncation_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents, with the cut in multi-byte texts that the SQL above leaves out."""
+    return table(spark, sf_dir, "documents").select("doc_id", X.truncate_command(F.col("text")).alias("cut"))
+
+
 @query("SELECT event_id, CASE WHEN json_type(props, '$.k') IN ('UBIGINT', 'BIGINT') THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k FROM events")
 def json_typed_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.try_parse_json("props")
@@ -103,6 +109,13 @@ def number_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", F.regexp_extract(X.compact_number(n), "([kM]?)$", 1).alias("unit"), X.percent_band(F.col("o_totalprice")).alias("band"))
 
 
+@query()
+def number_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole formatted number, of which the query above gives the unit."""
+    n = F.col("o_totalprice").cast("decimal(20,0)").cast("long")
+    return table(spark, sf_dir, "orders").select("o_orderkey", n.alias("n"), X.compact_number(n).alias("shown"))
+
+
 # --- filters --------------------------------------------------------------------------------------------
 
 

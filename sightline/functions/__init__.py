@@ -92,8 +92,17 @@ def regex_filter(path: Column, pattern: str) -> Column:
 
 
 def compact_number(n: Column) -> Column:
-    """1234 -> 1.2k, 1234567 -> 1.2M."""
-    return F.when(n >= 1_000_000, F.format_string("%.1fM", n / 1e6)).when(n >= 1000, F.format_string("%.1fk", n / 1e3)).otherwise(n.cast("string"))
+    """1234 -> 1.2k, 1234567 -> 1.2M; the binary quotient is rounded, and only a true half to the even digit."""
+
+    def tenth(x: Column) -> Column:
+        # 2^-52 is the least step of a double from 1 on, so the fraction is a whole number of them.
+        bits = ((x - F.floor(x)) * F.lit(float(1 << 52))).cast("long") * 10
+        digit, rest = F.shiftright(bits, 52), bits.bitwiseAND(F.lit((1 << 52) - 1))
+        up = (rest > 1 << 51) | ((rest == 1 << 51) & (digit % 2 == 1))
+        tenths = F.floor(x).cast("long") * 10 + digit + up.cast("long")
+        return F.concat(F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"))
+
+    return F.when(n >= 1_000_000, F.concat(tenth(n / 1e6), F.lit("M"))).when(n >= 1000, F.concat(tenth(n / 1e3), F.lit("k"))).otherwise(n.cast("string"))
 
 
 def percent_band(pct: Column) -> Column:

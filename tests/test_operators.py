@@ -55,6 +55,32 @@ def test_scalars(spark):
         X.regex_filter(F.lit("a"), "(?=x)")
 
 
+def test_every_document_is_cut_by_bytes(spark):
+    def cut(text):
+        if text is None or len(text.encode()) <= 200:
+            return text
+        at = kept = 0
+        for c in text:  # characters that start within the limit
+            if at >= 200:
+                break
+            at, kept = at + len(c.encode()), kept + 1
+        return text[:kept] + "…"
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+    got = {r.doc_id: r.cut for r in catalog.queries()["command_truncation_bytes"](spark, SF).collect()}
+    assert got == {i: cut(t) for i, t in texts.items()} and any(t and not t.isascii() and len(t) > 200 for t in texts.values())
+
+
+def test_whole_numbers_are_formatted(spark):
+    from pyspark.sql import functions as F
+
+    rows = catalog.queries()["number_texts"](spark, SF).collect()
+    show = lambda n: f"{n / 1e6:.1f}M" if n >= 1_000_000 else f"{n / 1e3:.1f}k" if n >= 1000 else str(n)
+    assert len(rows) == spark.read.parquet(f"{SF}/orders.parquet").count() and all(r.shown == show(r.n) for r in rows)
+    for r in spark.range(999, 1_100_000, 51).union(spark.range(1_050_000, 99_000_000, 50_000)).select("id", X.compact_number(F.col("id")).alias("x")).collect():
+        assert r.x == show(r.id)
+
+
 SYMBOLS = "file_path string, ord int, subtree_end int, id string, name string, name_path string, line_start long, line_end long, content_hash string, estimated_tokens long"
 EVENTS = "session_id string, ord int, epoch long, agent_id string, file_path string, read_depth int, target_symbol string, target_start long, target_end long"
 

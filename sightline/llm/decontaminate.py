@@ -28,7 +28,7 @@ from .common import stored
 WIDTH = 5
 SIMILARITY = 0.8
 #: Fingerprints within so many bits are candidates; (RADIUS + 1) must divide 64.
-RADIUS = 15
+RADIUS = 31
 #: Item shingles up to which they are broadcast (24 bytes each).
 BROADCAST_ROWS = 2_000_000
 

@@ -342,6 +342,33 @@ def test_leaks_equal_brute_force(spark, documents):
     assert leaks(docs, bench.limit(0)).count() == 0 and leaks(docs.limit(0), bench).count() == 0
 
 
+def test_no_similar_window_is_lost(spark):
+    from sightline.llm.decontaminate import RADIUS, leaks
+
+    def masses(w):
+        out = {}
+        for i in range(len(w) - 4):
+            out[tuple(w[i : i + 5])] = out.get(tuple(w[i : i + 5]), 0) + sum(map(len, w[i : i + 5]))
+        return out
+
+    bench, rng, rows, want = spark.read.parquet(f"{SMALL}/benchmark.parquet"), random.Random(3), [], {}
+    for r in bench.orderBy("item_id").collect():
+        w = [x for x in re.split(r"[\W_]+", r.text.lower()) if x]
+        for _ in range(60):
+            v = list(w)
+            for i in rng.sample(range(len(v)), rng.randint(1, min(3, len(v)))):
+                v[i] = f"other{rng.randrange(10**6)}"
+            x, y = masses(v), masses(w)
+            shared = sum(min(m, y.get(k, 0)) for k, m in x.items())
+            similarity = shared / max(1, sum(x.values()) + sum(y.values()) - shared)
+            rows.append((len(rows), " ".join(v)))
+            if similarity >= 0.8:
+                want[(len(rows) - 1, r.item_id)] = similarity
+    got = {(r.doc_id, r.item_id): r for r in leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert len(want) > 100 and set(want) <= set(got) and all(got[k].similarity >= s - 1e-9 for k, s in want.items())
+    assert 15 < max(r.distance for r in got.values()) <= RADIUS
+
+
 def test_bpe_equals_tiktoken_and_round_trips(spark):
     import public_tokenizers as P
 

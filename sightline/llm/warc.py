@@ -6,9 +6,11 @@ URI and date, and carry the digests and HTTP headers of the source; their own id
 response's id, so that a repeated run names them alike.
 
 The text of a conversion is the page without scripts, styles and comments, block-level tags as line
-breaks, other tags dropped, the most frequent character references and decimal ones decoded, white space
-inside a line made one space, and empty lines dropped. Only DataFrame functions are used; the step
-is narrow, and each record is a row of its own.
+breaks, other tags dropped, all character references of HTML decoded once (``&nbsp;`` as a plain space),
+white space inside a line made one space, and empty lines dropped. References are decoded in an Arrow
+function; the step is narrow, and each record is a row of its own. ``serialize`` writes the
+source's HTTP headers into the metadata record. The SQL decodes ENTITIES and decimal references alone,
+so it holds for pages without others.
 
 Defined results: a null payload is an empty one; a null target URI stays null; repeated responses give
 repeated derivatives; an empty table gives no records; other columns are not read.
@@ -17,20 +19,24 @@ repeated derivatives; an empty table gives no records; other columns are not rea
 from __future__ import annotations
 
 import gzip
+import html as html_lib
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Character references that the conversion decodes, in this order (&amp; last).
+from .common import slices
+
+#: Character references that the SQL decodes, in this order (&amp; last).
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&copy;": "©", "&reg;": "®", "&middot;": "·", "&hellip;": "…", "&ndash;": "–", "&mdash;": "—", "&euro;": "€"}
 HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<noscript\b.*?</noscript\s*>"
 BLOCK = r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|option|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>"
 TAG = r"</?[a-zA-Z!][^>]*>"
 #: White space that is not already one space; single spaces are most of it and need no work.
 SPACE_RUN = r"[\t\n\f\r ]{2,}|[\t\n\f\r]"
-BLANK_RUN = "[ \t]{2,}|\t"
+_BLANK_RUN, _LINE_ENDS = re.compile("[ \t]{2,}|\t"), re.compile(" ?\n[ \n]*")
 DATE = "2024-01-01T00:00:00Z"
 HTTP_HEADERS = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
 
@@ -57,35 +63,42 @@ def responses_from_pages(pages: DataFrame, id_col: str = "page_id", url_col: str
 
 
 def bare_text(html: Column) -> Column:
-    """A page without markup, named character references decoded."""
+    """A page without markup, its character references as they were."""
     t = F.regexp_replace(F.coalesce(html, F.lit("")), HIDDEN, "")
     t = F.regexp_replace(F.regexp_replace(t, SPACE_RUN, " "), BLOCK, "\n")
-    t = F.regexp_replace(t, TAG, "")
-    for name, char in ENTITIES.items():
-        t = F.replace(t, F.lit(name), F.lit(char))
-    return t
+    return F.regexp_replace(t, TAG, "")
+
+
+def plain_text(bare: str) -> str:
+    """The conversion's text from ``bare_text``."""
+    t = html_lib.unescape(bare.replace("&nbsp;", " ")) if "&" in bare else bare
+    return _LINE_ENDS.sub("\n", _BLANK_RUN.sub(" ", t)).strip(" \n")
 
 
-def plain_text(t: Column) -> Column:
-    """The conversion's text from ``bare_text``, which must be a column of its own: it is read twice here."""
-    numbers = F.array_distinct(F.regexp_extract_all(t, F.lit("&#([0-9]{2,5});"), F.lit(1)))
-    point = lambda n: F.decode(F.unhex(F.lpad(F.hex(n.cast("int")), 8, "0")), "UTF-32")
-    t = F.aggregate(numbers, t, lambda acc, n: F.replace(acc, F.concat(F.lit("&#"), n, F.lit(";")), point(n)))
-    t = F.replace(t, F.lit("&amp;"), F.lit("&"))
-    t = F.regexp_replace(F.regexp_replace(t, BLANK_RUN, " "), " ?\n[ \n]*", "\n")
-    return F.trim(t, F.lit(" \n"))
+def _with_text(rows: DataFrame) -> DataFrame:
+    """``rows`` with the column ``text`` in place of ``bare``, which is the last."""
+    kept = rows.columns[:-1]
+    schema = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in kept) + ", text string"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches):
+            texts = [plain_text(x) for x in part.column(len(kept)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(texts, pa.string())], names=[*kept, "text"])
+
+    return rows.mapInArrow(run, schema)
 
 
 def derivatives(responses: DataFrame) -> DataFrame:
     """Metadata and conversion records of ``responses``, two rows each, with their blocks."""
     r = responses.select("record_id", "target_uri", "warc_date", "http_headers", "content_type", F.coalesce("payload", F.lit("")).alias("payload"), "payload_digest")
-    r = r.withColumn("bare", bare_text(F.col("payload"))).withColumn("text", plain_text(F.col("bare")))
     title = F.regexp_replace(F.regexp_extract("payload", r"(?is)<title[^>]*>([^<]*)</title", 1), r"\s+", " ")
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
-    fields = F.concat(
+    source = F.concat(
         line("source-record-id", F.col("record_id")), line("source-payload-digest", F.col("payload_digest")), line("source-content-type", F.col("content_type")),
-        line("source-length", F.octet_length("payload").cast("string")), line("title", title), line("text-digest", digest(F.col("text"))), line("text-length", F.octet_length("text").cast("string")),
+        line("source-length", F.octet_length("payload").cast("string")), line("title", title),
     )
+    r = _with_text(r.select("record_id", "target_uri", "warc_date", "http_headers", "content_type", "payload_digest", source.alias("source"), bare_text(F.col("payload")).alias("bare")))
+    fields = F.concat("source", line("text-digest", digest(F.col("text"))), line("text-length", F.octet_length("text").cast("string")))
     kinds = F.explode(F.array(
         F.struct(F.lit("metadata").alias("warc_type"), F.lit("application/warc-fields").alias("content_type"), fields.alias("block")),
         F.struct(F.lit("conversion").alias("warc_type"), F.lit("text/plain; charset=utf-8").alias("content_type"), F.col("text").alias("block")),
@@ -99,7 +112,15 @@ def derivatives(responses: DataFrame) -> DataFrame:
 
 
 def serialize(records: DataFrame) -> DataFrame:
-    """(record_id, record): each derivative as the bytes of a WARC/1.1 record."""
+    """(record_id, record): each derivative as the bytes of a WARC/1.1 record.
+
+    The block of a metadata record ends in the source's HTTP headers, a field ``source-http-header``
+    for each line; its length and digest are those of the block as written.
+    """
+    lines = F.filter(F.split("source_http_headers", "\r?\n"), lambda x: x != "")
+    headers = F.array_join(F.transform(lines, lambda x: F.concat(F.lit("source-http-header: "), x, F.lit("\r\n"))), "")
+    whole = F.when(F.col("warc_type") == "metadata", F.concat("block", F.coalesce(headers, F.lit("")))).otherwise(F.col("block"))
+    records = records.withColumn("block", whole).withColumn("content_length", F.octet_length("block").cast("long")).withColumn("block_digest", digest(F.col("block")))
     head = lambda name, value: F.coalesce(F.concat(F.lit(f"{name}: "), value, F.lit("\r\n")), F.lit(""))
     text = F.concat(
         F.lit("WARC/1.1\r\n"), head("WARC-Type", F.col("warc_type")), head("WARC-Record-ID", F.col("record_id")), head("WARC-Refers-To", F.col("refers_to")), head("WARC-Target-URI", F.col("target_uri")),

@@ -201,6 +201,19 @@ def test_warc_records_link_and_round_trip(spark):
         assert heads["warc-record-id"] == r.record_id and heads["warc-refers-to"].startswith("<urn:uuid:") and len(block) == int(heads["content-length"])
 
 
+def test_warc_decodes_all_references_and_keeps_source_headers(spark):
+    from sightline.llm import warc
+
+    html = "<p>l&#x27;&eacute;t&#xE9; f&uuml;r &rsquo;&#128512;&nbsp;&amp;lt; &amp;#33; &copy;<p>a&nbsp; b"
+    made = warc.derivatives(warc.responses_from_pages(spark.createDataFrame([(1, "http://a/", html)], "page_id long, url string, html string")))
+    assert {r.block for r in made.collect() if r.warc_type == "conversion"} == {"l'été für ’😀 &lt; &#33; ©\na b"}
+    for r in warc.serialize(made).collect():
+        ((heads, block),) = warc.parse_records(bytes(r.record))
+        lines = [x.partition(": ")[2] for x in block.decode().split("\r\n") if x.startswith("source-http-header: ")]
+        assert heads["warc-block-digest"] == "sha256:" + hashlib.sha256(block).hexdigest()
+        assert lines == (warc.HTTP_HEADERS.split("\r\n")[:-1] if heads["warc-type"] == "metadata" else [])
+
+
 def test_ppm_tables_equal_walking_the_trees():
     from sightline.llm.language_ppm import build_model, identify
 

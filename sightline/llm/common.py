@@ -59,6 +59,16 @@ def release(table: DataFrame) -> None:
         at.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Column names for intermediate results: ``names`` with underscores before them until ``df`` has no such column."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while f"_{name}".lower() in taken:
+            name = f"_{name}"
+        out.append(f"_{name}")
+    return out
+
+
 def crc_mod(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``."""
     return F.crc32(doc_id.cast("string")) % F.lit(modulus)

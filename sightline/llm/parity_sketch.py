@@ -1,15 +1,19 @@
 r"""Parity sketches of shingle sets, and the pigeonhole keys by which similar sets meet.
 
-Each shingle hash sets one bit of a sketch by exclusive or; a bit is the parity of the shingles on it. A
-shingle in one set alone flips one bit, so the Hamming distance of two sketches never exceeds the
-size d of the symmetric difference. For sets of sizes a, b with Jaccard similarity p/q or more,
-d <= (a + b)(q - p)/(q + p). A sketch made of more than d blocks therefore agrees with that of a
-similar set in at least one block: equal blocks are the join keys, within bands of like sizes.
-
-A block with hardly any bit set says little and is shared by many sets. So a sketch gets ``spare``
-further blocks: two similar sets agree in at least ``spare`` + 1 blocks, hence in a telling one if
-either has at most ``spare`` weak blocks. Only sets with more weak blocks than that emit these too,
-and meet one another there. No pair is lost, and weak keys gather few sets.
+Each shingle hash flips one bit of a sketch: a bit is the parity of the shingles on it. A shingle in
+one set alone flips one bit, so the Hamming distance of two sketches never exceeds the size d of the
+symmetric difference. For sets of sizes a, b with Jaccard similarity p/q or more,
+d <= (a + b)(q - p)/(q + p). The shingles are dealt to blocks by their hash; a block's value is the
+exclusive or of its hashes, and a shingle in one set alone changes the value of one block. Of B blocks,
+similar sets therefore share at least B - d values: these are the join keys, within bands of like sizes.
+
+A block of few shingles says little and is shared by unlike sets. So a band has spare blocks, and each
+set leaves out those that hold least: with d' the largest difference that the set can have to any
+similar set of the band, it keeps d' + 1 of its blocks, ordered by (shingles, value). A shared block is
+the same in both sets, so both order it alike; of the shared blocks the highest has B - d - 1 others
+below it in either order, which is no less than either set leaves out: it is kept by both. No pair is
+lost. A set is *own* in the band of its size and a *guest* in the bands of larger sets; two guests
+meet in a lower band, so a bucket of guests alone gives nothing. The lowest bit of a key tells them apart.
 """
 
 from __future__ import annotations
@@ -17,17 +21,19 @@ from __future__ import annotations
 from bisect import bisect_right
 from dataclasses import dataclass
 from functools import lru_cache
-from math import exp, factorial, sqrt
 
 import numpy as np
 import xxhash
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _S32, _S29 = np.uint64(32), np.uint64(29)
+_EVEN = ~np.uint64(1)
 #: Words whose hash a worker remembers.
 MEMO_WORDS = 300_000
 #: Each band holds sizes up to this ratio.
 BAND_RATIO = 1.25
+#: Spare blocks of a band, in proportion to those that it needs.
+SPARE = 0.25
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -81,12 +87,6 @@ class Band:
     low: int
     high: int
     blocks: int
-    spare: int
-    weak_bits: int  # a block with at most so many bits is weak
-
-
-def _poisson_upto(k: int, mean: float) -> float:
-    return sum(exp(-mean) * mean**i / factorial(i) for i in range(k + 1))
 
 
 class Bands:
@@ -99,7 +99,8 @@ class Bands:
         low = 1
         while low < 1 << 31:
             high = max(low, int(low * BAND_RATIO) - 1)
-            self.bands.append(self._band(len(self.bands), low, high))
+            d = self.limit(2 * high)
+            self.bands.append(Band(len(self.bands), -(-low * p // q), low, high, d + 1 + int(SPARE * (d + 1))))
             self.lows.append(low)
             low = high + 1
 
@@ -107,21 +108,6 @@ class Bands:
         """Largest symmetric difference of similar sets whose sizes add up to ``total``."""
         return total * (self.q - self.p) // (self.q + self.p)
 
-    def _band(self, number: int, low: int, high: int) -> Band:
-        d = self.limit(2 * high)
-        least = -(-low * self.p // self.q)
-        best = (d + 1, 0, -1)
-        for weak_bits in (2, 1, 0):
-            for spare in range(0, max(3, d // 5) + 1, max(1, d // 100)):
-                blocks = d + 1 + spare
-                weak = blocks * _poisson_upto(weak_bits, low / blocks)
-                if weak + 2.5 * sqrt(weak) <= spare:
-                    best = (blocks, spare, weak_bits)
-                    break
-            if best[2] >= 0:
-                break
-        return Band(number, least, low, high, *best)
-
     def of(self, n: int) -> list[Band]:
         """Bands in which a set of n elements looks for others; none if only equal sets are similar."""
         out = []
@@ -132,23 +118,22 @@ class Bands:
             k += 1
         return out
 
+    def kept(self, band: Band, n: int) -> int:
+        """Blocks that a set of n elements keeps in a band: one more than it can differ in from a similar set."""
+        return self.limit(n + min(band.high, n * self.q // self.p)) + 1
+
     def keys(self, hashes: np.ndarray) -> np.ndarray:
-        """64-bit keys of a sorted set of hashes: one for each telling block of each band."""
-        parts = []
+        """64-bit keys of a sorted set of hashes: its fullest blocks of each band, even where it is own."""
+        parts, n = [], len(hashes)
         top = hashes >> _S32
-        one, other = np.uint64(1) << (hashes & np.uint64(63)), np.uint64(1) << ((hashes >> np.uint64(6)) & np.uint64(63))
-        for band in self.of(len(hashes)):
+        for band in self.of(n):
             block = ((top * np.uint64(band.blocks)) >> _S32).astype(np.int64)  # ascending, as hashes are
             first = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]]))
-            full = block[first]
-            sketch, second = np.zeros(band.blocks, np.uint64), np.zeros(band.blocks, np.uint64)
-            sketch[full], second[full] = np.bitwise_xor.reduceat(one, first), np.bitwise_xor.reduceat(other, first)
-            keys = mix(mix(sketch + _M3) ^ second * _M1 ^ (np.uint64(band.number) << _S32 | np.arange(band.blocks, dtype=np.uint64)) * _M2)
-            if band.weak_bits >= 0:
-                weak = np.bitwise_count(sketch) <= band.weak_bits
-                if weak.sum() <= band.spare:
-                    keys = keys[~weak]
-            parts.append(keys)
+            value = np.zeros(band.blocks, np.uint64)
+            value[block[first]] = np.bitwise_xor.reduceat(hashes, first)
+            keys = mix(mix(value + _M3) ^ (np.uint64(band.number) << _S32 | np.arange(band.blocks, dtype=np.uint64)) * _M2)
+            order = np.lexsort((keys, np.bincount(block, minlength=band.blocks)))
+            parts.append((keys[order[band.blocks - self.kept(band, n) :]] & _EVEN) | np.uint64(n < band.low))
         return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
 
     def similar(self, a: np.ndarray, b: np.ndarray) -> bool:

@@ -105,16 +105,17 @@ def test_sketch_distances_never_exceed_the_difference():
 
 
 def test_members_of_shared_keys(spark):
-    """Keys of one class give nothing; others give each class once, with the least, over any batches."""
+    """Keys of one class, or of guests (odd keys) alone, give nothing; others give each class once, with the least own one, over any batches."""
     from sightline.llm import ngram_jaccard
 
     rng = random.Random(5)
-    pairs = [(rng.randrange(60), rng.randrange(9) - 4) for _ in range(300)] + [(99, n) for n in range(50)] + [(77, 3)] * 9
-    packed = [(k % 3, [k], [n]) for k, n in pairs]
-    groups: dict[int, set[int]] = {}
+    pairs = [(rng.randrange(60) * 2 + (n < 0), n) for n in (rng.randrange(9) - 4 for _ in range(300))] + [(198, n) for n in range(50)] + [(199, -n) for n in range(1, 30)] + [(154, 3)] * 9 + [(161, -n) for n in range(1, 9)]
+    packed = [(k // 2 % 3, [k], [n]) for k, n in pairs]
+    groups: dict[int, set[tuple[int, int]]] = {}
     for k, n in pairs:
-        groups.setdefault(k, set()).add(n)
-    want = sorted((k, n, min(g)) for k, g in groups.items() if len(g) > 1 for n in g)
+        groups.setdefault(k & ~1, set()).add((k & 1, n))
+    want = sorted((k, n, min(g)[1], not guest) for k, g in groups.items() if len(g) > 1 and not min(g)[0] for guest, n in g)
+    assert {k for k, *_ in want} >= {198} and not {k for k, *_ in want} & {154, 160}
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     try:
         for rows in (1, 2, 7, 10000):
@@ -125,13 +126,55 @@ def test_members_of_shared_keys(spark):
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
 
 
+@pytest.mark.parametrize(("k", "p", "q"), [(3, 9, 10), (5, 4, 5)])
+def test_jaccard_join_over_many_tiles_and_all_links(spark, monkeypatch, k, p, q):
+    """Buckets of several tiles, many of one head's pairs, no broadcast of ids: components and links equal brute force."""
+    from sightline.llm import ngram_jaccard as J
+
+    monkeypatch.setattr(J, "TILE", 4)
+    monkeypatch.setattr(J, "HEAD_PAIRS", 3)
+    monkeypatch.setattr(J, "BROADCAST_IDS", 0)
+    rng, rows = random.Random(k), []
+    for size in (30, 90, 240):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(size)]
+        shared = base[: size // 2]
+        for _ in range(25):  # near copies: some alike, some alike in part only
+            ws = list(base)
+            for _ in range(rng.randrange(0, max(2, size // 20))):
+                ws[rng.randrange(size)] = f"z{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(ws)))
+        for _ in range(15):  # a passage of half the text that unlike documents share
+            rows.append((len(rows), " ".join(shared + [f"y{rng.randrange(10**6)}" for _ in range(size - size // 2)])))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_components(rows, k, p, q)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in J.document_components(J.join(df, k, p, q)).collect()} == want
+    sets = {i: shingles(t, k) for i, t in rows}
+    links = {i: sum(1 for j in sets if j != i and q * len(sets[i] & sets[j]) >= p * len(sets[i] | sets[j])) for i in sets}
+    assert sum(links.values()) > 100
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.n_links) for r in J.link_counts(J.all_links(df, k, p, q)).collect()} == {i: (*want[i], links[i]) for i in want}
+
+
+def test_jaccard_links_classes_of_null_and_repeated_ids(spark):
+    from sightline.llm import ngram_jaccard as J
+
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text), (None, text + " x"), (3, "a b c d e f"), (3, text + " y"), (7, "a b c d e f"), (9, text + " x y")]
+    got = sorted(((r.doc_id, r.component_id) for r in J.document_components(J.join(spark.createDataFrame(rows, "doc_id long, text string"))).collect()), key=str)
+    assert got == sorted([(1, 1), (None, 1), (3, 3), (3, 1), (7, 3), (9, 1)], key=str)
+    one = lambda rows: sorted(((r.doc_id, r.text) for r in J.near_duplicates(odd(spark, rows)).collect()), key=str)
+    assert one([(1, text), (1, text), (2, text)]) == [(1, text)]
+    assert one(rows) == sorted([(1, text), (3, "a b c d e f")], key=str)
+    assert one([(None, text), (None, text + " x"), (None, "")]) == sorted([(None, text), (None, "")], key=str)
+    assert one([(5, text), (5, "b c d e f g"), (4, text + " x")]) == [(4, text + " x"), (5, "b c d e f g")]
+
+
 def test_jaccard_edges(spark):
     from sightline.llm.ngram_jaccard import document_components, join, near_duplicates
 
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in document_components(join(odd(spark, EDGES))).collect()), key=str)
     assert got == sorted([(1, 0, 1), (2, 0, 2), (3, 0, 3), (None, 6, 4), (4, 6, 4), (5, 6, 4), (5, 6, 4), (6, 1, 6), (7, 1, 7)], key=str)
     assert document_components(join(odd(spark, []))).count() == 0
-    assert sorted(str(r.doc_id) for r in near_duplicates(odd(spark, EDGES)).collect()) == sorted(map(str, [1, 2, 3, None, 4, 6, 7]))
+    assert sorted(str(r.doc_id) for r in near_duplicates(odd(spark, EDGES)).collect()) == sorted(map(str, [1, 2, 3, 4, 6, 7]))
 
 
 def brute_lines(rows, min_docs=3):

@@ -2,18 +2,21 @@ r"""Main text of HTML pages by line-block distribution.
 
 Markup is stripped into lines: every block-level tag ends a line, inline tags do not. A line keeps
 two lengths, that of its text and that of its *countable* text: outside links, and outside elements
-that are never the article (menus, headers, footers, sidebars, notices, adverts, forms, comments).
-The countable lengths of WINDOW successive lines are summed; a surge point is where the sum rises over
-the level, a dive point where it falls to nothing. The text between a surge and its dive is kept.
+that are never the article (menus, headers, footers, sidebars, notices, adverts, forms, comments), the
+text of which is no line at all. The countable lengths of WINDOW successive lines are summed; a surge
+point is where the sum reaches LEVEL at a line with countable text, a dive point where it falls to nothing.
 
-If the page marks an article (``article``, ``main`` or the matching role), the distribution does not choose:
-the marked elements' unmasked lines are the text, all of them, as a plain parse gives (and up to
-WINDOW - 1 lines between two marked elements). Else every span that surges over LEVEL is kept, whatever its share of the page; on a page where
-none does, every span of countable text.
+Without marks in the page, the lines from a surge to its dive are the text; on a page where nothing
+surges, every span of countable text. Where a page marks sections (``article`` elements; without one
+``main`` or its role), lines of different sections are distributions of their own: a section in which
+the sums surge is text, and its surge and dive points are moved out to its edges, so that its short
+first and last lines are kept with it. Sections without a surge (teasers, empty shells) and lines
+outside the sections are left out; where no section surges, all are text.
 
-The tokenizer is one regular expression with linear behaviour over the whole page: comments, raw-text
-elements (script, style, ...), tags, text. Character references are decoded after the markup is gone,
-white space inside a line becomes one space, lines are trimmed, and empty ones dropped.
+The tokenizer follows the rules of HTML for tags, attributes, comments and raw text, and reads every
+character once: what is not closed runs to the end of the page, as browsers have it. Character
+references are decoded after the markup is gone, white space inside a line becomes one space, lines are
+trimmed, and empty ones dropped.
 
 Defined results: null or empty html, or a page without an article text, gives the empty string;
 repeated rows and null ids each give their own row; unclosed tags end with the page or with the
@@ -24,7 +27,9 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,7 +38,7 @@ from .common import slices
 
 #: Lines whose lengths are summed.
 WINDOW = 3
-#: Countable characters that a window must reach for a surge where no article is marked.
+#: Countable characters that a window must reach for a surge.
 LEVEL = 60
 
 #: Element classes of the HTML standard.
@@ -54,18 +59,22 @@ _NAMES = (
 _MASK_NAME = re.compile(rf"(?:^|[\s_-])(?:{_NAMES})(?:$|[\s_-])", re.I)
 #: An article's own header holds its title.
 _HEADER_NAME = re.compile(r"(?:article|entry|post|story|content|page)[_-]?(?:header|title)", re.I)
-_ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _RAW_SET, _BLOCK_SET, _VOID_SET, _MASK_SET, _ROLE_SET = (frozenset(x.split()) for x in (RAW, BLOCKS, VOID, MASKED, MASKED_ROLES))
-_TAG = re.compile(r"""<!--|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<[!?][^>]*>""", re.S)
-#: Elements that a new start tag of the same kind closes.
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+#: The rest of a tag that has no attribute with a value, or none at all.
+_PLAIN_TAG = re.compile(r"[^>=\"']*>")
+_ATTRIBUTE = re.compile(r"""[\s/]*(?:([^\s/>][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*))?)?)?""")
+_COMMENT_END = re.compile(r"--!?>")
+#: Elements that a new start tag of the same kind closes; any block-level one closes a paragraph.
 _SELF_CLOSING = frozenset("p li dt dd tr td th option".split())
+_RAW_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I) for tag in RAW.split()}
 
 
 class _Lines:
-    """Lines of a page: text parts, countable length, whether inside a marked article."""
+    """Lines of a page: (text, countable length, section); section 0 is none, ``main`` sections are below 0."""
 
     def __init__(self) -> None:
-        self.out: list[tuple[str, int, bool]] = []
+        self.out: list[tuple[str, int, int]] = []
         self.parts: list[str] = []
         self.count = 0
 
@@ -74,109 +83,147 @@ class _Lines:
         if countable:
             self.count += len(text.strip())
 
-    def end(self, article: bool) -> None:
+    def end(self, section: int) -> None:
         if self.parts:
             text = " ".join(html_lib.unescape("".join(self.parts)).split())
             if text:
-                self.out.append((text, self.count, article))
+                self.out.append((text, self.count, section))
             self.parts, self.count = [], 0
 
 
-def _is_masked(tag: str, attrs: str, in_article: bool, article_depth: int) -> bool:
+def _tag_end(page: str, at: int) -> tuple[int, dict[str, str], bool]:
+    """(offset after the tag, attributes by lower-case name, self-closing) of a tag whose name ends at ``at``; offset -1: never closed."""
+    if page[at : at + 1] == ">":
+        return at + 1, {}, False
+    m = _PLAIN_TAG.match(page, at)
+    if m:
+        words = m[0][:-1].replace("/", " ").split()
+        return m.end(), dict.fromkeys((w.lower() for w in words), ""), m[0][-2:-1] == "/"
+    attributes: dict[str, str] = {}
+    n = len(page)
+    while at < n:
+        m = _ATTRIBUTE.match(page, at)
+        end = m.end()
+        if m[1] is not None:
+            value = m[2] if m[2] is not None else m[3] if m[3] is not None else m[4] or ""
+            attributes.setdefault(m[1].lower(), value)
+            if m[2] is m[3] is m[4] is None and m[0].rstrip().endswith("=") and page[end : end + 1] in ("\"", "'"):
+                return -1, attributes, False  # a quote that is never closed
+        if end < n and page[end] == ">":
+            return end + 1, attributes, page[end - 1] == "/" and (m[1] is None or m[4] is None)
+        at = end if end > at else at + 1
+    return -1, attributes, False
+
+
+def _is_masked(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
     if tag in _MASK_SET or (tag == "header" and not in_article):
         return True
-    if not attrs or tag in ("html", "body", "main"):
+    if not attributes or tag in ("html", "body", "main"):
         return False
-    for m in _ATTR.finditer(attrs):
-        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
-        if name == "role" and value.lower() in _ROLE_SET:
-            return True
-        if name == "style" and "display:none" in value.replace(" ", "").lower():
-            return True
-        if name in ("class", "id") and (tag != "article" or article_depth) and _MASK_NAME.search(_HEADER_NAME.sub("", value)):
-            return True
-    return False
-
-
-def page_lines(page: str | None) -> list[tuple[str, int, bool]]:
-    """(text, countable length, in a marked article) of every line of a page."""
+    get = attributes.get
+    if "hidden" in attributes or get("aria-hidden", "").lower() == "true" or get("role", "").lower() in _ROLE_SET:
+        return True
+    if "display:none" in get("style", "").replace(" ", "").lower():
+        return True
+    return (tag != "article" or in_article) and any(_MASK_NAME.search(_HEADER_NAME.sub("", get(x, ""))) for x in ("class", "id"))
+
+
+def page_lines(page: str | None) -> list[tuple[str, int, int]]:
+    """(text, countable length, section) of every line of a page."""
     lines = _Lines()
     stack: list[str] = []  # open non-void elements
+    open_: Counter[str] = Counter()  # how many of each
     mask_at = link_at = -1  # stack depth at which a masked element or a link began
-    articles: list[int] = []  # stack depths of marked articles
-    at, n = 0, len(page or "")
+    article_at = main_at = -1  # and the outermost marked elements
+    articles = mains = 0
     page = page or ""
+    at, n = 0, len(page)
+
+    def section() -> int:
+        return articles if article_at >= 0 else -mains if main_at >= 0 else 0
+
     while at < n:
-        m = _TAG.search(page, at)
-        upto = m.start() if m else n
+        upto = page.find("<", at)
+        upto = n if upto < 0 else upto
         if upto > at and mask_at < 0:
             lines.add(page[at:upto], link_at < 0)
-        if not m:
+        if upto == n:
             break
-        at = m.end()
-        if m[0] == "<!--":
-            close = page.find("-->", at)
-            at = close + 3 if close >= 0 else n
-            continue
-        tag = (m[2] or "").lower()
-        if not tag:
+        at = upto + 1
+        closing = page.startswith("/", at)
+        m = _NAME.match(page, at + closing)
+        if not m:
+            if page.startswith("!--", at):
+                # <!--> and <!---> are whole comments
+                short = 4 if page.startswith("!-->", at) else 5 if page.startswith("!--->", at) else 0
+                m = None if short else _COMMENT_END.search(page, at + 3)
+                at = at + short if short else m.end() if m else n
+            elif closing or page[at : at + 1] in ("!", "?"):
+                end = page.find(">", at)
+                at = end + 1 if end >= 0 else n
+            elif mask_at < 0:
+                lines.add("<", link_at < 0)  # no tag begins here
             continue
-        inside = bool(articles)
-        if m[1]:
+        tag = m[0].lower()
+        at, attributes, empty = _tag_end(page, m.end())
+        if at < 0:
+            break
+        if closing:
             if tag in _BLOCK_SET and mask_at < 0:
-                lines.end(inside)
-            if tag in stack:
+                lines.end(section())
+            if open_[tag]:
                 while True:
-                    popped = stack.pop()
-                    depth = len(stack)
-                    if depth == mask_at:
-                        mask_at = -1
-                        lines.end(inside)
-                    if depth == link_at:
-                        link_at = -1
-                    if articles and depth == articles[-1]:
-                        lines.end(True)
-                        articles.pop()
+                    popped, depth = stack.pop(), len(stack)
+                    open_[popped] -= 1
+                    if depth in (mask_at, article_at, main_at):
+                        lines.end(section())
+                    mask_at = -1 if depth == mask_at else mask_at
+                    link_at = -1 if depth == link_at else link_at
+                    article_at = -1 if depth == article_at else article_at
+                    main_at = -1 if depth == main_at else main_at
                     if popped == tag:
                         break
-            elif tag == "p" and mask_at < 0:
-                lines.end(inside)
             continue
         if tag in _RAW_SET:
-            if m[3].endswith("/"):
-                continue
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = close.end() if close else n
+            if not (empty and tag in ("svg", "math")):
+                close = _RAW_ENDS[tag].search(page, at)
+                at = close.end() if close else n
             continue
         if tag in _BLOCK_SET and mask_at < 0:
-            lines.end(inside)
+            lines.end(section())
         if tag == "br" and mask_at < 0:
             lines.add(" ", False)
-        if tag in _VOID_SET or m[3].endswith("/"):
+        if tag in _VOID_SET:
             continue
-        if tag in _SELF_CLOSING and stack and stack[-1] == tag and mask_at != len(stack) - 1:
-            stack.pop()
-            if link_at >= len(stack):
-                link_at = -1
+        if stack and ((tag in _SELF_CLOSING and stack[-1] == tag) or (tag in _BLOCK_SET and stack[-1] == "p")):
+            open_[stack.pop()] -= 1  # ends without a tag of its own
+            mask_at = -1 if mask_at == len(stack) else mask_at
+            link_at = -1 if link_at >= len(stack) else link_at
         if mask_at < 0:
-            if _is_masked(tag, m[3], inside, len(articles)):
-                lines.end(inside)
+            if _is_masked(tag, attributes, article_at >= 0):
+                lines.end(section())
                 mask_at = len(stack)
-            elif tag == "article" or tag == "main" or 'role="main"' in m[3]:
-                articles.append(len(stack))
+            elif tag == "article" and article_at < 0:
+                articles, article_at = articles + 1, len(stack)
+            elif (tag == "main" or attributes.get("role", "").lower() == "main") and main_at < 0:
+                mains, main_at = mains + 1, len(stack)
             elif tag == "a":
                 link_at = len(stack)
         stack.append(tag)
-    lines.end(bool(articles))
+        open_[tag] += 1
+    lines.end(section())
     return lines.out
 
 
+def window_sums(weights: list[int]) -> list[int]:
+    """The sum of each line's weight and those of the WINDOW - 1 lines after it."""
+    upto = [0, *accumulate(weights)]
+    return [upto[min(i + WINDOW, len(weights))] - upto[i] for i in range(len(weights))]
+
+
 def spans(weights: list[int], level: int) -> list[tuple[int, int]]:
     """[start, end) between surge and dive points of the window sums."""
-    n = len(weights)
-    sums = [sum(weights[i : i + WINDOW]) for i in range(n)]
+    n, sums = len(weights), window_sums(weights)
     out, i = [], 0
     while i < n:
         if sums[i] >= level and weights[i] > 0:
@@ -193,14 +240,17 @@ def spans(weights: list[int], level: int) -> list[tuple[int, int]]:
 def main_text(page: str | None) -> str:
     """The article's text: its blocks in page order, one line each."""
     lines = page_lines(page)
-    if any(a and t for t, _, a in lines):
-        # Links are part of an article; outside it nothing counts.
-        weights = [len(t) if a else 0 for t, _, a in lines]
-        kept = spans(weights, 1)
-    else:
-        weights = [c for _, c, _ in lines]
-        kept = spans(weights, LEVEL) or spans(weights, 1)
-    return "\n".join(lines[i][0] for a, b in kept for i in range(a, b) if lines[i][0])
+    kind = (lambda s: s > 0) if any(s > 0 for *_, s in lines) else (lambda s: s < 0)
+    sections: dict[int, list[int]] = {}
+    for _, count, s in lines:
+        if kind(s):
+            sections.setdefault(s, []).append(count)
+    if sections:
+        surging = {s for s, weights in sections.items() if spans(weights, LEVEL)} or set(sections)
+        return "\n".join(t for t, _, s in lines if s in surging)
+    weights = [c for _, c, _ in lines]
+    kept = spans(weights, LEVEL) or spans(weights, 1)
+    return "\n".join(lines[i][0] for a, b in kept for i in range(a, b))
 
 
 def extract(pages: DataFrame, keep: tuple[str, ...] = ("page_id", "url"), html_col: str = "html") -> DataFrame:

@@ -6,7 +6,7 @@ URI and date, and carry the digests and HTTP headers of the source; their own id
 response's id, so that a repeated run names them alike.
 
 The text of a conversion is the page without scripts, styles and comments, block-level tags as line
-breaks, other tags dropped, all character references of HTML decoded once (``&nbsp;`` as a plain space),
+breaks, other tags dropped (what is not closed runs to the end of the page), all character references of HTML decoded once (``&nbsp;`` as a plain space),
 white space inside a line made one space, and empty lines dropped. References are decoded in an Arrow
 function; the step is narrow, and each record is a row of its own. ``serialize`` writes the
 source's HTTP headers into the metadata record. The SQL decodes ENTITIES and decimal references alone,
@@ -18,22 +18,25 @@ repeated derivatives; an empty table gives no records; other columns are not rea
 
 from __future__ import annotations
 
-import gzip
 import html as html_lib
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import SLICE_BYTES, SLICE_ROWS, slices
 
 #: Character references that the SQL decodes, in this order (&amp; last).
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&copy;": "©", "&reg;": "®", "&middot;": "·", "&hellip;": "…", "&ndash;": "–", "&mdash;": "—", "&euro;": "€"}
-HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<noscript\b.*?</noscript\s*>"
+HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)|<noscript\b.*?(?:</noscript\s*>|\z)"
 BLOCK = r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|option|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>"
 TAG = r"</?[a-zA-Z!][^>]*>"
+#: What follows the last > of a page, from a tag on that is not closed.
+OPEN_TAG = r"(?s)</?[a-zA-Z!].*"
+TITLE = r"(?is)<title[^<>]*>([^<]*)</title"
 #: White space that is not already one space; single spaces are most of it and need no work.
 SPACE_RUN = r"[\t\n\f\r ]{2,}|[\t\n\f\r]"
 _BLANK_RUN, _LINE_ENDS = re.compile("[ \t]{2,}|\t"), re.compile(" ?\n[ \n]*")
@@ -65,8 +68,11 @@ def responses_from_pages(pages: DataFrame, id_col: str = "page_id", url_col: str
 def bare_text(html: Column) -> Column:
     """A page without markup, its character references as they were."""
     t = F.regexp_replace(F.coalesce(html, F.lit("")), HIDDEN, "")
-    t = F.regexp_replace(F.regexp_replace(t, SPACE_RUN, " "), BLOCK, "\n")
-    return F.regexp_replace(t, TAG, "")
+    t = F.regexp_replace(t, SPACE_RUN, " ")
+    # Up to the last > every tag has an end, so no search for one runs to the end of the page again and again.
+    tail = F.substring_index(t, ">", -1)
+    head = F.regexp_replace(F.left(t, F.length(t) - F.length(tail)), BLOCK, "\n")
+    return F.concat(F.regexp_replace(head, TAG, ""), F.regexp_replace(tail, OPEN_TAG, ""))
 
 
 def plain_text(bare: str) -> str:
@@ -91,7 +97,7 @@ def _with_text(rows: DataFrame) -> DataFrame:
 def derivatives(responses: DataFrame) -> DataFrame:
     """Metadata and conversion records of ``responses``, two rows each, with their blocks."""
     r = responses.select("record_id", "target_uri", "warc_date", "http_headers", "content_type", F.coalesce("payload", F.lit("")).alias("payload"), "payload_digest")
-    title = F.regexp_replace(F.regexp_extract("payload", r"(?is)<title[^>]*>([^<]*)</title", 1), r"\s+", " ")
+    title = F.regexp_replace(F.regexp_extract("payload", TITLE, 1), r"\s+", " ")
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     source = F.concat(
         line("source-record-id", F.col("record_id")), line("source-payload-digest", F.col("payload_digest")), line("source-content-type", F.col("content_type")),
@@ -130,38 +136,92 @@ def serialize(records: DataFrame) -> DataFrame:
     return records.select("record_id", text.cast("binary").alias("record"))
 
 
-def parse_records(raw: bytes) -> list[tuple[dict[str, str], bytes]]:
-    """(headers by lower-case name, block) of every record of an uncompressed or gzipped WARC file."""
-    if raw[:2] == b"\x1f\x8b":
-        raw = gzip.decompress(raw)
-    out, at = [], 0
-    while (start := raw.find(b"WARC/", at)) >= 0 and (end := raw.find(b"\r\n\r\n", start)) >= 0:
-        lines = raw[start:end].decode("utf-8", "replace").split("\r\n")[1:]
+def _pieces(raw: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """The content of a file piece by piece, gzip members (a record each, as a rule) decompressed one after the other."""
+    if raw[:2] != b"\x1f\x8b":
+        for at in range(0, len(raw), size):
+            yield raw[at : at + size]
+        return
+    member, at, left = zlib.decompressobj(31), 0, b""
+    while left or at < len(raw):
+        if not left:
+            left, at = raw[at : at + size], at + size
+        yield member.decompress(left, size)
+        left = member.unconsumed_tail
+        if member.eof:
+            left = member.unused_data
+            if left or at < len(raw):
+                member = zlib.decompressobj(31)
+
+
+def iter_records(raw: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers by lower-case name, block) of every record of an uncompressed or gzipped WARC file, one in memory at a time.
+
+    Bytes between records are passed over; a record that the file's end cuts off has what there is of its block.
+    """
+    held, pieces, ended = bytearray(), _pieces(raw), False
+
+    def more() -> bool:
+        nonlocal ended
+        piece = next(pieces, None)
+        ended = piece is None
+        held.extend(piece or b"")
+        return not ended
+
+    while True:
+        while (start := held.find(b"WARC/")) < 0 and more():
+            pass
+        if start < 0:
+            return
+        del held[:start]
+        while (end := held.find(b"\r\n\r\n")) < 0 and more():
+            pass
+        if end < 0:
+            return
+        lines = held[:end].decode("utf-8", "replace").split("\r\n")[1:]
         heads = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
         size = int(heads["content-length"]) if heads.get("content-length", "").isdigit() else 0
-        out.append((heads, raw[end + 4 : end + 4 + size]))
-        at = end + 4 + size
-    return out
+        while len(held) < end + 4 + size and more():
+            pass
+        yield heads, bytes(held[end + 4 : end + 4 + size])
+        del held[: end + 4 + size]
+
+
+def parse_records(raw: bytes) -> list[tuple[dict[str, str], bytes]]:
+    """All records of a small file."""
+    return list(iter_records(raw))
 
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
-    """Response records of WARC files, one file per task row, in the columns that ``derivatives`` takes."""
+    """Response records of WARC files, in the columns that ``derivatives`` takes.
+
+    A file is one row of Spark's binary reader, as it is stored (so below 2 GB compressed); its records
+    are decompressed and given one after the other, few at a time.
+    """
+    names = ["record_id", "target_uri", "warc_date", "http_headers", "content_type", "payload", "payload_digest"]
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["record_id", "target_uri", "warc_date", "http_headers", "content_type", "payload", "payload_digest"]
-        for batch in batches:
-            for raw in batch.column(0):
-                rows = []
-                for heads, block in parse_records(raw.as_py()):
-                    if heads.get("warc-type") == "response":
-                        http, _, payload = block.partition(b"\r\n\r\n")
-                        http_text = http.decode("latin-1") + "\r\n"
-                        kind = next((x.partition(":")[2].strip() for x in http_text.split("\r\n") if x.lower().startswith("content-type:")), None)
-                        rows.append((heads.get("warc-record-id"), heads.get("warc-target-uri"), heads.get("warc-date"), http_text, kind, payload.decode("utf-8", "replace"), heads.get("warc-payload-digest")))
-                cols = list(zip(*rows, strict=True)) or [()] * len(names)
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=names)
-
-    fields = "record_id string, target_uri string, warc_date string, http_headers string, content_type string, payload string, payload_digest string"
+        for part in batches:
+            for raw in part.column(0):
+                rows, size = [], 0
+                for heads, block in iter_records(raw.as_py()):
+                    if heads.get("warc-type") != "response":
+                        continue
+                    http, _, payload = block.partition(b"\r\n\r\n")
+                    http_text = http.decode("latin-1") + "\r\n"
+                    kind = next((x.partition(":")[2].strip() for x in http_text.split("\r\n") if x.lower().startswith("content-type:")), None)
+                    rows.append((heads.get("warc-record-id"), heads.get("warc-target-uri"), heads.get("warc-date"), http_text, kind, payload.decode("utf-8", "replace"), heads.get("warc-payload-digest")))
+                    size += len(payload)
+                    if len(rows) >= SLICE_ROWS or size >= SLICE_BYTES:
+                        yield batch(rows)
+                        rows, size = [], 0
+                if rows:
+                    yield batch(rows)
+
+    fields = ", ".join(f"{n} string" for n in names)
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, fields)
 
 
@@ -184,8 +244,9 @@ def _sql() -> str:
     return rf"""
 WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, {_sql_urn("'response:' || coalesce(page_id::VARCHAR, '') || '|' || coalesce(url, '')")} AS rid,
                   'sha256:' || sha256(coalesce(html, '')) AS pd FROM pages),
-a AS (SELECT *, regexp_replace(regexp_replace(html, {_q(HIDDEN)}, '', 'g'), {_q(SPACE_RUN)}, ' ', 'g') AS t1, regexp_replace(regexp_extract(html, '(?is)<title[^>]*>([^<]*)</title', 1), '\s+', ' ', 'g') AS title FROM p),
-b AS (SELECT *, regexp_replace(regexp_replace(t1, {_q(BLOCK)}, chr(10), 'g'), {_q(TAG)}, '', 'g') AS t3 FROM a),
+a AS (SELECT *, regexp_replace(regexp_replace(html, {_q(HIDDEN)}, '', 'g'), {_q(SPACE_RUN)}, ' ', 'g') AS t1, regexp_replace(regexp_extract(html, {_q(TITLE)}, 1), '\s+', ' ', 'g') AS title FROM p),
+h AS (SELECT *, string_split(t1, '>')[-1] AS tail FROM a),
+b AS (SELECT *, regexp_replace(regexp_replace(left(t1, length(t1) - length(tail)), {_q(BLOCK)}, chr(10), 'g'), {_q(TAG)}, '', 'g') || regexp_replace(tail, {_q(OPEN_TAG)}, '') AS t3 FROM h),
 c AS (SELECT *, {decoded} AS t4 FROM b),
 e AS (SELECT *, replace(list_reduce(list_distinct(regexp_extract_all(t4, '&#([0-9]{{2,5}});', 1)), lambda acc, n: replace(acc, '&#' || n || ';', chr(n::INT)), t4), '&amp;', '&') AS t5 FROM c),
 f AS (SELECT *, trim(regexp_replace(regexp_replace(t5, '[ \t]{{2,}}|\t', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), ' ' || chr(10)) AS txt FROM e),

@@ -2,7 +2,9 @@
 
 Buckets of four 16-bit fingerprints; a key's second bucket follows from its first and its
 fingerprint alone, so entries can be moved and deleted without the key. Entries for which no
-place is found go to a stash, which is searched as well: a filter never refuses a key.
+place is found go to a stash, which is searched as well: a filter never refuses a key. Its user should
+build a larger one before MAX_LOAD of the slots are taken, as only the keys themselves can tell more
+bits of their buckets.
 """
 
 from __future__ import annotations
@@ -11,6 +13,7 @@ import numpy as np
 
 SLOTS = 4
 KICKS = 200
+MAX_LOAD = 0.85
 
 
 class CuckooFilter:
@@ -42,8 +45,20 @@ class CuckooFilter:
         return found
 
     def insert(self, k1: np.ndarray, k2: np.ndarray) -> None:
-        for a, b, m in zip(*self._places(k1, k2), strict=True):
-            self._insert_one(int(a), int(b), int(m))
+        """Add keys: as arrays while one of their buckets has a free slot, the rest one by one."""
+        a, b, mark = self._places(k1, k2)
+        todo = np.arange(len(mark))
+        for bucket in (a, b):
+            while len(todo):
+                free = self.table[bucket[todo]] == 0
+                first = np.unique(np.where(free.any(1), bucket[todo], -1), return_index=True)
+                at = first[1][first[0] >= 0]  # one key of each bucket that has room
+                if not len(at):
+                    break
+                self.table[bucket[todo[at]], free[at].argmax(1)] = mark[todo[at]]
+                todo = np.delete(todo, at)
+        for i in todo:
+            self._insert_one(int(a[i]), int(b[i]), int(mark[i]))
 
     def _insert_one(self, a: int, b: int, mark: int) -> None:
         for bucket in (a, b):

@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import slices, stored
-from .cuckoo import CuckooFilter
+from .common import slices, stored, unused
+from .cuckoo import MAX_LOAD, CuckooFilter
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -207,15 +207,24 @@ def _changed(index: LineIndex, postings: DataFrame, counts: DataFrame) -> LineIn
     if now.count() > 2 * SHARD_KEYS * index.n_shards:
         return _with_filters(postings, counts, index.min_docs)
     old = index.repeated().select("k1", "k2")
+    shard = _shard(index.n_shards).alias("shard")
     changes = now.join(old, ["k1", "k2"], "left_anti").withColumn("adds", F.lit(True)).unionByName(old.join(now, ["k1", "k2"], "left_anti").withColumn("adds", F.lit(False)))
-    filters = stored(apply_changes(index.filters, changes.select(_shard(index.n_shards).alias("shard"), "k1", "k2", "adds")), "line-filters")
+    # A filter that its keys have outgrown is built anew from all of them.
+    sizes = now.groupBy(shard).agg(F.count("*").alias("keys"))
+    full = F.coalesce(F.col("keys") > F.lit(MAX_LOAD) * F.octet_length("filter") / 2, F.lit(False))  # two bytes a slot
+    state = stored(index.filters.join(sizes, "shard", "left").select("shard", F.when(~full, F.col("filter")).alias("filter"), full.alias("full")), "line-shards")
+    outgrown = state.where("full").select("shard")
+    part = changes.select(shard, "k1", "k2", "adds").join(outgrown, "shard", "left_anti").unionByName(now.select(shard, "k1", "k2", F.lit(True).alias("adds")).join(outgrown, "shard", "left_semi"))
+    filters = stored(apply_changes(state.select("shard", "filter"), part), "line-filters")
     return LineIndex(postings, counts, filters, index.n_shards, index.min_docs)
 
 
 def rewrite(docs: DataFrame, index: LineIndex, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS) -> DataFrame:
-    """``docs`` with the text replaced by what is left of it, and n_lines and n_dropped added."""
-    lost = dropped_keys(index).select(F.col("doc_id").alias("_lost_id"), F.col("keys").alias("_lost_keys"))
-    joined = docs.join(lost, F.col(id_col).cast("long").eqNullSafe(F.col("_lost_id")), "left").select(*docs.columns, "_lost_keys")
+    """``docs`` with the text replaced by what is left of it, and n_lines and n_dropped added (in place of columns of these names)."""
+    docs = docs.select(*(c for c in docs.columns if c.lower() not in ("n_lines", "n_dropped")))
+    lost_id, lost_keys = unused(docs, "lost_id", "lost_keys")
+    lost = dropped_keys(index).select(F.col("doc_id").alias(lost_id), F.col("keys").alias(lost_keys))
+    joined = docs.join(lost, F.col(id_col).cast("long").eqNullSafe(F.col(lost_id)), "left").select(*docs.columns, lost_keys)
     at = docs.columns.index(text_col)
     schema = StructType([*docs.schema.fields, StructField("n_lines", LongType()), StructField("n_dropped", LongType())])
 

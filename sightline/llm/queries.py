@@ -100,17 +100,19 @@ win AS (SELECT rid, i, word, lead(word, 1) OVER p AS w2, lead(word, 2) OVER p AS
 twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, word, w2, w3) AS c FROM win WHERE w3 IS NOT NULL) WHERE c > 1),
 rep AS (SELECT rid, count(DISTINCT j) AS n FROM (SELECT rid, i + o AS j FROM twice, (SELECT unnest([0, 1, 2]) AS o)) GROUP BY rid),
 lines AS (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d),
-dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid),
+dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n, count(*) AS n_lines FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY rid),
 base AS (
   SELECT d.doc_id, d.source, len(words)::BIGINT AS n_words, length(regexp_replace(text, '{_WHITE}', '', 'g'))::BIGINT AS word_chars,
-         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words
+         length(regexp_replace(text, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(dup.n_lines, 0) AS n_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words
   FROM d JOIN w USING (rid) LEFT JOIN dup USING (rid) LEFT JOIN rep USING (rid)),
 flagged AS (SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed FROM base),
-hosts AS (SELECT source, count(*)::DOUBLE AS n, sum(base_failed::INT)::DOUBLE AS k FROM flagged GROUP BY source),
+judged AS (SELECT *, (base_failed OR 100 * n_symbols > 1 * word_chars OR 100 * n_dup_lines > 30 * n_lines OR word_chars < 3 * n_words OR word_chars > 10 * n_words) AS host_failed FROM flagged),
+hosts AS (SELECT source, count(*)::DOUBLE AS n, sum(host_failed::INT)::DOUBLE AS k FROM judged GROUP BY source),
 s AS (SELECT sum(n) AS total, sum(k) / sum(n) AS mean, sum(k * k / n) AS kk, sum(n * n) AS nn, count(*) AS h FROM hosts),
 m AS (SELECT *, mean * (1 - mean) AS within, CASE WHEN total - nn / total > 0 THEN greatest(0, (kk - total * mean * mean - (h - 1) * mean * (1 - mean)) / (total - nn / total)) ELSE 0 END AS between_ FROM s),
 g AS (SELECT mean, CASE WHEN within = 0 THEN 2.0 WHEN between_ > 0 THEN least(1e6, greatest(2.0, within / between_ - 1)) ELSE 1e6 END AS strength FROM m),
-ok AS (SELECT source, (k + greatest(mean * strength, 1e-3)) / (n + greatest(mean * strength, 1e-3) + greatest((1 - mean) * strength, 1e-3)) <= 0.9 AS host_ok FROM hosts, g)
+p AS (SELECT greatest(mean * strength, 1e-3) AS a, greatest((1 - mean) * strength, 1e-3) AS b FROM g),
+ok AS (SELECT source, (k + a) / (n + a + b) <= 4 * a / (4 * a + b) AS host_ok FROM hosts, p)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND host_ok) AS kept
 FROM flagged JOIN ok ON flagged.source IS NOT DISTINCT FROM ok.source
 """

@@ -8,22 +8,28 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-#: Rows of an Arrow batch that are held as Python objects at one time.
-SLICE_ROWS = 256
+#: Rows and bytes of an Arrow batch that are held as Python objects at one time; a longer row is held alone.
+SLICE_ROWS, SLICE_BYTES = 256, 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session names none (single-machine tests) is a temporary folder set and used.
+    Only where the session names none and runs on this machine alone (tests) is a temporary folder set
+    and used; on a cluster each executor would write to its own disk, so there it is an error.
     """
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if known:
         return known.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
     made = tempfile.mkdtemp(prefix="sightline-")
     atexit.register(shutil.rmtree, made, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", f"file://{made}")
@@ -59,6 +65,11 @@ def release(table: DataFrame) -> None:
         at.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def merged(side: DataFrame) -> DataFrame:
+    """A side of a join that grows with the corpus: sorted and merged at every size, never broadcast through the driver."""
+    return side.hint("merge")
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """Column names for intermediate results: ``names`` with underscores before them until ``df`` has no such column."""
     taken, out = {c.lower() for c in df.columns}, []
@@ -74,11 +85,21 @@ def crc_mod(doc_id: Column, modulus: int) -> Column:
     return F.crc32(doc_id.cast("string")) % F.lit(modulus)
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
-    """Short runs of rows, so that few long texts are Python objects at a time."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Short runs of rows, so that few texts, and few bytes of them, are Python objects at a time."""
     for batch in batches:
-        for start in range(0, batch.num_rows, rows):
-            yield batch.slice(start, rows)
+        if not batch.num_rows:
+            continue
+        total = np.zeros(batch.num_rows, np.int64)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_binary(column.type) or pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type):
+                total += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        upto, start = np.cumsum(total), 0
+        while start < batch.num_rows:
+            before = upto[start - 1] if start else 0
+            end = max(start + 1, min(start + rows, int(np.searchsorted(upto, before + size, side="right"))))
+            yield batch.slice(start, end - start)
+            start = end
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -89,51 +110,80 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split() if text else []
 
 
-def stable_sample(df: DataFrame, id_col: str, group_col: str, per_group: int, extra: list[str]) -> list:
-    """At most ``per_group`` rows of each group, drawn by a hash of the id, as driver rows.
+#: Draws are whole numbers below this.
+_SPAN = 1 << 31
+
+
+def _draw() -> Column:
+    return F.pmod(F.xxhash64("_id"), F.lit(_SPAN))
+
+
+def _limit(wanted: int, n: int) -> int:
+    """Below which draws about ``wanted`` of n rows lie, and some more: the draw is by chance, and long rows may not fit."""
+    return min(_SPAN, int(_SPAN * (1.2 * wanted + 20) / max(n, 1)) + 1)
+
+
+def _thinned(df: DataFrame, group_col: str, per_group: int) -> DataFrame:
+    """Rows (_id, ``group_col``, ...) whose draw lies below their group's limit: a bounded number of ids of each group."""
+    spark = df.sparkSession
+    limits = [(r[0], _limit(per_group, r[1])) for r in df.groupBy(group_col).count().collect()]
+    table = spark.createDataFrame(limits, StructType([StructField(group_col, df.schema[group_col].dataType), StructField("_limit", LongType())]))
+    return df.withColumn("_draw", _draw()).join(F.broadcast(table), group_col).where("_draw < _limit").drop("_draw", "_limit")
+
+
+def _taken(some: DataFrame, per_group: int, group_bytes: int) -> list[tuple]:
+    """(id, group, text) of the first rows by draw of each group of ``some`` (_id, _group, _text), a bounded table.
 
-    Two column-pruned passes: the first counts groups, the second reads the texts of ids whose
-    hash lies under a per-group threshold (about ``per_group`` expected), and the last cut is exact.
+    Repeated rows of an id are one (its least group and text), before anything is collected. Texts
+    are whole: a row that would go beyond the bytes is left out.
     """
-    sizes = {r[0]: r[1] for r in df.groupBy(group_col).count().collect() if r[0] is not None}
-    if not sizes:
-        return []
-    span = 1 << 31
-    draw = F.pmod(F.xxhash64(F.col(id_col)), F.lit(span))
-    keep = F.lit(False)
-    for group, n in sorted(sizes.items()):
-        keep = keep | ((F.col(group_col) == F.lit(group)) & (draw < F.lit(min(span, int(span * per_group / n) + 1))))
-    rows = df.where(keep).select(id_col, group_col, *extra, draw.alias("_draw")).collect()
-    rows.sort(key=lambda r: (r["_draw"], r[id_col] is None, r[id_col] or 0))
-    taken: dict = {}
-    out = []
+    sizes = some.groupBy("_id", "_group").agg(F.min(F.octet_length("_text")).alias("size"))
+    rows = sizes.groupBy("_id").agg(F.min(F.struct("_group", "size")).alias("least")).select("_id", "least.*", _draw().alias("_draw")).collect()
+    rows.sort(key=lambda r: (r["_draw"], r["_id"]))
+    used: dict = {}
+    chosen = []
     for r in rows:
-        if taken.get(r[group_col], 0) < per_group:
-            taken[r[group_col]] = taken.get(r[group_col], 0) + 1
-            out.append(r)
-    return out
+        n, size = used.get(r["_group"], (0, 0))
+        if n < per_group and size + r["size"] <= group_bytes:
+            used[r["_group"]] = (n + 1, size + r["size"])
+            chosen.append((r["_id"], r["_group"]))
+    if not chosen:
+        return []
+    ids = some.sparkSession.createDataFrame(chosen, StructType([StructField("_id", LongType()), StructField("_group", some.schema["_group"].dataType)]))
+    texts = some.join(F.broadcast(ids), ["_id", "_group"]).groupBy("_id").agg(F.min(F.struct(F.octet_length("_text").alias("size"), "_text"))["_text"].alias("_text"))
+    found = {r["_id"]: r["_text"] for r in texts.collect()}
+    return [(i, g, found[i]) for i, g in chosen if i in found]
+
 
+def stable_sample(df: DataFrame, id_col: str, group_col: str, text_col: str, per_group: int, group_bytes: int) -> list[tuple]:
+    """(id, group, whole text) of at most ``per_group`` rows and ``group_bytes`` bytes of each group, as driver rows in a stable order.
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, per_class: int, chars: int,
-                    id_col: str = "doc_id", text_col: str = "text", fold: tuple[int, int] | None = None) -> list[tuple[str, int]]:
-    """(text start, label) of at most ``per_class`` rows of each class, in a stable order.
+    Rows are drawn by a hash of their id. Null ids, groups and texts are left out.
+    """
+    live = df.where(F.col(id_col).isNotNull() & F.col(group_col).isNotNull() & F.col(text_col).isNotNull())
+    live = live.select(F.col(id_col).cast("long").alias("_id"), F.col(group_col).alias("_group"), F.col(text_col).alias("_text"))
+    return _taken(_thinned(live, "_group", per_group), per_group, group_bytes)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, per_class: int, class_bytes: int,
+                    id_col: str = "doc_id", text_col: str = "text", fold: tuple[int, int] | None = None, unlabelled: int = 0) -> list[tuple[str, int]]:
+    """(whole text, label) of at most ``per_class`` rows and ``class_bytes`` bytes of each class, in a stable order.
 
     ``fold`` = (modulus, held out remainder) of the id's crc32. Rows without text, label or id are
-    left out; of contradicting labels of one id the larger counts. The chosen ids are bounded by
-    ``per_class``, so the join that fetches their texts broadcasts at most that many.
+    left out; of contradicting labels of one id the larger counts. ``unlabelled`` rows of the fold that have
+    no label come with -1, if there are so many.
     """
     part = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
+    texts = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
     if fold:
         part = part.where(crc_mod(F.col(id_col), fold[0]) != fold[1])
-    part = part.groupBy(id_col).agg(F.max(label_col).cast("int").alias("_label"))
-    chosen = [(r[id_col], r["_label"]) for r in stable_sample(part, id_col, "_label", per_class, [])]
-    if not chosen:
-        return []
-    ids = docs.sparkSession.createDataFrame(chosen, "_id long, _label int")
-    texts = docs.select(F.col(id_col).alias("_id"), F.substring(text_col, 1, chars).alias("_text")).where(F.col("_text").isNotNull())
-    rows = texts.join(F.broadcast(ids), "_id").collect()
-    best = {}
-    for r in rows:  # repeated ids give one row
-        if r["_id"] not in best or r["_text"] < best[r["_id"]][0]:
-            best[r["_id"]] = (r["_text"], r["_label"])
-    return [best[i] for i, _ in chosen if i in best]
+        texts = texts.where(crc_mod(F.col("_id"), fold[0]) != fold[1])
+    part = part.groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.max(label_col).cast("int").alias("_group"))
+    some = texts.join(F.broadcast(_thinned(part, "_group", per_class)), "_id")
+    out = [(t, y) for _, y, t in _taken(some, per_class, class_bytes)]
+    if unlabelled:
+        # Ids are drawn without their texts; so many more that enough are left without the labelled ones.
+        ids = texts.select("_id").where(_draw() < F.lit(_limit(2 * unlabelled, docs.count())))
+        free = ids.distinct().join(part.select("_id"), "_id", "left_anti").withColumn("_group", F.lit(-1))
+        out += [(t, y) for _, y, t in _taken(texts.join(F.broadcast(free), "_id"), unlabelled, class_bytes)]
+    return out

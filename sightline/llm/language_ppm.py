@@ -25,15 +25,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import slices, stable_sample
 
 #: Longest context in bytes.
 ORDER = 4
-#: Labelled rows per language that the trees are counted on, and bytes of each that are counted.
+#: Labelled rows per language that the trees are counted on, whole ones, and their bytes together at most.
 SAMPLE_ROWS = 250
-SAMPLE_BYTES = 2048
+SAMPLE_BYTES = 500_000
 #: A text whose best code is longer than this (bits per byte) is in none of the languages.
 REJECT_BITS = 7.5
 UNDETERMINED = "und"
@@ -206,16 +206,14 @@ def build_model(samples: dict[str, list[bytes]], order: int = ORDER) -> PPMModel
 
 
 def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
-          rows: int = SAMPLE_ROWS, row_bytes: int = SAMPLE_BYTES, order: int = ORDER) -> PPMModel:
-    """Fit on a stable sample of at most ``rows`` rows per language, ``row_bytes`` of each.
+          rows: int = SAMPLE_ROWS, total_bytes: int = SAMPLE_BYTES, order: int = ORDER) -> PPMModel:
+    """Fit on a stable sample of at most ``rows`` whole rows and ``total_bytes`` bytes of each language.
 
     Both bounds concern the fit alone; scoring always reads whole texts.
     """
-    part = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    part = part.select(id_col, lang_col, F.substring(text_col, 1, row_bytes).alias("_text"))
     samples: dict[str, list[bytes]] = defaultdict(list)
-    for r in stable_sample(part, id_col, lang_col, rows, ["_text"]):
-        samples[r[lang_col]].append(r["_text"].encode()[:row_bytes])
+    for _, lang, text in stable_sample(labelled, id_col, lang_col, text_col, rows, total_bytes):
+        samples[lang].append(text.encode("utf-8", "surrogatepass"))
     return build_model(dict(samples), order)
 
 
@@ -238,14 +236,12 @@ def identify(model: PPMModel, texts: list[str | None]) -> list[tuple[str, float,
 
 
 def predict(docs: DataFrame, model: PPMModel, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred, lang_score and lang_bits added; narrow, texts stay where they are."""
+    """``docs`` with lang_pred, lang_score and lang_bits added (in place of columns of these names); narrow, texts stay where they are."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample's size
-    schema = docs.schema
-    at = schema.fieldNames().index(text_col)
-    new = ("lang_pred string", "lang_score double", "lang_bits double")
-    from pyspark.sql.types import StructType
-
-    out_schema = StructType([*schema.fields, *(StructType.fromDDL(x).fields[0] for x in new)])
+    new = StructType.fromDDL("lang_pred string, lang_score double, lang_bits double").fields
+    docs = docs.select(*(c for c in docs.columns if c.lower() not in {f.name for f in new}))
+    at = docs.columns.index(text_col)
+    out_schema = StructType([*docs.schema.fields, *new])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frozen = shared.value

@@ -8,7 +8,7 @@ Only documents are labelled. Line labels are found by rounds: lines of good docu
 document starts with its lines bad as far as a line classifier holds them likelier bad than good
 (its likeliest line always), and each fitted chain labels them again. The fit reads a bounded,
 documented sample; scoring reads every whole text, its chains in parallel over the documents of a
-batch, so that a long document costs no more memory than its lines.
+batch; a batch is bounded by bytes, so a long document costs no more memory than its own lines.
 
 Defined results: a null or empty text is one empty line and gets the score of such a line; repeated
 rows and null ids each give their own row; with no labelled rows all scores are 0.5; other columns
@@ -26,9 +26,9 @@ from pyspark.sql import DataFrame
 
 from .common import labelled_sample, slices
 
-#: Bounds of the fit: labelled rows per class, and characters of each.
+#: Bounds of the fit: labelled rows per class, whole ones, and their bytes together.
 SAMPLE_ROWS = 1200
-SAMPLE_CHARS = 8000
+SAMPLE_BYTES = 6_000_000
 ROUNDS = 3
 SYMBOLS = b"#*$%&|<>^~=_{}[]\\@"
 DIGITS = b"0123456789"
@@ -212,10 +212,10 @@ def fit(rows: list[tuple[str, int]]) -> QualityModel:
     return QualityModel(crf, _logistic(s, y.astype(float), np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))))
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", per_class: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS,
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", per_class: int = SAMPLE_ROWS, class_bytes: int = SAMPLE_BYTES,
           fold: tuple[int, int] | None = None) -> QualityModel:
-    """Fit on at most ``per_class`` labelled rows of each class, ``chars`` characters of each."""
-    return fit(labelled_sample(docs, labels, label_col, per_class, chars, fold=fold))
+    """Fit on at most ``per_class`` labelled rows and ``class_bytes`` bytes of each class, whole texts."""
+    return fit(labelled_sample(docs, labels, label_col, per_class, class_bytes, fold=fold))
 
 
 def score_documents(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

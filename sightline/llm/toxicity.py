@@ -3,8 +3,10 @@
 Many voters look at a text: fixed lexicons by language and kind, patterns around lexicon words, and
 stems found in labelled rows. A generative label model (latent class, one voter matrix) estimates
 each voter's accuracy by EM and the correlations that are left between voters given the class; a
-voter's evidence is divided by how many others it repeats. A linear classifier over words and word
-beginnings is trained on the posterior labels, and scores texts by one weighted lookup per word.
+voter's evidence is divided by how many others it repeats. Most rows of a corpus have no label: unlabelled
+rows take part in EM, and the voters alone give them their posterior label; a known label is one more
+vote for its row. A linear classifier over words and word beginnings is trained on the posterior
+labels of both kinds of rows, and scores texts by one weighted lookup per word.
 
 The fit uses a bounded, documented sample of rows; scoring reads every whole text.
 
@@ -26,9 +28,10 @@ from pyspark.sql import DataFrame
 
 from .common import labelled_sample, slices
 
-#: Bounds of the fit: labelled rows per class, and characters of each.
+#: Bounds of the fit: labelled rows per class and unlabelled rows, whole ones, and the bytes of each kind together.
 SAMPLE_ROWS = 2500
-SAMPLE_CHARS = 8000
+UNLABELLED_ROWS = 2500
+SAMPLE_BYTES = 10_000_000
 #: Beginnings of words that are features beside the words.
 STEMS = (4, 5, 6)
 MAX_FEATURES = 4000
@@ -255,10 +258,10 @@ def fit(rows: list[tuple[str, int]], prior: float | None = None) -> ToxicityMode
     return ToxicityModel(voters, model, fit_linear(found, post, weight))
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_class: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS,
-          fold: tuple[int, int] | None = None) -> ToxicityModel:
-    """Fit on at most ``per_class`` labelled rows of each class, ``chars`` characters of each."""
-    return fit(labelled_sample(docs, labels, label_col, per_class, chars, fold=fold), prior=0.15)
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", per_class: int = SAMPLE_ROWS, class_bytes: int = SAMPLE_BYTES,
+          fold: tuple[int, int] | None = None, unlabelled: int = UNLABELLED_ROWS) -> ToxicityModel:
+    """Fit on at most ``per_class`` labelled rows of each class and ``unlabelled`` rows without a label, whole texts."""
+    return fit(labelled_sample(docs, labels, label_col, per_class, class_bytes, fold=fold, unlabelled=unlabelled), prior=0.15)
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import merged, stored
 
 
 def _both_ways(links: DataFrame) -> DataFrame:
@@ -21,14 +21,14 @@ def _large_star(links: DataFrame) -> DataFrame:
     """Every node links its larger neighbours to the least node of its neighbourhood."""
     near = _both_ways(links)
     least = near.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return near.where("v > u").join(least, "u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a < b").distinct()
+    return near.where("v > u").join(merged(least), "u").select(F.col("m").alias("a"), F.col("v").alias("b")).where("a < b").distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     """Every node links its smaller neighbours, and itself, to the least of them."""
     near = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     least = near.groupBy("u").agg(F.min("v").alias("m"))
-    moved = near.join(least, "u").select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("v").alias("b")), F.struct(F.col("m").alias("a"), F.col("u").alias("b")))).alias("e"))
+    moved = near.join(merged(least), "u").select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("v").alias("b")), F.struct(F.col("m").alias("a"), F.col("u").alias("b")))).alias("e"))
     return moved.select("e.*").where("a < b").distinct()
 
 

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import release, slices, stored, unused, words_of
+from .common import merged, release, slices, stored, unused, words_of
 from .components import components
 from .parity_sketch import bands, mix, set_id, shingle_set
 
@@ -215,7 +215,7 @@ class _Texts:
                 known.update(i for i, _ in rows)
                 yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([t for _, t in rows], pa.string())], names=["node", "text"])
 
-        ids = stored(nodes.join(self.first_ids, "node", "left"), "ids")
+        ids = stored(nodes.join(merged(self.first_ids), "node", "left"), "ids")
         with_id, without = ids.where("first_id is not null"), ids.where("first_id is null").select("node")
         if ids.count() <= BROADCAST_IDS:
             with_id, without = F.broadcast(with_id), F.broadcast(without)
@@ -228,8 +228,8 @@ def verified(pairs: DataFrame, texts: _Texts, p: int, q: int) -> DataFrame:
     width = texts.width
     need = stored(texts.of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "texts")
     heads = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(HEAD_PAIRS)).cast("int").alias("salts"))
-    first = heads.withColumnRenamed("a", "node").join(need, "node").select(F.col("node").alias("a"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), "node", "text")
-    second = pairs.join(heads, "a").select("a", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"), F.lit(1).alias("kind"), F.col("b").alias("node")).join(need, "node")
+    first = heads.withColumnRenamed("a", "node").join(merged(need), "node").select(F.col("node").alias("a"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), "node", "text")
+    second = pairs.join(merged(heads), "a").select("a", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"), F.lit(1).alias("kind"), F.col("b").alias("node")).join(merged(need), "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         how, at, mine = bands(p, q), None, None
@@ -319,7 +319,7 @@ def _within_bound(pairs: DataFrame, facts: DataFrame, p: int, q: int) -> DataFra
             near &= np.minimum(x, y) * q >= np.maximum(x, y) * p
             yield part.select([0, 1]).filter(pa.array(near))
 
-    met = pairs.join(left, "a").join(right, "b").select("a", "b", "n_a", "sketch_a", "n_b", "sketch_b")
+    met = pairs.join(merged(left), "a").join(merged(right), "b").select("a", "b", "n_a", "sketch_a", "n_b", "sketch_b")
     return met.mapInArrow(run, "a long, b long")
 
 
@@ -331,7 +331,7 @@ def _extended(labels: DataFrame, links: DataFrame) -> DataFrame:
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
     """Pairs (a, b) of different components."""
     for x in ("a", "b"):
-        pairs = pairs.join(labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}")), x, "left")
+        pairs = pairs.join(merged(labels.select(F.col("node").alias(x), F.col("label").alias(f"label_{x}"))), x, "left")
     return pairs.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
 
 
@@ -356,17 +356,17 @@ def join(docs: DataFrame, width: int = 3, p: int = 9, q: int = 10, id_col: str =
     first = star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     links = stored(verified(first, texts, p, q), "star-links")
     labels = stored(components(links), "labels")
-    second = stored(_apart(star.join(first, ["a", "b"], "left_anti"), labels), "star-rest")
+    second = stored(_apart(star.join(merged(first), ["a", "b"], "left_anti"), labels), "star-rest")
     if second.limit(1).count():
         found = stored(verified(second, texts, p, q), "star-rest-links")
         links, labels = links.unionByName(found), _extended(labels, found)
 
     # What the stars leave: buckets of several components, the pairs of which are not all tested.
     label = labels.select("node", "label")
-    marked = members.join(label, "node", "left").select("key", "node", "own", F.coalesce("label", "node").alias("label"))
+    marked = members.join(merged(label), "node", "left").select("key", "node", "own", F.coalesce("label", "node").alias("label"))
     open_keys = marked.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("size")).where("lo < hi and size > 2").select("key", "size")
-    rest = marked.join(open_keys, "key").join(facts, "node").select("key", "node", "own", "label", "n", "sketch", "size")
-    more = stored(_tile_pairs(rest, p, q).join(star, ["a", "b"], "left_anti"), "rest")
+    rest = marked.join(merged(open_keys), "key").join(merged(facts), "node").select("key", "node", "own", "label", "n", "sketch", "size")
+    more = stored(_tile_pairs(rest, p, q).join(merged(star), ["a", "b"], "left_anti"), "rest")
     if more.limit(1).count():
         found = stored(verified(more, texts, p, q), "rest-links")
         links, labels = links.unionByName(found), _extended(labels, found)
@@ -377,7 +377,7 @@ def all_links(docs: DataFrame, width: int = 3, p: int = 9, q: int = 10, id_col:
     """As ``join``, with every link between classes: each candidate pair is verified, none is left to the components."""
     every, facts, members, texts = _found(docs, width, p, q, id_col, text_col)
     sizes = members.groupBy("key").agg(F.count("*").alias("size"))
-    every_pair = members.withColumn("label", F.col("node")).join(sizes, "key").join(facts, "node").select("key", "node", "own", "label", "n", "sketch", "size")
+    every_pair = members.withColumn("label", F.col("node")).join(merged(sizes), "key").join(merged(facts), "node").select("key", "node", "own", "label", "n", "sketch", "size")
     links = stored(verified(stored(_tile_pairs(every_pair, p, q), "pairs"), texts, p, q), "links")
     return JaccardJoin(every, links, stored(components(links), "labels"))
 
@@ -386,18 +386,18 @@ def link_counts(found: JaccardJoin) -> DataFrame:
     """(doc_id, n_shingles, component_id, n_links) of every document of ``all_links``; documents of equal sets are linked."""
     sizes = found.signatures.where("node is not null").groupBy("node").agg(F.count("*").alias("docs"))
     ends = found.links.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))).alias("e")).select("e.*")
-    others = ends.join(sizes.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.sum("docs").alias("linked"))
-    counts = sizes.join(others, "node", "left").select("node", (F.col("docs") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
-    return document_components(found).join(counts, "node", "left").select("doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    others = ends.join(merged(sizes.withColumnRenamed("node", "other")), "other").groupBy("node").agg(F.sum("docs").alias("linked"))
+    counts = sizes.join(merged(others), "node", "left").select("node", (F.col("docs") - 1 + F.coalesce("linked", F.lit(0))).alias("n_links"))
+    return document_components(found).join(merged(counts), "node", "left").select("doc_id", "n_shingles", "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def document_components(found: JaccardJoin) -> DataFrame:
     """(doc_id, n_shingles, node, label, component_id) of every document; the id is the least of its component."""
     live = found.signatures.where("node is not null")
-    classes = live.groupBy("node").agg(F.min("doc_id").alias("first_id")).join(found.labels, "node", "left").select("node", "first_id", F.coalesce("label", "node").alias("label"))
+    classes = live.groupBy("node").agg(F.min("doc_id").alias("first_id")).join(merged(found.labels), "node", "left").select("node", "first_id", F.coalesce("label", "node").alias("label"))
     ids = classes.groupBy("label").agg(F.min("first_id").alias("component_id"))
-    of_node = classes.join(ids, "label").select("node", "label", "component_id")
-    linked = live.join(of_node, "node").select("doc_id", F.col("n").alias("n_shingles"), "node", "label", "component_id")
+    of_node = classes.join(merged(ids), "label").select("node", "label", "component_id")
+    linked = live.join(merged(of_node), "node").select("doc_id", F.col("n").alias("n_shingles"), "node", "label", "component_id")
     empty = found.signatures.where("node is null").select("doc_id", F.col("n").alias("n_shingles"), "node", F.lit(None).cast("long").alias("label"), F.col("doc_id").alias("component_id"))
     return linked.unionByName(empty)
 
@@ -413,7 +413,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, p: int = 4, q: int = 5, id_
     an_id, flag, node, component, label, row = unused(docs, "id", "several", "node", "component", "label", "row")
     # Ids whose rows an id alone cannot tell apart; all others stay or go by their id.
     several = parts.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select(F.col("doc_id").alias(an_id), F.lit(True).alias(flag))
-    gone = live.where("component_id < doc_id").select(F.col("doc_id").alias(an_id)).distinct().join(several, an_id, "left_anti").withColumn(flag, F.lit(False))
+    gone = live.where("component_id < doc_id").select(F.col("doc_id").alias(an_id)).distinct().join(merged(several), an_id, "left_anti").withColumn(flag, F.lit(False))
     marks = stored(gone.unionByName(several), "marks")
     marked = docs.join(marks, F.col(id_col).cast("long") == F.col(an_id), "left")
     single = marked.where(F.col(flag).isNull() & F.col(id_col).isNotNull()).select(*docs.columns)

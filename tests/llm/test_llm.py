@@ -222,7 +222,7 @@ def test_cuckoo_filter():
     from sightline.llm.cuckoo import CuckooFilter
 
     k = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, (3000, 2))
-    f = CuckooFilter(1500)  # overfull: the stash takes the rest
+    f = CuckooFilter(1000)  # overfull: the stash takes the rest
     f.insert(k[:2500, 0], k[:2500, 1])
     assert f.contains(k[:2500, 0], k[:2500, 1]).all() and f.contains(k[2500:, 0], k[2500:, 1]).mean() < 0.05
     f.delete(k[:2000, 0], k[:2000, 1])
@@ -230,6 +230,137 @@ def test_cuckoo_filter():
     assert g.contains(k[2000:2500, 0], k[2000:2500, 1]).all() and g.contains(k[:2000, 0], k[:2000, 1]).mean() < 0.1
 
 
+def test_cuckoo_arrays_and_an_index_that_outgrows_its_filters(spark):
+    import time
+
+    import numpy as np
+
+    from sightline.llm import line_dedup as L
+    from sightline.llm.cuckoo import CuckooFilter
+
+    k = np.random.default_rng(2).integers(-(2**63), 2**63 - 1, (200_000, 2))
+    began, f = time.time(), CuckooFilter(200_000)
+    f.insert(k[:, 0], k[:, 1])
+    assert f.contains(k[:, 0], k[:, 1]).all() and len(f.stash) < 20 and time.time() - began < 5
+    rows = lambda a, b: spark.createDataFrame([(3 * i + j, f"a line of text with the number {i}") for i in range(a, b) for j in range(3)], "doc_id long, text string")
+    index = L.insert(L.build(rows(0, 5)), rows(5, 6005))
+    held = [CuckooFilter.from_bytes(bytes(r.filter)) for r in index.filters.collect()]
+    assert len(held) == 1 and not held[0].stash and held[0].table.size > 6005
+    assert L.rewrite(rows(0, 6005), index).where("n_dropped = 1").count() == 2 * 6005
+
+
+def test_added_columns_replace_those_of_the_same_name(spark):
+    from sightline.llm import decontaminate, language_ppm, line_dedup, ngram_jaccard
+
+    line = "A line that is long enough"
+    docs = spark.createDataFrame([(i, line, "x", 7, "l", "b", "k") for i in range(4)], "doc_id long, text string, lang_pred string, n_lines long, _lost_keys string, _bad string, _id string")
+    model = language_ppm.build_model({"en": [b"the cat sat"]})
+    out = language_ppm.predict(docs, model)
+    assert out.columns.count("lang_pred") == 1 and {r.lang_pred for r in out.collect()} == {"en"}
+    out = line_dedup.dedup_lines(docs)
+    assert {(r.doc_id, r.n_lines, r.n_dropped, r._lost_keys) for r in out.collect()} == {(0, 1, 1, "l"), (1, 1, 1, "l"), (2, 1, 1, "l"), (3, 1, 0, "l")}
+    bench = spark.createDataFrame([(1, "long enough a line that is")], "item_id long, text string")
+    assert decontaminate.clean(docs, bench).columns == docs.columns and decontaminate.clean(docs, bench).count() == 4
+    assert [tuple(r) for r in ngram_jaccard.near_duplicates(docs).collect()] == [(0, line, "x", 7, "l", "b", "k")]
+
+
+def test_empty_tables_give_empty_results(spark):
+    from sightline.llm import bpe, html_text, language_ppm, quality_crf, toxicity, warc
+
+    import public_tokenizers as P
+
+    docs, pages = odd(spark, []), spark.createDataFrame([], "page_id long, url string, html string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert warc.derivatives(warc.responses_from_pages(pages)).count() == html_text.extract(pages).count() == 0
+    for module in (toxicity, quality_crf):
+        assert module.score_documents(docs, module.train(docs, labels)).count() == 0
+    assert language_ppm.predict(docs, language_ppm.train(docs)).count() == 0
+    assert bpe.encode_documents(docs, P.path("byte_bpe_50k.tiktoken"), P.PATTERN).count() == 0
+
+
+def test_fits_take_whole_texts_within_their_bytes(spark):
+    from sightline.llm.common import labelled_sample, stable_sample
+
+    docs = spark.createDataFrame([(i, "w" * (50 * i), "en") for i in range(1, 41)] + [(5, "short", "en"), (None, "x", "en"), (90, None, "en")], "doc_id long, text string, lang string")
+    got = stable_sample(docs, "doc_id", "lang", "text", 100, 10_000)
+    texts = {r.doc_id: r.text for r in docs.collect()} | {5: "short"}
+    assert 5 < len(got) < 41 and sum(len(t) for *_, t in got) <= 10_000 and all(t == texts[i] for i, _, t in got) and len({i for i, *_ in got}) == len(got)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 11)] + [(3, 0), (4, None)], "doc_id long, toxic int")
+    rows = labelled_sample(docs, labels, "toxic", 100, 10**6, fold=(5, 0), unlabelled=100)
+    own = {i for i in texts if i and zlib.crc32(str(i).encode()) % 5}
+    want = sorted([(texts[i], -1 if not 1 <= i <= 10 else i % 2) for i in own if texts[i]], key=str)
+    assert sorted(rows, key=str) == want
+
+
+def test_label_model_equals_brute_force_em():
+    """Posteriors of labelled and unlabelled rows, by a plain EM over dictionaries; unlabelled rows get theirs from the voters."""
+    import numpy as np
+
+    from sightline.llm.toxicity import fit_label_model
+
+    rng = np.random.default_rng(8)
+    truth = rng.random(400) < 0.3
+    votes = np.stack([np.where(rng.random(400) < p, np.where(rng.random(400) < q, truth, ~truth) * 2 - 1, 0) for p, q in ((0.9, 0.9), (0.6, 0.8), (0.8, 0.7))], 1)
+    known = np.where(np.arange(400) < 120, truth, -1).astype(int)
+    model = fit_label_model(votes, known, 0.3, rounds=200)
+    got = model.posterior(votes, known)
+
+    n, k = votes.shape
+    post = [known[i] * 0.94 + 0.03 if known[i] >= 0 else 0.9 if votes[i].sum() > 0 else 0.05 for i in range(n)]
+    for _ in range(200):
+        rate = {}
+        for y in (0, 1):
+            for j in range(k):
+                total = {v: 0.5 + sum(post[i] if y else 1 - post[i] for i in range(n) if votes[i, j] == v) for v in (-1, 0, 1)}
+                rate |= {(y, j, v): total[v] / sum(total.values()) for v in total}
+        mean = {(y, j): sum(v * rate[y, j, v] for v in (-1, 0, 1)) for y in (0, 1) for j in range(k)}
+        left = [[votes[i, j] - post[i] * mean[1, j] - (1 - post[i]) * mean[0, j] for j in range(k)] for i in range(n)]
+        dot = lambda a, b: sum(left[i][a] * left[i][b] for i in range(n)) / n
+        corr = [[1.0 if a == b else dot(a, b) / math.sqrt(dot(a, a) * dot(b, b)) for b in range(k)] for a in range(k)]
+        weight = [1 / max(1, sum(max(0.0, min(1.0, corr[a][j])) ** 2 for a in range(k))) for j in range(k)]
+        new = []
+        for i in range(n):
+            z = math.log(0.3 / 0.7) + sum(weight[j] * math.log(rate[1, j, votes[i, j]] / rate[0, j, votes[i, j]]) for j in range(k))
+            z += (2 * known[i] - 1) * math.log(0.97 / 0.03) if known[i] >= 0 else 0
+            new.append(1 / (1 + math.exp(-z)))
+        done, post = max(abs(a - b) for a, b in zip(new, post)) < 1e-4, new
+        if done:
+            break
+    assert np.abs(got - np.array(post)).max() < 1e-3
+    free = known < 0
+    assert ((got > 0.5) == truth)[free].mean() > 0.85 and 0 < (got[free] > 0.5).mean() < 1
+
+
+def test_warc_reads_gzipped_and_cut_files(spark, tmp_path):
+    import gzip
+
+    from sightline.llm import warc
+
+    head = lambda i, n: f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:{i}>\r\nWARC-Target-URI: http://h/{i}\r\nContent-Length: {n}\r\n\r\n".encode()
+    blocks = [f"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n<p>é {i} {'x' * 3000}".encode() for i in range(500)]
+    records = [head(i, len(b)) + b + b"\r\n\r\n" for i, b in enumerate(blocks)]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(map(gzip.compress, records)))
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(b"".join(records)))
+    (tmp_path / "c.warc").write_bytes(b"junk" + b"".join(records)[:-200])
+    (tmp_path / "d.warc").write_bytes(b"")
+    rows = warc.read_responses(spark, str(tmp_path)).collect()
+    assert len(rows) == 1500 and sorted({r.record_id for r in rows}) == sorted(f"<urn:{i}>" for i in range(500))
+    assert all(r.payload == blocks[int(r.record_id[5:-1])].partition(b"\r\n\r\n")[2].decode() for r in rows if not r.record_id == "<urn:499>") and {r.content_type for r in rows} == {"text/html"}
+    made = warc.derivatives(warc.read_responses(spark, str(tmp_path / "a.warc.gz")))
+    assert made.count() == 1000 and made.where("refers_to = '<urn:7>' and warc_type = 'conversion'").first().block.startswith("é 7 xxx")
+
+
+def test_warc_pages_of_unclosed_tags_take_linear_time(spark):
+    import time
+
+    from sightline.llm import warc
+
+    pages = [(i, "u", x) for i, x in enumerate(["<!--" * 100_000, "<p " * 100_000, "<title" * 60_000, "<script" * 60_000, "a<p>b<i c < 3 d", "a<!-- x --> b <!-- c"])]
+    began = time.time()
+    rows = warc.derivatives(warc.responses_from_pages(spark.createDataFrame(pages, "page_id long, url string, html string"))).collect()
+    assert time.time() - began < 20 and sorted(r.block for r in rows if r.warc_type == "conversion") == ["", "", "", "", "a\nb", "a b"]
+
+
 def test_warc_records_link_and_round_trip(spark):
     from sightline.llm import warc
 
@@ -455,6 +586,64 @@ def test_html_main_text(spark):
     assert [(r.text, r.n_chars) for r in rows] == [("", 0), ("plain", 5)]
 
 
+def test_html_tokens_as_html_has_them():
+    import time
+
+    from sightline.llm.html_text import main_text
+
+    assert main_text("<article>..one..</article><p>Related teaser</p><article>..two..</article>") == "..one..\n..two.."
+    assert main_text("<p title=don't>one") == "one" and main_text('<p class="a>b">x</p>y<p title="q>z') == "x\ny"
+    assert main_text("a < b <3 c <!--> d <!---> e <!-- f --!> g <? h > i </ j > k") == "a < b <3 c d e g i k"
+    assert main_text("<p a='1'b=\"2\" c = 3/>x<br/>y<input disabled>z<ScRipt>no</SCRIPT >w") == "x yzw"
+    assert main_text("<p HIDDEN>a<div aria-hidden='true'>b</div><p style='display: none'>c</p><p>d") == "d"
+    for text in ("<a ", "<!--", "<script", "<p title='", "<", "<div>", "</", "<p =\"x"):
+        began = time.time()
+        main_text(text * (1_000_000 // len(text)))
+        assert time.time() - began < 5, text
+
+
+def brute_sections(lines):
+    """Which lines are text, by trying every window of three lines of every section."""
+    if any(s > 0 for *_, s in lines):
+        lines = [x if x[2] > 0 else (*x[:2], 0) for x in lines]
+    marked = sorted({s for *_, s in lines if s})
+    for level in (60,) if marked else (60, 1):
+        out = set()
+        for s in marked or [0]:
+            own = [i for i, x in enumerate(lines) if x[2] == s]
+            sums = [sum(lines[i][1] for i in own[a : a + 3]) for a in range(len(own))]
+            for a in range(len(own)):
+                if lines[own[a]][1] > 0 and sums[a] >= level:
+                    dive = next((b for b in range(a, len(own)) if not sums[b]), len(own))
+                    out |= set(own) if marked else set(own[a:dive])
+        if out:
+            break
+    return [lines[i][0] for i in sorted(out or {i for i, x in enumerate(lines) if x[2]})]
+
+
+def test_html_distribution_equals_brute_force():
+    from sightline.llm.html_text import main_text, page_lines
+
+    rng = random.Random(4)
+    line = lambda: rng.choice(["<p>{}</p>", "<p><a href=x>{}</a></p>", "<div>{}</div>", "<nav>{}</nav>"]).format("word " * rng.choice([1, 2, 8, 30]))
+    for _ in range(400):
+        parts = []
+        for _ in range(rng.randrange(1, 6)):
+            tag = rng.choice(["", "", "article", "main", "section"])
+            inner = "".join(line() for _ in range(rng.randrange(0, 7)))
+            parts.append(f"<{tag}>{inner}</{tag}>" if tag else inner)
+        page = "".join(parts)
+        assert main_text(page).split("\n") == (brute_sections(page_lines(page)) or [""]), page
+
+
+def test_html_sections_without_a_surge_are_left_out():
+    from sightline.llm.html_text import main_text
+
+    long = "A sentence of the article that is long enough to make the sums of the lines surge. "
+    assert main_text(f"<main><p>Crumbs</p><article><h1>T</h1><p>{long}</p><p>End.</p></article><article><p>Teaser</p></article></main><p>{long}</p>") == f"T\n{long.strip()}\nEnd."
+    assert main_text(f"<div role=main><h1>T</h1><p>{long}</p></div><p>Out</p>") == f"T\n{long.strip()}"
+
+
 def test_html_keeps_every_span_that_surges():
     from sightline.llm.html_text import main_text
 
@@ -464,6 +653,21 @@ def test_html_keeps_every_span_that_surges():
     assert main_text(f"<p>One line.</p>{links}<p>Another line.</p>") == "One line.\nAnother line."
 
 
+def test_pipeline_stages_at_the_edges(spark):
+    """Null, empty and repeated rows, rows of one id, extra columns of clashing names, and empty tables."""
+    import corpus_pipeline as C
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(60)
+    more = spark.createDataFrame([(10**6 + (i or 0) if i else None, t, "en", None, 3) for i, t in EDGES], "doc_id long, text string, lang string, source string, n_chars long")
+    left = docs.unionByName(more).withColumn("lang_pred", C.F.lit("x")).withColumn("n_lines", C.F.lit(1)).withColumn("_id", C.F.lit("y")).withColumn("component_id", C.F.lit("z"))
+    for name, stage in C.STAGES:
+        out = C.stored(stage(spark, left, SMALL), name)
+        assert out.count() <= left.count() and (out.columns == C.COLUMNS or name == C.STAGES[-1][0]), name
+        assert stage(spark, left.limit(0), SMALL).count() == 0, name
+        left = out if name != C.STAGES[-1][0] else left
+    assert left.count() > 20
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as C
 

@@ -24,10 +24,11 @@ def content_hash(text: Column) -> Column:
 
 
 def estimate_tokens(text: Column) -> Column:
-    """A quarter token per word character, rounded up word by word, and one per other visible character."""
-    words = F.regexp_extract_all(text, F.lit(f"({_WORD}+)"), F.lit(1))
-    of_words = F.aggregate(words, F.lit(0).cast("long"), lambda acc, w: acc + F.ceil(F.length(w) / 4).cast("long"))
-    return of_words + F.length(F.regexp_replace(text, f"{_WORD}|{_WHITE}", ""))
+    """A quarter token per word character, rounded up word by word, and one per other visible character.
+
+    Greedy runs of at most four word characters are just so many per word, so one pass counts both.
+    """
+    return F.regexp_count(text, F.lit(rf"{_WORD}{{1,4}}|[^\p{{IsAlphabetic}}\p{{N}}_\p{{IsWhite_Space}}]")).cast("long")
 
 
 def strip_keywords(path: Column) -> Column:
@@ -41,8 +42,8 @@ def short_path(path: Column) -> Column:
 
 
 def under_root(path: Column, root: Column) -> Column:
-    """A path below ``root`` made relative to it; any other path unchanged."""
-    return F.when(F.startswith(path, F.concat(root, F.lit("/"))), F.substring(path, F.length(root) + 2, F.length(path))).otherwise(path)
+    """A path below ``root`` made relative to it (the root itself: empty); any other path unchanged."""
+    return F.when(path == root, F.lit("")).when(F.startswith(path, F.concat(root, F.lit("/"))), F.substring(path, F.length(root) + 2, F.length(path))).otherwise(path)
 
 
 def remap(path: Column, old_root: Column, new_root: Column) -> Column:
@@ -74,11 +75,12 @@ def path_parts(path: Column) -> Column:
 
 
 def literal_filter(path: Column, prefix: str) -> Column:
-    """Component-wise prefix test; an empty prefix holds for all."""
+    """Component-wise prefix test, on names alone: empty components and dots count on neither side; an empty prefix holds for all."""
     want = [x for x in prefix.split("/") if x]
     if not want:
         return F.lit(True)
-    return F.slice(path_parts(path), 1, len(want)) == F.array(*map(F.lit, want))
+    own = F.filter(path_parts(path), lambda x: ~x.isin("", ".", ".."))
+    return F.slice(own, 1, len(want)) == F.array(*map(F.lit, want))
 
 
 def regex_filter(path: Column, pattern: str) -> Column:
@@ -106,8 +108,86 @@ def compact_number(n: Column) -> Column:
 
 
 def percent_band(pct: Column) -> Column:
-    """The band that a percentage is shown in."""
-    return F.when(pct <= 20, "0-20").when(pct <= 50, "21-50").when(pct <= 80, "51-80").otherwise("81-100")
+    """The band that a percentage is shown in, by its whole part."""
+    whole = F.floor(pct)
+    return F.when(whole <= 20, "0-20").when(whole <= 50, "21-50").when(whole <= 80, "51-80").otherwise("81-100")
+
+
+def decision(pct: Column, proceed: float = 80, adequate: float = 50) -> Column:
+    """What a file's full percentage allows: to go on, to change it in places, or to read it first; nothing read allows nothing."""
+    return F.when(pct == 0, "unread").when(pct >= proceed, "proceed").when(pct >= adequate, "adequate").otherwise("read")
+
+
+def fixed(x: Column, digits: int, signed: bool = False) -> Column:
+    """A double with 0 or 1 digits after the point; its exact binary value is rounded, a true half to the even digit.
+
+    The fraction is cut into 104 bits, which hold every double from 2^-52 on whole.
+    """
+    a, unit = F.abs(x), F.lit(float(1 << 52))
+    whole = F.floor(a)
+    high = F.floor((a - whole) * unit)
+    low = F.floor(((a - whole) * unit - high) * unit)
+    one = F.lit(str(1 << 104)).cast("decimal(38,0)")
+    bits = high.cast("decimal(17,0)") * F.lit(str(1 << 52)).cast("decimal(17,0)") + low.cast("decimal(17,0)")
+    scaled = bits.cast("decimal(34,0)") * F.lit(10**digits).cast("decimal(2,0)")
+    digit = F.floor((scaled - scaled % one) / one).cast("long") if digits else F.lit(0).cast("long")
+    rest = (scaled % one).cast("decimal(38,0)")
+    half = F.lit(str(1 << 103)).cast("decimal(38,0)")
+    odd = (digit if digits else whole) % 2 == 1
+    total = whole.cast("long") * 10**digits + digit + ((rest > half) | ((rest == half) & odd)).cast("long")
+    text = total.cast("string") if not digits else F.concat(F.floor(total / 10).cast("string"), F.lit("."), (total % 10).cast("string"))
+    minus = F.when(x < 0, F.lit("-")).otherwise(F.lit("+" if signed else ""))
+    return F.concat(minus, text)
+
+
+def token_delta(before: Column, after: Column) -> Column:
+    """By how many percent the second count differs from the first; 0 if that is none."""
+    return F.when(before > 0, F.lit(100.0) * (after - before) / F.when(before > 0, before)).otherwise(F.lit(0.0))
+
+
+def seconds(milliseconds: Column) -> Column:
+    return milliseconds / F.lit(1000.0)
+
+
+def total_lines(text: Column) -> Column:
+    """Lines of a text; a line feed at the end begins no further line."""
+    feeds = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+    return feeds + ((F.length(text) > 0) & ~F.endswith(text, F.lit("\n"))).cast("int")
+
+
+def short_id(name: Column, length: int = 12) -> Column:
+    return F.left(name, F.lit(length))
+
+
+def name_path(parent: Column, name: Column) -> Column:
+    """Names from the root down, by slashes."""
+    return F.when(F.coalesce(parent, F.lit("")) == "", name).otherwise(F.concat(parent, F.lit("/"), name))
+
+
+def symbol_id(path: Column, names: Column) -> Column:
+    return F.concat(path, F.lit("::"), names)
+
+
+def first_bytes(text: Column, limit: int) -> Column:
+    """The characters that end within ``limit`` bytes."""
+    ends = F.aggregate(F.sequence(F.lit(1), F.lit(limit)), F.struct(F.lit(0).alias("b"), F.lit(0).alias("k")), lambda a, i: F.struct(
+        (a["b"] + F.octet_length(F.substring(text, i, F.lit(1)))).alias("b"), F.when((a["b"] + F.octet_length(F.substring(text, i, F.lit(1))) <= limit) & (i <= F.length(text)), i).otherwise(a["k"]).alias("k")))["k"]
+    return F.when(F.octet_length(text) == F.length(text), F.left(text, F.lit(limit))).otherwise(F.left(text, ends))
+
+
+def wrapped(text: Column, width: int, least: int = 20) -> Column:
+    """The words of a text in lines of at most ``width`` bytes (a longer word has a line of its own); one empty line without words."""
+    room = max(width, least)
+    words = F.filter(F.split(text, _WHITE + "+"), lambda w: w != "")
+    start = F.struct(F.array().cast("array<string>").alias("lines"), F.lit("").alias("line"))
+
+    def add(acc: Column, word: Column) -> Column:
+        full = (F.octet_length(acc["line"]) + 1 + F.octet_length(word)) > room
+        lines = F.when((acc["line"] != "") & full, F.concat(acc["lines"], F.array(acc["line"]))).otherwise(acc["lines"])
+        line = F.when((acc["line"] == "") | full, word).otherwise(F.concat(acc["line"], F.lit(" "), word))
+        return F.struct(lines.alias("lines"), line.alias("line"))
+
+    return F.aggregate(words, start, add, lambda acc: F.concat(acc["lines"], F.array(acc["line"])))
 
 
 def file_status(total: Column, seen: Column, full: Column) -> Column:

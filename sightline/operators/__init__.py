@@ -23,34 +23,56 @@ def name_matches(name_path: Column, name: Column, target: Column) -> Column:
     return one(name_path, target) | (name == target) | one(strip_keywords(name_path), bare) | (strip_keywords(name) == bare)
 
 
-def marks(events: DataFrame, symbols: DataFrame) -> DataFrame:
+def interval_join(left: DataFrame, right: DataFrame, keys: list[str], start: str, end: str, right_start: str, right_end: str, bin_width: int) -> DataFrame:
+    """Pairs of rows with equal ``keys`` and overlapping ranges, by bins of about a range's length.
+
+    A row is dealt to every bin that it touches, and a pair is kept in the bin of its later start alone. So
+    rows of one key meet only where they are near, not all with all. Columns must differ but for the keys.
+    """
+    def dealt(df: DataFrame, a: str, b: str) -> DataFrame:
+        first, last = F.floor(F.col(a) / bin_width), F.floor((F.greatest(F.col(a) + 1, F.col(b)) - 1) / bin_width)
+        return df.withColumn("_bin", F.explode(F.sequence(first, last)))
+
+    met = dealt(left, start, end).join(dealt(right, right_start, right_end), [*keys, "_bin"])
+    once = F.col("_bin") == F.floor(F.greatest(start, right_start) / bin_width)
+    return met.where(once & overlaps(F.col(start), F.col(end), F.col(right_start), F.col(right_end))).drop("_bin")
+
+
+def marks(events: DataFrame, symbols: DataFrame, order: list[str] | None = None) -> DataFrame:
     """One row per (tool call, symbol) that the call touches.
 
-    ``events``: session_id, ord, epoch, agent_id, file_path, read_depth, target_symbol, target_start, target_end.
-    ``symbols``: file_path, ord, subtree_end, id, name, name_path, line_start, line_end, content_hash,
-    estimated_tokens. Without a target the whole file is marked; with a symbol target every matching
-    symbol and what it contains; with a line target every overlapping symbol. The file path is an
-    equality key everywhere, so no plan degenerates into a nested loop.
+    ``events``: session_id, the columns of ``order`` (given back as event_ord; ``ord`` by default), epoch, agent_id,
+    file_path, read_depth, target_symbol, target_start, target_end. ``symbols``: file_path, ord, subtree_end, id,
+    name, line_start, line_end, content_hash, estimated_tokens. Without a target the whole file is marked;
+    with a symbol target every matching symbol and what it contains; with a line target every
+    overlapping symbol. A file's symbols are one sorted array, so calls meet files once, by an equality.
     """
-    e = events.where("file_path is not null").select("session_id", F.col("ord").alias("event_ord"), "epoch", "agent_id", "file_path", "read_depth", "target_symbol", "target_start", "target_end")
-    joined = e.join(symbols, "file_path")
-    plain = F.col("target_symbol").isNull() & F.col("target_start").isNull()
-    by_lines = F.col("target_start").isNotNull() & overlaps(F.col("line_start"), F.col("line_end"), F.col("target_start"), F.col("target_end"))
-    direct = joined.where(plain | by_lines)
-    named = joined.where(F.col("target_symbol").isNotNull() & name_matches(F.col("name_path"), F.col("name"), F.col("target_symbol")))
-    tree = symbols.select("file_path", *(F.col(c).alias(f"d_{c}") for c in ("ord", "id", "content_hash", "estimated_tokens")))
-    inside = named.join(tree, "file_path").where((F.col("ord") <= F.col("d_ord")) & (F.col("d_ord") <= F.col("subtree_end")))
+    given = [F.col(c) for c in order or ["ord"]]
+    e = events.where("file_path is not null").select("session_id", (given[0] if len(given) == 1 else F.struct(*given)).alias("event_ord"), "epoch", "agent_id", "file_path", "read_depth", "target_symbol", "target_start", "target_end")
+    fields = ["ord", "subtree_end", "id", "name", "line_start", "line_end", "content_hash", "estimated_tokens"]
+    trees = symbols.groupBy("file_path").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("tree"))
+    symbol, start, end, tree = (F.col(c) for c in ("target_symbol", "target_start", "target_end", "tree"))
+    plain = symbol.isNull() & start.isNull()
+    named = F.when(symbol.isNotNull(), F.filter(tree, lambda s: name_matches(F.substring_index(s["id"], "::", -1), s["name"], symbol)))
+
+    def touched(s: Column) -> Column:
+        inside = F.exists(F.col("named"), lambda n: (n["ord"] <= s["ord"]) & (s["ord"] <= n["subtree_end"]))
+        by_lines = start.isNotNull() & overlaps(s["line_start"], s["line_end"], start, end)
+        return plain | F.coalesce(inside, F.lit(False)) | F.coalesce(by_lines, F.lit(False))
+
     keys = ["session_id", "event_ord", "epoch", "agent_id", "read_depth", "file_path"]
-    a = direct.select(*keys, F.col("ord").alias("sym_ord"), "id", "content_hash", "estimated_tokens")
-    b = inside.select(*keys, F.col("d_ord").alias("sym_ord"), F.col("d_id").alias("id"), F.col("d_content_hash").alias("content_hash"), F.col("d_estimated_tokens").alias("estimated_tokens"))
-    return a.unionByName(b).distinct()
+    hit = e.join(trees, "file_path").withColumn("named", named).select(*keys, F.explode(F.filter(tree, touched)).alias("s"))
+    return hit.select(*keys, F.col("s.ord").alias("sym_ord"), "s.id", "s.content_hash", "s.estimated_tokens")
 
 
 # --- epochs and ledger --------------------------------------------------------------------------------
 
 
 def with_epochs(events: DataFrame, is_reset: Column, partition: list[str], order: list[str]) -> DataFrame:
-    """``epoch``: how many resets came strictly before each event of its session."""
+    """``epoch``: how many resets came strictly before each event of its session.
+
+    A session's events are one window: they are sorted in one task, and stream through it.
+    """
     before = W.partitionBy(*partition).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     return events.withColumn("epoch", F.coalesce(F.sum(is_reset.cast("long")).over(before), F.lit(0)))
 
@@ -76,6 +98,67 @@ def depth_histogram(ledger_rows: DataFrame, by: list[str] | None = None) -> Data
     return ledger_rows.groupBy(*(by or []), "depth").agg(F.count("*").alias("n"))
 
 
+def agents_of(marked: DataFrame, keys: list[str], agent: str = "agent_id") -> DataFrame:
+    """The agents that touched each key, in their order."""
+    return marked.groupBy(*keys).agg(F.array_sort(F.collect_set(agent)).alias("agents"))
+
+
+def agent_histogram(ledger_agents: DataFrame, ledger_rows: DataFrame, key: str, agent: str, agent_id: str) -> DataFrame:
+    """(depth, n) for one agent; keys that only others touched are unseen to it."""
+    own = ledger_agents.where(F.col(agent) == agent_id).select(key, F.col("depth").alias("_own"))
+    both = ledger_rows.select(key).join(own, key, "left")
+    return both.groupBy(F.coalesce("_own", F.lit(UNSEEN)).alias("depth")).agg(F.count("*").alias("n"))
+
+
+def max_depth_by_file(symbols: DataFrame, depths: DataFrame, key: str = "id", by: str = "file_path") -> DataFrame:
+    """The deepest reading of anything in each file."""
+    d = depths.select(key, F.col("depth").alias("_depth"))
+    return symbols.join(d, key, "left").groupBy(by).agg(F.max(F.coalesce("_depth", F.lit(UNSEEN))).alias("depth"))
+
+
+def subtree_totals(symbols: DataFrame, by: str = "file_path") -> DataFrame:
+    """Each symbol with the number of symbols and the tokens of its subtree, itself included.
+
+    By running sums: a subtree is the rows from ``ord`` to ``subtree_end``, so one lookup gives its sum. (The
+    tokens of a parent cover its children's text already; sum the roots for a file's tokens.)
+    """
+    upto = F.sum("estimated_tokens").over(W.partitionBy(by).orderBy("ord"))
+    sums = symbols.withColumn("_upto", upto)
+    ends = sums.select(by, F.col("ord").alias("subtree_end"), F.col("_upto").alias("_end"))
+    out = sums.join(ends, [by, "subtree_end"])
+    tokens = (F.col("_end") - F.col("_upto") + F.col("estimated_tokens")).alias("total_tokens")
+    return out.select(*symbols.columns, (F.col("subtree_end") - F.col("ord") + 1).cast("long").alias("total_symbols"), tokens)
+
+
+def project_totals(files: DataFrame, symbols: DataFrame) -> DataFrame:
+    """(total_files, total_symbols, root_tokens) of a project."""
+    zero = F.lit(0).cast("long")
+    of_symbols = symbols.select(zero.alias("f"), F.lit(1).alias("s"), F.when(F.col("level") == 0, F.col("estimated_tokens")).otherwise(zero).alias("t"))
+    both = files.select(F.lit(1).cast("long").alias("f"), F.lit(0).alias("s"), zero.alias("t")).unionByName(of_symbols)
+    total = lambda c, name: F.coalesce(F.sum(c), zero).alias(name)
+    return both.agg(total("f", "total_files"), total("s", "total_symbols"), total("t", "root_tokens"))
+
+
+def roll_up_hashes(symbols: DataFrame, by: str = "file_path", hash_col: str = "content_hash") -> DataFrame:
+    """``symbols`` with ``merkle_hash``: a leaf's is its own hash, a parent's that of its own and its children's in order.
+
+    Level by level from below; there are as many steps as the deepest tree has levels.
+    """
+    rest = symbols.drop("merkle_hash")
+    top = rest.agg(F.max("level")).first()[0] or 0
+    done = below = None
+    for level in range(top, -1, -1):
+        here = rest.where(F.col("level") == level)
+        if below is None:
+            now = here.withColumn("merkle_hash", F.col(hash_col))
+        else:
+            joined = below.groupBy(by, F.col("parent_ord").alias("ord")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "merkle_hash"))), lambda c: c["merkle_hash"]), "").alias("_below"))
+            now = here.join(joined, [by, "ord"], "left").withColumn("merkle_hash", F.when(F.col("_below").isNull(), F.col(hash_col)).otherwise(F.sha2(F.concat(hash_col, "_below"), 256))).select(*rest.columns, "merkle_hash")
+        done = now if done is None else done.unionByName(now)
+        below = now
+    return done
+
+
 def stale(old: DataFrame, new: DataFrame, keys: list[str], hash_col: str = "content_hash") -> DataFrame:
     """Keys whose content changed."""
     a = old.select(*keys, F.col(hash_col).alias("old_hash"))
@@ -146,24 +229,81 @@ def first_seen(events: DataFrame, agent: str, order: Column) -> DataFrame:
 
 
 def resolve_agent(agents: DataFrame, prefix: str, agent: str = "agent_id", order: str = "first_ord") -> DataFrame:
-    """The first-seen agent whose id starts with ``prefix``, and how many do."""
+    """(resolved, candidates): the first-seen agent whose id starts with ``prefix``, the prefix itself if none does, and how many do."""
     found = agents.where(F.startswith(F.col(agent), F.lit(prefix)))
-    return found.agg(F.min_by(agent, order).alias("resolved"), F.count("*").alias("candidates"))
+    return found.agg(F.coalesce(F.min_by(agent, order), F.lit(prefix)).alias("resolved"), F.count("*").alias("candidates"))
 
 
-def agent_tree(agents: DataFrame, agent: str = "agent_id", order: str = "first_ord") -> DataFrame:
-    """(agent, parent, depth): ids with ``agent-`` hang below the first parentless agent seen before them."""
-    child = F.startswith(F.col(agent), F.lit("agent-"))
+def agent_tree(agents: DataFrame, agent: str = "agent_id", order: str = "first_ord", session: str = "session_id") -> DataFrame:
+    """(agent, parent, depth): the first agent of a session is its root, and later ids with ``agent-`` hang below it."""
     # Agents of one session only: the list is as short as the session has agents.
-    root = F.first(F.when(~child, F.col(agent)), ignorenulls=True).over(W.partitionBy("session_id").orderBy(order).rowsBetween(W.unboundedPreceding, -1))
-    return agents.withColumn("parent_id", F.when(child, root)).withColumn("depth", F.when(F.col("parent_id").isNull(), 0).otherwise(1))
+    root = F.first(F.col(agent)).over(W.partitionBy(session).orderBy(order))
+    parent = F.when(F.startswith(F.col(agent), F.lit("agent-")) & (root != F.col(agent)), root)
+    return agents.withColumn("parent_id", parent).withColumn("depth", F.when(F.col("parent_id").isNull(), 0).otherwise(1))
+
+
+def agent_children(agents: DataFrame, agent: str = "agent_id") -> DataFrame:
+    """(agent, children): the agents directly below each agent that has any."""
+    return agents.where("parent_id is not null").groupBy(F.col("parent_id").alias(agent)).agg(F.array_sort(F.collect_list(F.col(agent))).alias("children"))
+
+
+def agents_in_order(agents: DataFrame, agent: str = "agent_id", order: str = "first_ord", session: str = "session_id") -> DataFrame:
+    """Agents depth first below the root, with ``indent``; those that it does not reach follow, each with its own, by first sight.
+
+    One join per level of the tree, of which there are few.
+    """
+    rows = agents.select(session, agent, "parent_id", order)
+    free = F.when(F.col("parent_id").isNull(), F.struct(order, agent))
+    root = rows.groupBy(session).agg(F.min(free)[agent].alias("_root"))
+    known = rows.join(root, session)
+    step = F.struct(F.when(F.col(agent) == F.col("_root"), 0).otherwise(1).alias("orphan"), F.col(order).cast("long").alias("ord"), F.col(agent).alias("agent"))
+    missing = known.join(rows.select(session, F.col(agent).alias("parent_id"), F.lit(True).alias("_there")), [session, "parent_id"], "left")
+    level = missing.where(F.col("parent_id").isNull() | F.col("_there").isNull()).select(session, agent, order, F.array(step).alias("path"))
+    out = level
+    while not level.isEmpty():
+        up = level.select(session, F.col(agent).alias("parent_id"), F.col("path").alias("_path"))
+        below = F.struct(F.lit(0).alias("orphan"), F.col(order).cast("long").alias("ord"), F.col(agent).alias("agent"))
+        level = rows.join(up, [session, "parent_id"]).select(session, agent, order, F.concat("_path", F.array(below)).alias("path"))
+        out = out.unionByName(level)
+    return out.withColumn("indent", F.size("path") - 1)
+
+
+def tree_prefixes(rows: DataFrame, session: str = "session_id", order: str = "path") -> DataFrame:
+    """``prefix`` of each row of an indented list: bars where an outer level goes on, a corner at a last sibling."""
+    later = F.collect_list("indent").over(W.partitionBy(session).orderBy(order).rowsBetween(1, W.unboundedFollowing))
+    bars = F.array_join(F.transform(F.when(F.col("indent") > 0, F.sequence(F.lit(0), F.col("indent") - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.when(F.array_contains(F.col("_later"), i), F.lit("│ ")).otherwise(F.lit("  "))), "")
+    following = F.get(F.filter("_later", lambda x: x <= F.col("indent")), F.lit(0))
+    corner = F.when(F.coalesce(following < F.col("indent"), F.lit(True)), F.lit("└─ ")).otherwise(F.lit("├─ "))
+    return rows.withColumn("_later", later).withColumn("prefix", F.concat(bars, corner)).drop("_later")
+
+
+def agent_coverage(agents: DataFrame, ledger_agents: DataFrame, total: int, agent: str = "agent_id") -> DataFrame:
+    """``agents`` with the symbols that each has seen and their share of ``total``, in whole percent."""
+    seen = ledger_agents.where(F.col("depth") > UNSEEN).groupBy(agent).agg(F.count("*").alias("seen"))
+    out = agents.join(seen, agent, "left").withColumn("seen", F.coalesce("seen", F.lit(0)))
+    return out.withColumn("seen_percent", percent(F.col("seen"), F.lit(total)).cast("int"))
+
+
+def stats_panel(depths: DataFrame, total: Column) -> DataFrame:
+    """One row: symbols seen, whole percent seen, rows of each depth, and how many of ``total`` are unseen (never below 0)."""
+    at = lambda code: F.count_if(F.col("depth") == code)
+    sums = depths.agg(F.count_if(F.col("depth") > UNSEEN).alias("seen"), at(4).alias("full"), at(3).alias("signature"), at(2).alias("overview"), at(1).alias("name"), at(5).alias("stale"))
+    return sums.withColumn("percent", percent(F.col("seen"), total).cast("int")).withColumn("unseen", F.greatest(total - F.col("seen"), F.lit(0)))
+
+
+def _feed(calls: DataFrame, compactions: DataFrame, agent: str | None) -> DataFrame:
+    a = calls.where(F.col("agent_id") == agent) if agent is not None else calls
+    return a.withColumn("src", F.lit(0)).unionByName(compactions.withColumn("src", F.lit(1)), allowMissingColumns=True)
 
 
 def merged_feed(calls: DataFrame, compactions: DataFrame, agent: str | None = None) -> DataFrame:
     """Tool calls (of one agent if given) and all compactions, stable by time stamp text."""
-    a = calls.where(F.col("agent_id") == agent) if agent else calls
-    both = a.withColumn("src", F.lit(0)).unionByName(compactions.withColumn("src", F.lit(1)), allowMissingColumns=True)
-    return both.orderBy("ts", "src", "ord")
+    return _feed(calls, compactions, agent).orderBy("ts", "src", "ord")
+
+
+def feed_positions(calls: DataFrame, compactions: DataFrame, partition: list[str], agent: str | None = None) -> DataFrame:
+    """The same rows with ``pos``, their place in their session's feed."""
+    return _feed(calls, compactions, agent).withColumn("pos", F.row_number().over(W.partitionBy(*partition).orderBy("ts", "src", "ord")))
 
 
 def files_after(before: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
@@ -178,7 +318,75 @@ def search(rows: DataFrame, name: str, pos: str, query: str, cursor: int) -> Dat
 
 
 def visible_rows(symbols: DataFrame, collapsed: DataFrame) -> DataFrame:
-    """Symbols none of whose ancestors is collapsed, in file and tree order."""
-    c = collapsed.select(F.col("file_path").alias("c_file"), F.col("ord").alias("c_ord"), F.col("subtree_end").alias("c_end"))
-    hidden = (F.col("file_path") == F.col("c_file")) & (F.col("ord") > F.col("c_ord")) & (F.col("ord") <= F.col("c_end"))
-    return symbols.join(c, hidden, "left_anti").orderBy(path_parts(F.col("file_path")), "ord")
+    """Symbols none of whose ancestors is collapsed (file_path, ord), in file and tree order."""
+    shut = collapsed.join(symbols.select("file_path", "ord", "subtree_end"), ["file_path", "ord"]) if "subtree_end" not in collapsed.columns else collapsed
+    c = shut.select("file_path", F.col("ord").alias("c_ord"), F.col("subtree_end").alias("c_end"))
+    ranges = c.groupBy("file_path").agg(F.collect_list(F.struct("c_ord", "c_end")).alias("_shut"))
+    hidden = F.exists("_shut", lambda r: (F.col("ord") > r["c_ord"]) & (F.col("ord") <= r["c_end"]))
+    rest = symbols.join(ranges, "file_path", "left").where(~F.coalesce(hidden, F.lit(False))).drop("_shut")
+    return rest.orderBy(path_parts(F.col("file_path")), "ord")
+
+
+def tree_rows(files: DataFrame, symbols: DataFrame, depths: DataFrame, collapsed_files: DataFrame, collapsed_ids: DataFrame, by_status: bool = False, key: str = "id") -> DataFrame:
+    """Rows of the tree view in their order: files, and below those not collapsed their visible symbols.
+
+    ``files``: file_path, total_lines. ``depths``: key, depth (of all agents, or of one). Collapsed symbols are
+    named by id, so all symbols of an id close together. A file that is read at all shows as read by name.
+    """
+    report = coverage_report(files, symbols, depths, key).join(files.select("file_path", "total_lines"), "file_path")
+    shut = collapsed_files.select("file_path").distinct().withColumn("_shut", F.lit(True))
+    heads = report.join(shut, "file_path", "left").select(
+        "file_path", "status", F.lit(-1).alias("ord"), F.lit(0).alias("depth"), F.col("file_path").alias("name"), F.lit("").alias("label"), F.col("_shut").isNull().alias("is_expanded"),
+        (F.col("total_symbols") > 0).alias("has_children"), F.concat(F.col("total_lines").cast("string"), F.lit(" lines")).alias("line_range"), F.lit(0).cast("long").alias("token_count"),
+        F.when(F.col("status") == 3, UNSEEN).otherwise(1).alias("read_depth"), "seen_count", "total_symbols",
+    )
+    closed = collapsed_ids.select(key).distinct().withColumn("_closed", F.lit(True))
+    known = symbols.join(closed, key, "left").join(depths.select(key, F.col("depth").alias("_depth")), key, "left")
+    open_ = visible_rows(known, known.where("_closed").select("file_path", "ord", "subtree_end"))
+    open_ = open_.join(heads.where("is_expanded").select("file_path", "status"), "file_path").select(
+        "file_path", "status", "ord", (F.col("level") + 1).alias("depth"), "name", "label", F.col("_closed").isNull().alias("is_expanded"), (F.col("subtree_end") > F.col("ord")).alias("has_children"),
+        F.concat(F.lit("L"), F.col("line_start").cast("string"), F.lit("-"), F.col("line_end").cast("string")).alias("line_range"), F.col("estimated_tokens").alias("token_count"),
+        F.coalesce("_depth", F.lit(UNSEEN)).alias("read_depth"), F.lit(0).cast("long").alias("seen_count"), F.lit(0).cast("long").alias("total_symbols"),
+    )
+    place = [F.col("status")] * by_status + [path_parts(F.col("file_path")), F.col("ord")]
+    return heads.unionByName(open_).orderBy(*place)
+
+
+def compaction_overlay(files_before: DataFrame, current: DataFrame, shown: int = 20) -> DataFrame:
+    """(side, file_path, depth): the first files of a snapshot with their depth now, and the files read since that it lacks.
+
+    ``files_before``: file_path. ``current``: file_path, depth (``max_depth_by_file``). ``shown`` of each side, in path order.
+    """
+    now = current.select("file_path", F.col("depth"))
+    before = files_before.select("file_path").distinct().join(now, "file_path", "left").select(F.lit("before").alias("side"), "file_path", F.coalesce("depth", F.lit(UNSEEN)).alias("depth"))
+    after = now.where(F.col("depth") > UNSEEN).join(files_before.select("file_path"), "file_path", "left_anti").select(F.lit("after").alias("side"), "file_path", "depth")
+    first = lambda df: df.orderBy(path_parts(F.col("file_path"))).limit(shown)
+    return first(before).unionByName(first(after))
+
+
+def numbered_compactions(events: DataFrame, partition: list[str], order: list[str]) -> DataFrame:
+    """Compactions after the last clear of each session, numbered from 1."""
+    place = F.struct(*order)
+    cleared = events.where("kind = 'cleared'").groupBy(*partition).agg(F.max(place).alias("_cleared"))
+    kept = events.where("kind = 'compacted'").join(cleared, partition, "left").where(F.col("_cleared").isNull() | (place > F.col("_cleared"))).drop("_cleared")
+    return kept.withColumn("sequence", F.row_number().over(W.partitionBy(*partition).orderBy(*order)))
+
+
+def path_ranks(rows: DataFrame, path: str, tie: str, sample: int = 1000) -> DataFrame:
+    """``rows`` with ``pos``, their place from 1 in the order of path components (then ``tie``), without one task for all.
+
+    Rows are dealt to buckets between bounds drawn from at most ``sample`` paths, chosen by hash: a row's
+    bucket follows from its path alone, so any task that is run again deals alike. Ranks within a bucket
+    follow the rows of the buckets before.
+    """
+    key = F.array_join(path_parts(F.col(path)), "\x00")
+    chosen = rows.select(key.alias("_key")).distinct().orderBy(F.xxhash64("_key")).limit(sample)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    drawn = sorted((r[0] for r in chosen.where("_key is not null").collect()), key=lambda k: k.encode("utf-8", "surrogatepass"))
+    bounds = drawn[:: max(1, len(drawn) // parts)][1:]
+    bucket = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col("_key"))) if bounds else F.lit(0)
+    keyed = rows.withColumn("_key", key).withColumn("_bucket", F.when(F.col("_key").isNull(), -1).otherwise(bucket))
+    sizes = keyed.groupBy("_bucket").agg(F.count("*").alias("_n"))
+    before = sizes.withColumn("_base", F.coalesce(F.sum("_n").over(W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    ranked = keyed.withColumn("_rank", F.row_number().over(W.partitionBy("_bucket").orderBy("_key", tie)))
+    return ranked.join(before, "_bucket").withColumn("pos", F.col("_rank") + F.col("_base")).drop("_key", "_bucket", "_base", "_rank")

@@ -1,14 +1,18 @@
 """Tool mapping: stanzas that say how a tool's JSON input becomes a path, a depth, targets and a description.
 
-Stanzas come from the defaults below and from a user's TOML; the merged mapping is compiled once to
-Columns over a variant, so that mapping millions of calls needs neither a join nor a UDF.
+Stanzas come from the package's TOML and from a user's; the merged mapping is compiled once to Columns
+over a variant, so that mapping millions of calls needs neither a join nor a UDF. Whoever needs another
+mapping brings a function of the same shape as ``columns`` (see ``Mapper``).
 """
 
 from __future__ import annotations
 
+import os
 import re
 import tomllib
 from dataclasses import dataclass, field, replace
+from pathlib import Path
+from typing import NamedTuple, Protocol
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -17,6 +21,15 @@ from .. import functions as X
 
 VERSION = 1
 CODES = {"Unseen": 0, "NameOnly": 1, "Overview": 2, "Signature": 3, "FullBody": 4}
+#: Where a user's mapping is looked for, below the working and the home folder.
+LOCAL_CONFIG, USER_CONFIG = ".sightline/tools.toml", ".config/sightline/tools.toml"
+
+
+class Warned(NamedTuple):
+    """What is wrong with a mapping; such warnings are returned, not printed."""
+
+    kind: str  # parse, version, empty_names, duplicate, missing_depth, empty_patterns
+    text: str
 
 
 @dataclass(frozen=True)
@@ -32,106 +45,161 @@ class Stanza:
     extends: str | None = None
 
 
-def _fixed(value: str) -> dict:
-    return {"type": "fixed", "value": value}
-
-
-def _named(tool: str, servers: tuple[str, ...] = ("mcp__serena__", "mcp__plugin_serena_serena__")) -> tuple[str, ...]:
-    return tuple(s + tool for s in servers)
-
-
-#: The built-in tools, their input keys and the depth of reading they stand for.
-DEFAULTS = (
-    Stanza(("Read", "mcp__acp__Read", "mcp__plugin_serena_serena__read_file"), ("file_path", "relative_path"), depth=_fixed("FullBody"), description="Read {file_path|short}", line_keys=("offset", "limit")),
-    Stanza(("Edit", "mcp__acp__Edit", "mcp__plugin_serena_serena__replace_content"), ("file_path", "relative_path"), depth=_fixed("FullBody"), description="Edit {file_path|short}"),
-    Stanza(("Write", "mcp__acp__Write", "mcp__plugin_serena_serena__create_text_file"), ("file_path", "relative_path"), depth=_fixed("FullBody"), description="Write {file_path|short}"),
-    Stanza(("Glob", *_named("find_file"), *_named("list_dir")), ("path", "relative_path"), ("pattern", "file_mask"), False, _fixed("NameOnly"), "Glob {pattern}"),
-    Stanza(("Grep", *_named("search_for_pattern")), ("path", "relative_path"), ("pattern", "substring_pattern"), False, _fixed("Overview"), 'Search "{pattern}"'),
-    Stanza(_named("get_symbols_overview"), ("relative_path",), (), False, _fixed("Overview"), "Overview {relative_path|short}"),
-    Stanza(_named("find_symbol"), ("relative_path",), depth={"type": "conditional", "condition_key": "include_body", "if_true": "FullBody", "if_false": "Signature", "default": "Signature"}, description="Symbol {name_path_pattern}", symbol_key="name_path_pattern"),
-    Stanza(_named("find_referencing_symbols"), ("relative_path",), depth=_fixed("Overview"), description="FindRefs {name_path}", symbol_key="name_path"),
-    Stanza(_named("replace_symbol_body"), ("relative_path",), depth=_fixed("FullBody"), description="ReplaceSymbol {name_path}", symbol_key="name_path"),
-    Stanza(_named("insert_after_symbol"), ("relative_path",), depth=_fixed("FullBody"), description="InsertAfter {name_path}", symbol_key="name_path"),
-    Stanza(_named("insert_before_symbol"), ("relative_path",), depth=_fixed("FullBody"), description="InsertBefore {name_path}", symbol_key="name_path"),
-    Stanza(_named("rename_symbol"), ("relative_path",), depth=_fixed("FullBody"), description="Rename {name_path}", symbol_key="name_path"),
-    Stanza(("NotebookEdit",), ("notebook_path",), depth=_fixed("FullBody"), description="NotebookEdit {notebook_path|short}"),
-    Stanza(("Bash",), (), ("command", "description"), False, {"type": "pattern_match", "key": "command", "default": "NameOnly", "patterns": [
-        *({"prefix": f"{c} ", "depth": "FullBody"} for c in ("cat", "bat", "less", "more")), *({"prefix": f"{c} ", "depth": "Signature"} for c in ("head", "tail")),
-        *({"prefix": f"{c} ", "depth": "Overview"} for c in ("grep", "rg", "awk", "sed", "ugrep")), {"prefix": "bfs ", "depth": "NameOnly"}, {"prefix": "git ", "depth": "Unseen"}]}, "Bash {pattern|cmd}"),
-    Stanza(("TodoWrite",), (), (), False, _fixed("NameOnly"), "TodoWrite {pattern|cmd}"),
-    Stanza(("Agent",), (), ("description",), False, _fixed("Unseen"), "Agent: {pattern}"),
-    Stanza(("ToolSearch",), (), ("query",), False, _fixed("Unseen"), "ToolSearch {pattern}"),
-    Stanza(("Skill",), (), ("skill",), False, _fixed("NameOnly"), "Skill {pattern}"),
-    Stanza(("SendMessage",), (), ("to",), False, _fixed("Unseen"), "SendMessage {pattern}"),
-    Stanza(("TaskList",), (), (), False, _fixed("Unseen"), "TaskList"),
-    Stanza(("AskUserQuestion",), (), ("question",), False, _fixed("Unseen"), "AskUserQuestion"),
-    Stanza(("WebFetch", "WebSearch"), (), ("url", "query"), False, _fixed("Unseen"), "Web {pattern}"),
-)
-
-
-def load(text: str) -> list[Stanza]:
-    """Stanzas of a TOML mapping; a newer version than ours is refused."""
+class Mapper(Protocol):
+    """Struct(file_path, read_depth, description, target_symbol, target_start, target_end) of a tool call."""
+
+    def __call__(self, name: Column, v: Column, stanzas: list[Stanza]) -> Column: ...
+
+
+# --- loading --------------------------------------------------------------------------------------------
+
+
+def _depth_spec(spec: dict) -> dict:
+    """``spec`` if every depth that it names is one."""
+    kind = spec["type"]
+    named = {"fixed": lambda: [spec["value"]], "conditional": lambda: [spec["if_true"], spec["if_false"], spec["default"]], "pattern_match": lambda: [spec["default"], *(p["depth"] for p in spec["patterns"])]}[kind]()
+    if kind == "conditional":
+        spec["condition_key"]
+    if kind == "pattern_match":
+        spec["key"], [p["prefix"] for p in spec["patterns"]]
+        if {p.get("match_type", "prefix") for p in spec["patterns"]} - {"prefix", "contains", "exact"}:
+            raise KeyError("match_type")
+    if unknown := set(named) - set(CODES):
+        raise KeyError(f"depth {sorted(unknown)}")
+    return spec
+
+
+def parse(text: str) -> list[Stanza]:
+    """Stanzas of a TOML mapping; ValueError if it is none, or of a newer version than ours."""
     data = tomllib.loads(text)
-    if not isinstance(data.get("version"), int) or data["version"] > VERSION:
-        raise ValueError(f"mapping version {data.get('version')} is not supported")
+    version = data.get("version")
+    if not isinstance(version, int) or isinstance(version, bool) or version < 0:
+        raise ValueError("a mapping needs a version")
+    if version > VERSION:
+        raise ValueError(f"mapping version {version} is not supported (at most {VERSION})")
     out = []
-    for t in data.get("tool", []):
-        lines = t.get("target_lines")
-        out.append(Stanza(tuple(t["names"]), tuple(t.get("path_keys", ())), tuple(t.get("pattern_keys", ())), t.get("path_required", True), t.get("depth", {}), t.get("description", ""),
-                          (t.get("target_symbol") or {}).get("key"), (lines["offset_key"], lines["limit_key"]) if lines else None, t.get("extends")))
+    try:
+        for t in data.get("tool", []):
+            lines = t.get("target_lines")
+            out.append(Stanza(
+                tuple(t["names"]), tuple(t["path_keys"]), tuple(t.get("pattern_keys", ())), t.get("path_required", True), _depth_spec(t["depth"]) if "depth" in t else {}, t["description"],
+                t["target_symbol"]["key"] if "target_symbol" in t else None, (lines["offset_key"], lines["limit_key"]) if lines else None, t.get("extends"),
+            ))
+    except (KeyError, TypeError) as e:
+        raise ValueError(f"stanza {len(out)}: {e}") from e
     return out
 
 
-def merge(base: tuple[Stanza, ...], user: list[Stanza]) -> tuple[list[Stanza], list[str]]:
-    """User stanzas over the base, with warnings: the last of a shared name wins, ``extends`` fills what is
-    empty, and a base stanza that shares any name with a user stanza is dropped whole."""
-    warnings = []
-    last = {n: i for i, s in enumerate(user) for n in s.names}
+def load(path: str) -> tuple[list[Stanza] | None, list[Warned]]:
+    """A user's mapping; whatever is wrong with it as a whole is a warning, and there is none then."""
+    try:
+        return parse(Path(path).read_text(encoding="utf-8")), []
+    except (OSError, ValueError) as e:
+        return None, [Warned("version" if "version" in str(e) and "supported" in str(e) else "parse", f"{path}: {e}")]
+
+
+#: The stanzas of the package.
+DEFAULTS = tuple(parse(Path(__file__).with_name("default_tools.toml").read_text(encoding="utf-8")))
+
+
+def find_config(given: str | None = None, cwd: str | None = None, home: str | None = None) -> str | None:
+    """The user's mapping: the given file if it exists, else the working folder's, else the home folder's."""
+    home = home or os.environ.get("HOME") or os.environ.get("USERPROFILE")
+    places = [given, os.path.join(cwd or os.getcwd(), LOCAL_CONFIG), os.path.join(home, USER_CONFIG) if home else None]
+    return next((p for p in places if p and os.path.exists(p)), None)
+
+
+def resolve(given: str | None = None, cwd: str | None = None, home: str | None = None) -> tuple[list[Stanza], list[Warned]]:
+    """The mapping in force, and what is wrong with the user's."""
+    path = find_config(given, cwd, home)
+    user, warnings = load(path) if path else (None, [])
+    if user is None:
+        return list(DEFAULTS), warnings
+    merged, more = merge(DEFAULTS, user)
+    return merged, warnings + more
+
+
+def merge(base: tuple[Stanza, ...], user: list[Stanza]) -> tuple[list[Stanza], list[Warned]]:
+    """User stanzas over the base, with warnings.
+
+    A name belongs to the last user stanza that lists it, and a stanza that has no name left goes.
+    ``extends`` fills what is empty from the base stanza of that name; a stanza that still has no depth
+    goes. A base stanza that shares any name with what is left is dropped whole.
+    """
+    warnings: list[Warned] = []
+    owner: dict[str, int] = {}
+    for i, s in enumerate(user):
+        for n in s.names:
+            if n in owner:
+                warnings.append(Warned("duplicate", f"name {n!r} in stanzas {owner[n]} and {i}; stanza {i} wins"))
+            owner[n] = i
+    full: list[Stanza] = []
     for i, s in enumerate(user):
-        warnings += [f"duplicate tool name {n}" for n in s.names if last[n] != i]
-    kept = [s for i, s in enumerate(user) if any(last[n] == i for n in s.names)]
-    warnings += ["a stanza without names is ignored"] * sum(not s.names for s in user)
-    full = []
-    for s in kept:
-        parent = next((b for b in base if s.extends in b.names), None) if s.extends else None
-        if s.extends and not parent:
-            warnings.append(f"unknown stanza to extend: {s.extends}")
-        if parent:
-            s = replace(s, path_keys=s.path_keys or parent.path_keys, pattern_keys=s.pattern_keys or parent.pattern_keys, depth=s.depth or parent.depth, symbol_key=s.symbol_key or parent.symbol_key, line_keys=s.line_keys or parent.line_keys)
-        full.append(s)
+        if not s.names:
+            warnings.append(Warned("empty_names", f"stanza {i} has no names"))
+        elif i in owner.values():
+            parent = next((b for b in base if s.extends in b.names), None) if s.extends else None
+            if parent:
+                s = replace(s, path_keys=s.path_keys or parent.path_keys, pattern_keys=s.pattern_keys or parent.pattern_keys, depth=s.depth or parent.depth, symbol_key=s.symbol_key or parent.symbol_key, line_keys=s.line_keys or parent.line_keys)
+            if not s.depth:
+                warnings.append(Warned("missing_depth", f"stanza {i} has no depth"))
+                continue
+            if s.depth["type"] == "pattern_match" and not s.depth["patterns"]:
+                warnings.append(Warned("empty_patterns", f"stanza {i} has no patterns, its default always holds"))
+            full.append(s)
     taken = {n for s in full for n in s.names}
     return [b for b in base if not taken & set(b.names)] + full, warnings
 
 
+# --- Columns --------------------------------------------------------------------------------------------
+
+
 def typed(v: Column, path: str, kind: str = "STRING") -> Column:
     """A field of exactly this type; anything else is as good as absent."""
     return F.when(F.schema_of_variant(F.try_variant_get(v, path, "variant")) == kind, F.try_variant_get(v, path, kind.lower()))
 
 
+def _at(key: str) -> str:
+    """The variant path of a key."""
+    return f"$.{key}" if re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*", key) else f"$['{key}']"
+
+
 def _first(v: Column, keys: tuple[str, ...]) -> Column:
-    return F.coalesce(*(typed(v, f"$.{k}") for k in keys)) if keys else F.lit(None).cast("string")
+    return F.coalesce(*(typed(v, _at(k)) for k in keys)) if keys else F.lit(None).cast("string")
+
+
+def _whole(v: Column, key: str) -> Column:
+    """A whole number from 0 below 2^64, by its lowest 32 bits."""
+    kind = F.schema_of_variant(F.try_variant_get(v, _at(key), "variant"))
+    # Numbers beyond a long are decimals of 19 or 20 digits.
+    wide = F.when(kind.isin("DECIMAL(19,0)", "DECIMAL(20,0)"), F.try_variant_get(v, _at(key), "decimal(20,0)"))
+    n = F.coalesce(typed(v, _at(key), "BIGINT").cast("decimal(20,0)"), wide)
+    return F.when((n >= 0) & (n <= F.lit("18446744073709551615").cast("decimal(20,0)")), (n % F.lit(1 << 32)).cast("bigint"))
 
 
 def _depth(v: Column, spec: dict) -> Column:
-    kind = spec.get("type", "fixed")
+    kind = spec["type"]
     if kind == "fixed":
-        return F.lit(CODES[spec.get("value", "Unseen")])
+        return F.lit(CODES[spec["value"]])
     if kind == "conditional":
-        flag = typed(v, f"$.{spec['condition_key']}", "BOOLEAN")
+        flag = typed(v, _at(spec["condition_key"]), "BOOLEAN")
         return F.when(flag, CODES[spec["if_true"]]).when(~flag, CODES[spec["if_false"]]).otherwise(CODES[spec["default"]])
-    text, out = typed(v, f"$.{spec['key']}"), None
-    for p in spec.get("patterns", []):
-        test = F.startswith(text, F.lit(p["prefix"])) if "prefix" in p else F.contains(text, F.lit(p["contains"])) if "contains" in p else text == p["exact"]
+    text, out = F.coalesce(typed(v, _at(spec["key"])), F.lit("")), None
+    tests = {"prefix": F.startswith, "contains": F.contains, "exact": lambda a, b: a == b}
+    for p in spec["patterns"]:
+        test = tests[p.get("match_type", "prefix")](text, F.lit(p["prefix"]))
         out = F.when(test, CODES[p["depth"]]) if out is None else out.when(test, CODES[p["depth"]])
     return F.lit(CODES[spec["default"]]) if out is None else out.otherwise(CODES[spec["default"]])
 
 
 def _describe(v: Column, template: str, display: Column) -> Column:
+    """The template with its ``{key}``, ``{key|short}`` and ``{key|cmd}``; braces around anything else are text."""
     parts, at = [], 0
-    for m in re.finditer(r"\{([A-Za-z0-9_]+)(?:\|(short|cmd))?\}", template):
-        value = display if m[1] == "pattern" else typed(v, f"$.{m[1]}")
+    for m in re.finditer(r"\{([A-Za-z_][A-Za-z0-9_]*)(?:\|(short|cmd))?\}", template):
+        own = typed(v, _at(m[1]))
+        value = F.coalesce(display, own, F.lit("?")) if m[1] == "pattern" else F.coalesce(own, F.lit("?"))
         value = X.short_path(value) if m[2] == "short" else X.truncate_command(value) if m[2] == "cmd" else value
-        parts += [F.lit(template[at : m.start()]), F.coalesce(value, F.lit("?"))]
+        parts += [F.lit(template[at : m.start()]), value]
         at = m.end()
     return F.concat(*parts, F.lit(template[at:]))
 
@@ -139,18 +207,23 @@ def _describe(v: Column, template: str, display: Column) -> Column:
 def columns(name: Column, v: Column, stanzas: list[Stanza]) -> Column:
     """Struct(file_path, read_depth, description, target_symbol, target_start, target_end) of a tool call.
 
-    A call of an unknown tool, or one that lacks its required path, is an untracked call of depth Unseen.
+    Of several stanzas that list a name the last holds. A call of an unknown tool, or one that lacks its
+    required path, is an untracked call of depth Unseen.
     """
     null = F.lit(None)
+    owner = {n: i for i, s in enumerate(stanzas) for n in s.names}
     out = None
-    for s in stanzas:
+    for i, s in enumerate(stanzas):
+        own = [n for n in s.names if owner[n] == i]
+        if not own:
+            continue
         path = _first(v, s.path_keys)
         display = F.coalesce(_first(v, s.pattern_keys), typed(v, "$.todos[0].content"), path)
-        start, count = (typed(v, f"$.{k}", "BIGINT") for k in s.line_keys) if s.line_keys else (null.cast("bigint"), null.cast("bigint"))
-        ranged = (start >= 0) & (count >= 0)
+        start, count = (_whole(v, k) for k in s.line_keys) if s.line_keys else (null.cast("bigint"), null.cast("bigint"))
+        ranged = start.isNotNull() & count.isNotNull()
         row = F.struct(path.alias("file_path"), _depth(v, s.depth).alias("read_depth"), _describe(v, s.description, display).alias("description"),
-                       (typed(v, f"$.{s.symbol_key}") if s.symbol_key else null.cast("string")).alias("target_symbol"), F.when(ranged, start).alias("target_start"), F.when(ranged, start + count).alias("target_end"))
-        test = name.isin(*s.names) & (path.isNotNull() if s.path_required else F.lit(True))
+                       (typed(v, _at(s.symbol_key)) if s.symbol_key else null.cast("string")).alias("target_symbol"), F.when(ranged, start).alias("target_start"), F.when(ranged, (start + count) % (1 << 32)).alias("target_end"))
+        test = name.isin(*own) & (path.isNotNull() if s.path_required else F.lit(True))
         out = F.when(test, row) if out is None else out.when(test, row)
     other = F.struct(null.cast("string").alias("file_path"), F.lit(0).alias("read_depth"), F.concat(name, F.lit(" (untracked)")).alias("description"), null.cast("string").alias("target_symbol"), null.cast("bigint").alias("target_start"), null.cast("bigint").alias("target_end"))
     return other if out is None else out.otherwise(other)

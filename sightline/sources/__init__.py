@@ -1,65 +1 @@
-"""Session logs: discovery on the driver, parsing as a plan."""
-
-from __future__ import annotations
-
-import os
-import re
-from pathlib import Path
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from ..functions import under_root
-from ..plans.toolmap import DEFAULTS, Stanza, columns, typed
-
-CLEAR = "<command-name>/clear</command-name>"
-_UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
-
-
-def latest_session(log_dir: str) -> str | None:
-    """The newest non-empty ``<uuid>.jsonl``."""
-    found = [p for p in Path(log_dir).glob("*.jsonl") if _UUID.fullmatch(p.stem) and p.stat().st_size]
-    return max(found, key=lambda p: (p.stat().st_mtime, p.stem)).stem if found else None
-
-
-def session_files(log_dir: str, session: str) -> list[str]:
-    """Subagents' files in path order, then flat ones that name the session in three lines, the main file last."""
-    top = Path(log_dir)
-    ok = lambda p: not p.name.startswith("agent-acompact-")
-    own = sorted(p for p in (top / session / "subagents").glob("agent-*.jsonl") if ok(p))
-    flat = []
-    for p in sorted(p for p in top.glob("agent-*.jsonl") if ok(p)):
-        with p.open(errors="replace") as lines:
-            if any(session in line for line, _ in zip(lines, range(3), strict=False)):
-                flat.append(p)
-    main = top / f"{session}.jsonl"
-    return [str(p) for p in (*own, *flat, *([main] if main.exists() else []))]
-
-
-def events(spark: SparkSession, files: list[str], root: str, session: str, stanzas: list[Stanza] | tuple[Stanza, ...] = DEFAULTS) -> DataFrame:
-    """All events of the files in their total order (file_rank, line_no, block_pos).
-
-    Lines that are no JSON, and records of other kinds, give no event. A summary's flag goes before a
-    clear command in the same record.
-    """
-    ranks = spark.createDataFrame([(os.path.abspath(f), i, Path(f).stem) for i, f in enumerate(files)], "log_file string, file_rank int, stem string")
-    raw = spark.read.text([os.path.abspath(f) for f in files], wholetext=True).select(F.regexp_replace(F.col("_metadata.file_path"), "^file:(//)?", "").alias("log_file"), F.posexplode(F.split("value", "\n")).alias("line_no", "raw"))
-    v = F.col("v")
-    lines = raw.join(F.broadcast(ranks), "log_file").withColumn("v", F.try_parse_json("raw")).where("v is not null")
-    kind = typed(v, "$.type")
-    has_agent = F.try_variant_get(v, "$.agentId", "variant").isNotNull()
-    agent = F.coalesce(F.when(has_agent, typed(v, "$.agentId")).otherwise(typed(v, "$.sessionId")), F.col("stem"))
-    text = typed(v, "$.message.content")
-    boundary = (kind == "system") & (typed(v, "$.subtype") == "compact_boundary") & typed(v, "$.compactMetadata.trigger").isNotNull()
-    summary = (kind == "user") & F.coalesce(typed(v, "$.isCompactSummary", "BOOLEAN"), F.lit(False)) & text.isNotNull()
-    clear = (kind == "user") & F.contains(text, F.lit(CLEAR))
-    blocks = F.when(kind == "assistant", F.try_variant_get(v, "$.message.content", "array<variant>"))
-    what = F.when(boundary, "boundary").when(summary, "compacted").when(clear, "cleared").when(blocks.isNotNull(), "tool_call")
-    number = lambda k: F.coalesce(typed(v, f"$.compactMetadata.{k}", "BIGINT"), F.lit(0))
-    meta = F.when(boundary, F.struct(typed(v, "$.compactMetadata.trigger").alias("trigger"), number("preTokens").alias("pre_tokens"), number("postTokens").alias("post_tokens"), number("durationMs").alias("duration_ms")))
-    base = lines.select(F.lit(session).alias("session_id"), "file_rank", F.col("line_no").cast("long").alias("line_no"), what.alias("kind"), agent.alias("agent_id"), F.coalesce(typed(v, "$.timestamp"), F.lit("")).alias("ts"), F.when(summary, text).alias("summary"), meta.alias("meta"), blocks.alias("blocks")).where("kind is not null")
-    rows = base.select("*", F.posexplode_outer("blocks").alias("block_pos", "block")).drop("blocks")
-    call = rows.withColumn("tool_name", F.when(typed(F.col("block"), "$.type") == "tool_use", typed(F.col("block"), "$.name"))).where("kind <> 'tool_call' or tool_name is not null")
-    mapped = call.withColumn("m", F.when(F.col("kind") == "tool_call", columns(F.col("tool_name"), F.try_variant_get("block", "$.input", "variant"), list(stanzas))))
-    path = under_root(F.col("m.file_path"), F.lit(root))
-    return mapped.select("session_id", "file_rank", "line_no", F.coalesce("block_pos", F.lit(0)).alias("block_pos"), "kind", "agent_id", "tool_name", path.alias("file_path"), "m.read_depth", "m.description", "ts", "m.target_symbol", "m.target_start", "m.target_end", "summary", "meta")
+"""Sources: source trees (``code``), language-server caches (``lspcache``), session logs (``sessions``) and their tails (``tail``)."""

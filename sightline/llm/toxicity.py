@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -29,9 +29,9 @@ from pyspark.sql import DataFrame
 from .common import labelled_sample, slices
 
 #: Bounds of the fit: labelled rows per class and unlabelled rows, whole ones, and the bytes of each kind together.
-SAMPLE_ROWS = 2500
-UNLABELLED_ROWS = 2500
-SAMPLE_BYTES = 10_000_000
+SAMPLE_ROWS = 2000
+UNLABELLED_ROWS = 2000
+SAMPLE_BYTES = 6_000_000
 #: Beginnings of words that are features beside the words.
 STEMS = (4, 5, 6)
 MAX_FEATURES = 4000
@@ -84,26 +84,57 @@ class Voters:
         return [*LEXICONS, "at_person", "many_terms", "no_term", *(f"stems_{i}" for i in range(len(self.discovered)))]
 
     def votes(self, text: str | None, found: set[str]) -> list[int]:
-        hits = [len(found & terms) for terms in _TERMS]
-        stems = [len(found & group) for group in self.discovered]
+        return self.decide(*lexicon_hits(text, found), [len(found & group) for group in self.discovered])
+
+    @staticmethod
+    def decide(hits: list[int], at_person: bool, stems: list[int]) -> list[int]:
+        """Votes from the terms of each lexicon, whether one is said of a person, and the stems of each group."""
         total = sum(hits) + sum(stems)
         said = [int(h > 0) for h in hits]
-        said += [int(bool(sum(hits) and text and _AT_PERSON.search(text))), int(total >= 2), -int(total == 0)]
-        return said + [int(h > 0) for h in stems]
+        return said + [int(at_person), int(total >= 2), -int(total == 0)] + [int(h > 0) for h in stems]
+
+
+def lexicon_hits(text: str | None, found: set[str]) -> tuple[list[int], bool]:
+    hits = [len(found & terms) for terms in _TERMS]
+    return hits, bool(sum(hits) and text and _AT_PERSON.search(text))
 
 
 _TERMS = [set(v.split()) for v in LEXICONS.values()]
 
 
-def discover(found: list[set[str]], labels: np.ndarray, groups: int = DISCOVERED_VOTERS) -> list[set[str]]:
+class FeatureRows:
+    """The distinct features of rows as numbers, four bytes each: sets of words would be many times as large."""
+
+    def __init__(self, texts: Iterable[str]):
+        self.numbers: dict[str, int] = {}
+        self.rows: list[np.ndarray] = []
+        self.hits: list[tuple[list[int], bool]] = []
+        for text in texts:
+            found = features(set(word_counts(text)))
+            self.rows.append(np.fromiter((self.numbers.setdefault(f, len(self.numbers)) for f in found), np.int32, len(found)))
+            self.hits.append(lexicon_hits(text, found))
+        self.names = list(self.numbers)
+
+    def counts(self, rows: np.ndarray) -> np.ndarray:
+        """How many of the chosen rows hold each feature."""
+        some = [r for r, take in zip(self.rows, rows, strict=True) if take]
+        return np.bincount(np.concatenate(some), minlength=len(self.names)) if some else np.zeros(len(self.names), np.int64)
+
+    def held(self, group: set[str]) -> list[int]:
+        """How many features of a group each row holds."""
+        inside = np.zeros(len(self.names) + 1, bool)
+        inside[[self.numbers[f] for f in group if f in self.numbers]] = True
+        return [int(inside[r].sum()) for r in self.rows]
+
+
+def discover(found: FeatureRows, known: np.ndarray, groups: int = DISCOVERED_VOTERS) -> list[set[str]]:
     """Features that toxic rows hold far more often than others, dealt to ``groups`` voters by rank."""
-    yes, no = Counter(), Counter()
-    for f, y in zip(found, labels, strict=True):
-        (yes if y else no).update(f)
-    n_yes, n_no = max(1, int(labels.sum())), max(1, int((1 - labels).sum()))
-    odds = {f: ((c + 0.5) / (n_yes + 1)) / ((no[f] + 0.5) / (n_no + 1)) for f, c in yes.items() if c >= 5}
-    best = sorted((f for f, x in odds.items() if x >= 20), key=lambda f: (-odds[f], f))[: 40 * groups]
-    return [g for i in range(groups) if (g := set(best[i::groups]))]
+    yes, no = found.counts(known == 1), found.counts(known == 0)
+    n_yes, n_no = max(1, int((known == 1).sum())), max(1, int((known == 0).sum()))
+    odds = ((yes + 0.5) / (n_yes + 1)) / ((no + 0.5) / (n_no + 1))
+    best = sorted(np.flatnonzero((yes >= 5) & (odds >= 20)), key=lambda i: (-odds[i], found.names[i]))[: 40 * groups]
+    names = [found.names[i] for i in best]
+    return [g for i in range(groups) if (g := set(names[i::groups]))]
 
 
 # --- label model ------------------------------------------------------------------------------------
@@ -197,23 +228,19 @@ class LinearModel:
         return float(1 / (1 + np.exp(-max(-40.0, min(40.0, z)))))
 
 
-def fit_linear(found: list[set[str]], target: np.ndarray, row_weight: np.ndarray, rounds: int = 300, l2: float = 0.02) -> LinearModel:
+def fit_linear(found: FeatureRows, target: np.ndarray, row_weight: np.ndarray, rounds: int = 300, l2: float = 0.02) -> LinearModel:
     """L2-regularised logistic regression on soft labels by accelerated gradient steps."""
-    counts: Counter = Counter()
-    toxic: Counter = Counter()
-    for f, y in zip(found, target, strict=True):
-        counts.update(f)
-        if y > 0.5:
-            toxic.update(f)
-    n, n_yes = len(found), max(1.0, float((target > 0.5).sum()))
-    def z_value(f: str) -> float:
-        p, q, m = toxic[f] / n_yes, (counts[f] - toxic[f]) / max(1.0, n - n_yes), counts[f] / n
-        return abs(p - q) / np.sqrt(max(m * (1 - m), 1e-9) * (1 / n_yes + 1 / max(1.0, n - n_yes)))
-
-    lift = {f: z for f, c in counts.items() if c >= 4 and (z := z_value(f)) >= MIN_Z}
-    vocab = {f: i for i, f in enumerate(sorted(lift, key=lambda f: (-lift[f], f))[:MAX_FEATURES])}
-    pairs = [(r, vocab[f]) for r, fs in enumerate(found) for f in fs & vocab.keys()]
-    rows, cols = (np.array([p[i] for p in pairs], np.int64) for i in (0, 1))
+    n, n_yes = len(found.rows), max(1.0, float((target > 0.5).sum()))
+    counts, toxic = found.counts(np.ones(n, bool)), found.counts(target > 0.5)
+    p, q, share = toxic / n_yes, (counts - toxic) / max(1.0, n - n_yes), counts / n
+    lift = np.abs(p - q) / np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / n_yes + 1 / max(1.0, n - n_yes)))
+    best = sorted(np.flatnonzero((counts >= 4) & (lift >= MIN_Z)), key=lambda i: (-lift[i], found.names[i]))[:MAX_FEATURES]
+    vocab = {found.names[i]: j for j, i in enumerate(best)}
+    column = np.full(len(found.names), -1)
+    column[best] = np.arange(len(best))
+    cols = [c[c >= 0] for c in (column[r] for r in found.rows)]
+    rows = np.repeat(np.arange(n), [len(c) for c in cols])
+    cols = np.concatenate(cols) if cols else np.zeros(0, np.int64)
 
     w, b, k = np.zeros(len(vocab)), 0.0, len(vocab)
     mass = row_weight / row_weight.sum()
@@ -246,10 +273,10 @@ def fit(rows: list[tuple[str, int]], prior: float | None = None) -> ToxicityMode
     """Fit voters, label model and classifier on (text, label) rows; label -1: unlabelled."""
     rows = rows or [("", 0), ("idiot", 1)]
     known = np.array([y for _, y in rows])
-    found = [features(set(word_counts(t))) for t, _ in rows]
-    have = known >= 0
-    voters = Voters(discover([f for f, h in zip(found, have, strict=True) if h], known[have]) if have.any() else [])
-    votes = np.array([voters.votes(t, f) for (t, _), f in zip(rows, found, strict=True)])
+    found = FeatureRows(t for t, _ in rows)
+    voters = Voters(discover(found, known) if (known >= 0).any() else [])
+    stems = list(zip(*map(found.held, voters.discovered), strict=True)) or [()] * len(rows)
+    votes = np.array([voters.decide(*h, list(x)) for h, x in zip(found.hits, stems, strict=True)])
     prior = min(0.5, max(0.01, prior if prior is not None else float(np.clip(known, 0, 1).mean())))
     model = fit_label_model(votes, known, prior)
     post = model.posterior(votes, known)

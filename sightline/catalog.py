@@ -31,11 +31,13 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    from . import catalog_sessions  # noqa: F401  (registers its queries)
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return {name: _SQL[name] for name in queries() if name in _SQL}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,16 +85,33 @@ def strip_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", X.strip_keywords(F.col("p_name")).alias("bare"))
 
 
-@query("SELECT doc_id, CASE WHEN strlen(text) > 200 AND strlen(text) = length(text) THEN left(text, 200) || '…' WHEN strlen(text) <= 200 THEN text END AS cut FROM documents WHERE strlen(text) = length(text)")
+@query("""SELECT doc_id, CASE WHEN strlen(text) <= 200 THEN text
+ ELSE left(text, list_sum(list_transform(range(1, 201), lambda i: CASE WHEN i <= length(text) AND strlen(left(text, i - 1)) < 200 THEN 1 ELSE 0 END))::BIGINT) || '…' END AS cut FROM documents""")
 def command_truncation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where(F.octet_length("text") == F.length("text"))
-    return d.select("doc_id", X.truncate_command(F.col("text")).alias("cut"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.truncate_command(F.col("text")).alias("cut"))
 
 
-@query()
-def command_truncation_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents, with the cut in multi-byte texts that the SQL above leaves out."""
-    return table(spark, sf_dir, "documents").select("doc_id", X.truncate_command(F.col("text")).alias("cut"))
+@query("""SELECT doc_id, left(text, list_sum(list_transform(range(1, 48), lambda i: CASE WHEN i <= length(text) AND strlen(left(text, i)) <= 47 THEN 1 ELSE 0 END))::BIGINT) AS label,
+ left(source, 12) AS short_source, (length(text) - length(replace(text, chr(10), '')) + (text <> '' AND NOT ends_with(text, chr(10)))::INT)::BIGINT AS total_lines,
+ CASE WHEN coalesce(lang, '') = '' THEN source ELSE lang || '/' || source END AS name_path, doc_id || '::' || source AS symbol_id FROM documents""")
+def scalar_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels cut by bytes, short ids, lines of a text, name paths and symbol ids."""
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", X.first_bytes(F.col("text"), 47).alias("label"), X.short_id(F.col("source")).alias("short_source"), X.total_lines(F.col("text")).cast("long").alias("total_lines"),
+        X.name_path(F.col("lang"), F.col("source")).alias("name_path"), X.symbol_id(F.col("doc_id").cast("string"), F.col("source")).alias("symbol_id"),
+    )
+
+
+@query(r"""WITH w AS (SELECT conv_id, turn, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS words FROM conversations)
+SELECT conv_id, turn, CASE WHEN len(words) = 0 THEN '' ELSE list_reduce(words, lambda acc, w: CASE WHEN strlen(regexp_extract(acc, '[^\n]*$')) + 1 + strlen(w) > 40 THEN acc || chr(10) || w ELSE acc || ' ' || w END) END AS lines FROM w""")
+def word_wrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(X.wrapped(F.col("text"), 40), "\n").alias("lines"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_custkey > 0 THEN 100e0 * (o_orderkey - o_custkey) / o_custkey ELSE 0 END AS delta, o_orderkey / 1000e0 AS seconds FROM orders""")
+def deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """By how many percent one count differs from another, and milliseconds in seconds."""
+    return table(spark, sf_dir, "orders").select("o_orderkey", X.token_delta(F.col("o_custkey"), F.col("o_orderkey")).alias("delta"), X.seconds(F.col("o_orderkey")).alias("seconds"))
 
 
 @query("SELECT event_id, CASE WHEN json_type(props, '$.k') IN ('UBIGINT', 'BIGINT') THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k FROM events")
@@ -103,26 +122,27 @@ def json_typed_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", typed.alias("k"))
 
 
-@query("SELECT o_orderkey, CASE WHEN o_totalprice::BIGINT >= 1000000 THEN 'M' WHEN o_totalprice::BIGINT >= 1000 THEN 'k' ELSE '' END AS unit, CASE WHEN o_totalprice <= 20 THEN '0-20' WHEN o_totalprice <= 50 THEN '21-50' WHEN o_totalprice <= 80 THEN '51-80' ELSE '81-100' END AS band FROM orders")
+@query("""WITH o AS (SELECT o_orderkey, floor(o_totalprice)::BIGINT AS n, o_totalprice % 100 AS pct FROM orders)
+SELECT o_orderkey, CASE WHEN n >= 1000000 THEN format('{:.1f}M', n / 1e6) WHEN n >= 1000 THEN format('{:.1f}k', n / 1e3) ELSE n::VARCHAR END AS shown,
+ CASE WHEN floor(pct) <= 20 THEN '0-20' WHEN floor(pct) <= 50 THEN '21-50' WHEN floor(pct) <= 80 THEN '51-80' ELSE '81-100' END AS band,
+ format('{:.0f}', pct) AS whole, format('{:.1f}', pct) AS tenths, format('{:+.1f}', pct - 50) AS signed,
+ CASE WHEN pct = 0 THEN 'unread' WHEN pct >= 80 THEN 'proceed' WHEN pct >= 50 THEN 'adequate' ELSE 'read' END AS decision FROM o""")
 def number_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("o_totalprice").cast("decimal(20,0)").cast("long")
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.regexp_extract(X.compact_number(n), "([kM]?)$", 1).alias("unit"), X.percent_band(F.col("o_totalprice")).alias("band"))
-
-
-@query()
-def number_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole formatted number, of which the query above gives the unit."""
-    n = F.col("o_totalprice").cast("decimal(20,0)").cast("long")
-    return table(spark, sf_dir, "orders").select("o_orderkey", n.alias("n"), X.compact_number(n).alias("shown"))
+    pct = F.col("o_totalprice") % 100
+    return table(spark, sf_dir, "orders").select(
+        "o_orderkey", X.compact_number(F.floor("o_totalprice").cast("long")).alias("shown"), X.percent_band(pct).alias("band"), X.fixed(pct, 0).alias("whole"), X.fixed(pct, 1).alias("tenths"),
+        X.fixed(pct - 50, 1, signed=True).alias("signed"), X.decision(pct).alias("decision"),
+    )
 
 
 # --- filters --------------------------------------------------------------------------------------------
 
 
-@query("SELECT page_id FROM pages WHERE list_slice(string_split(url, '/'), 1, 2) = ['https:', '']")
+@query("SELECT page_id, list_slice(list_filter(string_split(url, '/'), lambda x: x NOT IN ('', '.', '..')), 1, 1) = ['https:'] AS secure FROM pages WHERE list_contains(list_slice(list_filter(string_split(url, '/'), lambda x: x NOT IN ('', '.', '..')), 3, 3), 'de')")
 def path_filter_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "pages")
-    return p.where(F.slice(X.path_parts(F.col("url")), 1, 2) == F.array(F.lit("https:"), F.lit(""))).select("page_id")
+    below_host = F.regexp_replace("url", "^[a-z]+://[^/]+/?", "")
+    return p.where(X.literal_filter(below_host, "/de/")).select("page_id", X.literal_filter(F.col("url"), "https:").alias("secure"))
 
 
 @query(r"SELECT page_id FROM pages WHERE regexp_matches(url, '/(en|de)/[0-9]+')")
@@ -130,11 +150,11 @@ def path_filter_regex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").where(X.regex_filter(F.col("url"), "/(en|de)/[0-9]+")).select("page_id")
 
 
-@query("SELECT min(c_custkey) AS first_key, count(*) AS candidates FROM customer WHERE starts_with(c_name, 'Customer#00000001')")
+@query("SELECT coalesce(arg_min(c_name, c_custkey), 'Customer#00000001') AS resolved, count(*) AS candidates FROM customer WHERE starts_with(c_name, 'Customer#00000001') UNION ALL SELECT 'nobody', 0")
 def prefix_agent_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A prefix of several names, and one of none."""
     c = table(spark, sf_dir, "customer").select(F.col("c_name").alias("agent_id"), F.col("c_custkey").alias("first_ord"))
-    found = c.where(F.startswith("agent_id", F.lit("Customer#00000001")))
-    return found.agg(F.min("first_ord").alias("first_key"), F.count("*").alias("candidates"))
+    return O.resolve_agent(c, "Customer#00000001").unionByName(O.resolve_agent(c, "nobody"))
 
 
 # --- joins ----------------------------------------------------------------------------------------------
@@ -145,7 +165,7 @@ def prefix_agent_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
 def line_overlap_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").select("user_id", F.col("event_id").alias("s"), (F.col("event_id") + 40).alias("e"))
     b = e.select("user_id", F.col("s").alias("ts"), F.col("e").alias("te"))
-    hit = e.join(b, "user_id").where((F.col("s") < F.col("ts")) & O.overlaps(F.col("s"), F.col("e"), F.col("ts"), F.col("te")))
+    hit = O.interval_join(e, b, ["user_id"], "s", "e", "ts", "te", 40).where(F.col("s") < F.col("ts"))
     return hit.agg(F.count("*").alias("pairs"), F.count_distinct("s").alias("lefts"))
 
 
@@ -197,16 +217,16 @@ def ledger_last_epoch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.last_epoch(_epochs(spark, sf_dir), F.col("is_reset"), ["user_id"]).groupBy("user_id", "sym").agg(F.max("d").alias("depth"))
 
 
-@query(_CALLS + """, c AS (SELECT user_id, epoch, count(*) AS calls, count(DISTINCT sym) AS syms FROM ep WHERE NOT is_reset GROUP BY user_id, epoch),
+@query(_CALLS + """, c AS (SELECT user_id, epoch, count(*) AS calls, count(DISTINCT sym) AS syms, string_agg(DISTINCT sym::VARCHAR, ',' ORDER BY sym::VARCHAR) AS files FROM ep WHERE NOT is_reset GROUP BY user_id, epoch),
 t AS (SELECT user_id, count(DISTINCT sym) AS total FROM calls WHERE NOT is_reset GROUP BY user_id)
-SELECT e.user_id, e.epoch, e.event_id, coalesce(c.calls, 0) AS calls, coalesce(c.syms, 0) AS syms, round(CASE WHEN coalesce(t.total, 0) = 0 THEN 0 ELSE coalesce(c.syms, 0) / t.total * 100.0 END, 6) AS pct
+SELECT e.user_id, e.epoch, e.event_id, coalesce(c.calls, 0) AS calls, coalesce(c.syms, 0) AS syms, coalesce(c.files, '') AS files, round(CASE WHEN coalesce(t.total, 0) = 0 THEN 0 ELSE coalesce(c.syms, 0) / t.total * 100.0 END, 6) AS pct
 FROM ep e LEFT JOIN c ON e.user_id = c.user_id AND e.epoch = c.epoch LEFT JOIN t ON e.user_id = t.user_id WHERE e.is_reset""")
 def compaction_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _epochs(spark, sf_dir)
     snap = O.snapshots(e.withColumn("file", F.col("sym").cast("string")), F.col("is_reset"), ["user_id"], ["event_id"], "file", "d")
     total = e.where("not is_reset").groupBy("user_id").agg(F.count_distinct("sym").alias("total"))
     syms = F.size("files_before").cast("long")
-    return snap.join(total, "user_id", "left").select("user_id", "epoch", "event_id", F.col("tool_calls_before").alias("calls"), syms.alias("syms"), F.round(X.percent(syms, F.coalesce("total", F.lit(0))), 6).alias("pct"))
+    return snap.join(total, "user_id", "left").select("user_id", "epoch", "event_id", F.col("tool_calls_before").alias("calls"), syms.alias("syms"), F.array_join("files_before", ",").alias("files"), F.round(X.percent(syms, F.coalesce("total", F.lit(0))), 6).alias("pct"))
 
 
 @query("""WITH s AS (SELECT *, coalesce(sum((role = 'assistant')::INT) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seg FROM conversations),
@@ -285,26 +305,18 @@ def agent_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT page_id, row_number() OVER (ORDER BY string_split(url, '/'), page_id) AS pos FROM pages")
 def component_path_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A global rank without a single task: range partitions, their sizes, ranks within each."""
-    p = table(spark, sf_dir, "pages").select("page_id", X.path_parts(F.col("url")).alias("parts"))
-    parts = p.repartitionByRange("parts", "page_id").withColumn("bucket", F.spark_partition_id())
-    ranked = parts.withColumn("r", F.row_number().over(W.partitionBy("bucket").orderBy("parts", "page_id")))
-    sizes = parts.groupBy("bucket").agg(F.count("*").alias("n"))
-    before = sizes.withColumn("base", F.coalesce(F.sum("n").over(W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    return ranked.join(before, "bucket").select("page_id", (F.col("r") + F.col("base")).alias("pos"))
-
-
-@query("SELECT max(conv_id) FILTER (turn = m) AS session, max(m) AS turns FROM conversations, (SELECT max(turn) AS m FROM conversations)")
-def latest_session(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations")
-    return c.agg(F.max_by("conv_id", F.struct("turn", "conv_id")).alias("session"), F.max("turn").alias("turns"))
+    """A global rank without a single task for all rows."""
+    return O.path_ranks(table(spark, sf_dir, "pages").select("page_id", "url"), "url", "page_id").select("page_id", "pos")
 
 
-@query("""SELECT 'call' AS kind, user_id AS who, event_id AS ord FROM events WHERE event_type <> 'error' UNION ALL SELECT 'compaction', conv_id, turn FROM conversations WHERE role = 'system'""")
+@query("""WITH f AS (SELECT user_id AS who, 'call' AS kind, event_id AS ord, strftime(ts, '%Y-%m-%d %H') AS ts, 0 AS src FROM events WHERE event_type <> 'error'
+ UNION ALL SELECT user_id, 'compaction', event_id, strftime(ts, '%Y-%m-%d %H'), 1 FROM events WHERE event_type = 'error')
+SELECT who, kind, ord, row_number() OVER (PARTITION BY who ORDER BY ts, src, ord) AS pos FROM f""")
 def feed_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = table(spark, sf_dir, "events").where("event_type <> 'error'").select(F.lit("call").alias("kind"), F.col("user_id").alias("who"), F.col("event_id").alias("ord"), F.col("ts").cast("string").alias("ts"))
-    b = table(spark, sf_dir, "conversations").where("role = 'system'").select(F.lit("compaction").alias("kind"), F.col("conv_id").alias("who"), F.col("turn").alias("ord"), F.lit("").alias("ts"))
-    return O.merged_feed(a, b).select("kind", "who", "ord")
+    """The place of every call and compaction in its session's feed; time stamps to the hour, so that many tie."""
+    e = table(spark, sf_dir, "events").select(F.col("user_id").alias("who"), F.col("event_id").alias("ord"), F.date_format("ts", "yyyy-MM-dd HH").alias("ts"), "event_type", F.lit("x").alias("agent_id"))
+    calls_, compactions = e.where("event_type <> 'error'").withColumn("kind", F.lit("call")), e.where("event_type = 'error'").withColumn("kind", F.lit("compaction"))
+    return O.feed_positions(calls_, compactions, ["who"]).select("who", "kind", "ord", "pos")
 
 
 @query("SELECT p_partkey FROM part WHERE contains(lower(p_name), 'widget') ORDER BY p_partkey <= 100, p_partkey LIMIT 1")

@@ -25,17 +25,22 @@ class Coverage:
     ledger: DataFrame  # id, depth, content_hash, agent_id, estimated_tokens
     agent_ledger: DataFrame  # id, agent_id, depth
     compactions: DataFrame  # sequence, ts, summary, meta, tool_calls_before, files_before, seen_before, seen_percent
-    agents: DataFrame  # session_id, agent_id, first_ord
+    agents: DataFrame  # session_id, agent_id, first_ord, label
+
+    def release(self) -> None:
+        """Give back what is kept of the events."""
+        self.events.unpersist()
 
 
 def fold(files: DataFrame, symbols: DataFrame, events: DataFrame) -> Coverage:
     """Coverage of one session (``events`` as ``sources.sessions.events`` gives them, without boundaries).
 
     Every compaction and every clear empties the ledger; what it held is the compaction's snapshot. A
-    path filter concerns files and symbols alone, not the calls that are counted.
+    path filter concerns files and symbols alone, not the calls that are counted. The events are kept (in memory
+    and on disk, as they come) for the tables that read them, so logs are parsed once; see ``release``.
     """
     reset = F.expr(_RESET)
-    timed = O.with_epochs(events, reset, ["session_id"], ORDER)
+    timed = O.with_epochs(events, reset, ["session_id"], ORDER).persist()
     calls = timed.where("kind = 'tool_call'")
     marked = O.marks(calls, symbols, ORDER)
     resets = timed.where(reset).groupBy("session_id").agg(F.count("*").alias("resets"))

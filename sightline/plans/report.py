@@ -140,7 +140,9 @@ def run(
         agent = resolved_agent(c.agents, agent)
     if event_log_dir and session:
         write_event_log(events, os.path.join(event_log_dir, f"{session}.log"))
-    return (formatter or TextFormatter()).format(collected(c, session, agent, path_filter))
+    out = (formatter or TextFormatter()).format(collected(c, session, agent, path_filter))
+    c.release()
+    return out
 
 
 def resolved_agent(agents: DataFrame, prefix: str) -> str:

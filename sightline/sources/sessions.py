@@ -13,10 +13,10 @@ import re
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import first_bytes, remap, under_root
-from ..operators import pair_metadata
 from ..plans.toolmap import DEFAULTS, Stanza, columns, typed
 
 CLEAR = "<command-name>/clear</command-name>"
@@ -148,12 +148,14 @@ def parse_lines(lines: DataFrame, root: str, session: str | Column, stanzas: lis
     ).where("kind is not null")
     found = base.select("*", F.posexplode_outer("blocks").alias("block_pos", "content")).drop("blocks")
     calls = found.withColumn("tool_name", F.when(typed(F.col("content"), "$.type") == "tool_use", typed(F.col("content"), "$.name"))).where("kind <> 'tool_call' or tool_name is not null")
-    mapped = calls.withColumn("m", F.when(F.col("kind") == "tool_call", columns(F.col("tool_name"), F.try_variant_get("content", "$.input", "variant"), list(stanzas))))
-    path = F.col("m.file_path")
-    path = F.when(F.col("cwd").isNotNull() & (F.col("cwd") != root), remap(path, F.col("cwd"), F.lit(root))).otherwise(path)
+    # A generator of one row: what reads a field of the mapping later reads a value, not the mapping once more.
+    mapping = F.when(F.col("kind") == "tool_call", columns(F.col("tool_name"), F.try_variant_get("content", "$.input", "variant"), list(stanzas)))
+    mapped = calls.select("*", F.inline(F.array(mapping)).alias("own_path", "read_depth", "description", "target_symbol", "target_start", "target_end"))
+    own = F.col("own_path")
+    mapped = mapped.withColumn("raw_path", F.when(F.col("cwd").isNotNull() & (F.col("cwd") != root), remap(own, F.col("cwd"), F.lit(root))).otherwise(own))
     return mapped.select(
-        "session_id", *ORDER[:3], F.coalesce("block_pos", F.lit(0)).alias("block_pos"), "kind", "agent_id", "tool_name", path.alias("raw_path"), under_root(path, F.lit(root)).alias("file_path"),
-        "m.read_depth", "m.description", "ts", "m.target_symbol", "m.target_start", "m.target_end", "label", "summary", "meta",
+        "session_id", *ORDER[:3], F.coalesce("block_pos", F.lit(0)).alias("block_pos"), "kind", "agent_id", "tool_name", "raw_path", under_root(F.col("raw_path"), F.lit(root)).alias("file_path"),
+        "read_depth", "description", "ts", "target_symbol", "target_start", "target_end", "label", "summary", "meta",
     )
 
 
@@ -168,8 +170,13 @@ def events(spark: SparkSession, files: list[str], root: str, session: str, stanz
 
 
 def with_metadata(found: DataFrame, partition: tuple[str, ...] = ("session_id", "file_rank")) -> DataFrame:
-    """Events without boundaries, each summary with the metadata of the boundary that announced it in its file."""
-    marks = found.where("kind in ('boundary', 'compacted')").withColumnRenamed("meta", "own_meta")
-    paired = pair_metadata(marks, F.col("kind") == "boundary", F.col("kind") == "compacted", F.col("own_meta"), list(partition), ORDER[1:])
-    others = found.where("kind in ('tool_call', 'cleared')")
-    return others.unionByName(paired.drop("own_meta").withColumnRenamed("metadata", "meta").select(*others.columns))
+    """Events without boundaries, each summary with the metadata of the boundary that announced it in its file.
+
+    One pass over a file's events in their order, as they are parsed: a second branch would parse them twice.
+    """
+    summary = F.col("kind") == "compacted"
+    earlier = W.partitionBy(*partition).orderBy(*ORDER[1:]).rowsBetween(W.unboundedPreceding, -1)
+    segment = W.partitionBy(*partition, "_segment").orderBy(*ORDER[1:]).rowsBetween(W.unboundedPreceding, -1)
+    parts = found.withColumn("_segment", F.coalesce(F.sum(summary.cast("long")).over(earlier), F.lit(0)))
+    announced = F.last(F.when(F.col("kind") == "boundary", F.col("meta")), ignorenulls=True).over(segment)
+    return parts.withColumn("meta", F.when(summary, announced)).where("kind <> 'boundary'").drop("_segment")

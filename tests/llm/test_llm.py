@@ -681,3 +681,29 @@ def test_pipeline_stages(spark):
         left = out
     last = C.STAGES[-1][1](spark, left, SMALL)
     assert last.count() == left.count() and C.run(spark, SMALL).count() == left.count() > 100
+
+
+def test_long_texts_repeated_rows_and_ties(spark):
+    from sightline.llm import decontaminate, html_text, language_ppm, line_dedup, warc
+
+    line = "A line that is long enough"
+    long = "\n".join([line] + [f"line number {i} of a very long text" for i in range(60_000)])
+    got = {r.doc_id: (r.n_lines, r.n_dropped) for r in line_dedup.dedup_lines(spark.createDataFrame([(1, long), (2, line), (3, line)], "doc_id long, text string")).collect()}
+    assert got == {1: (60_001, 1), 2: (1, 1), 3: (1, 0)}
+    rows = line_dedup.dedup_lines(spark.createDataFrame([(7, line), (7, line), (8, line), (8, line)], "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.n_dropped) for r in rows) == [(7, 1), (7, 1), (8, 0), (8, 0)]
+
+    page = "<article><p>" + "word " * 300_000 + "</p><p>end</p></article>"
+    pages = spark.createDataFrame([(1, "u", page), (1, "u", page), (2, "v", "<p>x")], "page_id long, url string, html string")
+    assert sorted(r.n_chars for r in html_text.extract(pages).collect()) == [1, 1_500_003, 1_500_003]
+    made = warc.derivatives(warc.responses_from_pages(pages))
+    assert made.count() == 6 and made.select("record_id").distinct().count() == 4 and made.agg({"content_length": "max"}).first()[0] == 1_500_003
+
+    item = "one two three four five six seven eight nine ten"
+    text = "x " * 100_000 + item + " y " + item + " z" * 1000
+    bench = spark.createDataFrame([(1, item), (2, item)], "item_id long, text string")
+    found = decontaminate.leaks(spark.createDataFrame([(5, text), (5, "short"), (6, item.upper())], "doc_id long, text string"), bench).collect()
+    assert {(r.doc_id, r.item_id): (r.start_word, r.similarity) for r in found} == {(5, 1): (100_000, 1.0), (5, 2): (100_000, 1.0), (6, 1): (0, 1.0), (6, 2): (0, 1.0)}
+
+    model = language_ppm.build_model({"b": [b"the cat"], "a": [b"the cat"], "c": [b"der hund"]})
+    assert [x[0] for x in language_ppm.identify(model, ["the cat", "cat", "der"])] == ["a", "a", "c"]

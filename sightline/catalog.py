@@ -316,7 +316,7 @@ def feed_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The place of every call and compaction in its session's feed; time stamps to the hour, so that many tie."""
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("who"), F.col("event_id").alias("ord"), F.date_format("ts", "yyyy-MM-dd HH").alias("ts"), "event_type", F.lit("x").alias("agent_id"))
     calls_, compactions = e.where("event_type <> 'error'").withColumn("kind", F.lit("call")), e.where("event_type = 'error'").withColumn("kind", F.lit("compaction"))
-    return O.feed_positions(calls_, compactions, ["who"]).select("who", "kind", "ord", "pos")
+    return O.feed_positions(calls_, compactions, ["who"]).select("who", "kind", "ord", F.col("pos").cast("long").alias("pos"))
 
 
 @query("SELECT p_partkey FROM part WHERE contains(lower(p_name), 'widget') ORDER BY p_partkey <= 100, p_partkey LIMIT 1")

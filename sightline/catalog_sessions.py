@@ -175,7 +175,7 @@ def report_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_LOG + _ONE + """, st AS (SELECT path, total, seen, CASE WHEN seen = 0 THEN 3 WHEN full_n = total THEN 2 WHEN seen = total THEN 1 ELSE 0 END AS status FROM rep),
 f AS (SELECT DISTINCT f, path FROM syms)
 SELECT st.path AS file_path, -1 AS ord, 0 AS depth, st.path AS name, f % 5 <> 0 AS is_expanded, '56 lines' AS line_range, CASE WHEN status = 3 THEN 0 ELSE 1 END AS read_depth, seen AS seen_count, total AS total_symbols FROM st JOIN f USING (path)
-UNION ALL SELECT y.path, y.ord, CASE WHEN j = 0 THEN 1 ELSE 2 END, CASE WHEN j = 0 THEN 'S' || r ELSE 'm' || (j - 1) END, NOT (j = 0 AND r = 2), 'L' || s || '-' || t, coalesce(depth, 0), 0, 0
+UNION ALL SELECT y.path, y.ord::INT, CASE WHEN j = 0 THEN 1 ELSE 2 END, CASE WHEN j = 0 THEN 'S' || r ELSE 'm' || (j - 1) END, NOT (j = 0 AND r = 2), 'L' || s || '-' || t, coalesce(depth, 0), 0, 0
  FROM syms y LEFT JOIN led ON y.id = led.id WHERE f % 5 <> 0 AND NOT (r = 2 AND j > 0)""")
 def tree_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the tree view where every fifth file and every third type is collapsed."""
@@ -211,6 +211,15 @@ def agent_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.tree_prefixes(O.agents_in_order(O.agent_tree(seen))).select("session_id", "agent_id", "indent", "prefix")
 
 
+@query(_LOG + """, cleared AS (SELECT session, max(event_id) AS upto FROM others WHERE kind = 'cleared' GROUP BY session),
+fed AS (SELECT c.session, event_id, pos, count(*) OVER (PARTITION BY c.session) AS n, row_number() OVER (PARTITION BY c.session ORDER BY event_id, pos) AS r FROM calls c LEFT JOIN cleared USING (session) WHERE d <> 0 AND event_id > coalesce(upto, -1))
+SELECT session AS session_id, event_id AS line_no FROM fed WHERE r > n - CASE WHEN n <= 20 THEN n ELSE 11 + (n - 21) % 10 END""")
+def activity_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The calls that each session's feed still holds; of 20 and 10 in place of 200 and 100, so that feeds overflow."""
+    e = log_events(spark, sf_dir)
+    return O.activity(e, ["session_id"], ORDER, 20, 10).select("session_id", "line_no")
+
+
 @query(_LOG + _ONE + """SELECT count(*) FILTER (depth > 0) AS seen, count(*) FILTER (depth = 4) AS "full", count(*) FILTER (depth = 3) AS signature, count(*) FILTER (depth = 2) AS overview, count(*) FILTER (depth = 1) AS name,
  0::BIGINT AS stale, (count(*) FILTER (depth > 0) / 560 * 100e0 - 0.5)::INT AS percent, 560 - count(*) FILTER (depth > 0) AS unseen FROM led""".replace("(count(*) FILTER (depth > 0) / 560 * 100e0 - 0.5)::INT", "floor(count(*) FILTER (depth > 0) / 560 * 100e0)::INT"))
 def stats_panel(spark: SparkSession, sf_dir: str) -> DataFrame:

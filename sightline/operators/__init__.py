@@ -192,10 +192,15 @@ def report_totals(report: DataFrame) -> DataFrame:
     return sums.withColumn("seen_percent", percent(F.col("seen_count"), F.col("total_symbols"))).withColumn("full_percent", percent(F.col("full_count"), F.col("total_symbols")))
 
 
+def sorted_paths(paths: Column) -> Column:
+    """An array of paths in the order of their components."""
+    return F.transform(F.array_sort(F.transform(paths, path_parts)), lambda p: F.array_join(p, "/"))
+
+
 def snapshots(events: DataFrame, is_reset: Column, partition: list[str], order: list[str], file_col: str, depth_col: str) -> DataFrame:
     """State before each reset: calls, files touched, distinct keys seen since the reset before it."""
     calls = events.where(~is_reset).groupBy(*partition, "epoch").agg(
-        F.count("*").alias("tool_calls_before"), F.array_sort(F.collect_set(file_col)).alias("files_before"),
+        F.count("*").alias("tool_calls_before"), sorted_paths(F.collect_set(file_col)).alias("files_before"),
         F.count_distinct(F.when(F.col(depth_col) > UNSEEN, F.col(file_col))).alias("seen_before"),
     )
     ends = events.where(is_reset).select(*partition, "epoch", *order)
@@ -223,6 +228,15 @@ def ring_buffer(rows: DataFrame, partition: list[str], order: list[Column], limi
     return counted.where(F.col("_at") > n - kept).drop("_n", "_at")
 
 
+def activity(events: DataFrame, partition: list[str], order: list[str], limit: int = 200, drop: int = 100) -> DataFrame:
+    """What the feed of each session holds: calls that read something, since the last clear; compactions keep it."""
+    place = F.struct(*order)
+    cleared = events.where("kind = 'cleared'").groupBy(*partition).agg(F.max(place).alias("_cleared"))
+    calls = events.where(F.expr("kind = 'tool_call'") & (F.col("read_depth") != UNSEEN)).join(cleared, partition, "left")
+    kept = calls.where(F.col("_cleared").isNull() | (place > F.col("_cleared"))).drop("_cleared")
+    return ring_buffer(kept, partition, [F.col(c) for c in order], limit, drop)
+
+
 def first_seen(events: DataFrame, agent: str, order: Column) -> DataFrame:
     """Agents with the order of their first event."""
     return events.groupBy(agent).agg(F.min(order).alias("first_ord"))
@@ -250,20 +264,21 @@ def agent_children(agents: DataFrame, agent: str = "agent_id") -> DataFrame:
 def agents_in_order(agents: DataFrame, agent: str = "agent_id", order: str = "first_ord", session: str = "session_id") -> DataFrame:
     """Agents depth first below the root, with ``indent``; those that it does not reach follow, each with its own, by first sight.
 
-    One join per level of the tree, of which there are few.
+    One join per level of the tree, of which there are few. The list is as short as its sessions have
+    agents, and is kept while the levels are found.
     """
-    rows = agents.select(session, agent, "parent_id", order)
+    rows = agents.select(session, agent, "parent_id", order).persist()
     free = F.when(F.col("parent_id").isNull(), F.struct(order, agent))
     root = rows.groupBy(session).agg(F.min(free)[agent].alias("_root"))
     known = rows.join(root, session)
     step = F.struct(F.when(F.col(agent) == F.col("_root"), 0).otherwise(1).alias("orphan"), F.col(order).cast("long").alias("ord"), F.col(agent).alias("agent"))
     missing = known.join(rows.select(session, F.col(agent).alias("parent_id"), F.lit(True).alias("_there")), [session, "parent_id"], "left")
-    level = missing.where(F.col("parent_id").isNull() | F.col("_there").isNull()).select(session, agent, order, F.array(step).alias("path"))
+    level = missing.where(F.col("parent_id").isNull() | F.col("_there").isNull()).select(session, agent, order, F.array(step).alias("path")).persist()
     out = level
     while not level.isEmpty():
         up = level.select(session, F.col(agent).alias("parent_id"), F.col("path").alias("_path"))
         below = F.struct(F.lit(0).alias("orphan"), F.col(order).cast("long").alias("ord"), F.col(agent).alias("agent"))
-        level = rows.join(up, [session, "parent_id"]).select(session, agent, order, F.concat("_path", F.array(below)).alias("path"))
+        level = rows.join(up, [session, "parent_id"]).select(session, agent, order, F.concat("_path", F.array(below)).alias("path")).persist()
         out = out.unionByName(level)
     return out.withColumn("indent", F.size("path") - 1)
 

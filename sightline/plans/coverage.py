@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import operators as O
-from ..functions import UNSEEN, path_parts, percent
+from ..functions import UNSEEN, percent
 from ..sources.sessions import ORDER
 
 _RESET = "kind in ('compacted', 'cleared')"
@@ -58,7 +58,7 @@ def compactions(timed: DataFrame, marked: DataFrame, symbols: DataFrame) -> Data
     total = symbols.agg(F.count("*").alias("total")).withColumn("one", F.lit(1))  # one row
     numbered = O.numbered_compactions(timed, ["session_id"], ORDER)
     out = numbered.withColumn("one", F.lit(1)).join(calls, by, "left").join(seen, by, "left").join(F.broadcast(total), "one")
-    files = F.transform(F.array_sort(F.transform("paths", path_parts)), lambda p: F.array_join(p, "/"))
+    files = O.sorted_paths(F.col("paths"))
     seen_before = F.coalesce("seen_before", F.lit(0))
     return out.select(
         "session_id", "sequence", "ts", "summary", "meta", F.coalesce("tool_calls_before", F.lit(0)).alias("tool_calls_before"), F.coalesce(files, F.array().cast("array<string>")).alias("files_before"),

@@ -118,6 +118,7 @@ def collected(c: coverage.Coverage, session: str | None = None, agent: str | Non
 def run(
     spark: SparkSession, project: str, log_dir: str | None = None, session: str | None = None, agent: str | None = None, path_filter: PathFilter | None = None,
     formatter: Formatter | None = None, tools_config: str | None = None, from_cache: bool = False, registry: code.Registry | None = None, event_log_dir: str | None = None,
+    source: sessions.SessionSource = sessions,
 ) -> str:
     """The coverage report of a project's session: the newest if none is named, of one agent by a prefix of its id.
 
@@ -131,10 +132,10 @@ def run(
     root = os.path.realpath(project)
     keep = path_filter.matches if path_filter else None
     files, symbols = lspcache.scan(spark, root, keep) if from_cache else code.scan(spark, root, keep, registry)
-    log_dir = log_dir or sessions.log_dir(project)
-    session = session or (sessions.latest_session(log_dir) if log_dir else None)
-    logs = sessions.session_files(log_dir, session) if log_dir and session else []
-    events = sessions.events(spark, logs, root, session or "", stanzas)
+    log_dir = log_dir or source.log_dir(project)
+    session = session or (source.latest_session(log_dir) if log_dir else None)
+    logs = source.session_files(log_dir, session) if log_dir and session else []
+    events = source.events(spark, logs, root, session or "", stanzas)
     c = coverage.fold(files, symbols, events)
     if agent is not None:
         agent = resolved_agent(c.agents, agent)

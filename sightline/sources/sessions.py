@@ -11,13 +11,14 @@ import json
 import os
 import re
 from pathlib import Path
+from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import first_bytes, remap, under_root
-from ..plans.toolmap import DEFAULTS, Stanza, columns, typed
+from ..plans.toolmap import DEFAULTS, Mapper, Stanza, columns, typed
 
 CLEAR = "<command-name>/clear</command-name>"
 ORDER = ["file_rank", "block", "line_no", "block_pos"]
@@ -25,6 +26,18 @@ LINES = "file_rank int, stem string, block long, line_no long, raw string"
 _UUID = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 
 
+class SessionSource(Protocol):
+    """What a kind of session log has to bring for a report; this module is one."""
+
+    def log_dir(self, project: str) -> str | None: ...
+
+    def latest_session(self, folder: str) -> str | None: ...
+
+    def session_files(self, folder: str, session: str) -> list[str]: ...
+
+    def events(self, spark: SparkSession, files: list[str], root: str, session: str, stanzas: list[Stanza]) -> DataFrame: ...
+
+
 # --- discovery ------------------------------------------------------------------------------------------
 
 
@@ -120,11 +133,12 @@ def first_lines(lines: DataFrame) -> DataFrame:
     return first.select("file_rank", F.coalesce(label, F.regexp_replace("stem", "^agent-", "")).alias("label"), typed(v, "$.cwd").alias("cwd"))
 
 
-def parse_lines(lines: DataFrame, root: str, session: str | Column, stanzas: list[Stanza] | tuple[Stanza, ...] = DEFAULTS) -> DataFrame:
+def parse_lines(lines: DataFrame, root: str, session: str | Column, stanzas: list[Stanza] | tuple[Stanza, ...] = DEFAULTS, mapper: Mapper = columns) -> DataFrame:
     """All events of log lines (the columns of ``LINES``; others, as the label and cwd of a log, are kept if there).
 
     Lines that are no JSON, and records of other kinds, give no event. A summary's flag goes before a
-    clear command in the same record, and a summary that is no text is an empty one.
+    clear command in the same record, and a summary that is no text is an empty one. ``mapper`` makes of a
+    tool's name and input what ``toolmap.columns`` makes of them by the stanzas.
     """
     v = F.col("v")
     known = lines.columns
@@ -149,7 +163,7 @@ def parse_lines(lines: DataFrame, root: str, session: str | Column, stanzas: lis
     found = base.select("*", F.posexplode_outer("blocks").alias("block_pos", "content")).drop("blocks")
     calls = found.withColumn("tool_name", F.when(typed(F.col("content"), "$.type") == "tool_use", typed(F.col("content"), "$.name"))).where("kind <> 'tool_call' or tool_name is not null")
     # A generator of one row: what reads a field of the mapping later reads a value, not the mapping once more.
-    mapping = F.when(F.col("kind") == "tool_call", columns(F.col("tool_name"), F.try_variant_get("content", "$.input", "variant"), list(stanzas)))
+    mapping = F.when(F.col("kind") == "tool_call", mapper(F.col("tool_name"), F.try_variant_get("content", "$.input", "variant"), list(stanzas)))
     mapped = calls.select("*", F.inline(F.array(mapping)).alias("own_path", "read_depth", "description", "target_symbol", "target_start", "target_end"))
     own = F.col("own_path")
     mapped = mapped.withColumn("raw_path", F.when(F.col("cwd").isNotNull() & (F.col("cwd") != root), remap(own, F.col("cwd"), F.lit(root))).otherwise(own))
@@ -159,13 +173,13 @@ def parse_lines(lines: DataFrame, root: str, session: str | Column, stanzas: lis
     )
 
 
-def events(spark: SparkSession, files: list[str], root: str, session: str, stanzas: list[Stanza] | tuple[Stanza, ...] = DEFAULTS) -> DataFrame:
+def events(spark: SparkSession, files: list[str], root: str, session: str, stanzas: list[Stanza] | tuple[Stanza, ...] = DEFAULTS, mapper: Mapper = columns) -> DataFrame:
     """All events of a session's log files in their total order ``ORDER``; each summary has its boundary's metadata.
 
     Paths of a worktree (the folder that a log's first line names, if it is not ``root``) are those of ``root``.
     """
     lines = read_lines(spark, files)
-    found = parse_lines(lines.join(F.broadcast(first_lines(lines)), "file_rank"), root, session, stanzas)
+    found = parse_lines(lines.join(F.broadcast(first_lines(lines)), "file_rank"), root, session, stanzas, mapper)
     return with_metadata(found)
 
 

@@ -26,6 +26,7 @@ from .. import operators as O
 from ..functions import STALE
 from ..sources.sessions import ORDER, parse_lines, with_metadata
 from ..sources.tree import SYMBOLS
+from .tail import FileWatch
 
 ENTRY = "session_id string, epoch long, id string, depth int, content_hash string, agent_id string, estimated_tokens long, agents map<string,int>"
 _RESET = "kind in ('compacted', 'cleared')"
@@ -198,5 +199,18 @@ class LiveLedger:
         marks.where("kind = 'boundary' and next is null").drop("next").write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
+def poll_sources(ledger: LiveLedger, watch: FileWatch, paths: list[str], scan: Callable[[list[str]], tuple[DataFrame, DataFrame]], batch: int) -> bool:
+    """Take what changed of ``paths`` since the last look; whether anything did.
+
+    ``scan`` gives (files, symbols) of the changed paths: ``code.files`` and ``code.symbols`` of their sources, or, for
+    language-server caches, a whole ``lspcache.scan``. Files that are gone stay in the ledger's project.
+    """
+    changed = watch.changed(paths)
+    if changed:
+        files, symbols = scan(changed)
+        ledger.apply_sources(symbols, batch, files)
+    return bool(changed)
+
+
 def _places() -> str:
     return "file_rank int, block long, line_no long, block_pos int"

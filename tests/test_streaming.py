@@ -137,6 +137,23 @@ def test_watches(tmp_path):
     assert files.changed([f, str(tmp_path / "gone")]) == [f] and files.changed([f]) == []
 
 
+def test_polled_sources(spark, tmp_path):
+    source = tmp_path / "b.py"
+    source.write_text(SOURCES["b.py"])
+    ledger, watch = live.LiveLedger(spark, f"file://{tmp_path}/state"), tail.FileWatch([])
+
+    def scan(paths):
+        found = code.read_sources(spark, str(tmp_path), [p.removeprefix(f"{tmp_path}/") for p in paths])
+        return code.files(found), code.symbols(found)
+
+    assert live.poll_sources(ledger, watch, [str(source)], scan, -1) and not live.poll_sources(ledger, watch, [str(source)], scan, 1)
+    ledger.apply_events(parsed(spark, [tool("Read", file_path="/p/b.py")]), 0)
+    source.write_text("x = 1\n")
+    assert live.poll_sources(ledger, watch, [str(source)], scan, 1) and ledger.symbols().count() == 0
+    source.write_text("def f(): return 2\n")
+    assert live.poll_sources(ledger, watch, [str(source)], scan, 3) and {r.id for r in ledger.symbols().collect()} == {"b.py::f"}
+
+
 @pytest.mark.parametrize("split", [3])
 def test_stream_of_a_growing_session(spark, tmp_path, split):
     """Boundaries and summaries in different batches belong together, and the live ledger is that of the whole log."""

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import merged, stored
+from .common import merged, release, stored
 
 
 def _both_ways(links: DataFrame) -> DataFrame:
@@ -43,7 +43,8 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not seen[0]:
             break
-        now = stored(_small_star(_large_star(now)), "links")
+        before, now = now, stored(_small_star(_large_star(now)), "links")
+        release(before)
         mark = _mark(now)
         if mark == seen:
             break

@@ -203,8 +203,12 @@ class _Texts:
     first_ids: DataFrame  # node, first_id
     width: int
 
-    def of(self, nodes: DataFrame) -> DataFrame:
-        """(node, text) of ``nodes``. An id of several rows gives several texts; readers take the one of the class."""
+    def ids(self, nodes: DataFrame) -> DataFrame:
+        """(node, first_id) of ``nodes``, stored."""
+        return stored(nodes.join(merged(self.first_ids), "node", "left"), "ids")
+
+    def of(self, ids: DataFrame) -> DataFrame:
+        """(node, text) of classes. An id of several rows gives several texts; readers take the one of the class."""
         width = self.width
 
         def of_null_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,7 +219,6 @@ class _Texts:
                 known.update(i for i, _ in rows)
                 yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([t for _, t in rows], pa.string())], names=["node", "text"])
 
-        ids = stored(nodes.join(merged(self.first_ids), "node", "left"), "ids")
         with_id, without = ids.where("first_id is not null"), ids.where("first_id is null").select("node")
         if ids.count() <= BROADCAST_IDS:
             with_id, without = F.broadcast(with_id), F.broadcast(without)
@@ -224,9 +227,11 @@ class _Texts:
 
 
 def verified(pairs: DataFrame, texts: _Texts, p: int, q: int) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose exact similarity reaches p/q."""
+    """Those of ``pairs`` (a, b) whose exact similarity reaches p/q, stored."""
     width = texts.width
-    need = stored(texts.of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), "texts")
+    ids = texts.ids(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    need = stored(texts.of(ids), "texts")
+    release(ids)
     heads = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(HEAD_PAIRS)).cast("int").alias("salts"))
     first = heads.withColumnRenamed("a", "node").join(merged(need), "node").select(F.col("node").alias("a"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("kind"), "node", "text")
     second = pairs.join(merged(heads), "a").select("a", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"), F.lit(1).alias("kind"), F.col("b").alias("node")).join(merged(need), "node")
@@ -246,7 +251,9 @@ def verified(pairs: DataFrame, texts: _Texts, p: int, q: int) -> DataFrame:
             yield part.select([0, 3]).rename_columns(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     met = first.unionByName(second.select(*first.columns)).repartition("a", "salt").sortWithinPartitions("a", "salt", "kind")
-    return met.mapInArrow(run, "a long, b long").distinct()
+    links = stored(met.mapInArrow(run, "a long, b long").distinct(), "links")
+    release(need)
+    return links
 
 
 def _tile_pairs(members: DataFrame, p: int, q: int) -> DataFrame:
@@ -324,8 +331,10 @@ def _within_bound(pairs: DataFrame, facts: DataFrame, p: int, q: int) -> DataFra
 
 
 def _extended(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """Component labels once more links are known."""
-    return stored(components(labels.select(F.col("label").alias("a"), F.col("node").alias("b")).unionByName(links)), "labels")
+    """Component labels once more links are known, in place of those before."""
+    more = stored(components(labels.select(F.col("label").alias("a"), F.col("node").alias("b")).unionByName(links)), "labels")
+    release(labels)
+    return more
 
 
 def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -354,11 +363,11 @@ def join(docs: DataFrame, width: int = 3, p: int = 9, q: int = 10, id_col: str =
 
     # First one head for each class, then the heads that are still in other components.
     first = star.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = stored(verified(first, texts, p, q), "star-links")
+    links = verified(first, texts, p, q)
     labels = stored(components(links), "labels")
     second = stored(_apart(star.join(merged(first), ["a", "b"], "left_anti"), labels), "star-rest")
     if second.limit(1).count():
-        found = stored(verified(second, texts, p, q), "star-rest-links")
+        found = verified(second, texts, p, q)
         links, labels = links.unionByName(found), _extended(labels, found)
 
     # What the stars leave: buckets of several components, the pairs of which are not all tested.
@@ -368,8 +377,10 @@ def join(docs: DataFrame, width: int = 3, p: int = 9, q: int = 10, id_col: str =
     rest = marked.join(merged(open_keys), "key").join(merged(facts), "node").select("key", "node", "own", "label", "n", "sketch", "size")
     more = stored(_tile_pairs(rest, p, q).join(merged(star), ["a", "b"], "left_anti"), "rest")
     if more.limit(1).count():
-        found = stored(verified(more, texts, p, q), "rest-links")
+        found = verified(more, texts, p, q)
         links, labels = links.unionByName(found), _extended(labels, found)
+    for table in (facts, members, star, second, more):
+        release(table)
     return JaccardJoin(every, links, labels)
 
 
@@ -378,7 +389,10 @@ def all_links(docs: DataFrame, width: int = 3, p: int = 9, q: int = 10, id_col:
     every, facts, members, texts = _found(docs, width, p, q, id_col, text_col)
     sizes = members.groupBy("key").agg(F.count("*").alias("size"))
     every_pair = members.withColumn("label", F.col("node")).join(merged(sizes), "key").join(merged(facts), "node").select("key", "node", "own", "label", "n", "sketch", "size")
-    links = stored(verified(stored(_tile_pairs(every_pair, p, q), "pairs"), texts, p, q), "links")
+    pairs = stored(_tile_pairs(every_pair, p, q), "pairs")
+    links = verified(pairs, texts, p, q)
+    for table in (facts, members, pairs):
+        release(table)
     return JaccardJoin(every, links, stored(components(links), "labels"))
 
 
@@ -408,7 +422,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, p: int = 4, q: int = 5, id_
     Rows without words stay. Rows of a repeated or null id are told apart by their sets: of a component
     whose least id has several rows, or that has no id, the row of the least text stays.
     """
-    parts = stored(document_components(join(docs, width, p, q, id_col, text_col)), "components")
+    found = join(docs, width, p, q, id_col, text_col)
+    parts = stored(document_components(found), "components")
+    for table in (found.signatures, found.links, found.labels):
+        release(table)
     live = parts.where("node is not null")
     an_id, flag, node, component, label, row = unused(docs, "id", "several", "node", "component", "label", "row")
     # Ids whose rows an id alone cannot tell apart; all others stay or go by their id.

@@ -156,3 +156,18 @@ def test_language_server_caches(spark, tmp_path):
         lspcache.scan(spark, str(tmp_path))[1].collect()
     with pytest.raises(FileNotFoundError):
         lspcache.scan(spark, str(tmp_path / "none"))
+
+
+def test_command_line(spark, project, capsys, tmp_path):
+    from sightline.__main__ import arguments, main
+
+    root, logs, log = project
+    log(read(f"{root}/src/b.py"))
+    main(["--project", str(root), "--log-dir", str(logs), "--coverage", "--format", "json", "--filter", "/src/"], spark)
+    out = json.loads(capsys.readouterr().out)
+    assert out["filter"] == "src" and out["totals"]["seen"] == 2
+    main(["-p", str(root), "--dump", "--filter-regex", "py$"], spark)
+    assert capsys.readouterr().out.startswith(f"Project: {root} (2 files, 2 symbols)\nFilter: re:py$\n\n  src/b.py (2 lines)\n    def f [L1-1]")
+    for bad in (["--coverage"], ["-p", "x"], ["-p", "x", "--dump", "--coverage"], ["-p", "x", "--dump", "--filter", "a", "--filter-regex", "b"]):
+        with pytest.raises(SystemExit):
+            arguments(bad)

@@ -185,3 +185,34 @@ def test_stream_of_a_growing_session(spark, tmp_path, split):
     assert [x for x in seen if x[0]] == [(3, 1), (3, 0)]
     whole = coverage.fold(symbols.select("file_path").distinct(), symbols, sessions.events(spark, [str(main)], "/p", SID))
     assert plain(ledger.ledger().collect()) == plain(whole.ledger.collect()) != {}
+
+
+def test_follow_switches_to_the_next_session(spark, tmp_path):
+    import os
+    import time
+
+    from sightline.streaming.follow import follow
+
+    other = "11111111-2222-3333-4444-555555555555"
+    project, logs = tmp_path / "p", tmp_path / "logs"
+    project.mkdir()
+    logs.mkdir()
+    for path, text in SOURCES.items():
+        (project / path).write_text(text)
+    first = json.dumps(tool("Read", file_path=f"{project}/b.py")) + "\n"
+    (logs / f"{SID}.jsonl").write_text(first)
+    os.utime(logs / f"{SID}.jsonl", (1e9, 1e9))
+    seen, began = [], time.time()
+
+    def show(ledger, session):
+        seen.append((session, {r.id: r.depth for r in ledger.ledger().collect()}))
+        if len(seen) == 1:
+            (project / "b.py").write_text("def f(): return 2\ndef g(): pass\n")
+            (logs / f"{SID}.jsonl").open("a").write("\n")
+        if len(seen) == 2:
+            (logs / f"{other}.jsonl").write_text(json.dumps(tool("Grep", pattern="q", path="a.rs")) + "\n")
+
+    follow(spark, str(project), str(logs), f"file://{tmp_path}/state", show=show, interval="0 seconds", stop=lambda: any(s == other for s, _ in seen) or time.time() - began > 120)
+    read = {"b.py::f": 4, "b.py::g": 4}
+    assert seen[0] == (SID, read) and seen[1] == (SID, {"b.py::f": 5, "b.py::g": 4})
+    assert [x for s, x in seen if s == other][0] == {"a.rs::P": 2, "a.rs::P/x": 2, "a.rs::P/y": 2}

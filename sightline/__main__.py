@@ -59,7 +59,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
 
         def show(ledger, session: str) -> None:  # noqa: ANN001
             p = O.stats_panel(ledger.ledger(), F.lit(ledger.symbols().count())).first()
-            sys.stdout.write(f"{session}: {p.percent}% seen ({p.seen}), {p.full} full, {p.stale} stale, {p.unseen} unseen\n")
+            sys.stdout.write(f"{session}: {p.percent}% seen ({p.seen}), {p.full_body} full, {p.stale} stale, {p.unseen} unseen\n")
             sys.stdout.flush()
 
         follow(spark, a.project, logs, a.follow, a.session, toolmap.resolve(a.tools_config)[0], keep, show=show)

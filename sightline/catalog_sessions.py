@@ -220,7 +220,7 @@ def activity_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return O.activity(e, ["session_id"], ORDER, 20, 10).select("session_id", "line_no")
 
 
-@query(_LOG + _ONE + """SELECT count(*) FILTER (depth > 0) AS seen, count(*) FILTER (depth = 4) AS "full", count(*) FILTER (depth = 3) AS signature, count(*) FILTER (depth = 2) AS overview, count(*) FILTER (depth = 1) AS name,
+@query(_LOG + _ONE + """SELECT count(*) FILTER (depth > 0) AS seen, count(*) FILTER (depth = 4) AS full_body, count(*) FILTER (depth = 3) AS signature, count(*) FILTER (depth = 2) AS overview, count(*) FILTER (depth = 1) AS name,
  0::BIGINT AS stale, (count(*) FILTER (depth > 0) / 560 * 100e0 - 0.5)::INT AS percent, 560 - count(*) FILTER (depth > 0) AS unseen FROM led""".replace("(count(*) FILTER (depth > 0) / 560 * 100e0 - 0.5)::INT", "floor(count(*) FILTER (depth > 0) / 560 * 100e0)::INT"))
 def stats_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     files, symbols = project(spark)

@@ -302,7 +302,7 @@ def agent_coverage(agents: DataFrame, ledger_agents: DataFrame, total: int, agen
 def stats_panel(depths: DataFrame, total: Column) -> DataFrame:
     """One row: symbols seen, whole percent seen, rows of each depth, and how many of ``total`` are unseen (never below 0)."""
     at = lambda code: F.count_if(F.col("depth") == code)
-    sums = depths.agg(F.count_if(F.col("depth") > UNSEEN).alias("seen"), at(4).alias("full"), at(3).alias("signature"), at(2).alias("overview"), at(1).alias("name"), at(5).alias("stale"))
+    sums = depths.agg(F.count_if(F.col("depth") > UNSEEN).alias("seen"), at(4).alias("full_body"), at(3).alias("signature"), at(2).alias("overview"), at(1).alias("name"), at(5).alias("stale"))
     return sums.withColumn("percent", percent(F.col("seen"), total).cast("int")).withColumn("unseen", F.greatest(total - F.col("seen"), F.lit(0)))
 
 

@@ -27,8 +27,8 @@ from pyspark.sql import DataFrame
 from .common import labelled_sample, slices
 
 #: Bounds of the fit: labelled rows per class, whole ones, and their bytes together.
-SAMPLE_ROWS = 1000
-SAMPLE_BYTES = 4_000_000
+SAMPLE_ROWS = 1200
+SAMPLE_BYTES = 6_000_000
 ROUNDS = 3
 SYMBOLS = b"#*$%&|<>^~=_{}[]\\@"
 DIGITS = b"0123456789"

@@ -29,9 +29,9 @@ from pyspark.sql import DataFrame
 from .common import labelled_sample, slices
 
 #: Bounds of the fit: labelled rows per class and unlabelled rows, whole ones, and the bytes of each kind together.
-SAMPLE_ROWS = 2000
-UNLABELLED_ROWS = 2000
-SAMPLE_BYTES = 6_000_000
+SAMPLE_ROWS = 2500
+UNLABELLED_ROWS = 1000
+SAMPLE_BYTES = 8_000_000
 #: Beginnings of words that are features beside the words.
 STEMS = (4, 5, 6)
 MAX_FEATURES = 4000
@@ -40,6 +40,8 @@ MIN_Z = 7.0
 #: Words whose features a worker remembers.
 MEMO_WORDS = 300_000
 DISCOVERED_VOTERS = 24
+#: Distinct terms per 1000 characters from which on they are no accident: a long text holds some term by chance.
+TERM_DENSITY = 1.5
 
 #: General terms of abuse, by language and kind.
 LEXICONS = {
@@ -87,16 +89,20 @@ class Voters:
         return self.decide(*lexicon_hits(text, found), [len(found & group) for group in self.discovered])
 
     @staticmethod
-    def decide(hits: list[int], at_person: bool, stems: list[int]) -> list[int]:
-        """Votes from the terms of each lexicon, whether one is said of a person, and the stems of each group."""
+    def decide(hits: list[int], at_person: bool, length: int, stems: list[int]) -> list[int]:
+        """Votes from the terms of each lexicon, whether one is said of a person, the text's length and the stems of each group.
+
+        Mined stems and the sum of all terms say something only where terms are dense.
+        """
         total = sum(hits) + sum(stems)
+        dense = 1000 * total >= TERM_DENSITY * length and total > 0
         said = [int(h > 0) for h in hits]
-        return said + [int(at_person), int(total >= 2), -int(total == 0)] + [int(h > 0) for h in stems]
+        return said + [int(at_person), int(dense and total >= 2), -int(total == 0)] + [int(dense and h > 0) for h in stems]
 
 
-def lexicon_hits(text: str | None, found: set[str]) -> tuple[list[int], bool]:
+def lexicon_hits(text: str | None, found: set[str]) -> tuple[list[int], bool, int]:
     hits = [len(found & terms) for terms in _TERMS]
-    return hits, bool(sum(hits) and text and _AT_PERSON.search(text))
+    return hits, bool(sum(hits) and text and _AT_PERSON.search(text)), len(text or "")
 
 
 _TERMS = [set(v.split()) for v in LEXICONS.values()]
@@ -108,7 +114,7 @@ class FeatureRows:
     def __init__(self, texts: Iterable[str]):
         self.numbers: dict[str, int] = {}
         self.rows: list[np.ndarray] = []
-        self.hits: list[tuple[list[int], bool]] = []
+        self.hits: list[tuple[list[int], bool, int]] = []
         for text in texts:
             found = features(set(word_counts(text)))
             self.rows.append(np.fromiter((self.numbers.setdefault(f, len(self.numbers)) for f in found), np.int32, len(found)))

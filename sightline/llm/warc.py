@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import SLICE_BYTES, SLICE_ROWS, slices
 
-#: Character references that the SQL decodes, in this order (&amp; last).
+#: Character references that the SQL decodes, in this order (&amp; last, which may lack its semicolon).
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&copy;": "©", "&reg;": "®", "&middot;": "·", "&hellip;": "…", "&ndash;": "–", "&mdash;": "—", "&euro;": "€"}
 HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)|<noscript\b.*?(?:</noscript\s*>|\z)"
 BLOCK = r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|option|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>"
@@ -248,7 +248,7 @@ a AS (SELECT *, regexp_replace(regexp_replace(html, {_q(HIDDEN)}, '', 'g'), {_q(
 h AS (SELECT *, string_split(t1, '>')[-1] AS tail FROM a),
 b AS (SELECT *, regexp_replace(regexp_replace(left(t1, length(t1) - length(tail)), {_q(BLOCK)}, chr(10), 'g'), {_q(TAG)}, '', 'g') || regexp_replace(tail, {_q(OPEN_TAG)}, '') AS t3 FROM h),
 c AS (SELECT *, {decoded} AS t4 FROM b),
-e AS (SELECT *, replace(list_reduce(list_distinct(regexp_extract_all(t4, '&#([0-9]{{2,5}});', 1)), lambda acc, n: replace(acc, '&#' || n || ';', chr(n::INT)), t4), '&amp;', '&') AS t5 FROM c),
+e AS (SELECT *, regexp_replace(list_reduce(list_distinct(regexp_extract_all(t4, '&#([0-9]{{2,5}});', 1)), lambda acc, n: replace(acc, '&#' || n || ';', chr(n::INT)), t4), '&amp;?', '&', 'g') AS t5 FROM c),
 f AS (SELECT *, trim(regexp_replace(regexp_replace(t5, '[ \t]{{2,}}|\t', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), ' ' || chr(10)) AS txt FROM e),
 m AS (SELECT *, 'metadata' AS warc_type, 'application/warc-fields' AS content_type, {meta} AS block FROM f
       UNION ALL SELECT *, 'conversion', 'text/plain; charset=utf-8', txt FROM f)

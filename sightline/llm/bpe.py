@@ -40,6 +40,9 @@ class ByteBPE:
     def __init__(self, rank_path: str, pattern: str):
         with open(rank_path, "rb") as lines:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        self.build(ranks, pattern)
+
+    def build(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.encoding = tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str | None) -> list[int]:

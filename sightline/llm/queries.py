@@ -8,11 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, html_text, language_ppm, line_dedup, ngram_jaccard, quality_crf, quality_rules, toxicity, warc
+from . import bpe, chat_format, decontaminate, html_text, language_ppm, line_dedup, ngram_jaccard, periodic_runs, quality_crf, quality_rules, token_alignment, toxicity, warc
 from .common import crc_mod
 
 #: The rank file's place is a parameter; it is read where it is and never copied.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+#: The two vocabularies that op11 aligns.
+BYTE_LEVEL, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,8 +75,25 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.align_corpus(table(spark, sf_dir, "documents"), BYTE_LEVEL, PIECES, public_tokenizers.PATTERN)
+
+
+#: A conversation of control strings, -1 of op12.
+CONTROL_TURNS = "SELECT -1L AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)"
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(spark.sql(CONTROL_TURNS))
+    return chat_format.digests(chat_format.format_chats(chat_format.gather(rows)))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digests(periodic_runs.find_runs(periodic_runs.plant(table(spark, sf_dir, "documents"))))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_line_dedup, op3_warc, op4_toxicity, op5_quality_rules, op6_language_id, op7_decontamination, op8_quality_classifier, op9_byte_bpe, op10_html_extraction)}
+    return {f.__name__: f for f in (op1_ngram_jaccard_join, op2_line_dedup, op3_warc, op4_toxicity, op5_quality_rules, op6_language_id, op7_decontamination, op8_quality_classifier, op9_byte_bpe, op10_html_extraction, op11_token_alignment, op12_chat_format, op13_periodic_runs)}
 
 
 _WHITE = r"[\x20\x09-\x0D]"
@@ -118,11 +137,25 @@ FROM flagged JOIN ok ON flagged.source IS NOT DISTINCT FROM ok.source
 """
 
 
+_OP12 = r"""
+WITH rows_ AS (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]'))),
+t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text FROM rows_),
+marked AS (SELECT *, length(role || text) + len(regexp_extract_all(role || chr(10) || text, '<\\*(\|im_start\|>|\|im_sep\|>|\|im_end\|>|\|endoftext\|>|s>|/s>)|\[\\*(INST\]|/INST\])')) AS escaped FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY pos) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(escaped + length('<|im_start|><|im_sep|><|im_end|>') + 1)::BIGINT AS formatted_chars
+FROM marked GROUP BY conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL where it can express a query on whole tables.
 
     Not for: op1 (connected components of all similar pairs), op4, op6, op8 (fitted models), op7 (SimHash
-    candidates over hashes that DuckDB lacks), op9 (BPE merges), op10 (a tokenizer with a stack). Those
+    candidates over hashes that DuckDB lacks), op9 and op11 (BPE merges), op10 (a tokenizer with a stack), op13
+    (every period of every word is too slow on whole tables). Those
     are tested against brute-force versions, round trips or held-out accuracy in tests/llm.
     """
-    return {"op2_line_dedup": _OP2, "op3_warc": warc.ORACLE_SQL, "op5_quality_rules": _OP5}
+    return {"op2_line_dedup": _OP2, "op3_warc": warc.ORACLE_SQL, "op5_quality_rules": _OP5, "op12_chat_format": _OP12}

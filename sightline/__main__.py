@@ -8,7 +8,6 @@ import os
 import sys
 
 from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
 
 
 def arguments(argv: list[str] | None = None) -> argparse.Namespace:
@@ -57,9 +56,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> No
         if not logs:
             raise SystemExit(f"no session logs for {a.project}")
 
-        def show(ledger, session: str) -> None:  # noqa: ANN001
-            p = O.stats_panel(ledger.ledger(), F.lit(ledger.symbols().count())).first()
-            sys.stdout.write(f"{session}: {p.percent}% seen ({p.seen}), {p.full_body} full, {p.stale} stale, {p.unseen} unseen\n")
+        def show(panel: dict, session: str, state) -> None:  # noqa: ANN001
+            at = panel["depths"].get
+            sys.stdout.write(f"{session}: {panel['seen']} seen, {at(4, 0)} full, {at(5, 0)} stale; {panel['calls']} calls since reset {panel['epoch']}\n")
             sys.stdout.flush()
 
         follow(spark, a.project, logs, a.follow, a.session, toolmap.resolve(a.tools_config)[0], keep, show=show)

@@ -31,7 +31,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from . import catalog_sessions  # noqa: F401  (registers its queries)
+    from . import catalog_sessions, catalog_structures  # noqa: F401  (register their queries)
 
     return dict(_QUERIES)
 

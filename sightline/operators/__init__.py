@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import FULL_BODY, UNSEEN, file_status, path_parts, percent, strip_keywords
+from .ranges import range_join, stab_join, suffix_join
+from .scans import chunk_scan
 
 # --- matching ---------------------------------------------------------------------------------------
 
@@ -38,41 +43,53 @@ def interval_join(left: DataFrame, right: DataFrame, keys: list[str], start: str
     return met.where(once & overlaps(F.col(start), F.col(end), F.col(right_start), F.col(right_end))).drop("_bin")
 
 
+def touched(asked: DataFrame, symbols: DataFrame) -> DataFrame:
+    """The symbols that each distinct (file_path, target_symbol, target_start, target_end) touches, each once.
+
+    Without a target the whole file; a symbol target touches the symbols it names and what they contain; a line
+    target those that overlap it. Names meet by an index of suffixes, lines and subtrees by dyadic nodes.
+    """
+    fields = ["ord", "subtree_end", "id", "name", "line_start", "line_end", "content_hash", "estimated_tokens"]
+    tree, target = symbols.select("file_path", *fields), ["target_symbol", "target_start", "target_end"]
+    plain = asked.where("target_symbol is null and target_start is null").join(tree, "file_path")
+    wanted = asked.where("target_symbol is not null").select("file_path", "target_symbol").distinct()
+    path = F.substring_index("id", "::", -1)
+    roots = suffix_join(wanted, tree.select("file_path", "ord", "subtree_end", "id", "name"), ["file_path"], "target_symbol", path, F.col("name"))
+    spans = roots.select("file_path", "target_symbol", F.col("ord").alias("_from"), (F.col("subtree_end") + 1).alias("_to"))
+    named = stab_join(tree, spans, ["file_path"], "ord", "_from", "_to").drop("_from", "_to").dropDuplicates(["file_path", "target_symbol", "ord"])
+    named = asked.where("target_symbol is not null").join(named, ["file_path", "target_symbol"])
+    lined = range_join(asked.where("target_start is not null"), tree, ["file_path"], "target_start", "target_end", "line_start", "line_end")
+    order = ["file_path", *target, *fields]
+    return plain.select(*order).unionByName(named.select(*order).unionByName(lined.select(*order)).dropDuplicates(["file_path", *target, "ord"]))
+
+
 def marks(events: DataFrame, symbols: DataFrame, order: list[str] | None = None) -> DataFrame:
     """One row per (tool call, symbol) that the call touches.
 
     ``events``: session_id, the columns of ``order`` (given back as event_ord; ``ord`` by default), epoch, agent_id,
     file_path, read_depth, target_symbol, target_start, target_end. ``symbols``: file_path, ord, subtree_end, id,
-    name, line_start, line_end, content_hash, estimated_tokens. Without a target the whole file is marked;
-    with a symbol target every matching symbol and what it contains; with a line target every
-    overlapping symbol. A file's symbols are one sorted array, so calls meet files once, by an equality.
+    name, line_start, line_end, content_hash, estimated_tokens. Calls repeat themselves, so what is touched is found for each
+    distinct target once (``touched``), and calls meet it by an equality; no symbol is tested against a call.
     """
     given = [F.col(c) for c in order or ["ord"]]
-    e = events.where("file_path is not null").select("session_id", (given[0] if len(given) == 1 else F.struct(*given)).alias("event_ord"), "epoch", "agent_id", "file_path", "read_depth", "target_symbol", "target_start", "target_end")
-    fields = ["ord", "subtree_end", "id", "name", "line_start", "line_end", "content_hash", "estimated_tokens"]
-    trees = symbols.groupBy("file_path").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("tree"))
-    symbol, start, end, tree = (F.col(c) for c in ("target_symbol", "target_start", "target_end", "tree"))
-    plain = symbol.isNull() & start.isNull()
-    named = F.when(symbol.isNotNull(), F.filter(tree, lambda s: name_matches(F.substring_index(s["id"], "::", -1), s["name"], symbol)))
-
-    def touched(s: Column) -> Column:
-        inside = F.exists(F.col("named"), lambda n: (n["ord"] <= s["ord"]) & (s["ord"] <= n["subtree_end"]))
-        by_lines = start.isNotNull() & overlaps(s["line_start"], s["line_end"], start, end)
-        return plain | F.coalesce(inside, F.lit(False)) | F.coalesce(by_lines, F.lit(False))
-
-    keys = ["session_id", "event_ord", "epoch", "agent_id", "read_depth", "file_path"]
-    hit = e.join(trees, "file_path").withColumn("named", named).select(*keys, F.explode(F.filter(tree, touched)).alias("s"))
-    return hit.select(*keys, F.col("s.ord").alias("sym_ord"), "s.id", "s.content_hash", "s.estimated_tokens")
+    by = ["file_path", "target_symbol", "target_start", "target_end"]
+    e = events.where("file_path is not null").select("session_id", (given[0] if len(given) == 1 else F.struct(*given)).alias("event_ord"), "epoch", "agent_id", "read_depth", *by)
+    hits = touched(e.select(*by).distinct(), symbols)
+    found = e.alias("e").join(hits.alias("h"), [F.col(f"e.{c}").eqNullSafe(F.col(f"h.{c}")) for c in by])
+    return found.select(*(f"e.{c}" for c in ("session_id", "event_ord", "epoch", "agent_id", "read_depth", "file_path")), F.col("h.ord").alias("sym_ord"), "h.id", "h.content_hash", "h.estimated_tokens")
 
 
 # --- epochs and ledger --------------------------------------------------------------------------------
 
 
-def with_epochs(events: DataFrame, is_reset: Column, partition: list[str], order: list[str]) -> DataFrame:
+def with_epochs(events: DataFrame, is_reset: Column, partition: list[str], order: list[str], chunk: dict[str, Column] | None = None) -> DataFrame:
     """``epoch``: how many resets came strictly before each event of its session.
 
-    A session's events are one window: they are sorted in one task, and stream through it.
+    With ``chunk``, columns that follow the order, a session is scanned in pieces, whatever its length (``scans.chunk_scan``);
+    without, its events are one window and stream through one task.
     """
+    if chunk:
+        return chunk_scan(events, partition, chunk, order, {"epoch": is_reset})
     before = W.partitionBy(*partition).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
     return events.withColumn("epoch", F.coalesce(F.sum(is_reset.cast("long")).over(before), F.lit(0)))
 
@@ -142,21 +159,42 @@ def project_totals(files: DataFrame, symbols: DataFrame) -> DataFrame:
 def roll_up_hashes(symbols: DataFrame, by: str = "file_path", hash_col: str = "content_hash") -> DataFrame:
     """``symbols`` with ``merkle_hash``: a leaf's is its own hash, a parent's that of its own and its children's in order.
 
-    Level by level from below; there are as many steps as the deepest tree has levels.
+    One shuffle and one pass over a file's symbols from the last to the first: below a symbol lie those after it up to
+    ``subtree_end``, so its children are what is on top of a stack when its turn comes.
     """
     rest = symbols.drop("merkle_hash")
-    top = rest.agg(F.max("level")).first()[0] or 0
-    done = below = None
-    for level in range(top, -1, -1):
-        here = rest.where(F.col("level") == level)
-        if below is None:
-            now = here.withColumn("merkle_hash", F.col(hash_col))
-        else:
-            joined = below.groupBy(by, F.col("parent_ord").alias("ord")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "merkle_hash"))), lambda c: c["merkle_hash"]), "").alias("_below"))
-            now = here.join(joined, [by, "ord"], "left").withColumn("merkle_hash", F.when(F.col("_below").isNull(), F.col(hash_col)).otherwise(F.sha2(F.concat(hash_col, "_below"), 256))).select(*rest.columns, "merkle_hash")
-        done = now if done is None else done.unionByName(now)
-        below = now
-    return done
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema) + ", merkle_hash string"
+
+    def fold(part: pa.Table) -> pa.Table:
+        part = part.sort_by("ord")
+        levels, own = part.column("level").to_pylist(), part.column(hash_col).to_pylist()
+        out: list[str | None] = [None] * len(own)
+        stack: list[tuple[int, str | None]] = []
+        for i in range(len(own) - 1, -1, -1):
+            below = []
+            while stack and stack[-1][0] > levels[i]:
+                below.append(stack.pop()[1])
+            out[i] = own[i] if not below else None if own[i] is None or None in below else hashlib.sha256("".join((own[i], *below)).encode()).hexdigest()
+            stack.append((levels[i], out[i]))
+        return part.append_column("merkle_hash", pa.array(out, pa.string()))
+
+    return rest.groupBy(by).applyInArrow(fold, schema)
+
+
+def root_hashes(rolled: DataFrame, by: str = "file_path") -> DataFrame:
+    """(file, root_hash) of ``roll_up_hashes``: one hash for all that a file holds, in order."""
+    tops = F.array_sort(F.collect_list(F.when(F.col("level") == 0, F.struct("ord", "merkle_hash"))))
+    return rolled.groupBy(by).agg(F.sha2(F.array_join(F.transform(tops, lambda t: t["merkle_hash"]), ""), 256).alias("root_hash"))
+
+
+def merkle_stale(old: DataFrame, new: DataFrame, old_roots: DataFrame, new_roots: DataFrame, keys: list[str], by: str = "file_path", hash_col: str = "content_hash") -> DataFrame:
+    """``stale`` of two rolled-up projects, from their roots down: symbols are read of files alone whose root hashes differ.
+
+    ``old_roots`` and ``new_roots`` are a row a file, kept beside the symbols. A project that hardly changed costs the roots and
+    the changed files; files that only one side has have no keys in common.
+    """
+    differ = old_roots.select(by, F.col("root_hash").alias("_old")).join(new_roots, by).where(F.col("_old") != F.col("root_hash")).select(by)
+    return stale(old.join(differ, by, "left_semi"), new.join(differ, by, "left_semi"), keys, hash_col)
 
 
 def stale(old: DataFrame, new: DataFrame, keys: list[str], hash_col: str = "content_hash") -> DataFrame:
@@ -220,12 +258,18 @@ def pair_metadata(rows: DataFrame, is_boundary: Column, is_summary: Column, valu
 
 
 def ring_buffer(rows: DataFrame, partition: list[str], order: list[Column], limit: int = 200, drop: int = 100) -> DataFrame:
-    """What an append-only buffer still holds that drops its first ``drop`` rows when it exceeds ``limit``."""
+    """What an append-only buffer still holds that drops its first ``drop`` rows when it exceeds ``limit``.
+
+    A buffer holds at most ``limit`` last rows. Every task keeps its last ones of each group before anything is
+    shuffled (the rank's limit goes below the exchange), and counts are summed likewise.
+    """
+    rank = F.row_number().over(W.partitionBy(*partition).orderBy(*(c.desc() for c in order)))
+    last = rows.withColumn("_back", rank).where(F.col("_back") <= limit)
+    sizes = rows.groupBy(*(F.col(c).alias(f"_by_{c}") for c in partition)).agg(F.count("*").alias("_n"))
     n = F.col("_n")
     kept = F.when(n <= limit, n).otherwise((limit - drop + 1) + (n - limit - 1) % drop)
-    at = F.row_number().over(W.partitionBy(*partition).orderBy(*order))
-    counted = rows.withColumn("_n", F.count("*").over(W.partitionBy(*partition))).withColumn("_at", at)
-    return counted.where(F.col("_at") > n - kept).drop("_n", "_at")
+    joined = last.join(sizes, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in partition])
+    return joined.where(F.col("_back") <= kept).select(*rows.columns)
 
 
 def activity(events: DataFrame, partition: list[str], order: list[str], limit: int = 200, drop: int = 100) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import operators as O
 from ..functions import UNSEEN, percent
-from ..sources.sessions import ORDER
+from ..sources.sessions import ORDER, chunks
 
 _RESET = "kind in ('compacted', 'cleared')"
 
@@ -27,20 +27,16 @@ class Coverage:
     compactions: DataFrame  # sequence, ts, summary, meta, tool_calls_before, files_before, seen_before, seen_percent
     agents: DataFrame  # session_id, agent_id, first_ord, label
 
-    def release(self) -> None:
-        """Give back what is kept of the events."""
-        self.events.unpersist()
-
 
 def fold(files: DataFrame, symbols: DataFrame, events: DataFrame) -> Coverage:
     """Coverage of one session (``events`` as ``sources.sessions.events`` gives them, without boundaries).
 
     Every compaction and every clear empties the ledger; what it held is the compaction's snapshot. A
-    path filter concerns files and symbols alone, not the calls that are counted. The events are kept (in memory
-    and on disk, as they come) for the tables that read them, so logs are parsed once; see ``release``.
+    path filter concerns files and symbols alone, not the calls that are counted. Events come with their epochs out of
+    a scan that has written them once, so logs are parsed once, whatever number of tables read them.
     """
     reset = F.expr(_RESET)
-    timed = O.with_epochs(events, reset, ["session_id"], ORDER).persist()
+    timed = events if "epoch" in events.columns else O.with_epochs(events, reset, ["session_id"], ORDER, chunks())
     calls = timed.where("kind = 'tool_call'")
     marked = O.marks(calls, symbols, ORDER)
     resets = timed.where(reset).groupBy("session_id").agg(F.count("*").alias("resets"))
@@ -78,3 +74,16 @@ def module_coverage(rows: DataFrame, needed: float = 60.0) -> DataFrame:
     sums = rows.groupBy(folder.alias("module")).agg(F.sum("total_symbols").alias("total"), F.sum("seen_count").alias("seen"), F.sum("full_count").alias("full"))
     seen: Column = percent(F.col("seen"), F.col("total"))
     return sums.select("module", seen.alias("seen_percent"), percent(F.col("full"), F.col("total")).alias("full_percent"), (seen >= needed).alias("enough"))
+
+
+def folder_coverage(rows: DataFrame) -> DataFrame:
+    """(folder, files, total_symbols, seen_count, full_count, percents) of every folder with all below it; ``''`` is the whole project.
+
+    ``rows`` are a report's: file_path and its counts. A file counts in each folder above it, and one aggregate, combined
+    before its shuffle, serves all levels.
+    """
+    parts = F.split("file_path", "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    sums = rows.select(F.explode(above).alias("folder"), "total_symbols", "seen_count", "full_count").groupBy("folder").agg(
+        F.count("*").alias("files"), *(F.sum(c).alias(c) for c in ("total_symbols", "seen_count", "full_count")))
+    return sums.withColumn("seen_percent", percent(F.col("seen_count"), F.col("total_symbols"))).withColumn("full_percent", percent(F.col("full_count"), F.col("total_symbols")))

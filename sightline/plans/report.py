@@ -142,7 +142,6 @@ def run(
     if event_log_dir and session:
         write_event_log(events, os.path.join(event_log_dir, f"{session}.log"))
     out = (formatter or TextFormatter()).format(collected(c, session, agent, path_filter))
-    c.release()
     return out
 
 

@@ -48,7 +48,7 @@ class Stanza:
 class Mapper(Protocol):
     """Struct(file_path, read_depth, description, target_symbol, target_start, target_end) of a tool call."""
 
-    def __call__(self, name: Column, v: Column, stanzas: list[Stanza]) -> Column: ...
+    def __call__(self, name: Column, f: Fields, stanzas: list[Stanza]) -> Column: ...
 
 
 # --- loading --------------------------------------------------------------------------------------------
@@ -164,27 +164,39 @@ def _at(key: str) -> str:
     return f"$.{key}" if re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]*", key) else f"$['{key}']"
 
 
-def _first(v: Column, keys: tuple[str, ...]) -> Column:
-    return F.coalesce(*(typed(v, _at(k)) for k in keys)) if keys else F.lit(None).cast("string")
+class Fields:
+    """The fields of a tool's input that a mapping names; each (path, type) is one column, whoever reads it.
+
+    ``sources.records.events`` fills the columns of all that has been asked for, in one walk of each record.
+    """
+
+    def __init__(self, prefix: str = "_in"):
+        self.prefix, self.found = prefix, {}
+
+    def typed(self, path: str, kind: str = "STRING") -> Column:
+        """A field of exactly this type; anything else is as good as absent."""
+        return F.col(f"{self.prefix}{self.found.setdefault((path, kind), len(self.found))}")
+
+    def whole(self, key: str) -> Column:
+        """A whole number from 0 below 2^64, by its lowest 32 bits."""
+        return self.typed(_at(key), "WHOLE")
+
+    def names(self) -> list[str]:
+        return [f"{self.prefix}{i}" for i in range(len(self.found))]
 
 
-def _whole(v: Column, key: str) -> Column:
-    """A whole number from 0 below 2^64, by its lowest 32 bits."""
-    kind = F.schema_of_variant(F.try_variant_get(v, _at(key), "variant"))
-    # Numbers beyond a long are decimals of 19 or 20 digits.
-    wide = F.when(kind.isin("DECIMAL(19,0)", "DECIMAL(20,0)"), F.try_variant_get(v, _at(key), "decimal(20,0)"))
-    n = F.coalesce(typed(v, _at(key), "BIGINT").cast("decimal(20,0)"), wide)
-    return F.when((n >= 0) & (n <= F.lit("18446744073709551615").cast("decimal(20,0)")), (n % F.lit(1 << 32)).cast("bigint"))
+def _first(f: Fields, keys: tuple[str, ...]) -> Column:
+    return F.coalesce(*(f.typed(_at(k)) for k in keys)) if keys else F.lit(None).cast("string")
 
 
-def _depth(v: Column, spec: dict) -> Column:
+def _depth(f: Fields, spec: dict) -> Column:
     kind = spec["type"]
     if kind == "fixed":
         return F.lit(CODES[spec["value"]])
     if kind == "conditional":
-        flag = typed(v, _at(spec["condition_key"]), "BOOLEAN")
+        flag = f.typed(_at(spec["condition_key"]), "BOOLEAN")
         return F.when(flag, CODES[spec["if_true"]]).when(~flag, CODES[spec["if_false"]]).otherwise(CODES[spec["default"]])
-    text, out = F.coalesce(typed(v, _at(spec["key"])), F.lit("")), None
+    text, out = F.coalesce(f.typed(_at(spec["key"])), F.lit("")), None
     tests = {"prefix": F.startswith, "contains": F.contains, "exact": lambda a, b: a == b}
     for p in spec["patterns"]:
         test = tests[p.get("match_type", "prefix")](text, F.lit(p["prefix"]))
@@ -192,11 +204,11 @@ def _depth(v: Column, spec: dict) -> Column:
     return F.lit(CODES[spec["default"]]) if out is None else out.otherwise(CODES[spec["default"]])
 
 
-def _describe(v: Column, template: str, display: Column) -> Column:
+def _describe(f: Fields, template: str, display: Column) -> Column:
     """The template with its ``{key}``, ``{key|short}`` and ``{key|cmd}``; braces around anything else are text."""
     parts, at = [], 0
     for m in re.finditer(r"\{([A-Za-z_][A-Za-z0-9_]*)(?:\|(short|cmd))?\}", template):
-        own = typed(v, _at(m[1]))
+        own = f.typed(_at(m[1]))
         value = F.coalesce(display, own, F.lit("?")) if m[1] == "pattern" else F.coalesce(own, F.lit("?"))
         value = X.short_path(value) if m[2] == "short" else X.truncate_command(value) if m[2] == "cmd" else value
         parts += [F.lit(template[at : m.start()]), value]
@@ -204,11 +216,11 @@ def _describe(v: Column, template: str, display: Column) -> Column:
     return F.concat(*parts, F.lit(template[at:]))
 
 
-def columns(name: Column, v: Column, stanzas: list[Stanza]) -> Column:
+def columns(name: Column, f: Fields, stanzas: list[Stanza]) -> Column:
     """Struct(file_path, read_depth, description, target_symbol, target_start, target_end) of a tool call.
 
-    Of several stanzas that list a name the last holds. A call of an unknown tool, or one that lacks its
-    required path, is an untracked call of depth Unseen.
+    ``f`` gives the fields of the call's input. Of several stanzas that list a name the last holds. A call of an unknown
+    tool, or one that lacks its required path, is an untracked call of depth Unseen.
     """
     null = F.lit(None)
     owner = {n: i for i, s in enumerate(stanzas) for n in s.names}
@@ -217,12 +229,12 @@ def columns(name: Column, v: Column, stanzas: list[Stanza]) -> Column:
         own = [n for n in s.names if owner[n] == i]
         if not own:
             continue
-        path = _first(v, s.path_keys)
-        display = F.coalesce(_first(v, s.pattern_keys), typed(v, "$.todos[0].content"), path)
-        start, count = (_whole(v, k) for k in s.line_keys) if s.line_keys else (null.cast("bigint"), null.cast("bigint"))
+        path = _first(f, s.path_keys)
+        display = F.coalesce(_first(f, s.pattern_keys), f.typed("$.todos[0].content"), path)
+        start, count = (f.whole(k) for k in s.line_keys) if s.line_keys else (null.cast("bigint"), null.cast("bigint"))
         ranged = start.isNotNull() & count.isNotNull()
-        row = F.struct(path.alias("file_path"), _depth(v, s.depth).alias("read_depth"), _describe(v, s.description, display).alias("description"),
-                       (typed(v, _at(s.symbol_key)) if s.symbol_key else null.cast("string")).alias("target_symbol"), F.when(ranged, start).alias("target_start"), F.when(ranged, (start + count) % (1 << 32)).alias("target_end"))
+        row = F.struct(path.alias("file_path"), _depth(f, s.depth).alias("read_depth"), _describe(f, s.description, display).alias("description"),
+                       (f.typed(_at(s.symbol_key)) if s.symbol_key else null.cast("string")).alias("target_symbol"), F.when(ranged, start).alias("target_start"), F.when(ranged, (start + count) % (1 << 32)).alias("target_end"))
         test = name.isin(*own) & (path.isNotNull() if s.path_required else F.lit(True))
         out = F.when(test, row) if out is None else out.when(test, row)
     other = F.struct(null.cast("string").alias("file_path"), F.lit(0).alias("read_depth"), F.concat(name, F.lit(" (untracked)")).alias("description"), null.cast("string").alias("target_symbol"), null.cast("bigint").alias("target_start"), null.cast("bigint").alias("target_end"))

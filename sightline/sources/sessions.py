@@ -14,11 +14,12 @@ from pathlib import Path
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import first_bytes, remap, under_root
-from ..plans.toolmap import DEFAULTS, Mapper, Stanza, columns, typed
+from ..operators.scans import chunk_scan
+from ..plans.toolmap import DEFAULTS, Fields, Mapper, Stanza, columns, typed
+from . import records
 
 CLEAR = "<command-name>/clear</command-name>"
 ORDER = ["file_rank", "block", "line_no", "block_pos"]
@@ -138,37 +139,34 @@ def parse_lines(lines: DataFrame, root: str, session: str | Column, stanzas: lis
 
     Lines that are no JSON, and records of other kinds, give no event. A summary's flag goes before a
     clear command in the same record, and a summary that is no text is an empty one. ``mapper`` makes of a
-    tool's name and input what ``toolmap.columns`` makes of them by the stanzas.
+    tool's name and the fields of its input what ``toolmap.columns`` makes of them by the stanzas.
     """
-    v = F.col("v")
     known = lines.columns
     label = F.col("label") if "label" in known else F.regexp_replace("stem", "^agent-", "")
     cwd = F.col("cwd") if "cwd" in known else F.lit(None).cast("string")
-    parsed = lines.withColumn("v", F.try_parse_json("raw")).where("v is not null")
-    kind = typed(v, "$.type")
-    has_agent = F.try_variant_get(v, "$.agentId", "variant").isNotNull()
-    agent = F.coalesce(F.when(has_agent, typed(v, "$.agentId")).otherwise(typed(v, "$.sessionId")), F.col("stem"))
-    text = typed(v, "$.message.content")
-    boundary = (kind == "system") & (typed(v, "$.subtype") == "compact_boundary") & typed(v, "$.compactMetadata.trigger").isNotNull()
-    summary = (kind == "user") & F.coalesce(typed(v, "$.isCompactSummary", "BOOLEAN"), F.lit(False))
-    clear = (kind == "user") & F.contains(text, F.lit(CLEAR))
-    blocks = F.when(kind == "assistant", F.try_variant_get(v, "$.message.content", "array<variant>"))
-    what = F.when(boundary, "boundary").when(summary, "compacted").when(clear, "cleared").when(blocks.isNotNull(), "tool_call")
-    number = lambda k: F.greatest(F.coalesce(typed(v, f"$.compactMetadata.{k}", "BIGINT"), F.lit(0)), F.lit(0))
-    meta = F.when(boundary, F.struct(typed(v, "$.compactMetadata.trigger").alias("trigger"), number("preTokens").alias("pre_tokens"), number("postTokens").alias("post_tokens"), number("durationMs").alias("duration_ms")))
-    base = parsed.select(
-        (F.lit(session) if isinstance(session, str) else session).alias("session_id"), *ORDER[:3], what.alias("kind"), F.when(what == "tool_call", agent).otherwise(F.col("stem")).alias("agent_id"),
-        F.coalesce(typed(v, "$.timestamp"), F.lit("")).alias("ts"), label.alias("label"), cwd.alias("cwd"), F.when(summary, F.coalesce(text, F.lit(""))).alias("summary"), meta.alias("meta"), blocks.alias("blocks"),
-    ).where("kind is not null")
-    found = base.select("*", F.posexplode_outer("blocks").alias("block_pos", "content")).drop("blocks")
-    calls = found.withColumn("tool_name", F.when(typed(F.col("content"), "$.type") == "tool_use", typed(F.col("content"), "$.name"))).where("kind <> 'tool_call' or tool_name is not null")
+    own = [label.alias("label"), cwd.alias("cwd"), "stem", *ORDER[:3], (F.lit(session) if isinstance(session, str) else session).alias("session_id")]
+    inputs = Fields()
+    mapping = mapper(F.col("tool_name"), inputs, list(stanzas))
+    read = records.events(lines.select(*own, "raw"), inputs)
+    kind, trigger = F.col("_type"), F.col("_trigger")
+    boundary = (kind == "system") & (F.col("_subtype") == "compact_boundary") & trigger.isNotNull()
+    summary = (kind == "user") & F.coalesce("_flag", F.lit(False))
+    clear = (kind == "user") & F.contains(F.col("_text"), F.lit(CLEAR))
+    number = lambda c: F.greatest(F.coalesce(c, F.lit(0)), F.lit(0))
+    meta = F.struct(trigger.alias("trigger"), number("_pre").alias("pre_tokens"), number("_post").alias("post_tokens"), number("_took").alias("duration_ms"))
+    agent = F.coalesce(F.when(F.col("_named"), F.col("_agent")).otherwise(F.col("_session")), F.col("stem"))
+    what = F.when(F.col("tool_name").isNotNull(), "tool_call").when(boundary, "boundary").when(summary, "compacted").when(clear, "cleared")
+    found = read.withColumn("kind", what).where("kind is not null")
     # A generator of one row: what reads a field of the mapping later reads a value, not the mapping once more.
-    mapping = F.when(F.col("kind") == "tool_call", mapper(F.col("tool_name"), F.try_variant_get("content", "$.input", "variant"), list(stanzas)))
-    mapped = calls.select("*", F.inline(F.array(mapping)).alias("own_path", "read_depth", "description", "target_symbol", "target_start", "target_end"))
-    own = F.col("own_path")
-    mapped = mapped.withColumn("raw_path", F.when(F.col("cwd").isNotNull() & (F.col("cwd") != root), remap(own, F.col("cwd"), F.lit(root))).otherwise(own))
+    one = F.inline(F.array(F.when(F.col("kind") == "tool_call", mapping))).alias("own_path", "read_depth", "description", "target_symbol", "target_start", "target_end")
+    mapped = found.select(
+        "session_id", *ORDER[:3], F.coalesce("block_pos", F.lit(0)).alias("block_pos"), "kind", F.when(F.col("kind") == "tool_call", agent).otherwise(F.col("stem")).alias("agent_id"), "tool_name",
+        F.coalesce("_ts", F.lit("")).alias("ts"), "label", "cwd", F.when(summary, F.coalesce("_text", F.lit(""))).alias("summary"), F.when(boundary, meta).alias("meta"), one,
+    )
+    own_path = F.col("own_path")
+    mapped = mapped.withColumn("raw_path", F.when(F.col("cwd").isNotNull() & (F.col("cwd") != root), remap(own_path, F.col("cwd"), F.lit(root))).otherwise(own_path))
     return mapped.select(
-        "session_id", *ORDER[:3], F.coalesce("block_pos", F.lit(0)).alias("block_pos"), "kind", "agent_id", "tool_name", "raw_path", under_root(F.col("raw_path"), F.lit(root)).alias("file_path"),
+        "session_id", *ORDER, "kind", "agent_id", "tool_name", "raw_path", under_root(F.col("raw_path"), F.lit(root)).alias("file_path"),
         "read_depth", "description", "ts", "target_symbol", "target_start", "target_end", "label", "summary", "meta",
     )
 
@@ -183,14 +181,23 @@ def events(spark: SparkSession, files: list[str], root: str, session: str, stanz
     return with_metadata(found)
 
 
-def with_metadata(found: DataFrame, partition: tuple[str, ...] = ("session_id", "file_rank")) -> DataFrame:
-    """Events without boundaries, each summary with the metadata of the boundary that announced it in its file.
+#: Lines of a log that are scanned in one piece.
+CHUNK_LINES = 8192
+
+
+def chunks() -> dict[str, Column]:
+    """Pieces of a session that follow ORDER: a file, a split of it, a run of its lines."""
+    return {"file": F.col("file_rank"), "block": F.col("block"), "lines": F.floor(F.col("line_no") / CHUNK_LINES)}
+
+
+def with_metadata(found: DataFrame, session: str = "session_id") -> DataFrame:
+    """Events without boundaries, with ``epoch`` (the resets of their session before them); each summary has the metadata of
+    the boundary that announced it in its file.
 
-    One pass over a file's events in their order, as they are parsed: a second branch would parse them twice.
+    One scan in chunks (``operators.scans``), so a session of any length is spread over tasks. A boundary announces the
+    summary that comes next: the last of both kinds before a summary decides, if it is of the same file.
     """
-    summary = F.col("kind") == "compacted"
-    earlier = W.partitionBy(*partition).orderBy(*ORDER[1:]).rowsBetween(W.unboundedPreceding, -1)
-    segment = W.partitionBy(*partition, "_segment").orderBy(*ORDER[1:]).rowsBetween(W.unboundedPreceding, -1)
-    parts = found.withColumn("_segment", F.coalesce(F.sum(summary.cast("long")).over(earlier), F.lit(0)))
-    announced = F.last(F.when(F.col("kind") == "boundary", F.col("meta")), ignorenulls=True).over(segment)
-    return parts.withColumn("meta", F.when(summary, announced)).where("kind <> 'boundary'").drop("_segment")
+    mark = F.when(F.col("kind").isin("boundary", "compacted"), F.struct(F.col("file_rank").alias("file"), (F.col("kind") == "boundary").alias("opens"), F.col("meta").alias("meta")))
+    scanned = chunk_scan(found, [session], chunks(), ORDER, {"epoch": F.col("kind").isin("compacted", "cleared")}, {"_mark": mark})
+    announced = F.when(F.col("_mark.opens") & (F.col("_mark.file") == F.col("file_rank")), F.col("_mark.meta"))
+    return scanned.withColumn("meta", F.when(F.col("kind") == "compacted", announced)).where("kind <> 'boundary'").drop("_mark")

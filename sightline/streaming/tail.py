@@ -2,7 +2,8 @@
 
 Spark's own file source sees new files, not bytes that are appended to known ones. Here an offset is the
 length read of every log, up to its last line feed, so a half-written line waits for its end. Every
-batch looks for new logs of the session, which are read from their beginning.
+batch looks for new logs of the session, which are read from their beginning. The driver finds the last line feed by
+reading backwards; the bytes themselves are read by executors, in ranges.
 """
 
 from __future__ import annotations
@@ -10,16 +11,17 @@ from __future__ import annotations
 import json
 import os
 from collections.abc import Iterator
+from dataclasses import dataclass
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StructType
 
 from ..sources import sessions
 
-#: Bytes of one log that a micro-batch reads at most; what is left comes with the next one.
-BATCH_BYTES = 16 << 20
+#: Bytes of a log that one task reads.
+SPLIT_BYTES = 16 << 20
 SCHEMA = sessions.LINES + ", label string, cwd string"
 
 
@@ -33,63 +35,83 @@ class SessionTail(DataSource):
     def schema(self) -> str:
         return SCHEMA
 
-    def simpleStreamReader(self, schema: StructType) -> SimpleDataSourceStreamReader:
-        return _Reader(self.options["log_dir"], self.options["session"], self.options.get("start", "earliest"), int(self.options.get("batch_bytes", BATCH_BYTES)))
+    def streamReader(self, schema: StructType) -> DataSourceStreamReader:
+        return _Reader(self.options["log_dir"], self.options["session"], self.options.get("start", "earliest"), int(self.options.get("split_bytes", SPLIT_BYTES)))
 
 
-def _whole(path: str, start: int, limit: int) -> bytes:
-    """The whole lines from ``start`` on, of about ``limit`` bytes; one longer line is read to its end."""
+def last_line_end(path: str, floor: int, step: int = 1 << 16) -> int:
+    """Where the last whole line of a file ends, looked for backwards from its end; ``floor`` if there is none after it."""
     with open(path, "rb") as f:
-        f.seek(start)
-        raw = f.read(limit)
-        if len(raw) == limit and b"\n" not in raw:
-            raw += f.readline()
-    return raw[: raw.rfind(b"\n") + 1]
+        at = f.seek(0, os.SEEK_END)
+        while at > floor:
+            start = max(floor, at - step)
+            f.seek(start)
+            found = f.read(at - start).rfind(b"\n")
+            if found >= 0:
+                return start + found + 1
+            at = start
+    return floor
 
 
-class _Reader(SimpleDataSourceStreamReader):
-    def __init__(self, log_dir: str, session: str, start: str, batch_bytes: int):
-        self.log_dir, self.session, self.start, self.batch_bytes = log_dir, session, start, batch_bytes
+@dataclass
+class Range(InputPartition):
+    """The lines of one log that begin in [start, stop); ``first`` is where the batch's own lines begin."""
+
+    path: str
+    rank: int
+    first: int
+    start: int
+    stop: int
+
+
+class _Reader(DataSourceStreamReader):
+    """The driver looks at the ends of logs alone; ranges of their bytes are read, and cut into lines, by executors."""
+
+    def __init__(self, log_dir: str, session: str, start: str, split_bytes: int):
+        self.log_dir, self.session, self.begin, self.split_bytes = log_dir, session, start, split_bytes
+        self.known: dict[str, list[int]] | None = None
 
     def initialOffset(self) -> dict:
         """Offsets are {file name: [rank, bytes read]}; ranks are given at first sight and stay."""
-        if self.start != "latest":
-            return {"logs": "{}"}
-        known = {f: [i, len(_whole(f, 0, os.path.getsize(f)))] for i, f in enumerate(sessions.session_files(self.log_dir, self.session))}
-        return {"logs": json.dumps(known)}
-
-    def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        known = json.loads(start["logs"])
-        out, after = [], dict(known)
+        self.known = self.known or {}
+        return {"logs": json.dumps(self._ends({}) if self.begin == "latest" else {})}
+
+    def latestOffset(self) -> dict:
+        self.known = self._ends(self.known or {})
+        return {"logs": json.dumps(self.known)}
+
+    def _ends(self, known: dict[str, list[int]]) -> dict[str, list[int]]:
+        after = dict(known)
         for path in sessions.session_files(self.log_dir, self.session):
-            rank, done = known.get(path, [len(after), 0])
-            if os.path.getsize(path) < done:  # a log that shrank was written anew
-                done = 0
-            raw = _whole(path, done, self.batch_bytes)
-            out += self._rows(path, rank, done, raw)
-            after[path] = [rank, done + len(raw)]
-        return iter(out), {"logs": json.dumps(after)}
-
-    def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        known = json.loads(start["logs"])
+            rank, done = after.get(path, [len(after), 0])
+            # A log that shrank was written anew.
+            after[path] = [rank, last_line_end(path, done if os.path.getsize(path) >= done else 0)]
+        return after
+
+    def partitions(self, start: dict, end: dict) -> list[Range]:
+        known, out = json.loads(start["logs"]), []
+        self.known = self.known or {}
         for path, (rank, stop) in json.loads(end["logs"]).items():
             done = known.get(path, [rank, 0])[1]
-            if stop > done:
-                with open(path, "rb") as f:
-                    f.seek(done)
-                    yield from self._rows(path, rank, done, f.read(stop - done))
-
-    def _rows(self, path: str, rank: int, start: int, raw: bytes) -> list[tuple]:
-        if not raw:
-            return []
-        stem = Path(path).stem
-        label, cwd = _first(path, stem)
-        out, at = [], start
-        for line in raw.split(b"\n")[:-1]:
-            out.append((rank, stem, 0, at, line.decode("utf-8", "replace"), label, cwd))
-            at += len(line) + 1
+            done = done if stop >= done else 0
+            self.known[path] = max([rank, stop], self.known.get(path, [rank, 0]), key=lambda x: x[1])
+            out += [Range(path, rank, done, at, min(at + self.split_bytes, stop)) for at in range(done, stop, self.split_bytes)]
         return out
 
+    def read(self, partition: Range) -> Iterator[tuple]:
+        stem = Path(partition.path).stem
+        label, cwd = _first(partition.path, stem)
+        with open(partition.path, "rb") as f:
+            at = partition.start
+            if at > partition.first:  # a line that begins before this range is the range's before it
+                f.seek(at - 1)
+                at += len(f.readline()) - 1
+            f.seek(at)
+            while at < partition.stop:
+                line = f.readline()
+                yield partition.rank, stem, 0, at, line.rstrip(b"\n").decode("utf-8", "replace"), label, cwd
+                at += len(line)
+
 
 def _first(path: str, stem: str) -> tuple[str, str | None]:
     """What a log's first line says of the agent and its folder, as ``sessions.first_lines`` has it."""

@@ -84,8 +84,13 @@ def test_log_folder_of_a_project(tmp_path):
 def mapped(spark, stanzas, *calls):
     from pyspark.sql import functions as F
 
-    rows = spark.createDataFrame([(i, n, json.dumps(x)) for i, (n, x) in enumerate(calls)], "i int, name string, input string")
-    return [r.m for r in rows.select("i", M.columns(F.col("name"), F.try_parse_json("input"), stanzas).alias("m")).orderBy("i").collect()]
+    from sightline.sources import records
+
+    inputs = M.Fields()
+    mapping = M.columns(F.col("tool_name"), inputs, stanzas)
+    block = lambda n, x: {"type": "assistant", "message": {"content": [{"type": "tool_use", "name": n, "input": x}]}}
+    rows = records.events(spark.createDataFrame([(i, json.dumps(block(n, x))) for i, (n, x) in enumerate(calls)], "i int, raw string"), inputs)
+    return [r.m for r in rows.select("i", mapping.alias("m")).orderBy("i").collect()]
 
 
 def test_every_builtin_stanza(spark):

@@ -3,8 +3,9 @@
 import json
 import random
 
-import pytest
+from pyspark.sql import functions as F
 
+from sightline import operators as O
 from sightline.plans import coverage
 from sightline.sources import code, sessions
 from sightline.streaming import live, tail
@@ -44,36 +45,109 @@ def random_records(n, seed):
     return out
 
 
-def test_parts_give_the_ledger_of_the_whole(spark, tmp_path):
-    records, symbols = random_records(60, 3), scanned(spark, SOURCES)
-    whole = coverage.fold(symbols.select("file_path").distinct(), symbols, parsed(spark, records))
-    ledger = live.LiveLedger(spark, f"file://{tmp_path}")
-    ledger.apply_sources(symbols, -1)
-    cuts = [0, 7, 8, 30, 60]
-    for n, (a, b) in enumerate(zip(cuts, cuts[1:])):
-        for _ in range(1 + (n == 1)):  # a batch that is run again changes nothing
-            ledger.apply_events(parsed(spark, records[a:b], a), 2 * n)
-    assert plain(ledger.ledger().collect()) == plain(whole.ledger.collect()) != {}
-    assert {(r.id, r.agent_id, r.depth) for r in ledger.agent_ledger().collect()} == {(r.id, r.agent_id, r.depth) for r in whole.agent_ledger.collect()}
+def staged(spark, tmp_path, sources=SOURCES, names=("s",)):
+    """A project's sources as a stream, and a folder of lines as another, one file a batch."""
+    symbols = scanned(spark, sources)
+    live.write_sources(symbols, symbols, list(names), -1, f"file://{tmp_path}/sources")
+    (tmp_path / "lines").mkdir()
+    return symbols
+
+
+def put(tmp_path, number, records, start=0, session="s"):
+    path = tmp_path / "lines" / f"{number:04d}.json"
+    path.write_text("".join(json.dumps({"session": session, "file_rank": 0, "stem": "main", "block": 0, "line_no": start + i, "raw": json.dumps(r)}) + "\n" for i, r in enumerate(records)))
+
+
+def started(spark, tmp_path, show=None):
+    lines = spark.readStream.schema(f"session string, {sessions.LINES}").option("maxFilesPerTrigger", 1).json(f"file://{tmp_path}/lines")
+    events = live.events_of(lines, "/p", F.col("session"))
+    return live.start(live.live(events, live.source_stream(spark, f"file://{tmp_path}/sources")), f"file://{tmp_path}/query", show, "0 seconds")
+
+
+def run_all(query):
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert query.exception() is None
+
+
+BOUNDARY = {"type": "system", "subtype": "compact_boundary", "compactMetadata": {"trigger": "auto", "preTokens": 7}}
+
+
+def test_random_cuts_and_a_restart_give_the_ledger_of_the_whole(spark, tmp_path):
+    """Two sessions, cut anywhere, with boundaries and their summaries in different batches, and the query stopped between."""
+    names = ("s", "t")
+    symbols = staged(spark, tmp_path, names=names)
+    records = {n: random_records(60, 3 + i) for i, n in enumerate(names)}
+    for n in names:
+        records[n][20:22] = [BOUNDARY, RESET]
+        records[n][44] = tool("Read", "agent-1", file_path="/p/a.rs")
+    cuts, number = [0, 7, 21, 30, 60], 0
+    for a, b in zip(cuts, cuts[1:]):
+        for n in names:
+            put(tmp_path, number, records[n][a:b], a, n)
+            number += 1
+        if a == 7:
+            run_all(started(spark, tmp_path))
+    panels = []
+    run_all(started(spark, tmp_path, lambda df, n: panels.extend(df.collect())))
+    state = live.LiveState(spark, f"file://{tmp_path}/query")
+    for n in names:
+        lines = spark.createDataFrame([(0, "main", 0, i, json.dumps(r)) for i, r in enumerate(records[n])], sessions.LINES)
+        whole = coverage.fold(symbols.select("file_path").distinct(), symbols, sessions.with_metadata(sessions.parse_lines(lines, "/p", n)))
+        own = state.ledger().where(F.col("session_id") == n)
+        assert plain(own.collect()) == plain(whole.ledger.collect()) != {}
+        assert {(r.id, r.agent_id, r.depth) for r in state.agent_ledger().where(F.col("session_id") == n).collect()} == {(r.id, r.agent_id, r.depth) for r in whole.agent_ledger.collect()}
+        past = state.compactions().where(F.col("session_id") == n).orderBy("sequence").collect()
+        want = whole.compactions.orderBy("sequence").collect()
+        assert [(r.sequence, r.ts, r.tool_calls_before, r.seen_before, r.meta and r.meta.pre_tokens) for r in past] == [(r.sequence, r.ts, r.tool_calls_before, r.seen_before, r.meta and r.meta.pre_tokens) for r in want]
+        assert any(r.meta for r in past)
+        panel = [p for p in panels if p.session_id == n][-1]
+        depths = [r.depth for r in whole.ledger.collect()]
+        assert panel.seen == sum(d > 0 for d in depths) and panel.depths == {d: depths.count(d) for d in depths}
+        feed = O.activity(sessions.with_metadata(sessions.parse_lines(lines, "/p", n)), ["session_id"], sessions.ORDER).count()
+        assert state.feed().where(F.col("session_id") == n).count() == feed
 
 
 def test_changed_sources_make_what_was_read_stale(spark, tmp_path):
-    ledger = live.LiveLedger(spark, f"file://{tmp_path}")
-    ledger.apply_sources(scanned(spark, SOURCES), -1)
-    ledger.apply_events(parsed(spark, [tool("Read", file_path="/p/b.py"), tool("Grep", "agent-1", pattern="q", path="b.py")]), 0)
-    changed = {"b.py": "def f(): return 1\ndef g():\n    pass\n", "c.py": "def new(): pass\n"}
-    ledger.apply_sources(scanned(spark, changed), 1)
-    got = {r.id: (r.depth, r.agents) for r in ledger.ledger().collect()}
-    assert got == {"b.py::f": (5, {"main": 5, "agent-1": 5}), "b.py::g": (4, {"main": 4, "agent-1": 2})}  # white space alone is no change
-    ledger.apply_events(parsed(spark, [tool("Read", file_path="/p/b.py"), tool("Read", "agent-9", file_path="/p/b.py"), tool("Read", file_path="/p/c.py")], 10), 2)
-    got = {r.id: (r.depth, r.agents) for r in ledger.ledger().collect()}
-    assert got["b.py::f"] == (5, {"main": 5, "agent-1": 5, "agent-9": 4}) and got["c.py::new"] == (4, {"main": 4})
-    ledger.apply_sources(scanned(spark, {"c.py": "x = 1\n"}), 3, spark.createDataFrame([("c.py",)], "file_path string"))
-    assert {r.id for r in ledger.symbols().collect()} == {"a.rs::P", "a.rs::P/x", "a.rs::P/y", "b.py::f", "b.py::g"}
-    ledger.reset("s", 4)
-    assert ledger.ledger().count() == 0
-    ledger.apply_events(parsed(spark, [tool("Read", file_path="/p/b.py")], 20), 6)
-    assert {r.id: r.depth for r in ledger.ledger().collect()} == {"b.py::f": 4, "b.py::g": 4}
+    staged(spark, tmp_path)
+    read = lambda path, agent="main": tool("Read", agent, file_path=f"/p/{path}")
+    query, folder = started(spark, tmp_path), f"file://{tmp_path}/sources"
+    state = live.LiveState(spark, f"file://{tmp_path}/query")
+
+    def change(n, sources):
+        symbols = scanned(spark, sources)
+        live.write_sources(symbols, spark.createDataFrame([(p,) for p in sources], "file_path string"), ["s"], n, folder)
+        query.processAllAvailable()
+
+    got = lambda: {r.id: (r.depth, r.agents) for r in state.ledger().collect()}
+    try:
+        put(tmp_path, 0, [read("b.py"), tool("Grep", "agent-1", pattern="q", path="b.py")])
+        query.processAllAvailable()
+        change(0, {"b.py": "def f(): return 1\ndef g():\n    pass\n", "c.py": "def new(): pass\n"})
+        assert got() == {"b.py::f": (5, {"main": 5, "agent-1": 5}), "b.py::g": (4, {"main": 4, "agent-1": 2})}  # white space alone is no change
+        put(tmp_path, 1, [read("b.py"), read("b.py", "agent-9"), read("c.py")], 10)
+        query.processAllAvailable()
+        assert got()["b.py::f"] == (5, {"main": 5, "agent-1": 5, "agent-9": 4}) and got()["c.py::new"] == (4, {"main": 4})
+        change(1, {"c.py": "\n"})
+        put(tmp_path, 2, [RESET, read("b.py"), read("c.py")], 20)
+        query.processAllAvailable()
+        assert got() == {"b.py::f": (4, {"main": 4}), "b.py::g": (4, {"main": 4})}
+    finally:
+        query.stop()
+
+
+def test_a_call_touches_what_the_batch_plan_says(spark):
+    """The fold's own matching against the joins."""
+    symbols = scanned(spark, {"a.rs": SOURCES["a.rs"] + "mod m { fn x() {} struct Q { a: u8 } }\n"})
+    rows = symbols.orderBy("ord").collect()
+    asked = [(None, None, None), ("x", None, None), ("P/x", None, None), ("impl P", None, None), ("m/x", None, None), ("P", None, None), ("zz", None, None), (None, 2, 4), (None, 3, 3), ("Q", 1, 2), (None, 0, 99)]
+    df = spark.createDataFrame([("a.rs", *t) for t in asked], "file_path string, target_symbol string, target_start long, target_end long")
+    want = {}
+    for r in O.touched(df, symbols).collect():
+        want.setdefault((r.target_symbol, r.target_start, r.target_end), set()).add(r.ord)
+    assert {t: {s.ord for s in live.touched(rows, *t)} for t in asked if live.touched(rows, *t)} == want
 
 
 def test_entries_equal_a_sequential_fold():
@@ -100,24 +174,32 @@ def test_entries_equal_a_sequential_fold():
 def test_tail_reads_whole_lines_and_new_logs(tmp_path):
     main = tmp_path / f"{SID}.jsonl"
     main.write_text('{"type":"user","cwd":"/w","message":{"content":"Task one"}}\n{"half":')
+
+    def between(reader, start, end):
+        return sorted(row for part in reader.partitions(start, end) for row in reader.read(part))
+
     reader = tail._Reader(str(tmp_path), SID, "earliest", 1 << 20)
-    rows, offset = reader.read(reader.initialOffset())
-    assert [(r[1], r[3], r[4], r[5], r[6]) for r in rows] == [(SID, 0, '{"type":"user","cwd":"/w","message":{"content":"Task one"}}', "Task one", "/w")]
+    first = reader.initialOffset()
+    offset = reader.latestOffset()
+    assert [r[1:2] + r[3:] for r in between(reader, first, offset)] == [(SID, 0, '{"type":"user","cwd":"/w","message":{"content":"Task one"}}', "Task one", "/w")]
     (tmp_path / SID / "subagents").mkdir(parents=True)
     (tmp_path / SID / "subagents" / "agent-x.jsonl").write_text('{"a":"é"}\n')
     with main.open("a") as f:
         f.write("1}\n\n")
-    rows, after = reader.read(offset)
-    rows = list(rows)
-    assert [(r[0], r[1], r[4]) for r in rows] == [(1, "agent-x", '{"a":"é"}'), (0, SID, '{"half":1}'), (0, SID, "")]
-    assert sorted(reader.readBetweenOffsets(offset, after)) == sorted(rows) and list(reader.read(after)[0]) == []
-    assert list(tail._Reader(str(tmp_path), SID, "latest", 1 << 20).read(tail._Reader(str(tmp_path), SID, "latest", 1 << 20).initialOffset())[0]) == []
-    small = tail._Reader(str(tmp_path), SID, "earliest", 8)
-    got, offset = [], small.initialOffset()
-    for _ in range(6):
-        rows, offset = small.read(offset)
-        got += [(r[1], r[4]) for r in rows]
-    assert sorted(got) == sorted([(SID, '{"type":"user","cwd":"/w","message":{"content":"Task one"}}'), (SID, '{"half":1}'), (SID, ""), ("agent-x", '{"a":"é"}')])
+    after = reader.latestOffset()
+    rows = between(reader, offset, after)
+    assert [(r[0], r[1], r[4]) for r in rows] == [(0, SID, '{"half":1}'), (0, SID, ""), (1, "agent-x", '{"a":"é"}')]
+    assert between(reader, after, reader.latestOffset()) == []
+    assert between(tail._Reader(str(tmp_path), SID, "earliest", 1 << 20), offset, after) == rows  # after a restart
+    latest = tail._Reader(str(tmp_path), SID, "latest", 1 << 20)
+    assert between(latest, latest.initialOffset(), latest.latestOffset()) == []
+    whole = between(reader, first, after)
+    for size in (1, 3, 8, 64):  # lines longer and shorter than a range
+        small = tail._Reader(str(tmp_path), SID, "earliest", size)
+        assert between(small, first, after) == whole
+    long = tmp_path / "long"
+    long.write_bytes(b"x" * 200_000 + b"\n" + b"y" * 300_000)
+    assert tail.last_line_end(str(long), 0) == 200_001 and tail.last_line_end(str(long), 200_001) == 200_001
 
 
 def test_watches(tmp_path):
@@ -137,54 +219,29 @@ def test_watches(tmp_path):
     assert files.changed([f, str(tmp_path / "gone")]) == [f] and files.changed([f]) == []
 
 
-def test_polled_sources(spark, tmp_path):
-    source = tmp_path / "b.py"
-    source.write_text(SOURCES["b.py"])
-    ledger, watch = live.LiveLedger(spark, f"file://{tmp_path}/state"), tail.FileWatch([])
-
-    def scan(paths):
-        found = code.read_sources(spark, str(tmp_path), [p.removeprefix(f"{tmp_path}/") for p in paths])
-        return code.files(found), code.symbols(found)
-
-    assert live.poll_sources(ledger, watch, [str(source)], scan, -1) and not live.poll_sources(ledger, watch, [str(source)], scan, 1)
-    ledger.apply_events(parsed(spark, [tool("Read", file_path="/p/b.py")]), 0)
-    source.write_text("x = 1\n")
-    assert live.poll_sources(ledger, watch, [str(source)], scan, 1) and ledger.symbols().count() == 0
-    source.write_text("def f(): return 2\n")
-    assert live.poll_sources(ledger, watch, [str(source)], scan, 3) and {r.id for r in ledger.symbols().collect()} == {"b.py::f"}
-
-
-@pytest.mark.parametrize("split", [3])
-def test_stream_of_a_growing_session(spark, tmp_path, split):
-    """Boundaries and summaries in different batches belong together, and the live ledger is that of the whole log."""
-    logs, state = tmp_path / "logs", tmp_path / "state"
+def test_stream_of_a_growing_session(spark, tmp_path):
+    """A log that grows by halves of lines gives the ledger of the whole log."""
+    logs = tmp_path / "logs"
     logs.mkdir()
-    boundary = {"type": "system", "subtype": "compact_boundary", "compactMetadata": {"trigger": "auto", "preTokens": 7}}
-    records = [tool("Read", file_path="/p/a.rs"), tool("Read", file_path="/p/b.py"), boundary, RESET, tool("Read", file_path="/p/b.py", offset=1, limit=1), tool("Read", "agent-1", file_path="/p/b.py")]
+    records = [tool("Read", file_path="/p/a.rs"), tool("Read", file_path="/p/b.py"), BOUNDARY, RESET, tool("Read", file_path="/p/b.py", offset=1, limit=1), tool("Read", "agent-1", file_path="/p/b.py")]
+    text = "".join(json.dumps(r) + "\n" for r in records)
     main = logs / f"{SID}.jsonl"
-    main.write_text("".join(json.dumps(r) + "\n" for r in records[:split]))
-    ledger = live.LiveLedger(spark, f"file://{state}")
     symbols = scanned(spark, SOURCES)
-    ledger.apply_sources(symbols, -1)
-    seen = []
-    fold = ledger.writer("/p", SID)
-
-    def batch(lines, number):
-        fold(lines, number)
-        held = ledger._pending(f"file://{state}/boundaries", 2 * number + 2)
-        seen.append((lines.count(), held.count()))
-
-    query = tail.read_stream(spark, str(logs), SID).writeStream.foreachBatch(batch).option("checkpointLocation", f"file://{tmp_path}/offsets").start()
+    live.write_sources(symbols, symbols, [SID], -1, f"file://{tmp_path}/sources")
+    events = live.events_of(tail.read_stream(spark, str(logs), SID), "/p", SID)
+    main.write_text("")
+    query = live.start(live.live(events, live.source_stream(spark, f"file://{tmp_path}/sources")), f"file://{tmp_path}/query", interval="0 seconds")
     try:
-        query.processAllAvailable()
-        with main.open("a") as f:
-            f.write("".join(json.dumps(r) + "\n" for r in records[split:]))
-        query.processAllAvailable()
+        for a in range(0, len(text), 200):
+            with main.open("a") as f:
+                f.write(text[a : a + 200])
+            query.processAllAvailable()
     finally:
         query.stop()
-    assert [x for x in seen if x[0]] == [(3, 1), (3, 0)]
     whole = coverage.fold(symbols.select("file_path").distinct(), symbols, sessions.events(spark, [str(main)], "/p", SID))
-    assert plain(ledger.ledger().collect()) == plain(whole.ledger.collect()) != {}
+    state = live.LiveState(spark, f"file://{tmp_path}/query")
+    assert plain(state.ledger().collect()) == plain(whole.ledger.collect()) != {}
+    assert [r.meta.pre_tokens for r in state.compactions().collect()] == [7]
 
 
 def test_follow_switches_to_the_next_session(spark, tmp_path):
@@ -203,16 +260,15 @@ def test_follow_switches_to_the_next_session(spark, tmp_path):
     (logs / f"{SID}.jsonl").write_text(first)
     os.utime(logs / f"{SID}.jsonl", (1e9, 1e9))
     seen, began = [], time.time()
-
-    def show(ledger, session):
-        seen.append((session, {r.id: r.depth for r in ledger.ledger().collect()}))
-        if len(seen) == 1:
-            (project / "b.py").write_text("def f(): return 2\ndef g(): pass\n")
-            (logs / f"{SID}.jsonl").open("a").write("\n")
-        if len(seen) == 2:
-            (logs / f"{other}.jsonl").write_text(json.dumps(tool("Grep", pattern="q", path="a.rs")) + "\n")
-
-    follow(spark, str(project), str(logs), f"file://{tmp_path}/state", show=show, interval="0 seconds", stop=lambda: any(s == other for s, _ in seen) or time.time() - began > 120)
-    read = {"b.py::f": 4, "b.py::g": 4}
-    assert seen[0] == (SID, read) and seen[1] == (SID, {"b.py::f": 5, "b.py::g": 4})
-    assert [x for s, x in seen if s == other][0] == {"a.rs::P": 2, "a.rs::P/x": 2, "a.rs::P/y": 2}
+    steps = [
+        (lambda: (project / "b.py").write_text("def f(): return 2\ndef g(): pass\n"), {4: 2}),
+        (lambda: (logs / f"{other}.jsonl").write_text(json.dumps(tool("Grep", pattern="q", path="a.rs")) + "\n"), {5: 1, 4: 1}),
+    ]
+
+    def show(panel, session, state):
+        seen.append((session, panel["depths"]))
+        if steps and session == SID and panel["depths"] == steps[0][1]:
+            steps.pop(0)[0]()
+
+    follow(spark, str(project), str(logs), f"file://{tmp_path}/state", show=show, interval="0 seconds", stop=lambda: (other, {2: 3}) in seen or time.time() - began > 150)
+    assert (SID, {4: 2}) in seen and (SID, {4: 1, 5: 1}) in seen and (other, {2: 3}) in seen

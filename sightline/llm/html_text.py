@@ -18,6 +18,10 @@ character once: what is not closed runs to the end of the page, as browsers have
 references are decoded after the markup is gone, white space inside a line becomes one space, lines are
 trimmed, and empty ones dropped.
 
+An element's class or id masks it by a whole token that names what it is (``cookie-banner``, ``comment-list``), not by a word in a token
+that says something else (``has-sidebar``, ``no-header``, ``share-enabled``, ``related-work``), and never if the page's first
+marked section lies inside it. Captions of figures are text of the article.
+
 Defined results: null or empty html, or a page without an article text, gives the empty string;
 repeated rows and null ids each give their own row; unclosed tags end with the page or with the
 enclosing element; other columns of the input are not read.
@@ -28,7 +32,7 @@ from __future__ import annotations
 import html as html_lib
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import pyarrow as pa
@@ -49,16 +53,20 @@ BLOCKS = (
     "tfoot th thead title tr ul"
 )
 VOID = "area base br col embed hr img input link meta param source track wbr"
-MASKED = "nav footer aside form menu dialog button select fieldset figcaption head"
+MASKED = "nav footer aside form menu dialog button select fieldset head"
 MASKED_ROLES = "navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog status note toolbar"
-_NAMES = (
-    r"ads?|adverts?|advertisement|advertising|sponsor(?:ed)?|promo(?:tion)?s?|banners?|cookies?|consent|gdpr|notices?|alerts?|popup|modal|overlay|"
-    r"nav|navbar|navigation|menu|breadcrumbs?|header|masthead|topbar|footer|foot|sidebar|aside|widgets?|related|recommended|share|sharing|social|"
-    r"comments?|commentlist|disqus|respond|replies|reply|reviews?|newsletter|subscribe|subscription|login|signup|search|pagination|pager|copyright|disclaimer|toolbar"
+#: Words of class and id tokens: what such an element is, its parts, and words before it that say the contrary or a state.
+NAMES = (
+    "ad ads advert adverts advertisement advertisements advertising sponsor sponsored promo promos promotion promotions banner banners cookie cookies consent gdpr notice notices alert alerts popup modal overlay "
+    "nav navbar navigation menu breadcrumb breadcrumbs header masthead topbar footer foot sidebar aside widget widgets related recommended share sharing social "
+    "comment comments commentlist disqus respond replies reply reviews newsletter subscribe subscription login signup search pagination pager copyright disclaimer toolbar"
 )
-_MASK_NAME = re.compile(rf"(?:^|[\s_-])(?:{_NAMES})(?:$|[\s_-])", re.I)
-#: An article's own header holds its title.
-_HEADER_NAME = re.compile(r"(?:article|entry|post|story|content|page)[_-]?(?:header|title)", re.I)
+PARTS = "area bar block box btn btns button buttons container element form group icons inner item items link links list message panel posts row section slot stories text thread unit widget wrap wrapper zone"
+CONTRARY = "has no non not with without is are show hide hidden enable disable can before after under"
+#: Headers that are a site's even inside an article.
+SITE = "site page main global top masthead"
+_TOKEN = re.compile(rf"(?!(?:{'|'.join(CONTRARY.split())})[_-])((?:[a-z0-9]+[_-]+)*?)({'|'.join(NAMES.split())})(?:[_-]+(?:{'|'.join(PARTS.split())}|[0-9]+))*", re.I)
+_SITE = re.compile(rf"(?:^|[_-])(?:{'|'.join(SITE.split())})[_-]", re.I)
 _RAW_SET, _BLOCK_SET, _VOID_SET, _MASK_SET, _ROLE_SET = (frozenset(x.split()) for x in (RAW, BLOCKS, VOID, MASKED, MASKED_ROLES))
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 #: The rest of a tag that has no attribute with a value, or none at all.
@@ -115,7 +123,16 @@ def _tag_end(page: str, at: int) -> tuple[int, dict[str, str], bool]:
     return -1, attributes, False
 
 
-def _is_masked(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
+def _names_mask(names: str, in_article: bool) -> bool:
+    """Whether a whole token of a class or id says that the element is no part of an article."""
+    for token in names.split():
+        m = _TOKEN.fullmatch(token)
+        if m and (m[2].lower() != "header" or (_SITE.search(m[1]) if in_article or m[1] else True)):
+            return True
+    return False
+
+
+def _is_masked(tag: str, attributes: dict[str, str], in_article: bool, by_name: bool = True) -> bool:
     if tag in _MASK_SET or (tag == "header" and not in_article):
         return True
     if not attributes or tag in ("html", "body", "main"):
@@ -125,12 +142,33 @@ def _is_masked(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
         return True
     if "display:none" in get("style", "").replace(" ", "").lower():
         return True
-    return (tag != "article" or in_article) and any(_MASK_NAME.search(_HEADER_NAME.sub("", get(x, ""))) for x in ("class", "id"))
+    return by_name and (tag != "article" or in_article) and any(x in attributes and _names_mask(attributes[x], in_article) for x in ("class", "id"))
+
+
+def _by_name(tag: str, attributes: dict[str, str]) -> bool:
+    """Whether a section's own name says that it is none (a comment, a teaser's widget)."""
+    return tag == "article" and any(x in attributes and _names_mask(attributes[x], True) for x in ("class", "id"))
+
+
+def around_the_article(page: str) -> frozenset[int]:
+    """Where the elements begin that hold the first marked section of a page: no name of theirs hides it."""
+    for tag in ("article", "main"):
+        if f"<{tag}" in page.lower():
+            found: list[frozenset[int]] = []
+            page_lines(page, None, lambda t, within: found.append(within) if t == tag else None, first=True)
+            if found:
+                return found[0]
+    return frozenset()
+
 
+def page_lines(page: str | None, open_names: frozenset[int] | None = frozenset(), seen: Callable[[str, frozenset[int]], None] | None = None, first: bool = False) -> list[tuple[str, int, int]]:
+    """(text, countable length, section) of every line of a page.
 
-def page_lines(page: str | None) -> list[tuple[str, int, int]]:
-    """(text, countable length, section) of every line of a page."""
+    Elements that begin at a place in ``open_names`` are not masked by their class or id; None: none are. ``seen`` hears of each marked section and
+    of where the elements around it begin; ``first``: of the first alone, at which reading ends.
+    """
     lines = _Lines()
+    starts: list[int] = []  # where they begin
     stack: list[str] = []  # open non-void elements
     open_: Counter[str] = Counter()  # how many of each
     mask_at = link_at = -1  # stack depth at which a masked element or a link began
@@ -173,6 +211,7 @@ def page_lines(page: str | None) -> list[tuple[str, int, int]]:
                 lines.end(section())
             if open_[tag]:
                 while True:
+                    starts.pop()
                     popped, depth = stack.pop(), len(stack)
                     open_[popped] -= 1
                     if depth in (mask_at, article_at, main_at):
@@ -196,11 +235,12 @@ def page_lines(page: str | None) -> list[tuple[str, int, int]]:
         if tag in _VOID_SET:
             continue
         if stack and ((tag in _SELF_CLOSING and stack[-1] == tag) or (tag in _BLOCK_SET and stack[-1] == "p")):
+            starts.pop()
             open_[stack.pop()] -= 1  # ends without a tag of its own
             mask_at = -1 if mask_at == len(stack) else mask_at
             link_at = -1 if link_at >= len(stack) else link_at
         if mask_at < 0:
-            if _is_masked(tag, attributes, article_at >= 0):
+            if _is_masked(tag, attributes, article_at >= 0, open_names is not None and upto not in open_names):
                 lines.end(section())
                 mask_at = len(stack)
             elif tag == "article" and article_at < 0:
@@ -209,7 +249,12 @@ def page_lines(page: str | None) -> list[tuple[str, int, int]]:
                 mains, main_at = mains + 1, len(stack)
             elif tag == "a":
                 link_at = len(stack)
+            if seen and mask_at < 0 and (tag in ("article", "main") and not _by_name(tag, attributes)):
+                seen(tag, frozenset(starts))
+                if first and tag == "article":
+                    break
         stack.append(tag)
+        starts.append(upto)
         open_[tag] += 1
     lines.end(section())
     return lines.out
@@ -239,7 +284,7 @@ def spans(weights: list[int], level: int) -> list[tuple[int, int]]:
 
 def main_text(page: str | None) -> str:
     """The article's text: its blocks in page order, one line each."""
-    lines = page_lines(page)
+    lines = page_lines(page, around_the_article(page or ""))
     kind = (lambda s: s > 0) if any(s > 0 for *_, s in lines) else (lambda s: s < 0)
     sections: dict[int, list[int]] = {}
     for _, count, s in lines:

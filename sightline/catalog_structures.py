@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import operators as O
 from .catalog import query, table
-from .catalog_sessions import _LOG, _SOURCES, log_events, project, sources
+from .catalog_sessions import _LOG, _SOURCES, log_events, log_lines, project, sources
 from .operators import ranges, scans
 from .plans import coverage
-from .sources import code, sessions
-from .tables import kept
+from .sources import code, scan, sessions
+from .tables import kept, shared_folder
 
 # --- scans ----------------------------------------------------------------------------------------------
 
@@ -94,3 +97,43 @@ def folder_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = o.join(lines, o.o_orderkey == lines.l_orderkey, "left").na.fill(0, ["total_symbols", "seen_count", "full_count"]).withColumn("file_path", path)
     out = coverage.folder_coverage(rows)
     return out.withColumn("seen_percent", F.round("seen_percent", 9)).withColumn("full_percent", F.round("full_percent", 9))
+
+
+# --- data sources -----------------------------------------------------------------------------------------
+
+
+def _fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, as a path that tasks open themselves."""
+    folder = f"{shared_folder(spark).removeprefix('file://')}/sightline-files/{name}-{uuid.uuid4().hex}"
+    os.makedirs(folder)
+    return folder
+
+
+@query(_SOURCES + "SELECT path AS file_path, np AS name_path, a::BIGINT AS line_start, h AS content_hash FROM y")
+def symbols_in_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The symbols of all source texts by a table function, in SQL."""
+    scan.register_functions(spark)
+    return spark.sql("SELECT s.file_path, c.name_path, c.line_start, c.content_hash FROM {s} AS s, LATERAL code_symbols(s.file_path, s.source, 'name_path', 'line_start', 'content_hash') AS c", s=sources(spark, sf_dir))
+
+
+@query(_SOURCES + "SELECT 'd' || (k::BIGINT % 10) || '/' || regexp_extract(path, '[^/]*$') AS file_path, count(*) AS symbols FROM p JOIN y USING (path) WHERE k::BIGINT % 10 = 3 AND turn = 1 GROUP BY 1")
+def scan_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources written as a tree of files and scanned: of one folder, the files of one extension; both filters reach the scan."""
+    folder = _fresh_folder(spark, "tree")
+    text = sources(spark, sf_dir)
+    place = F.concat(F.lit("d"), (F.regexp_extract("file_path", "([0-9]+)", 1).cast("long") % 10).cast("string"), F.lit("/"), F.substring_index("file_path", "/", -1))
+    for d in range(10):
+        os.makedirs(f"{folder}/d{d}")
+    scan.write_lines(text.select(place.alias("path"), F.rtrim("source", F.lit("\n")).alias("source"), F.lit(0).alias("at")), "path", "source", ["at"], folder, "")
+    found = scan.read_tree(spark, folder).where(F.startswith("file_path", F.lit("d3/")) & F.endswith("file_path", F.lit(".rs")))
+    return code.symbols(found).groupBy("file_path").agg(F.count("*").alias("symbols"))
+
+
+@query(_LOG + "SELECT label, kind, path AS file_path, count(*) AS n FROM (SELECT stem[7:] AS label, 'tool_call' AS kind, CASE WHEN tool = 'Read' THEN '/w/' || path ELSE path END AS path FROM calls UNION ALL SELECT stem[7:], kind, NULL FROM others) GROUP BY ALL")
+def read_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The logs of all agents written as files, one each in order, and read back: their lines, labels and events."""
+    folder = _fresh_folder(spark, "logs")
+    scan.write_lines(log_lines(spark, sf_dir), "stem", "raw", ["line_no"], folder, ".jsonl")
+    lines = sessions.read_lines(spark, [f"{folder}/{f}" for f in sorted(os.listdir(folder))])
+    found = sessions.parse_lines(lines.join(F.broadcast(sessions.first_lines(lines)), "file_rank"), "/p", "s")
+    return found.groupBy("label", "kind", "file_path").agg(F.count("*").alias("n"))

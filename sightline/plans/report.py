@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from .. import operators as O
 from ..functions import path_parts
 from ..sources import code, lspcache, sessions
+from ..sources.scan import write_lines
 from . import coverage, toolmap
 from .filters import PathFilter
 
@@ -140,7 +141,7 @@ def run(
     if agent is not None:
         agent = resolved_agent(c.agents, agent)
     if event_log_dir and session:
-        write_event_log(events, os.path.join(event_log_dir, f"{session}.log"))
+        write_event_log(events, event_log_dir)
     out = (formatter or TextFormatter()).format(collected(c, session, agent, path_filter))
     return out
 
@@ -185,9 +186,10 @@ def event_log(events: DataFrame) -> DataFrame:
     return events.where("kind = 'tool_call'").withColumn("line", text)
 
 
-def write_event_log(events: DataFrame, path: str) -> None:
-    """The event log of a session in its order, as a folder of text files whose names keep the order."""
-    event_log(events).orderBy(*sessions.ORDER).select("line").write.mode("overwrite").text(f"file://{os.path.abspath(path)}")
+def write_event_log(events: DataFrame, folder: str) -> None:
+    """The event log of each session in its order: one file ``<session>.log`` below ``folder``, written by executors, all or none."""
+    os.makedirs(folder, exist_ok=True)
+    write_lines(event_log(events), "session_id", "line", sessions.ORDER, os.path.abspath(folder))
 
 
 __all__ = ["Formatter", "JsonFormatter", "Report", "Row", "TextFormatter", "collected", "dump", "event_log", "resolved_agent", "run", "summary_lines", "tree_lines", "write_event_log"]

@@ -61,15 +61,19 @@ def symbols(sources: DataFrame, registry: Registry | None = None) -> DataFrame:
     types = _arrow(sources.sparkSession, SYMBOLS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole: list = []
         for batch in batches:
             for path, source in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 language = known.language(path) if path and source is not None else None
                 try:
-                    found = list(rows(path, source, language.extract(source))) if language else []
+                    whole += list(rows(path, source, language.extract(source))) if language else []
                 except (ValueError, IndexError, RecursionError):
-                    found = []
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)], names=names)
+                    pass
+                if len(whole) >= 2000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*whole, strict=True), types, strict=True)], names=names)
+                    whole = []
+        if whole:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*whole, strict=True), types, strict=True)], names=names)
 
     return sources.select("file_path", "source").mapInArrow(run, SYMBOLS)
 
@@ -142,38 +146,51 @@ def _ignored(path: str, folder: bool, rules: list[_Rule]) -> bool:
     return False
 
 
-def project_files(root: str, keep: Callable[[str], bool] | None = None, registry: Registry | None = None) -> list[str]:
-    """Relative paths of the sources below ``root``, in the order of their components.
+class Tree:
+    """The folders below a root, without hidden entries and what ``.ignore`` files, and in a git work tree ``.gitignore`` files, exclude."""
 
-    Hidden entries are left out, and what ``.ignore`` files, and within a git work tree ``.gitignore``
-    files, exclude. ``keep`` sees a relative path before anything of the file is read.
-    """
-    known, top = registry or builtin(), Path(root).resolve()
-    in_git = any((p / ".git").exists() for p in (top, *top.parents))
-    names = [".gitignore"] * in_git + [".ignore"]
-    above = [p for p in reversed(top.parents) if in_git]
-    start = [r for p in above for n in names if (p / n).is_file() for r in _rules(p / n)]
-    out: list[str] = []
-
-    def walk(folder: str, rules: list[_Rule]) -> None:
-        rules = rules + [r for n in names if os.path.isfile(f"{folder}/{n}") for r in _rules(Path(folder, n))]
+    def __init__(self, root: str):
+        self.top = Path(root).resolve()
+        in_git = any((p / ".git").exists() for p in (self.top, *self.top.parents))
+        self.names = [".gitignore"] * in_git + [".ignore"]
+        above = [p for p in reversed(self.top.parents) if in_git]
+        #: The rules that hold in the root itself.
+        self.start = self._with([r for p in above for n in self.names if (p / n).is_file() for r in _rules(p / n)], str(self.top))
+
+    def _with(self, rules: list[_Rule], folder: str) -> list[_Rule]:
+        return rules + [r for n in self.names if os.path.isfile(f"{folder}/{n}") for r in _rules(Path(folder, n))]
+
+    def list(self, folder: str, rules: list[_Rule]) -> tuple[list[str], list[str]]:
+        """(folders, files) of a folder in which ``rules`` hold, as relative paths in order."""
+        folders, files = [], []
         try:
-            entries = sorted(os.scandir(folder), key=lambda e: e.name)
+            entries = sorted(os.scandir(self.top / folder), key=lambda e: e.name)
         except OSError:
-            return
+            return folders, files
         for e in entries:
             is_folder = e.is_dir(follow_symlinks=False)
-            if e.name.startswith(".") or _ignored(e.path, is_folder, rules):
-                continue
-            if is_folder:
-                walk(e.path, rules)
-            elif e.is_file():
-                relative = os.path.relpath(e.path, top)
-                if known.language(relative) and (keep is None or keep(relative)):
-                    out.append(relative)
-
-    walk(str(top), start)
-    return sorted(out, key=lambda p: p.split("/"))
+            if not e.name.startswith(".") and not _ignored(e.path, is_folder, rules) and (is_folder or e.is_file()):
+                (folders if is_folder else files).append(os.path.relpath(e.path, self.top))
+        return folders, files
+
+    def walk(self, folder: str, rules: list[_Rule], deep: bool = True, enter: Callable[[str], bool] = lambda folder: True) -> Iterator[str]:
+        """The files below a folder; ``rules`` are those of the folder above it (of the root: its own)."""
+        own = self._with(rules, str(self.top / folder)) if folder else rules
+        folders, files = self.list(folder, own)
+        yield from files
+        for f in folders if deep else ():
+            if enter(f):
+                yield from self.walk(f, own, True, enter)
+
+
+def project_files(root: str, keep: Callable[[str], bool] | None = None, registry: Registry | None = None) -> list[str]:
+    """Relative paths of the sources below ``root`` (``Tree``), in the order of their components.
+
+    ``keep`` sees a relative path before anything of the file is read.
+    """
+    known, tree = registry or builtin(), Tree(root)
+    found = [p for p in tree.walk("", tree.start) if known.language(p) and (keep is None or keep(p))]
+    return sorted(found, key=lambda p: p.split("/"))
 
 
 def read_sources(spark: SparkSession, root: str, paths: Iterable[str]) -> DataFrame:

@@ -108,7 +108,7 @@ def test_dump_and_event_log(spark, project, tmp_path):
     text = report.dump("/p", files, symbols, PathFilter.literal("src"))
     assert text.startswith("Project: /p (4 files, 7 symbols)\nFilter: src\n\n  src/a.rs (5 lines)\n    struct P [L1-1] (~4 tokens)\n    impl P [L2-5] (~16 tokens)\n      fn x [L3-3] (~6 tokens)\n") and text.endswith("  src-c.ts (1 lines)\n    function h [L1-1] (~7 tokens)\n")
     report.run(spark, str(root), str(logs), event_log_dir=str(tmp_path / "events"))
-    got = [line for p in sorted((tmp_path / "events" / f"{SID}.log").glob("part-*")) for line in p.read_text().splitlines()]
+    got = (tmp_path / "events" / f"{SID}.log").read_text().splitlines()  # one file a session
     assert got == [
         f'[t] agent=main tool=Read depth=FullBody path={root}/src/b.py target=L1-3 desc="Read src/b.py"', '[t] agent=main tool=mcp__serena__find_symbol depth=FullBody path=src/a.rs target=P desc="Symbol P"',
         f'[] agent={SID} tool=Odd depth=Unseen path=- target=- desc="Odd (untracked)"',

@@ -6,6 +6,7 @@ import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import operators as O
@@ -99,6 +100,61 @@ def folder_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("seen_percent", F.round("seen_percent", 9)).withColumn("full_percent", F.round("full_percent", 9))
 
 
+# --- agents -------------------------------------------------------------------------------------------
+
+#: Customers are agents, forty a session: a heap below each first one, seven levels deep; every eleventh's parent is gone.
+_AGENTS = """WITH RECURSIVE a AS (SELECT floor(c_custkey / 40)::BIGINT AS session_id, c_custkey % 40 AS q, c_custkey AS agent_id, (c_custkey % 40 * 7) % 40 AS o,
+  CASE WHEN c_custkey % 40 = 0 THEN NULL WHEN c_custkey % 11 = 0 THEN -1 ELSE c_custkey - c_custkey % 40 + (c_custkey % 40) // 2 END AS p FROM customer),
+r AS (SELECT session_id, arg_min(agent_id, o) FILTER (p IS NULL) AS root FROM a GROUP BY session_id),
+w AS (SELECT a.session_id, agent_id, [[CASE WHEN agent_id = root THEN 0 ELSE 1 END, o, agent_id]] AS path FROM a JOIN r USING (session_id) WHERE p IS NULL OR (a.session_id, p) NOT IN (SELECT (session_id, agent_id) FROM a)
+  UNION ALL SELECT a.session_id, a.agent_id, list_append(w.path, [0, a.o, a.agent_id]) FROM w JOIN a ON a.session_id = w.session_id AND a.p = w.agent_id),
+n AS (SELECT *, len(path) - 1 AS indent, row_number() OVER (PARTITION BY session_id ORDER BY path) AS place FROM w)
+"""
+
+
+def _agents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey").cast("long")
+    q = k % 40
+    parent = F.when(q == 0, F.lit(None).cast("long")).when(k % 11 == 0, F.lit(-1).cast("long")).otherwise(k - q + F.floor(q / 2))
+    return table(spark, sf_dir, "customer").select(F.floor(k / 40).alias("session_id"), k.alias("agent_id"), ((q * 7) % 40).alias("first_ord"), parent.alias("parent_id"))
+
+
+@query(_AGENTS + """, f AS (SELECT n.session_id, n.agent_id, n.indent, n.place, coalesce(list(x.indent ORDER BY x.place) FILTER (x.place IS NOT NULL), []) AS later
+ FROM n LEFT JOIN n x ON x.session_id = n.session_id AND x.place > n.place GROUP BY ALL)
+SELECT session_id, agent_id, indent::INT AS indent, place, array_to_string(list_transform(range(indent), lambda i: CASE WHEN list_contains(later, i) THEN '│ ' ELSE '  ' END), '')
+ || CASE WHEN list_filter(later, lambda i: i <= indent)[1] = indent THEN '├─ ' ELSE '└─ ' END AS prefix FROM f""")
+def agent_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Agents of many levels, each session's depth first and with its branches drawn; some have lost their parent."""
+    rows = O.tree_prefixes(O.agents_in_order(_agents(spark, sf_dir)))
+    place = F.row_number().over(W.partitionBy("session_id").orderBy("path")).cast("long")
+    return rows.select("session_id", "agent_id", "indent", place.alias("place"), "prefix")
+
+
+@query(_AGENTS + """SELECT p AS agent_id, session_id, string_agg(agent_id, ',' ORDER BY agent_id) AS children FROM a WHERE p IS NOT NULL GROUP BY p, session_id""")
+def agent_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The agents directly below each, by session; of a lost parent too."""
+    return O.agent_children(_agents(spark, sf_dir), session=["session_id"]).select("agent_id", "session_id", F.array_join("children", ",").alias("children"))
+
+
+@query(_LOG + """, own AS (SELECT session, agent, id, max(d) AS d FROM marks GROUP BY ALL)
+SELECT a.session AS session_id, a.agent AS agent_id, count(*) FILTER (own.d > 0) AS seen, floor(count(*) FILTER (own.d > 0) / 560 * 100e0)::INT AS seen_percent
+FROM (SELECT DISTINCT session, agent FROM calls) a LEFT JOIN own ON own.session = a.session AND own.agent = a.agent GROUP BY a.session, a.agent""")
+def agent_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of the project each agent of each session has read over all epochs."""
+    calls = log_events(spark, sf_dir).where("kind = 'tool_call'").withColumn("epoch", F.lit(0))
+    own = O.agent_ledger(O.marks(calls, project(spark)[1], sessions.ORDER), ["session_id", "id"])
+    return O.agent_coverage(calls.select("session_id", "agent_id").distinct(), own, 560, session=["session_id"]).select("session_id", "agent_id", "seen", "seen_percent")
+
+
+@query(_LOG + """, led AS (SELECT DISTINCT session, id FROM marks), own AS (SELECT session, id, max(d) AS d FROM marks WHERE agent = 'agent-7' GROUP BY ALL)
+SELECT led.session AS session_id, coalesce(d, 0)::INT AS depth, count(*) AS n FROM led LEFT JOIN own ON own.session = led.session AND own.id = led.id GROUP BY 1, 2""")
+def agent_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How deep one agent has read what its session has touched."""
+    calls = log_events(spark, sf_dir).where("kind = 'tool_call'").withColumn("epoch", F.lit(0))
+    own = kept(O.agent_ledger(O.marks(calls, project(spark)[1], sessions.ORDER), ["session_id", "id"]), "own")
+    return O.agent_histogram(own, own.select("session_id", "id").distinct(), "id", "agent_id", "agent-7", session=["session_id"])
+
+
 # --- data sources -----------------------------------------------------------------------------------------
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import FULL_BODY, UNSEEN, file_status, path_parts, percent, strip_keywords
+from ..tables import kept
 from .ranges import range_join, stab_join, suffix_join
 from .scans import chunk_scan
 
@@ -120,11 +122,11 @@ def agents_of(marked: DataFrame, keys: list[str], agent: str = "agent_id") -> Da
     return marked.groupBy(*keys).agg(F.array_sort(F.collect_set(agent)).alias("agents"))
 
 
-def agent_histogram(ledger_agents: DataFrame, ledger_rows: DataFrame, key: str, agent: str, agent_id: str) -> DataFrame:
+def agent_histogram(ledger_agents: DataFrame, ledger_rows: DataFrame, key: str, agent: str, agent_id: str, session: Sequence[str] = ()) -> DataFrame:
     """(depth, n) for one agent; keys that only others touched are unseen to it."""
-    own = ledger_agents.where(F.col(agent) == agent_id).select(key, F.col("depth").alias("_own"))
-    both = ledger_rows.select(key).join(own, key, "left")
-    return both.groupBy(F.coalesce("_own", F.lit(UNSEEN)).alias("depth")).agg(F.count("*").alias("n"))
+    own = ledger_agents.where(F.col(agent) == agent_id).select(*session, key, F.col("depth").alias("_own"))
+    both = ledger_rows.select(*session, key).join(own, [*session, key], "left")
+    return both.groupBy(*session, F.coalesce("_own", F.lit(UNSEEN)).alias("depth")).agg(F.count("*").alias("n"))
 
 
 def max_depth_by_file(symbols: DataFrame, depths: DataFrame, key: str = "id", by: str = "file_path") -> DataFrame:
@@ -300,46 +302,53 @@ def agent_tree(agents: DataFrame, agent: str = "agent_id", order: str = "first_o
     return agents.withColumn("parent_id", parent).withColumn("depth", F.when(F.col("parent_id").isNull(), 0).otherwise(1))
 
 
-def agent_children(agents: DataFrame, agent: str = "agent_id") -> DataFrame:
-    """(agent, children): the agents directly below each agent that has any."""
-    return agents.where("parent_id is not null").groupBy(F.col("parent_id").alias(agent)).agg(F.array_sort(F.collect_list(F.col(agent))).alias("children"))
+def agent_children(agents: DataFrame, agent: str = "agent_id", session: Sequence[str] = ()) -> DataFrame:
+    """(agent, children): the agents directly below each agent that has any, of each session where one is named."""
+    return agents.where("parent_id is not null").groupBy(*session, F.col("parent_id").alias(agent)).agg(F.array_sort(F.collect_list(F.col(agent))).alias("children"))
 
 
-def agents_in_order(agents: DataFrame, agent: str = "agent_id", order: str = "first_ord", session: str = "session_id") -> DataFrame:
-    """Agents depth first below the root, with ``indent``; those that it does not reach follow, each with its own, by first sight.
+def agents_in_order(agents: DataFrame, agent: str = "agent_id", order: str = "first_ord", session: str = "session_id", levels: int = 1000) -> DataFrame:
+    """Agents depth first below the root, with ``path`` and ``indent``; those whose parent is unknown follow, each with its own, by first sight.
 
-    One join per level of the tree, of which there are few. The list is as short as its sessions have
-    agents, and is kept while the levels are found.
+    One recursive query walks all sessions level by level from rows that are written once. More than ``levels``
+    levels are an error; agents that are each other's parents hang below no root and are left out. The walk's
+    number of rows is not bounded, so the session's limit of rows in a recursion is taken away.
     """
-    rows = agents.select(session, agent, "parent_id", order).persist()
-    free = F.when(F.col("parent_id").isNull(), F.struct(order, agent))
-    root = rows.groupBy(session).agg(F.min(free)[agent].alias("_root"))
-    known = rows.join(root, session)
-    step = F.struct(F.when(F.col(agent) == F.col("_root"), 0).otherwise(1).alias("orphan"), F.col(order).cast("long").alias("ord"), F.col(agent).alias("agent"))
-    missing = known.join(rows.select(session, F.col(agent).alias("parent_id"), F.lit(True).alias("_there")), [session, "parent_id"], "left")
-    level = missing.where(F.col("parent_id").isNull() | F.col("_there").isNull()).select(session, agent, order, F.array(step).alias("path")).persist()
-    out = level
-    while not level.isEmpty():
-        up = level.select(session, F.col(agent).alias("parent_id"), F.col("path").alias("_path"))
-        below = F.struct(F.lit(0).alias("orphan"), F.col(order).cast("long").alias("ord"), F.col(agent).alias("agent"))
-        level = rows.join(up, [session, "parent_id"]).select(session, agent, order, F.concat("_path", F.array(below)).alias("path")).persist()
-        out = out.unionByName(level)
-    return out.withColumn("indent", F.size("path") - 1)
+    spark = agents.sparkSession
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    rows = kept(agents.select(F.col(session).alias("s"), F.col(agent).alias("a"), F.col("parent_id").alias("p"), F.col(order).cast("long").alias("o")), "agents")
+    root = rows.groupBy("s").agg(F.min(F.when(F.col("p").isNull(), F.struct("o", "a")))["a"].alias("root"))
+    orphan = rows.select("s", "p").join(rows.select("s", F.col("a").alias("p")), ["s", "p"], "left_anti").where("p is not null").distinct().withColumn("lost", F.lit(True))
+    known = rows.join(root, "s").join(orphan, ["s", "p"], "left")
+    tops = kept(known.where("p is null or lost").select("s", "a", F.when(F.col("a") == F.col("root"), 0).otherwise(1).alias("orphan"), "o"), "tops")
+    walk = spark.sql(
+        f"""WITH RECURSIVE walk(s, a, path) MAX RECURSION LEVEL {int(levels)} AS (
+         SELECT s, a, array(struct(orphan, o AS ord, a AS agent)) FROM {{tops}}
+         UNION ALL SELECT c.s, c.a, concat(w.path, array(struct(0 AS orphan, c.o AS ord, c.a AS agent))) FROM walk AS w JOIN {{rows}} AS c ON c.s = w.s AND c.p = w.a)
+        SELECT * FROM walk""", tops=tops, rows=rows)
+    return agents.select(session, agent, order).join(walk.select(F.col("s").alias(session), F.col("a").alias(agent), "path"), [session, agent]).withColumn("indent", F.size("path") - 1)
 
 
 def tree_prefixes(rows: DataFrame, session: str = "session_id", order: str = "path") -> DataFrame:
-    """``prefix`` of each row of an indented list: bars where an outer level goes on, a corner at a last sibling."""
-    later = F.collect_list("indent").over(W.partitionBy(session).orderBy(order).rowsBetween(1, W.unboundedFollowing))
-    bars = F.array_join(F.transform(F.when(F.col("indent") > 0, F.sequence(F.lit(0), F.col("indent") - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.when(F.array_contains(F.col("_later"), i), F.lit("│ ")).otherwise(F.lit("  "))), "")
-    following = F.get(F.filter("_later", lambda x: x <= F.col("indent")), F.lit(0))
-    corner = F.when(F.coalesce(following < F.col("indent"), F.lit(True)), F.lit("└─ ")).otherwise(F.lit("├─ "))
-    return rows.withColumn("_later", later).withColumn("prefix", F.concat(bars, corner)).drop("_later")
+    """``prefix`` of each row of an indented list in depth-first order: bars where an outer level goes on, a corner at a last sibling.
+
+    A level goes on while the session has a later row of it, so the last row of each level and the last child of
+    each parent say it all: two aggregates, no list of what follows a row.
+    """
+    parent = F.slice(F.col(order), F.lit(1), F.size(order) - 1)
+    ends = rows.groupBy(session, "indent").agg(F.max(order).alias("_end")).groupBy(session).agg(F.map_from_entries(F.collect_list(F.struct("indent", "_end"))).alias("_ends"))
+    last = rows.groupBy(session, parent.alias("_parent")).agg(F.max(order).alias("_last"))
+    joined = rows.withColumn("_parent", parent).join(ends, session).join(last, [session, "_parent"])
+    levels = F.when(F.col("indent") > 0, F.sequence(F.lit(0), F.col("indent") - 1)).otherwise(F.array().cast("array<int>"))
+    bars = F.transform(levels, lambda i: F.when(F.col("_ends")[i] > F.col(order), F.lit("│ ")).otherwise(F.lit("  ")))
+    corner = F.when(F.col("_last") > F.col(order), F.lit("├─ ")).otherwise(F.lit("└─ "))
+    return joined.withColumn("prefix", F.concat(F.array_join(bars, ""), corner)).drop("_ends", "_last", "_parent")
 
 
-def agent_coverage(agents: DataFrame, ledger_agents: DataFrame, total: int, agent: str = "agent_id") -> DataFrame:
+def agent_coverage(agents: DataFrame, ledger_agents: DataFrame, total: int, agent: str = "agent_id", session: Sequence[str] = ()) -> DataFrame:
     """``agents`` with the symbols that each has seen and their share of ``total``, in whole percent."""
-    seen = ledger_agents.where(F.col("depth") > UNSEEN).groupBy(agent).agg(F.count("*").alias("seen"))
-    out = agents.join(seen, agent, "left").withColumn("seen", F.coalesce("seen", F.lit(0)))
+    seen = ledger_agents.where(F.col("depth") > UNSEEN).groupBy(*session, agent).agg(F.count("*").alias("seen"))
+    out = agents.join(seen, [*session, agent], "left").withColumn("seen", F.coalesce("seen", F.lit(0)))
     return out.withColumn("seen_percent", percent(F.col("seen"), F.lit(total)).cast("int"))
 
 

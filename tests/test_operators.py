@@ -137,8 +137,10 @@ def test_agent_views(spark):
     circle = spark.createDataFrame([("s", "a", "b", 1), ("s", "b", "a", 2), ("s", "r", None, 3)], deep.schema)
     assert [(r.agent_id, r.prefix) for r in O.tree_prefixes(O.agents_in_order(circle)).collect()] == [("r", "└─ ")]
     assert O.tree_prefixes(O.agents_in_order(deep.limit(0))).collect() == []
-    chain = spark.createDataFrame([("s", str(i), str(i - 1) if i else None, i) for i in range(103)], deep.schema)
-    assert sorted(r.indent for r in O.agents_in_order(chain).collect()) == list(range(103))
+    chain = spark.createDataFrame([("s", str(i), str(i - 1) if i else None, i) for i in range(9)], deep.schema)
+    assert sorted(r.indent for r in O.agents_in_order(chain).collect()) == list(range(9))
+    with pytest.raises(Exception, match="(?i)recursion"):
+        O.agents_in_order(chain, levels=4).collect()
     ledger = spark.createDataFrame([("a", "main", 4), ("b", "main", 0), ("a", "agent-a", 1)], "id string, agent_id string, depth int")
     assert {r.agent_id: (r.seen, r.seen_percent) for r in O.agent_coverage(agents.where("session_id = 's'"), ledger, 3).collect()} == {"main": (1, 33), "agent-a": (1, 33), "other": (0, 0), "agent-b": (0, 0)}
     entries = spark.createDataFrame([("a", 4), ("b", 0)], "id string, depth int")

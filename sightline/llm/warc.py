@@ -6,7 +6,7 @@ URI and date, and carry the digests and HTTP headers of the source; their own id
 response's id, so that a repeated run names them alike.
 
 The text of a conversion is the page without scripts, styles and comments, block-level tags as line
-breaks, other tags dropped (what is not closed runs to the end of the page), all character references of HTML decoded once (``&nbsp;`` as a plain space),
+breaks, other tags dropped (a tag ends at the first > outside the quotes of its attributes; what is not closed runs to the end of the page), all character references of HTML decoded once (``&nbsp;`` as a plain space),
 white space inside a line made one space, and empty lines dropped. References are decoded in an Arrow
 function; the step is narrow, and each record is a row of its own. ``serialize`` writes the
 source's HTTP headers into the metadata record. The SQL decodes ENTITIES and decimal references alone,
@@ -32,10 +32,10 @@ from .common import SLICE_BYTES, SLICE_ROWS, slices
 #: Character references that the SQL decodes, in this order (&amp; last, which may lack its semicolon).
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&apos;": "'", "&copy;": "©", "&reg;": "®", "&middot;": "·", "&hellip;": "…", "&ndash;": "–", "&mdash;": "—", "&euro;": "€"}
 HIDDEN = r"(?is)<!--.*?(?:-->|\z)|<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)|<noscript\b.*?(?:</noscript\s*>|\z)"
-BLOCK = r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|option|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>"
-TAG = r"</?[a-zA-Z!][^>]*>"
-#: What follows the last > of a page, from a tag on that is not closed.
-OPEN_TAG = r"(?s)</?[a-zA-Z!].*"
+#: The rest of a tag after its name, attribute by attribute: a > between the quotes of a value does not end it, the page's end does.
+TAG_REST = r"""[^>=]*+(?:= ?+(?:"[^"]*+(?:"|\z)|'[^']*+(?:'|\z))?+[^>=]*+)*+(?:>|\z)"""
+BLOCK = r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|head|header|hr|html|li|main|nav|ol|option|p|pre|section|table|td|th|title|tr|ul)\b" + TAG_REST
+TAG = "</?[a-zA-Z!]" + TAG_REST
 TITLE = r"(?is)<title[^<>]*>([^<]*)</title"
 #: White space that is not already one space; single spaces are most of it and need no work.
 SPACE_RUN = r"[\t\n\f\r ]{2,}|[\t\n\f\r]"
@@ -69,10 +69,7 @@ def bare_text(html: Column) -> Column:
     """A page without markup, its character references as they were."""
     t = F.regexp_replace(F.coalesce(html, F.lit("")), HIDDEN, "")
     t = F.regexp_replace(t, SPACE_RUN, " ")
-    # Up to the last > every tag has an end, so no search for one runs to the end of the page again and again.
-    tail = F.substring_index(t, ">", -1)
-    head = F.regexp_replace(F.left(t, F.length(t) - F.length(tail)), BLOCK, "\n")
-    return F.concat(F.regexp_replace(head, TAG, ""), F.regexp_replace(tail, OPEN_TAG, ""))
+    return F.regexp_replace(F.regexp_replace(t, BLOCK, "\n"), TAG, "")
 
 
 def plain_text(bare: str) -> str:
@@ -229,6 +226,11 @@ def _q(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def _greedy(pattern: str) -> str:
+    """A pattern in which nothing is ever given back, without the signs for that, which RE2 lacks."""
+    return _q(pattern.replace("*+", "*").replace("?+", "?"))
+
+
 def _sql_urn(seed: str) -> str:
     h = f"md5({seed})"
     return f"'<urn:uuid:' || substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-' || substr({h}, 13, 4) || '-' || substr({h}, 17, 4) || '-' || substr({h}, 21, 12) || '>'"
@@ -245,8 +247,7 @@ def _sql() -> str:
 WITH p AS (SELECT page_id, url, coalesce(html, '') AS html, {_sql_urn("'response:' || coalesce(page_id::VARCHAR, '') || '|' || coalesce(url, '')")} AS rid,
                   'sha256:' || sha256(coalesce(html, '')) AS pd FROM pages),
 a AS (SELECT *, regexp_replace(regexp_replace(html, {_q(HIDDEN)}, '', 'g'), {_q(SPACE_RUN)}, ' ', 'g') AS t1, regexp_replace(regexp_extract(html, {_q(TITLE)}, 1), '\s+', ' ', 'g') AS title FROM p),
-h AS (SELECT *, string_split(t1, '>')[-1] AS tail FROM a),
-b AS (SELECT *, regexp_replace(regexp_replace(left(t1, length(t1) - length(tail)), {_q(BLOCK)}, chr(10), 'g'), {_q(TAG)}, '', 'g') || regexp_replace(tail, {_q(OPEN_TAG)}, '') AS t3 FROM h),
+b AS (SELECT *, regexp_replace(regexp_replace(t1, {_greedy(BLOCK)}, chr(10), 'g'), {_greedy(TAG)}, '', 'g') AS t3 FROM a),
 c AS (SELECT *, {decoded} AS t4 FROM b),
 e AS (SELECT *, regexp_replace(list_reduce(list_distinct(regexp_extract_all(t4, '&#([0-9]{{2,5}});', 1)), lambda acc, n: replace(acc, '&#' || n || ';', chr(n::INT)), t4), '&amp;?', '&', 'g') AS t5 FROM c),
 f AS (SELECT *, trim(regexp_replace(regexp_replace(t5, '[ \t]{{2,}}|\t', ' ', 'g'), ' ?\n[ \n]*', chr(10), 'g'), ' ' || chr(10)) AS txt FROM e),

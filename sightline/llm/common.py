@@ -166,12 +166,11 @@ def stable_sample(df: DataFrame, id_col: str, group_col: str, text_col: str, per
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, per_class: int, class_bytes: int,
-                    id_col: str = "doc_id", text_col: str = "text", fold: tuple[int, int] | None = None, unlabelled: int = 0) -> list[tuple[str, int]]:
+                    id_col: str = "doc_id", text_col: str = "text", fold: tuple[int, int] | None = None) -> list[tuple[str, int]]:
     """(whole text, label) of at most ``per_class`` rows and ``class_bytes`` bytes of each class, in a stable order.
 
     ``fold`` = (modulus, held out remainder) of the id's crc32. Rows without text, label or id are
-    left out; of contradicting labels of one id the larger counts. ``unlabelled`` rows of the fold that have
-    no label come with -1, if there are so many.
+    left out; of contradicting labels of one id the larger counts.
     """
     part = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     texts = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_text"))
@@ -180,10 +179,4 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, per_clas
         texts = texts.where(crc_mod(F.col("_id"), fold[0]) != fold[1])
     part = part.groupBy(F.col(id_col).cast("long").alias("_id")).agg(F.max(label_col).cast("int").alias("_group"))
     some = texts.join(F.broadcast(_thinned(part, "_group", per_class)), "_id")
-    out = [(t, y) for _, y, t in _taken(some, per_class, class_bytes)]
-    if unlabelled:
-        # Ids are drawn without their texts; so many more that enough are left without the labelled ones.
-        ids = texts.select("_id").where(_draw() < F.lit(_limit(2 * unlabelled, docs.count())))
-        free = ids.distinct().join(part.select("_id"), "_id", "left_anti").withColumn("_group", F.lit(-1))
-        out += [(t, y) for _, y, t in _taken(texts.join(F.broadcast(free), "_id"), unlabelled, class_bytes)]
-    return out
+    return [(t, y) for _, y, t in _taken(some, per_class, class_bytes)]

@@ -52,7 +52,7 @@ def dyadic_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     symbols = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 40).alias("file"), F.col("o_orderkey").alias("s"), (F.col("o_orderkey") + F.floor(F.col("o_totalprice") / 500)).cast("long").alias("t"))
     k = F.get_json_object("props", "$.k").cast("long")
     asked = table(spark, sf_dir, "events").select((F.col("user_id") % 40).alias("file"), (F.col("event_id") * 5).alias("a"), (F.col("event_id") * 5 + k).alias("b"))
-    return ranges.range_join(asked, symbols, ["file"], "a", "b", "s", "t").groupBy("file").agg(F.count("*").alias("pairs"), F.sum("s").alias("starts"), F.sum("a").alias("asked"))
+    return ranges.range_join(asked, symbols, ["file"], "a", "b", "s", "t", levels=None).groupBy("file").agg(F.count("*").alias("pairs"), F.sum("s").alias("starts"), F.sum("a").alias("asked"))
 
 
 _NAMES = """WITH s AS (SELECT p_size AS file, p_partkey AS ord, replace(p_name, ' ', '/') || '/' || p_brand AS path, 'pub fn ' || p_brand AS name FROM part),

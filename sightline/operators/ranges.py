@@ -3,6 +3,7 @@
 *Ranges*: a range of whole numbers is the union of O(log n) dyadic nodes (aligned runs of 2^level numbers), and a point lies
 in one node of each level, its ancestors. A point is in a range exactly when one of its ancestors is one of the range's
 nodes, and then exactly one is. So ranges of any length cost a few rows, where bins of a fixed width cost one each.
+Rows multiply in these joins, which the planner's estimate does not know: sides are merged, never sent to the driver.
 
 *Suffixes*: a target names a symbol by any suffix of its path of names. Every suffix of every symbol is a key, and
 targets meet them by equality instead of being tested against each symbol.
@@ -50,18 +51,27 @@ def stab_join(points: DataFrame, ranges: DataFrame, keys: list[str], point: str,
     """Pairs of a point and a range [start, end) that holds it, with equal ``keys``; each pair once. Other columns must differ."""
     p = points.select("*", F.inline(ancestors(F.col(point), levels)).alias("_level", "_index"))
     r = ranges.select("*", F.inline(range_nodes(F.col(start), F.col(end), levels)).alias("_level", "_index"))
-    return p.join(r, [*keys, "_level", "_index"]).drop("_level", "_index")
+    return p.join(r.hint("merge"), [*keys, "_level", "_index"]).drop("_level", "_index")
 
 
-def range_join(left: DataFrame, right: DataFrame, keys: list[str], start: str, end: str, right_start: str, right_end: str, levels: int = LEVELS) -> DataFrame:
+def levels_of(ranges: DataFrame, start: str, end: str) -> int:
+    """The highest level that the nodes of these ranges can have; one aggregate."""
+    longest = ranges.agg(F.max(F.col(end).cast("long") - F.col(start).cast("long"))).first()[0] or 0
+    return min(LEVELS, max(1, int(longest).bit_length() - 1))
+
+
+def range_join(left: DataFrame, right: DataFrame, keys: list[str], start: str, end: str, right_start: str, right_end: str, levels: int | None = LEVELS) -> DataFrame:
     """Pairs with equal ``keys`` whose half-open ranges share a line; strict on both sides, so an empty range meets only what spans it.
 
+    A point has a row for each level; without ``levels`` they are those that the ranges of each side can have, which is looked up first.
+
     Of two such ranges one starts within the other: the right one's start lies in [start, end), or the left one's
     after the right one's start and before its end. The cases exclude each other, so a pair comes once.
     """
     s, e, a, b = (F.col(c) for c in (start, end, right_start, right_end))
-    within = stab_join(right, left, keys, right_start, start, end, levels)
-    after = stab_join(left, right.withColumn("_from", a + 1), keys, start, "_from", right_end, levels).drop("_from")
+    of = lambda side, x, y: levels_of(side, x, y) if levels is None else levels
+    within = stab_join(right, left, keys, right_start, start, end, of(left, start, end))
+    after = stab_join(left, right.withColumn("_from", a + 1), keys, start, "_from", right_end, of(right, right_start, right_end)).drop("_from")
     both = within.unionByName(after)
     return both.where((s < b) & (a < e))
 
@@ -87,5 +97,5 @@ def suffix_join(targets: DataFrame, symbols: DataFrame, keys: list[str], target:
     wanted = F.array(F.struct(F.lit(False).alias("bare"), F.col(target).alias("key")), F.struct(F.lit(True).alias("bare"), strip_keywords(F.col(target)).alias("key")))
     t = targets.select("*", F.inline(wanted).alias("_bare", "_key"))
     s = symbols.select("*", F.inline(name_keys(name_path, name)).alias("_bare", "_key"))
-    found = t.join(s, [*keys, "_bare", "_key"]).drop("_bare", "_key")
+    found = t.join(s.hint("merge"), [*keys, "_bare", "_key"]).drop("_bare", "_key")
     return found.dropDuplicates([*targets.columns, "ord"])

@@ -134,3 +134,18 @@ def test_folders_sum_all_below_them(spark):
     rows = [("a/b/x.rs", 4, 2, 1), ("a/b/y.rs", 2, 2, 2), ("a/z.rs", 1, 0, 0), ("top.rs", 3, 3, 3)]
     got = coverage.folder_coverage(spark.createDataFrame(rows, "file_path string, total_symbols long, seen_count long, full_count long")).collect()
     assert {r.folder: (r.files, r.total_symbols, r.seen_count, r.full_count) for r in got} == {"": (4, 10, 7, 6), "a": (3, 7, 4, 3), "a/b": (2, 6, 4, 3)}
+
+
+def test_multiplied_sides_are_never_broadcast(spark):
+    """Rows multiply by nodes and suffixes, so small estimates of a side say nothing; levels that no range has are left out."""
+    rows = [(1, i, i + i % 7) for i in range(40)]
+    left = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i long, k long, s long, e long")
+    right = left.selectExpr("i as j", "k", "s as ts", "e as te")
+    assert ranges.levels_of(left, "s", "e") == 2 and ranges.levels_of(left.limit(0), "s", "e") == 1
+    found = ranges.range_join(left, right, ["k"], "s", "e", "ts", "te", None)
+    want = sorted((i, j) for i, a in enumerate(rows) for j, b in enumerate(rows) if a[1] < b[2] and b[1] < a[2])
+    assert sorted((r.i, r.j) for r in found.collect()) == want
+    symbols = spark.createDataFrame([("f", 0, "a/b", "b")], "file_path string, ord int, path string, name string")
+    named = ranges.suffix_join(spark.createDataFrame([("f", "b")], "file_path string, target string"), symbols, ["file_path"], "target", F.col("path"), F.col("name"))
+    for df in (found, named):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()

@@ -232,8 +232,11 @@ def stats_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A source file for every part, in Python, Rust or TypeScript by turns."""
-    p = table(spark, sf_dir, "part")
+    """A source file for every part, in Python, Rust or TypeScript by turns.
+
+    A part is a few bytes as stored and a file to parse, so a few splits of the table hold very many files: they are dealt anew.
+    """
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_size").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "p_partkey")
     k, n = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
     turn = F.col("p_partkey") % 3
     python = _json("X", k, ": int = ", n, "\n\n@d\nclass C", k, ":\n    def m(self):\n        return ", n, "  # é\n")

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import FULL_BODY, UNSEEN, file_status, path_parts, percent, strip_keywords
 from ..tables import kept
@@ -144,7 +145,8 @@ def subtree_totals(symbols: DataFrame, by: str = "file_path") -> DataFrame:
     upto = F.sum("estimated_tokens").over(W.partitionBy(by).orderBy("ord"))
     sums = symbols.withColumn("_upto", upto)
     ends = sums.select(by, F.col("ord").alias("subtree_end"), F.col("_upto").alias("_end"))
-    out = sums.join(ends, [by, "subtree_end"])
+    # Symbols are made of texts, whose size says little of their number: no side is taken for small.
+    out = sums.join(ends.hint("merge"), [by, "subtree_end"])
     tokens = (F.col("_end") - F.col("_upto") + F.col("estimated_tokens")).alias("total_tokens")
     return out.select(*symbols.columns, (F.col("subtree_end") - F.col("ord") + 1).cast("long").alias("total_symbols"), tokens)
 
@@ -161,26 +163,31 @@ def project_totals(files: DataFrame, symbols: DataFrame) -> DataFrame:
 def roll_up_hashes(symbols: DataFrame, by: str = "file_path", hash_col: str = "content_hash") -> DataFrame:
     """``symbols`` with ``merkle_hash``: a leaf's is its own hash, a parent's that of its own and its children's in order.
 
-    One shuffle and one pass over a file's symbols from the last to the first: below a symbol lie those after it up to
-    ``subtree_end``, so its children are what is on top of a stack when its turn comes.
+    One shuffle, and one pass over a task's symbols, each file's from the last to the first: below a symbol lie those after it up to
+    ``subtree_end``, so its children are what is on top of a stack when its turn comes. Files of a task are sorted and stream
+    through, so many small ones cost no more than a large one, and of a file only the open siblings are held.
     """
     rest = symbols.drop("merkle_hash")
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema) + ", merkle_hash string"
+    at = [rest.columns.index(c) for c in (by, "level", hash_col)]
 
-    def fold(part: pa.Table) -> pa.Table:
-        part = part.sort_by("ord")
-        levels, own = part.column("level").to_pylist(), part.column(hash_col).to_pylist()
-        out: list[str | None] = [None] * len(own)
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file: object = ()  # of no row
         stack: list[tuple[int, str | None]] = []
-        for i in range(len(own) - 1, -1, -1):
-            below = []
-            while stack and stack[-1][0] > levels[i]:
-                below.append(stack.pop()[1])
-            out[i] = own[i] if not below else None if own[i] is None or None in below else hashlib.sha256("".join((own[i], *below)).encode()).hexdigest()
-            stack.append((levels[i], out[i]))
-        return part.append_column("merkle_hash", pa.array(out, pa.string()))
-
-    return rest.groupBy(by).applyInArrow(fold, schema)
+        for batch in batches:
+            out: list[str | None] = []
+            for path, level, own in zip(*(batch.column(i).to_pylist() for i in at), strict=True):
+                if path != file:
+                    file, stack = path, []
+                below = []
+                while stack and stack[-1][0] > level:
+                    below.append(stack.pop()[1])
+                out.append(own if not below else None if own is None or None in below else hashlib.sha256("".join((own, *below)).encode()).hexdigest())
+                if level > 0:  # a root is below nothing
+                    stack.append((level, out[-1]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*batch.schema.names, "merkle_hash"])
+
+    dealt = rest.repartition(by).sortWithinPartitions(F.col(by), F.col("ord").desc())
+    return dealt.mapInArrow(fold, StructType([*rest.schema.fields, StructField("merkle_hash", StringType())]))
 
 
 def root_hashes(rolled: DataFrame, by: str = "file_path") -> DataFrame:

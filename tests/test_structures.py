@@ -149,3 +149,30 @@ def test_multiplied_sides_are_never_broadcast(spark):
     named = ranges.suffix_join(spark.createDataFrame([("f", "b")], "file_path string, target string"), symbols, ["file_path"], "target", F.col("path"), F.col("name"))
     for df in (found, named):
         assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_files_of_a_task_are_rolled_up_in_one_pass(spark):
+    """Three thousand files are one sorted stream, cut anywhere by batches, and totals join without a broadcast side."""
+    from sightline.catalog_sessions import sources
+    from sightline.sources import code
+
+    s = spark.range(3000).selectExpr("concat('f', id) as file_path", "explode(array(0, 1, 2)) as ord", "id").selectExpr(
+        "file_path", "ord", "if(ord = 1, 2, ord) as subtree_end", "if(ord = 2, 1, 0) as level", "sha2(concat(id, '-', ord), 256) as content_hash", "id + ord as estimated_tokens")
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rolled = O.roll_up_hashes(s)
+        totals = O.subtree_totals(rolled)
+        plan = totals._jdf.queryExecution().executedPlan().toString()
+        got = {(r.file_path, r.ord): (r.merkle_hash, r.total_symbols, r.total_tokens) for r in totals.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    assert "FlatMapGroupsInArrow" not in plan and "Broadcast" not in plan
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = {}
+    for i in range(3000):
+        a, b, c = (sha(f"{i}-{k}") for k in range(3))
+        want |= {(f"f{i}", 0): (a, 1, i), (f"f{i}", 1): (sha(b + c), 2, 2 * i + 3), (f"f{i}", 2): (c, 1, i + 2)}
+    assert got == want
+    assert sources(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert O.roll_up_hashes(code.symbols(sources(spark, "/root/testdata/sf0.001"))).columns.count("merkle_hash") == 1

@@ -15,6 +15,7 @@ from .. import operators as O
 from ..functions import path_parts
 from ..sources import code, lspcache, sessions
 from ..sources.scan import write_lines
+from ..tables import kept
 from . import coverage, toolmap
 from .filters import PathFilter
 
@@ -158,13 +159,16 @@ def resolved_agent(agents: DataFrame, prefix: str) -> str:
 
 
 def tree_lines(files: DataFrame, symbols: DataFrame) -> DataFrame:
-    """(file_path, ord, line): the symbol tree of a project as text, in the order of ``file_path`` components and ``ord``."""
+    """(file_path, ord, line): the symbol tree of a project as text, in the order of ``file_path`` components and ``ord``.
+
+    A sort over all tasks reads its rows twice, for the bounds and for the sort: the lines are written once, and texts parsed once.
+    """
     heads = files.select("file_path", F.lit(-1).alias("ord"), F.concat(F.lit("  "), "file_path", F.lit(" ("), F.col("total_lines").cast("string"), F.lit(" lines)")).alias("line"))
     text = F.concat(
         F.repeat(F.lit(" "), F.lit(4) + F.col("level") * 2), F.col("label"), F.lit(" "), F.col("name"), F.lit(" [L"), F.col("line_start").cast("string"), F.lit("-"), F.col("line_end").cast("string"),
         F.lit("] (~"), F.col("estimated_tokens").cast("string"), F.lit(" tokens)"),
     )
-    return heads.unionByName(symbols.select("file_path", "ord", text.alias("line"))).orderBy(path_parts(F.col("file_path")), "ord")
+    return kept(heads.unionByName(symbols.select("file_path", "ord", text.alias("line"))), "lines").orderBy(path_parts(F.col("file_path")), "ord")
 
 
 def dump(root: str, files: DataFrame, symbols: DataFrame, path_filter: PathFilter | None = None) -> str:

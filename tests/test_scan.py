@@ -68,3 +68,21 @@ def test_ordered_lines_are_written_whole_or_not_at_all(spark, tmp_path):
     assert sorted(os.listdir(tmp_path)) == [f"s{i}.log" for i in range(7)] and "new" not in (tmp_path / "s0.log").read_text()
     scan.write_lines(df.where("at < 3"), "session", "line", ["at"], str(tmp_path))
     assert (tmp_path / "s0.log").read_text() == "line 0 é\n" and len((tmp_path / "s5.log").read_text().splitlines()) == len([1 for r in rows if r[0] == "s5"])
+
+
+def test_a_task_reports_its_files_in_a_list_beside_them(tmp_path):
+    """A commit message is of one size, whatever the number of files that a task has written."""
+    import pickle
+
+    from pyspark.sql import Row
+
+    (tmp_path / "d").mkdir()
+    writer, sizes = scan._LineWriter(str(tmp_path), ".log"), []
+    messages = []
+    for n, start in ((1, 0), (300, 1)):
+        messages.append(writer.write(iter([Row(name=f"d/s{i}", line=f"line {i}") for i in range(start, start + n)])))
+        sizes.append(len(pickle.dumps(messages[-1])))
+    assert sizes[0] == sizes[1] and os.listdir(tmp_path / "d") == []
+    writer.commit([*messages, None])
+    assert len(os.listdir(tmp_path / "d")) == 301 and os.listdir(tmp_path) == ["d"]
+    assert (tmp_path / "d" / "s300.log").read_text() == "line 300\n"

@@ -202,14 +202,15 @@ def merkle_stale(old: DataFrame, new: DataFrame, old_roots: DataFrame, new_roots
     ``old_roots`` and ``new_roots`` are a row a file, kept beside the symbols. A project that hardly changed costs the roots and
     the changed files; files that only one side has have no keys in common.
     """
-    differ = old_roots.select(by, F.col("root_hash").alias("_old")).join(new_roots, by).where(F.col("_old") != F.col("root_hash")).select(by)
+    differ = old_roots.select(by, F.col("root_hash").alias("_old")).join(new_roots.hint("merge"), by).where(F.col("_old") != F.col("root_hash")).select(by)
+    differ = differ.hint("merge")
     return stale(old.join(differ, by, "left_semi"), new.join(differ, by, "left_semi"), keys, hash_col)
 
 
 def stale(old: DataFrame, new: DataFrame, keys: list[str], hash_col: str = "content_hash") -> DataFrame:
     """Keys whose content changed."""
     a = old.select(*keys, F.col(hash_col).alias("old_hash"))
-    return a.join(new.select(*keys, F.col(hash_col).alias("new_hash")), keys).where(F.col("old_hash") != F.col("new_hash"))
+    return a.join(new.select(*keys, F.col(hash_col).alias("new_hash")).hint("merge"), keys).where(F.col("old_hash") != F.col("new_hash"))
 
 
 # --- reports ------------------------------------------------------------------------------------------
@@ -319,21 +320,22 @@ def agents_in_order(agents: DataFrame, agent: str = "agent_id", order: str = "fi
 
     One recursive query walks all sessions level by level from rows that are written once. More than ``levels``
     levels are an error; agents that are each other's parents hang below no root and are left out. The walk's
-    number of rows is not bounded, so the session's limit of rows in a recursion is taken away.
+    number of rows is not bounded, so the session's limit of rows in a recursion is taken away. Agents grow with the
+    logs, so every join is a merge: a broadcast would send all of them through the driver once a level.
     """
     spark = agents.sparkSession
     spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
     rows = kept(agents.select(F.col(session).alias("s"), F.col(agent).alias("a"), F.col("parent_id").alias("p"), F.col(order).cast("long").alias("o")), "agents")
     root = rows.groupBy("s").agg(F.min(F.when(F.col("p").isNull(), F.struct("o", "a")))["a"].alias("root"))
-    orphan = rows.select("s", "p").join(rows.select("s", F.col("a").alias("p")), ["s", "p"], "left_anti").where("p is not null").distinct().withColumn("lost", F.lit(True))
-    known = rows.join(root, "s").join(orphan, ["s", "p"], "left")
+    orphan = rows.select("s", "p").join(rows.select("s", F.col("a").alias("p")).hint("merge"), ["s", "p"], "left_anti").where("p is not null").distinct().withColumn("lost", F.lit(True))
+    known = rows.join(root.hint("merge"), "s").join(orphan.hint("merge"), ["s", "p"], "left")
     tops = kept(known.where("p is null or lost").select("s", "a", F.when(F.col("a") == F.col("root"), 0).otherwise(1).alias("orphan"), "o"), "tops")
     walk = spark.sql(
         f"""WITH RECURSIVE walk(s, a, path) MAX RECURSION LEVEL {int(levels)} AS (
          SELECT s, a, array(struct(orphan, o AS ord, a AS agent)) FROM {{tops}}
-         UNION ALL SELECT c.s, c.a, concat(w.path, array(struct(0 AS orphan, c.o AS ord, c.a AS agent))) FROM walk AS w JOIN {{rows}} AS c ON c.s = w.s AND c.p = w.a)
+         UNION ALL SELECT /*+ MERGE(c) */ c.s, c.a, concat(w.path, array(struct(0 AS orphan, c.o AS ord, c.a AS agent))) FROM walk AS w JOIN {{rows}} AS c ON c.s = w.s AND c.p = w.a)
         SELECT * FROM walk""", tops=tops, rows=rows)
-    return agents.select(session, agent, order).join(walk.select(F.col("s").alias(session), F.col("a").alias(agent), "path"), [session, agent]).withColumn("indent", F.size("path") - 1)
+    return agents.select(session, agent, order).join(walk.select(F.col("s").alias(session), F.col("a").alias(agent), "path").hint("merge"), [session, agent]).withColumn("indent", F.size("path") - 1)
 
 
 def tree_prefixes(rows: DataFrame, session: str = "session_id", order: str = "path") -> DataFrame:
@@ -345,7 +347,7 @@ def tree_prefixes(rows: DataFrame, session: str = "session_id", order: str = "pa
     parent = F.slice(F.col(order), F.lit(1), F.size(order) - 1)
     ends = rows.groupBy(session, "indent").agg(F.max(order).alias("_end")).groupBy(session).agg(F.map_from_entries(F.collect_list(F.struct("indent", "_end"))).alias("_ends"))
     last = rows.groupBy(session, parent.alias("_parent")).agg(F.max(order).alias("_last"))
-    joined = rows.withColumn("_parent", parent).join(ends, session).join(last, [session, "_parent"])
+    joined = rows.withColumn("_parent", parent).join(ends.hint("merge"), session).join(last.hint("merge"), [session, "_parent"])
     levels = F.when(F.col("indent") > 0, F.sequence(F.lit(0), F.col("indent") - 1)).otherwise(F.array().cast("array<int>"))
     bars = F.transform(levels, lambda i: F.when(F.col("_ends")[i] > F.col(order), F.lit("│ ")).otherwise(F.lit("  ")))
     corner = F.when(F.col("_last") > F.col(order), F.lit("├─ ")).otherwise(F.lit("└─ "))

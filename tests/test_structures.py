@@ -176,3 +176,32 @@ def test_files_of_a_task_are_rolled_up_in_one_pass(spark):
     assert got == want
     assert sources(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert O.roll_up_hashes(code.symbols(sources(spark, "/root/testdata/sf0.001"))).columns.count("merkle_hash") == 1
+
+
+def test_tree_lines_are_written_before_they_are_sorted(spark):
+    """The bounds of the sort and the sort read stored lines; the texts are parsed once."""
+    from sightline.plans import report
+    from sightline.sources import code
+
+    parsed = spark.sparkContext.accumulator(0)
+
+    class Counting:
+        EXTENSIONS = ("rs",)
+
+        @staticmethod
+        def extract(source):
+            parsed.add(1)
+            return []
+
+    texts = spark.createDataFrame([(f"f{i}.rs", "x\n") for i in range(20)], "file_path string, source string").repartition(4)
+    registry = code.Registry([Counting])
+    lines = report.tree_lines(code.files(texts, registry), code.symbols(texts, registry)).collect()
+    assert len(lines) == 20 and parsed.value == 20
+
+
+def test_no_agent_is_broadcast(spark):
+    rows = spark.range(300).selectExpr("id div 30 as session_id", "id as agent_id", "id as first_ord", "if(id % 30 = 0, null, if(id % 11 = 0, -1, id - 1)) as parent_id")
+    walked = O.agents_in_order(rows)
+    drawn = O.tree_prefixes(walked)
+    assert drawn.count() == 300
+    assert "Broadcast" not in drawn._jdf.queryExecution().executedPlan().toString()

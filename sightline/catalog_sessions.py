@@ -16,6 +16,7 @@ from .catalog import query, table
 from .plans import coverage, report
 from .sources import code, sessions
 from .sources.sessions import ORDER
+from .tables import kept
 
 #: A project of FILES files, each with ROOTS types of three methods.
 FILES, ROOTS = 20, 7
@@ -128,13 +129,12 @@ total AS (SELECT session, sum(is_reset)::BIGINT AS resets FROM ep GROUP BY sessi
  FROM marks m JOIN ep ON m.session = ep.session AND m.event_id = ep.event_id JOIN total ON m.session = total.session AND epoch = resets GROUP BY m.session, id""")
 def log_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each session has read since its last reset, by which agent first so deep, and by whom at all."""
-    e = sessions.with_metadata(log_events(spark, sf_dir))
-    c = coverage.fold(*project(spark), e)
-    resets = c.events.where("kind <> 'tool_call'").groupBy("session_id").agg(F.count("*").alias("resets"))
-    last = c.marks.join(resets, "session_id", "left").where(F.col("epoch") == F.coalesce("resets", F.lit(0)))
-    entries = O.ledger(last, ["session_id", "id"], ["event_ord", "sym_ord"], ["agent_id"])
-    agents = O.agents_of(last, ["session_id", "id"]).withColumn("agents", F.array_join("agents", ","))
-    return entries.join(agents, ["session_id", "id"]).select("session_id", "id", "depth", "agent_id", "agents")
+    needed = ["session_id", *ORDER, "kind", "agent_id", "file_path", "read_depth", "target_symbol", "target_start", "target_end"]
+    events = kept(log_events(spark, sf_dir).where("kind <> 'boundary'").select(*needed), "events")
+    calls = O.after_last(events, F.col("kind") != "tool_call", ["session_id"], ORDER).withColumn("epoch", F.lit(0))
+    last = O.marks(calls, project(spark)[1], ORDER)
+    entries = O.ledger(last, ["session_id", "id"], ["event_ord", "sym_ord"], ["agent_id"], agents="agent_id")
+    return entries.select("session_id", "id", "depth", "agent_id", F.array_join("agents", ",").alias("agents"))
 
 
 @query(_EPOCHS + """, cleared AS (SELECT session, max(event_id) AS upto FROM others WHERE kind = 'cleared' GROUP BY session),

@@ -141,8 +141,8 @@ SELECT a.session AS session_id, a.agent AS agent_id, count(*) FILTER (own.d > 0)
 FROM (SELECT DISTINCT session, agent FROM calls) a LEFT JOIN own ON own.session = a.session AND own.agent = a.agent GROUP BY a.session, a.agent""")
 def agent_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of the project each agent of each session has read over all epochs."""
-    calls = log_events(spark, sf_dir).where("kind = 'tool_call'").withColumn("epoch", F.lit(0))
-    own = O.agent_ledger(O.marks(calls, project(spark)[1], sessions.ORDER), ["session_id", "id"])
+    calls = O.distinct_calls(log_events(spark, sf_dir))
+    own = O.agent_ledger(O.agent_marks(calls, project(spark)[1]), ["session_id", "id"])
     return O.agent_coverage(calls.select("session_id", "agent_id").distinct(), own, 560, session=["session_id"]).select("session_id", "agent_id", "seen", "seen_percent")
 
 
@@ -150,9 +150,8 @@ def agent_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT led.session AS session_id, coalesce(d, 0)::INT AS depth, count(*) AS n FROM led LEFT JOIN own ON own.session = led.session AND own.id = led.id GROUP BY 1, 2""")
 def agent_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How deep one agent has read what its session has touched."""
-    calls = log_events(spark, sf_dir).where("kind = 'tool_call'").withColumn("epoch", F.lit(0))
-    own = kept(O.agent_ledger(O.marks(calls, project(spark)[1], sessions.ORDER), ["session_id", "id"]), "own")
-    return O.agent_histogram(own, own.select("session_id", "id").distinct(), "id", "agent_id", "agent-7", session=["session_id"])
+    marked = O.agent_marks(O.distinct_calls(log_events(spark, sf_dir)), project(spark)[1])
+    return O.depth_histogram(O.agent_depths(marked, ["session_id", "id"], "agent-7"), ["session_id"])
 
 
 # --- data sources -----------------------------------------------------------------------------------------

@@ -16,6 +16,9 @@ from ..tables import kept
 from .ranges import range_join, stab_join, suffix_join
 from .scans import chunk_scan
 
+#: Calls whose symbols one task marks (``agent_marks``).
+CALLS_A_TASK = 50_000
+
 # --- matching ---------------------------------------------------------------------------------------
 
 
@@ -103,10 +106,19 @@ def last_epoch(events: DataFrame, is_reset: Column, partition: list[str]) -> Dat
     return events.join(total, partition).where((F.col("epoch") == F.col("_resets")) & ~is_reset).drop("_resets")
 
 
-def ledger(marked: DataFrame, keys: list[str], order: list[str], attributes: list[str], depth: str = "read_depth") -> DataFrame:
-    """Deepest reading of each key, with the attributes of the first event that reached it."""
+def after_last(events: DataFrame, is_reset: Column, partition: list[str], order: list[str]) -> DataFrame:
+    """Events after the last reset of their group, all of a group without one: one aggregate, no epochs."""
+    place = F.struct(*order)
+    ends = events.where(is_reset).groupBy(*(F.col(c).alias(f"_by_{c}") for c in partition)).agg(F.max(place).alias("_end"))
+    same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in partition]
+    return events.where(~is_reset).join(ends.hint("merge"), same, "left").where(F.col("_end").isNull() | (place > F.col("_end"))).select(*events.columns)
+
+
+def ledger(marked: DataFrame, keys: list[str], order: list[str], attributes: list[str], depth: str = "read_depth", agents: str | None = None) -> DataFrame:
+    """Deepest reading of each key, with the attributes of the first event that reached it; ``agents``: all that touched it (``agents_of``), too."""
     first = F.min_by(F.struct(*attributes), F.struct((-F.col(depth)).alias("_d"), *order)).alias("_first")
-    return marked.groupBy(*keys).agg(F.max(depth).alias("depth"), first).select(*keys, "depth", "_first.*")
+    all_of = [F.array_sort(F.collect_set(agents)).alias("agents")] if agents else []
+    return marked.groupBy(*keys).agg(F.max(depth).alias("depth"), first, *all_of).select(*keys, "depth", "_first.*", *(["agents"] if agents else []))
 
 
 def agent_ledger(marked: DataFrame, keys: list[str], agent: str = "agent_id", depth: str = "read_depth") -> DataFrame:
@@ -114,6 +126,29 @@ def agent_ledger(marked: DataFrame, keys: list[str], agent: str = "agent_id", de
     return marked.groupBy(*keys, agent).agg(F.max(depth).alias("depth"))
 
 
+def agent_marks(calls: DataFrame, symbols: DataFrame, per_task: int = CALLS_A_TASK) -> DataFrame:
+    """(session_id, agent_id, id, depth), dealt by session and id: what each agent's calls touch, the order of calls left out.
+
+    Equal calls are one before they are spread over symbols, and tasks are as many as calls need, so what a task holds
+    does not grow with the log. ``calls``: session_id, agent_id, file_path, read_depth and the targets, counted once.
+    """
+    parts = max(int(calls.sparkSession.conf.get("spark.sql.shuffle.partitions")), calls.count() // per_task + 1)
+    marked = marks(calls.withColumn("epoch", F.lit(0)).repartition(parts), symbols, ["read_depth"])
+    return marked.select("session_id", "agent_id", "id", "read_depth").repartition(parts, "session_id", "id")
+
+
+def distinct_calls(events: DataFrame) -> DataFrame:
+    """The calls of each agent that differ, each with its deepest reading; calls without a file too."""
+    by = ["session_id", "agent_id", "file_path", "target_symbol", "target_start", "target_end"]
+    return kept(events.where("kind = 'tool_call'").groupBy(*by).agg(F.max("read_depth").alias("read_depth")), "calls")
+
+
+def agent_depths(marked: DataFrame, keys: list[str], agent_id: str, agent: str = "agent_id", depth: str = "read_depth") -> DataFrame:
+    """Each key that any agent touched, with how deep one agent has read it; what only others touched is unseen to it."""
+    own = F.max(F.when(F.col(agent) == agent_id, F.col(depth)))
+    return marked.groupBy(*keys).agg(F.coalesce(own, F.lit(UNSEEN)).alias("depth"))
+
+
 def depth_histogram(ledger_rows: DataFrame, by: list[str] | None = None) -> DataFrame:
     return ledger_rows.groupBy(*(by or []), "depth").agg(F.count("*").alias("n"))
 

@@ -40,7 +40,8 @@ def fold(files: DataFrame, symbols: DataFrame, events: DataFrame) -> Coverage:
     calls = timed.where("kind = 'tool_call'")
     marked = O.marks(calls, symbols, ORDER)
     resets = timed.where(reset).groupBy("session_id").agg(F.count("*").alias("resets"))
-    last = marked.join(resets, "session_id", "left").where(F.col("epoch") == F.coalesce("resets", F.lit(0)))
+    # Calls of earlier epochs go before they are spread over the symbols that they touch.
+    last = O.marks(calls.join(resets, "session_id", "left").where(F.col("epoch") == F.coalesce("resets", F.lit(0))).drop("resets"), symbols, ORDER)
     entries = O.ledger(last, ["id"], ["event_ord", "sym_ord"], ["content_hash", "agent_id", "estimated_tokens"])
     agents = calls.groupBy("session_id", "agent_id").agg(F.min(F.struct(*ORDER)).alias("first_ord"), F.min_by("label", F.struct(*ORDER)).alias("label"))
     return Coverage(files, symbols, timed, marked, entries, O.agent_ledger(last, ["id"]), compactions(timed, marked, symbols), agents)

@@ -205,3 +205,22 @@ def test_no_agent_is_broadcast(spark):
     drawn = O.tree_prefixes(walked)
     assert drawn.count() == 300
     assert "Broadcast" not in drawn._jdf.queryExecution().executedPlan().toString()
+
+
+def test_agents_marks_are_dealt_by_their_number(spark):
+    """Equal calls are one before they meet symbols, and more calls are more tasks."""
+    symbols = spark.createDataFrame([("f", i, i, f"f::s{i}", f"s{i}", i * 2 + 1, i * 2 + 2, "h", 1) for i in range(3)], "file_path string, ord int, subtree_end int, id string, name string, line_start long, line_end long, content_hash string, estimated_tokens long")
+    rows = [("tool_call", f"u{i % 4}", f"a{i % 2}", "f" if i % 5 else None, i % 3 + 1, None, None, None) for i in range(120)] + [("cleared", "u0", "a0", None, None, None, None, None)]
+    calls = O.distinct_calls(spark.createDataFrame(rows, "kind string, session_id string, agent_id string, file_path string, read_depth int, target_symbol string, target_start long, target_end long"))
+    assert calls.count() == 8
+    marked = O.agent_marks(calls, symbols, per_task=1)
+    assert marked.rdd.getNumPartitions() == 9
+    assert sorted(map(tuple, marked.collect())) == sorted((f"u{u}", f"a{u % 2}", f"f::s{s}", 3) for u in range(4) for s in range(3))
+    depths = O.agent_depths(marked, ["session_id", "id"], "a1")
+    assert {(r.session_id, r.depth) for r in depths.collect()} == {("u0", 0), ("u1", 3), ("u2", 0), ("u3", 3)}
+
+
+def test_events_after_the_last_reset(spark):
+    rows = [("u", i, i in (2, 5)) for i in range(9)] + [("v", i, False) for i in range(3)] + [(None, i, i == 1) for i in range(3)] + [("w", 0, True)]
+    got = O.after_last(spark.createDataFrame(rows, "s string, i long, reset boolean"), F.col("reset"), ["s"], ["i"])
+    assert sorted((str(r.s), r.i) for r in got.collect()) == [("None", 2), ("u", 6), ("u", 7), ("u", 8), ("v", 0), ("v", 1), ("v", 2)]

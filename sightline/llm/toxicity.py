@@ -36,6 +36,8 @@ SAMPLE_ROWS = 2500
 SAMPLE_BYTES = 8_000_000
 #: How often a known label is taken to be right.
 LABEL_ACCURACY = 0.999
+#: The least weight of known rows in the label model, in proportion to that of the unlabelled rows of their class.
+ANCHOR = 0.25
 #: Beginnings of words that are features beside the words.
 STEMS = (4, 5, 6)
 MAX_FEATURES = 4000
@@ -184,10 +186,12 @@ class LabelModel:
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
-def fit_label_model(votes: np.ndarray, known: np.ndarray, prior: float | None, rounds: int = 25, counts: np.ndarray | None = None) -> LabelModel:
+def fit_label_model(votes: np.ndarray, known: np.ndarray, prior: float | None, rounds: int = 25, counts: np.ndarray | None = None, anchor: float = 0.0) -> LabelModel:
     """EM over the rows, of which each stands for ``counts`` equal ones; ``known`` holds 0, 1 or -1 (unlabelled).
 
     Without a ``prior`` it is the share of toxic rows among the unlabelled ones, or the known ones if there are no others.
+    With an ``anchor`` known rows of both classes hold them: EM starts from their rates, and in each class they weigh at least that
+    share of the unlabelled rows in it, so a habit of many rows (a word of one language that is a term of another) is not taken for the class.
     """
     k = votes.shape[1]
     counts = np.ones(len(votes)) if counts is None else counts.astype(float)
@@ -195,13 +199,17 @@ def fit_label_model(votes: np.ndarray, known: np.ndarray, prior: float | None, r
     of = counts * (known < 0) if (known < 0).any() else counts
     score = np.clip(votes, -1, 1).sum(1)
     post = np.where(known >= 0, known * 0.94 + 0.03, np.where(score > 0, 0.9, 0.05)).astype(float)
+    anchored = anchor > 0 and (known == 0).any() and (known == 1).any() and (known < 0).any()
     weight = np.ones(k)
     model = None
-    for _ in range(rounds):
+    for step in range(rounds):
         if learn:
             prior = float(np.clip((of * post).sum() / of.sum(), 0.005, 0.5))
         rates = np.empty((2, k, 3))
         for y, w in ((0, counts * (1 - post)), (1, counts * post)):
+            if anchored:
+                own = known == y
+                w = np.where(known < 0, w * (step > 0), np.where(own, max(1.0, anchor * w[known < 0].sum() / (own * counts).sum()) * counts, 0))
             for v in (-1, 0, 1):
                 rates[y, :, v + 1] = ((votes == v) * w[:, None]).sum(0) + 0.5
         rates /= rates.sum(2, keepdims=True)
@@ -337,7 +345,7 @@ def finish(seen: Evidence, patterns: list[tuple[list[int], int]], prior: float |
     votes = np.concatenate([seen.votes, np.array([v for v, _ in patterns], np.int64).reshape(-1, seen.votes.shape[1])])
     known = np.concatenate([seen.known, np.full(len(patterns), -1)])
     counts = np.concatenate([np.ones(len(seen.known)), [n for _, n in patterns]])
-    model = fit_label_model(votes, known, prior, counts=counts)
+    model = fit_label_model(votes, known, prior, counts=counts, anchor=ANCHOR)
     post = model.posterior(seen.votes, seen.known)
     share = post.mean()
     weight = np.where(post > 0.5, model.prior / max(share, 1e-6), (1 - model.prior) / max(1 - share, 1e-6))

@@ -44,3 +44,14 @@ def test_every_unlabelled_row_of_the_fold_votes(spark):
 def test_chance_of_terms(hits, mean):
     tail = 1 - sum(math.exp(-mean + i * math.log(mean) - math.lgamma(i + 1)) if mean else float(i == 0) for i in range(hits))
     assert toxicity.beyond_chance(hits, mean) == (tail < toxicity.CHANCE)
+
+
+def test_a_habit_of_many_rows_does_not_become_the_class():
+    """A term that a seventh of all rows hold by their language, beside known rows that say it means nothing."""
+    toxic, habit, none = [1, 1, 1, 0], [0, 0, 0, 1], [0, 0, 0, 0]
+    votes = np.array([toxic] * 90 + [none] * 10 + [none] * 85 + [habit] * 15 + [toxic, habit, none])
+    known = np.array([1] * 100 + [0] * 100 + [-1] * 3)
+    counts = np.array([1] * 200 + [6_000, 16_000, 82_000])
+    model = toxicity.fit_label_model(votes, known, None, counts=counts, anchor=toxicity.ANCHOR)
+    post = model.posterior(np.array([toxic, habit, none]))
+    assert post[0] > 0.9 > 0.1 > max(post[1:]) and 0.04 < model.prior < 0.1

@@ -23,7 +23,7 @@ import regex
 import tiktoken
 from pyspark.sql import DataFrame
 
-from .common import slices
+from .common import mapped, slices
 
 #: Characters of a text up to which it is encoded in one call.
 CHUNK_CHARS = 1 << 16
@@ -126,4 +126,4 @@ def encode_documents(docs: DataFrame, rank_path: str, pattern: str, id_col: str
             arrays |= {k: pa.array(cols[k], pa.string()) for k in ("ids_sha256", "decoded_sha256")}
             yield pa.RecordBatch.from_pydict(arrays)
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return mapped(docs.select(id_col, text_col), run, schema)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-from .common import slices, stable_sample
+from .common import mapped, slices, stable_sample
 
 #: Longest context in bytes.
 ORDER = 4
@@ -250,4 +250,4 @@ def predict(docs: DataFrame, model: PPMModel, text_col: str = "text") -> DataFra
             more = [pa.array([x[0] for x in said], pa.string()), *(pa.array([x[i] for x in said], pa.float64()) for i in (1, 2))]
             yield pa.RecordBatch.from_arrays([*part.columns, *more], names=[*part.schema.names, "lang_pred", "lang_score", "lang_bits"])
 
-    return docs.mapInArrow(run, out_schema)
+    return mapped(docs, run, out_schema)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import slices, stored, unused
+from .common import mapped, slices, stored, unused
 from .cuckoo import MAX_LOAD, CuckooFilter
 
 MIN_CHARS = 20
@@ -63,7 +63,7 @@ def postings_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             k = np.array(keys, np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int64())), pa.array(k[:, 0]), pa.array(k[:, 1])], names=["doc_id", "k1", "k2"])
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "doc_id long, k1 long, k2 long")
+    return mapped(docs.select(F.col(id_col).cast("long"), text_col), run, "doc_id long, k1 long, k2 long")
 
 
 def counts_of(postings: DataFrame) -> DataFrame:
@@ -139,7 +139,7 @@ def apply_changes(filters: DataFrame, changes: DataFrame) -> DataFrame:
         if shard is not None:
             yield done()
 
-    return both.repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(run, "shard int, filter binary")
+    return mapped(both.repartition("shard").sortWithinPartitions("shard", "kind"), run, "shard int, filter binary")
 
 
 def _runs(values: np.ndarray) -> list[tuple[int, int]]:
@@ -170,7 +170,7 @@ def probe(index: LineIndex, postings: DataFrame) -> DataFrame:
                     yield part.filter(pa.array(held.contains(part.column(1).to_numpy(), part.column(2).to_numpy())))
 
     dealt = rows.unionByName(copies).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind")
-    return dealt.mapInArrow(run, "doc_id long, k1 long, k2 long")
+    return mapped(dealt, run, "doc_id long, k1 long, k2 long")
 
 
 def dropped_keys(index: LineIndex) -> DataFrame:
@@ -244,7 +244,7 @@ def rewrite(docs: DataFrame, index: LineIndex, id_col: str = "doc_id", text_col:
             arrays = [part.column(i) if i != at else pa.array(texts, pa.string()) for i in range(part.num_columns - 1)]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], names=schema.fieldNames())
 
-    return joined.mapInArrow(run, schema)
+    return mapped(joined, run, schema)
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:

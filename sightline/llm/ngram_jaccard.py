@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import merged, release, slices, stored, unused, words_of
+from .common import mapped, merged, release, slices, stored, unused, words_of
 from .components import components
 from .parity_sketch import bands, mix, set_id, shingle_set
 
@@ -53,8 +53,8 @@ TILE = 512
 HEAD_PAIRS = 64
 #: Ids up to which the texts of some classes are looked up by a broadcast (some 20 bytes each); beyond it both sides are shuffled.
 BROADCAST_IDS = 500_000
-#: Pairs of key and class that a task packs at a time.
-PACK_KEYS = 1 << 20
+#: Pairs of key and class that a task packs at a time: 4 MB, some six times that while they are sorted.
+PACK_KEYS = 1 << 18
 
 
 @dataclass
@@ -86,7 +86,7 @@ def signatures(docs: DataFrame, width: int, p: int, q: int, id_col: str = "doc_i
                 known.add(i)
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(sketch, pa.binary())], names=["doc_id", "n", "node", "sketch"])
 
-    return docs.select(F.col(id_col).cast("long"), text_col).mapInArrow(run, "doc_id long, n long, node long, sketch binary")
+    return mapped(docs.select(F.col(id_col).cast("long"), text_col), run, "doc_id long, n long, node long, sketch binary")
 
 
 def _packed_keys(docs: DataFrame, width: int, p: int, q: int, buckets: int, text_col: str = "text") -> DataFrame:
@@ -126,7 +126,7 @@ def _packed_keys(docs: DataFrame, width: int, p: int, q: int, buckets: int, text
         if held:
             yield pack()
 
-    return docs.select(text_col).mapInArrow(run, "bucket int, keys array<long>, nodes array<long>")
+    return mapped(docs.select(text_col), run, "bucket int, keys array<long>, nodes array<long>")
 
 
 def _members(packed: DataFrame) -> DataFrame:
@@ -161,7 +161,7 @@ def _members(packed: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(k[give] & ~1), pa.array(v[give]), pa.array(heads[give]), pa.array((k[give] & 1) == 0)], names=["key", "node", "head", "own"])
 
     pairs = packed.repartition("bucket").select(F.inline(F.arrays_zip("keys", "nodes")).alias("key", "node"))
-    return pairs.sortWithinPartitions("key", "node").mapInArrow(run, "key long, node long, head long, own boolean")
+    return mapped(pairs.sortWithinPartitions("key", "node"), run, "key long, node long, head long, own boolean")
 
 
 def _sketch(hashes: np.ndarray) -> bytes | None:
@@ -223,7 +223,7 @@ class _Texts:
         if ids.count() <= BROADCAST_IDS:
             with_id, without = F.broadcast(with_id), F.broadcast(without)
         found = self.docs.where("first_id is not null").join(with_id, "first_id").select("node", "text")
-        return found.unionByName(self.docs.where("first_id is null").select("text").mapInArrow(of_null_ids, "node long, text string").join(without, "node"))
+        return found.unionByName(mapped(self.docs.where("first_id is null").select("text"), of_null_ids, "node long, text string").join(without, "node"))
 
 
 def verified(pairs: DataFrame, texts: _Texts, p: int, q: int) -> DataFrame:
@@ -251,7 +251,7 @@ def verified(pairs: DataFrame, texts: _Texts, p: int, q: int) -> DataFrame:
             yield part.select([0, 3]).rename_columns(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     met = first.unionByName(second.select(*first.columns)).repartition("a", "salt").sortWithinPartitions("a", "salt", "kind")
-    links = stored(met.mapInArrow(run, "a long, b long").distinct(), "links")
+    links = stored(mapped(met, run, "a long, b long").distinct(), "links")
     release(need)
     return links
 
@@ -312,7 +312,7 @@ def _tile_pairs(members: DataFrame, p: int, q: int) -> DataFrame:
         if rows:
             yield pairs()
 
-    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").distinct()
+    return mapped(dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j"), run, "a long, b long").distinct()
 
 
 def _within_bound(pairs: DataFrame, facts: DataFrame, p: int, q: int) -> DataFrame:
@@ -327,7 +327,7 @@ def _within_bound(pairs: DataFrame, facts: DataFrame, p: int, q: int) -> DataFra
             yield part.select([0, 1]).filter(pa.array(near))
 
     met = pairs.join(merged(left), "a").join(merged(right), "b").select("a", "b", "n_a", "sketch_a", "n_b", "sketch_b")
-    return met.mapInArrow(run, "a long, b long")
+    return mapped(met, run, "a long, b long")
 
 
 def _extended(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -443,7 +443,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, p: int = 4, q: int = 5, id_
             yield pa.RecordBatch.from_arrays([*part.columns, pa.array([set_id(s) if len(s) else None for s in sets], pa.int64())], names=[*part.schema.names, node])
 
     odd = marked.where(F.col(flag)).select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
-    odd = odd.mapInArrow(nodes, StructType([*docs.schema.fields, StructField(node, LongType())]))
+    odd = mapped(odd, nodes, StructType([*docs.schema.fields, StructField(node, LongType())]))
     of_node = live.select(F.col("node").alias(node), F.col("component_id").alias(component), F.col("label").alias(label)).distinct()
     first = odd.where(F.col(node).isNotNull()).join(of_node, node).where(F.col(component).isNull() | (F.col(id_col).cast("long") == F.col(component)))
     first = first.groupBy(label).agg(F.min_by(F.struct(*docs.columns), F.col(text_col)).alias(row)).select(f"{row}.*")
